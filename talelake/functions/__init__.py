@@ -1,0 +1 @@
+"""functions package of the narrative-workspace analytics library."""

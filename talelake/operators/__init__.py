@@ -1,0 +1 @@
+"""operators package of the narrative-workspace analytics library."""

@@ -1,0 +1 @@
+"""plans package of the narrative-workspace analytics library."""

@@ -1,0 +1 @@
+"""sources package of the narrative-workspace analytics library."""

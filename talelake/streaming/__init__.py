@@ -1,0 +1 @@
+"""streaming package of the narrative-workspace analytics library."""
