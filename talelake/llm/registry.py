@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from talelake.llm import byte_bpe, exact_dedup
+from talelake.llm import byte_bpe, exact_dedup, html_extract
 
 QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op8_html_extract": html_extract.op8_html_extract,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
 }
 ORACLES = {
