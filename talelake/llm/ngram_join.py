@@ -6,11 +6,13 @@
 2. Documents with the same prefix and set size form one group, and only groups
    are listed under the shingles of their prefixes. Pairs of groups under one
    shingle pass the size and the position filter.
-3. Groups expand into units of at most UNIT different sets, and pairs of units
-   are verified exactly. A shingle with many groups, or a group with many
-   different sets, is dealt into units likewise, so that no list and no group is
-   gathered in one task; a pair of units returns a spanning forest of its links
-   and not its pairs.
+3. Pairs of small groups expand into pairs of members. Signatures (counts of the
+   shingles by hash bucket) bound each pair's intersection from above, and what
+   may link is verified exactly.
+4. A shingle with many groups, or a group with many different sets, is dealt into
+   units of about UNIT sets, so that no list and no group is gathered in one task.
+   Pairs of units are verified exactly by products of incidence matrices, and
+   return a spanning forest of their links and not their pairs.
 
 Equal sets are one set from the start, so that copies cost nothing. Sets are
 compared by 64-bit hashes of their shingles. Nulls, empty texts and texts
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talelake.llm import textblocks as tb
@@ -36,8 +38,9 @@ from talelake.llm.common import components, cut, table
 
 #: A shingle is frequent if it has at least this part of all occurrences.
 FREQUENT = 1 << 19
-#: Groups under one shingle up to which their pairs are listed, and sets in a unit.
-SHORT, UNIT = 64, 256
+#: Groups under one shingle up to which their pairs are listed, sets in a unit, and
+#: pairs of members of two groups up to which they are listed.
+SHORT, UNIT, FEW = 64, 256, 16
 
 
 def _frequent(docs: DataFrame, text: str, size: int) -> DataFrame:
@@ -71,8 +74,8 @@ def _documents(docs: DataFrame, text: str, size: int, percent: int, frequent, ke
                 np.cumsum(tb.mix(whole ^ np.uint64(0xA5A5A5A5A5A5A5A5)), out=sums[1:])
                 cls = tb.mix(sums[ends] - sums[ends - lengths] + lengths.astype(np.uint64)).view(np.int64)
                 if keep_sets:
-                    columns = [pa.array(cls), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(whole.view(np.int64)))]
-                    yield pa.RecordBatch.from_arrays(columns, ["cls", "items"])
+                    items = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(whole.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(cls), items, part.column(3)], ["cls", "items", "units"])
                     continue
                 rank = np.zeros(len(whole), np.int64)
                 if len(known):
@@ -91,11 +94,45 @@ def _documents(docs: DataFrame, text: str, size: int, percent: int, frequent, ke
                     pa.array(tb.mix(np.array(gid, np.uint64)).view(np.int64)),
                     pa.array(lengths),
                     pa.array([x.view(np.int64) for x in prefixes], pa.list_(pa.int64())),
+                    pa.array([signature(s) for s in sets], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["rk", "id", "cls", "gid", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays(columns, ["rk", "id", "cls", "gid", "n", "prefix", "signature"])
 
-    schema = "cls long, items array<long>" if keep_sets else "rk long, id long, cls long, gid long, n long, prefix array<long>"
-    return docs.select("rk", "id", text).mapInArrow(run, schema)
+    if keep_sets:
+        return docs.select("rk", "id", text, "units").mapInArrow(run, "cls long, items array<long>, units array<struct<kind: int, key: long, block: int>>")
+    return docs.select("rk", "id", text).mapInArrow(run, "rk long, id long, cls long, gid long, n long, prefix array<long>, signature binary")
+
+
+def signature(items: np.ndarray) -> bytes:
+    """How many items fall in each of 2**k buckets, about as many buckets as items; empty if a count needs over 8 bits."""
+    k = max(6, int(len(items)).bit_length())
+    counts = np.bincount((items >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
+def most_common(one: bytes, two: bytes) -> int | None:
+    """Upper bound of the intersection of two sets, from their signatures; None if unknown."""
+    if not one or not two:
+        return None
+    a, b = sorted((np.frombuffer(x, np.uint8).astype(np.int64) for x in (one, two)), key=len)
+    return int(np.minimum(a, b.reshape(len(a), -1).sum(1)).sum())
+
+
+def _filter_signatures(pairs: DataFrame, seen: DataFrame, percent: int) -> DataFrame:
+    """The pairs c1, c2 of sets that their signatures let link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n1, n2 = (batch.column(k).to_numpy() for k in (2, 4))
+            one, two = (batch.column(k).to_pylist() for k in (3, 5))
+            most = [most_common(x, y) for x, y in zip(one, two, strict=True)]
+            keep = [m is None or (100 + percent) * m >= percent * (x + y) for m, x, y in zip(most, n1.tolist(), n2.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["c1", "c2"]).filter(pa.array(keep, pa.bool_()))
+
+    used = pairs.select(F.col("c1").alias("cls")).union(pairs.select("c2")).distinct()
+    known = cut(seen.join(used, "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("signature").alias("s")))
+    one, two = (known.select(F.col("cls").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("s").alias(f"s{k}")) for k in (1, 2))
+    return pairs.join(one, "c1").join(two, "c2").select("c1", "c2", "n1", "s1", "n2", "s2").mapInArrow(run, "c1 long, c2 long")
 
 
 def _group_pairs(lists: DataFrame, percent: int) -> DataFrame:
@@ -201,25 +238,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     frequent = spark.sparkContext.broadcast((key[by], top["n"].to_numpy()[by]))
 
     seen = cut(_documents(rows, "text", size, percent, frequent, False))
-    members = seen.where("n > 0").groupBy("gid", "cls").agg(F.min("rk").alias("rk"))
-    members = cut(members)
+    members = cut(seen.where("n > 0").groupBy("gid", "cls").agg(F.min("rk").alias("rk")))
     groups = members.groupBy("gid").agg(F.count(F.lit(1)).alias("m"))
-    many = groups.where("m > 1")
     prefixes = seen.where("n > 0").groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    posted = prefixes.select("gid", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
-    listed = posted.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    lists = cut(posted.join(listed, "token"))
+    posted = prefixes.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
+    # one shuffle: the length of each list is counted where its groups meet
+    lists = cut(posted.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("k > 1"))
 
     short = lists.where(f"k <= {SHORT}").groupBy("token").agg(F.collect_list(F.struct("gid", F.col("n"), F.col("pos").cast("long"))).alias("groups"))
-    near = cut(_group_pairs(short, percent))
-
+    sizes = [groups.select(F.col("gid").alias(f"g{k}"), F.col("m").alias(f"m{k}")) for k in (1, 2)]
+    near = cut(_group_pairs(short, percent).join(sizes[0], "g1").join(sizes[1], "g2"))
+
+    # few members: their pairs, less those whose signatures rule a link out; a verified pair is two units of one set
+    few = f"m1 * m2 <= {FEW}"
+    one, two = (members.select(F.col("gid").alias(f"g{k}"), F.col("cls").alias(f"c{k}")) for k in (1, 2))
+    inner = members.join(groups.where(f"m > 1 and m * m <= {FEW}"), "gid")
+    inner = inner.select("gid", F.col("cls").alias("c1")).join(inner.select("gid", F.col("cls").alias("c2")), "gid").where("c1 < c2")
+    listed_pairs = near.where(few).join(one, "g1").join(two, "g2").select("c1", "c2").unionByName(inner.select("c1", "c2"))
+    alone = cut(_filter_signatures(cut(listed_pairs.distinct()), seen, percent))
+
+    # many members: units are (kind, key, block); a group's or a list's sets are dealt into blocks by hash
     def blocks(m):
         return F.ceil(F.col(m) / UNIT).cast("int")
 
-    # units are (kind, key, block); a group's or a list's sets are dealt into blocks by hash
-    one, two = groups.select(F.col("gid").alias("g1"), F.col("m").alias("m1")), groups.select(F.col("gid").alias("g2"), F.col("m").alias("m2"))
     between = (
-        near.join(one, "g1").join(two, "g2")
+        near.where(f"not ({few})")
         .select(F.lit(0).alias("kind"), F.col("g1").alias("k1"), F.col("g2").alias("k2"), F.explode(F.sequence(F.lit(0), blocks("m1") - 1)).alias("b1"), "m2")
         .select("kind", "k1", "k2", "b1", F.explode(F.sequence(F.lit(0), blocks("m2") - 1)).alias("b2"))
     )
@@ -228,20 +271,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         first = sized.select(F.lit(kind).alias("kind"), F.col("key").alias("k1"), F.col("key").alias("k2"), F.explode(F.sequence(F.lit(0), blocks("m") - 1)).alias("b1"), "m")
         return first.select("kind", "k1", "k2", "b1", F.explode(F.sequence(F.col("b1"), blocks("m") - 1)).alias("b2"))
 
+    many = groups.where(f"m * m > {FEW}")
     in_lists = cut(lists.where(f"k > {SHORT}").select("token", "gid").join(members.select("gid", "cls"), "gid").select("token", "cls").distinct())
     long_lists = in_lists.groupBy("token").agg(F.count(F.lit(1)).alias("m"))
-    pairs = cut(between.unionByName(within(0, many.withColumnRenamed("gid", "key"))).unionByName(within(1, long_lists.withColumnRenamed("token", "key"))))
-
-    def dealt(kind, rows, key):
-        return rows.select(F.lit(kind).alias("kind"), F.col(key).alias("key"), F.pmod(F.xxhash64("cls"), blocks("m")).cast("int").alias("block"), "cls")
-
-    needed = near.select(F.col("g1").alias("gid")).union(near.select("g2")).union(many.select("gid")).distinct()
-    belongs = cut(dealt(0, members.join(needed, "gid", "left_semi").join(groups, "gid"), "gid").unionByName(dealt(1, in_lists.join(long_lists, "token"), "token")))
-    wanted = belongs.select("cls").distinct()
-    places = members.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("rk").alias("rk")).select("rk")
-    sets = _documents(rows.join(places, "rk", "left_semi"), "text", size, percent, None, True)
-    sets = cut(sets.groupBy("cls").agg(F.first("items").alias("items")))
-    units = cut(belongs.join(sets, "cls").groupBy("kind", "key", "block").agg(F.collect_list(F.struct("cls", "items")).alias("sets")))
+    single = alone.select(F.lit(2).alias("kind"), F.col("c1").alias("k1"), F.col("c2").alias("k2"), F.lit(0).alias("b1"), F.lit(0).alias("b2"))
+    pairs = cut(
+        between.unionByName(within(0, many.withColumnRenamed("gid", "key"))).unionByName(within(1, long_lists.withColumnRenamed("token", "key"))).unionByName(single)
+    )
+
+    def dealt(kind, dealt_rows, key):
+        return dealt_rows.select(F.lit(kind).alias("kind"), F.col(key).alias("key"), F.pmod(F.xxhash64("cls"), blocks("m")).cast("int").alias("block"), "cls")
+
+    wide = near.where(f"not ({few})")
+    in_groups = wide.select(F.col("g1").alias("gid")).union(wide.select("g2")).union(many.select("gid")).distinct()
+    apart = alone.select(F.col("c1").alias("cls")).union(alone.select("c2")).distinct()
+    belongs = (
+        dealt(0, members.join(in_groups, "gid", "left_semi").join(groups, "gid"), "gid")
+        .unionByName(dealt(1, in_lists.join(long_lists, "token"), "token"))
+        .unionByName(apart.select(F.lit(2).alias("kind"), F.col("cls").alias("key"), F.lit(0).alias("block"), "cls"))
+    )
+    # a set's units travel with the row that it is made of, so that sets are shuffled once
+    first_rows = members.groupBy("cls").agg(F.min("rk").alias("rk"))
+    where = cut(belongs.groupBy("cls").agg(F.collect_list(F.struct("kind", "key", "block")).alias("units")).join(first_rows, "cls").select("rk", "units"))
+    sets = _documents(rows.join(where, "rk").dropDuplicates(["rk"]), "text", size, percent, None, True)
+    units = sets.select("cls", "items", F.explode("units").alias("u")).groupBy("u.kind", "u.key", "u.block").agg(F.collect_list(F.struct("cls", "items")).alias("sets"))
+    units = cut(units)
     left = units.select("kind", F.col("key").alias("k1"), F.col("block").alias("b1"), F.col("sets").alias("one"))
     right = units.select("kind", F.col("key").alias("k2"), F.col("block").alias("b2"), F.col("sets").alias("two"))
     links = _verify(pairs.join(left, ["kind", "k1", "b1"]).join(right, ["kind", "k2", "b2"]), percent)

@@ -47,9 +47,20 @@ def rows_of(seed, n=260):
     return [(i * 3 + 1, t) for i, t in enumerate(rows)]
 
 
+def test_signatures_bound_intersections():
+    r = np.random.default_rng(2)
+    for n in (1, 5, 300, 5000):
+        x = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        y = np.unique(np.concatenate((x[: n // 2], r.integers(0, 1 << 63, n * 3).astype(np.uint64))))
+        for a, b in ((x, y), (y, x), (x, x)):
+            assert len(np.intersect1d(a, b)) <= ngram_join.most_common(ngram_join.signature(a), ngram_join.signature(b)) <= min(len(a), len(b))
+    assert ngram_join.most_common(b"", b"x") is None
+
+
 @pytest.mark.parametrize("short", [64, 3])
 def test_against_brute_force(spark, short, monkeypatch):
     monkeypatch.setattr(ngram_join, "SHORT", short)
+    monkeypatch.setattr(ngram_join, "FEW", 16 if short == 64 else 2)
     monkeypatch.setattr(ngram_join, "UNIT", 256 if short == 64 else 5)
     rows = rows_of(short)
     docs = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, n long, cls string")
