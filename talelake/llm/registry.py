@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from talelake.llm import byte_bpe, embedding_dedup, exact_dedup, html_extract, lm_score, ngram_join, packing
+from talelake.llm import byte_bpe, embedding_dedup, exact_dedup, html_extract, lm_score, ngram_join, packing, quality
 
 QUERIES = {
     "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op8_html_extract": html_extract.op8_html_extract,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
+    "op10_quality_classifier": quality.op10_quality_classifier,
 }
 ORACLES = {
     "op3_embedding_dedup": embedding_dedup.ORACLE,
