@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from talelake.llm import byte_bpe, embedding_dedup, exact_dedup, html_extract, lm_score, ngram_join, packing, quality
+from talelake.llm import byte_bpe, embedding_dedup, exact_dedup, html_extract, lm_score, ngram_join, packing, quality, secrets
 
 QUERIES = {
     "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_lm_score": lm_score.op4_lm_score,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op7_secret_scan": secrets.op7_secret_scan,
     "op8_html_extract": html_extract.op8_html_extract,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_quality_classifier": quality.op10_quality_classifier,
