@@ -110,3 +110,18 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
        doc_id IS NOT DISTINCT FROM min(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256
 FROM d
 """
+
+
+def drop_copies(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose texts neither the index nor a smaller id of docs has. They join the index."""
+    gone = cut(index.ingest(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone")).distinct())
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+
+
+def drop_copies_once(docs: DataFrame) -> DataFrame:
+    """``drop_copies`` of documents among themselves, with an index of their own."""
+    index = DigestIndex(docs.sparkSession, f"digest_index_{uuid.uuid4().hex}")
+    try:
+        return drop_copies(docs, index)
+    finally:
+        index.drop()

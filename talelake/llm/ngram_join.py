@@ -104,17 +104,18 @@ def _documents(docs: DataFrame, text: str, size: int, percent: int, frequent, ke
 
 
 def signature(items: np.ndarray) -> bytes:
-    """How many items fall in each of 2**k buckets, about as many buckets as items; empty if a count needs over 8 bits."""
+    """How many items fall in each of 2**k buckets, about as many buckets as items; 4 bits each; empty if a count needs more."""
     k = max(6, int(len(items)).bit_length())
     counts = np.bincount((items >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k)
-    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+    return (counts[::2] << 4 | counts[1::2]).astype(np.uint8).tobytes() if counts.max(initial=0) < 16 else b""
 
 
 def most_common(one: bytes, two: bytes) -> int | None:
     """Upper bound of the intersection of two sets, from their signatures; None if unknown."""
     if not one or not two:
         return None
-    a, b = sorted((np.frombuffer(x, np.uint8).astype(np.int64) for x in (one, two)), key=len)
+    packed = (np.frombuffer(x, np.uint8).astype(np.int64) for x in (one, two))
+    a, b = sorted((np.stack((x >> 4, x & 15), 1).ravel() for x in packed), key=len)
     return int(np.minimum(a, b.reshape(len(a), -1).sum(1)).sum())
 
 
@@ -195,6 +196,24 @@ def common_items(one: list[np.ndarray], two: list[np.ndarray], columns: int = 40
     return found
 
 
+def _families(in_lists: DataFrame) -> DataFrame:
+    """token, cls of the long lists, with those that hold much the same sets made one.
+
+    Near copies of one text meet under many shingles. Lists that share sets are a
+    family; the family is one list, under its own key, if that makes fewer pairs
+    than its lists do one by one. Every pair of a list is also one of its family.
+    """
+    # sets and shingles are nodes of one graph; their numbers are hashes of their own kinds
+    nodes = in_lists.select("token", "cls", F.xxhash64(F.lit("set"), "cls").alias("a"), F.xxhash64(F.lit("shingle"), "token").alias("b"))
+    labels = components(nodes)
+    placed = cut(nodes.join(labels, nodes.a == labels.id).select("token", "cls", F.col("comp").alias("family")))
+    apart = placed.groupBy("family", "token").agg(F.count(F.lit(1)).alias("k")).groupBy("family").agg(F.sum(F.col("k").cast("double") ** 2).alias("apart"))
+    sets = placed.select("family", "cls").distinct()
+    joint = sets.groupBy("family").agg(F.count(F.lit(1)).alias("k")).join(apart, "family").where("cast(k as double) * k <= apart").select("family")
+    joint = cut(joint)
+    return placed.join(joint, "family", "left_anti").select("token", "cls").unionByName(sets.join(joint, "family", "left_semi").select(F.col("family").alias("token"), "cls"))
+
+
 def _verify(pairs: DataFrame, percent: int) -> DataFrame:
     """a, b: a spanning forest of the links of each pair of units (arrays of struct<cls, items>)."""
 
@@ -273,6 +292,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     many = groups.where(f"m * m > {FEW}")
     in_lists = cut(lists.where(f"k > {SHORT}").select("token", "gid").join(members.select("gid", "cls"), "gid").select("token", "cls").distinct())
+    in_lists = cut(_families(in_lists))
     long_lists = in_lists.groupBy("token").agg(F.count(F.lit(1)).alias("m"))
     single = alone.select(F.lit(2).alias("kind"), F.col("c1").alias("k1"), F.col("c2").alias("k2"), F.lit(0).alias("b1"), F.lit(0).alias("b2"))
     pairs = cut(
@@ -311,6 +331,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, less all but the smallest id of each component.
+
+    Rows go by their id: ids are taken to be unique, and rows that share one stay or go together.
+    """
+    found = jaccard_components(docs, id_col, text_col, size, percent)
+    gone = cut(found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct())
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with a Jaccard similarity of 0.85 over 4-word shingles."""
     return jaccard_components(table(spark, sf_dir, "documents"))
