@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from talelake.llm import byte_bpe, embedding_dedup, exact_dedup, html_extract, lm_score, ngram_join, packing, quality, secrets
+from talelake.llm import byte_bpe, embedding_dedup, exact_dedup, html_extract, lm_score, ngram_join, packing, quality, secrets, suffix_dedup
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
     "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
     "op4_lm_score": lm_score.op4_lm_score,
