@@ -220,7 +220,7 @@ def _verify(pairs: DataFrame, percent: int) -> DataFrame:
     def members(value) -> tuple[np.ndarray, list[np.ndarray]]:
         flat = value.values
         items = flat.field(1)
-        return flat.field(0).to_numpy(), [items[k].values.to_numpy() for k in range(len(items))]
+        return flat.field(0).to_numpy(), [items[k].values.to_numpy().view(np.uint64) for k in range(len(items))]  # ascending as unsigned
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -75,6 +75,13 @@ def test_repeated_rows_and_empty_table(spark):
     assert ngram_join.jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_common_items_in_parts():
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 200, r.integers(0, 90)).astype(np.uint64) << np.uint64(56)) for _ in range(12)]
+    want = [[len(np.intersect1d(a, b)) for b in sets[5:]] for a in sets[:5]]
+    assert ngram_join.common_items(sets[:5], sets[5:], columns=16).tolist() == want
+
+
 def test_forest_keeps_components():
     r = np.random.default_rng(0)
     for _ in range(50):
