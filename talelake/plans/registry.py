@@ -4,7 +4,572 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from talelake.functions import text
+from talelake.functions.schemas import DEFAULT_ATTRIBUTES, PLANNING_STATUSES
+from talelake.operators import boards, changes, dml, graph, hierarchy, mentions, merge, search, share
+from talelake.sources import snapshots
+from talelake.sources.views import view, with_views
+from talelake.streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+NOW = "2026-01-01 00:00:00"
+
+
+def query(sql: str | None = None, *views: str):
+    """Registers a query under its function's name; sql follows ``WITH views``, or stands alone without any."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = with_views(sql, *views) if views else sql
+        return f
+
+    return add
+
+
+def _views(spark, sf_dir, *names):
+    return [view(spark, sf_dir, n) for n in names]
+
+
+def _table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_STATS = """, c AS (SELECT s.universe_id AS id, count(*) AS chapters, sum(word_count) AS words FROM chapters c JOIN books b ON c.book_id = b.id JOIN stories s ON b.story_id = s.id GROUP BY 1)
+SELECT u.id, u.name, (SELECT count(*) FROM stories s WHERE s.universe_id = u.id) AS stories,
+  (SELECT count(*) FROM books b JOIN stories s ON b.story_id = s.id WHERE s.universe_id = u.id) AS books,
+  coalesce(c.chapters, 0) AS chapters, CAST(coalesce(c.words, 0) AS BIGINT) AS words, (SELECT count(*) FROM entities e WHERE e.universe_id = u.id) AS entities,
+  coalesce((SELECT string_agg(concat(type, '=', CAST(n AS VARCHAR)), ',' ORDER BY type) FROM (SELECT type, count(*) AS n FROM entities e WHERE e.universe_id = u.id GROUP BY type)), '') AS entity_counts
+FROM universes u LEFT JOIN c ON c.id = u.id"""
+
+
+@query(_STATS, "universes", "stories", "books", "chapters", "entities")
+def q01_universe_library(spark, sf_dir):
+    found = hierarchy.universe_statistics(*_views(spark, sf_dir, "universes", "stories", "books", "chapters", "entities"))
+    pairs = F.transform(F.array_sort(F.map_entries("entity_counts")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return found.select("id", "name", "stories", "books", "chapters", "words", "entities", F.array_join(pairs, ",").alias("entity_counts"))
+
+
+@query(
+    """ SELECT c.id, c.title, c.word_count, b.name AS book_name, s.name AS story_name, s.universe_id,
+    row_number() OVER (PARTITION BY s.universe_id ORDER BY s.sort_order, b.sort_order, c.sort_order, c.id) AS place
+    FROM chapters c JOIN books b ON c.book_id = b.id JOIN stories s ON b.story_id = s.id""",
+    "chapters", "books", "stories",
+)
+def q02_chapter_catalogue(spark, sf_dir):
+    found = hierarchy.chapter_catalogue(*_views(spark, sf_dir, "chapters", "books", "stories"))
+    place = F.row_number().over(Window.partitionBy("universe_id").orderBy(*hierarchy.reading_order("id"))).cast("long")
+    return found.select("id", "title", "word_count", "book_name", "story_name", "universe_id", place.alias("place"))
+
+
+@query(" SELECT b.id, b.name, s.name AS story_name, s.universe_id FROM books b JOIN stories s ON b.story_id = s.id", "books", "stories")
+def j01_book_catalogue(spark, sf_dir):
+    return hierarchy.book_catalogue(*_views(spark, sf_dir, "books", "stories")).select("id", "name", "story_name", "universe_id")
+
+
+def _sheet_inputs(spark, sf_dir):
+    entities, relations = _views(spark, sf_dir, "entities", "relations")
+    chapters, books, stories = _views(spark, sf_dir, "chapters", "books", "stories")
+    lines = _table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0")
+    told = lines.select(F.col("l_orderkey").cast("string").alias("chapter_id"), F.col("l_partkey").cast("string").alias("entity_id")).distinct()
+    return entities, relations, hierarchy.chapter_catalogue(chapters, books, stories), told
+
+
+_MENTIONS = ", m AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS chapter_id, CAST(l_partkey AS VARCHAR) AS entity_id FROM lineitem WHERE l_orderkey % 50 = 0)"
+
+
+@query(
+    _MENTIONS + """ SELECT e.id, e.name,
+    (SELECT count(*) FROM relations r JOIN entities o ON o.id = r.target_id WHERE r.source_id = e.id) + (SELECT count(*) FROM relations r JOIN entities o ON o.id = r.source_id WHERE r.target_id = e.id) AS n_relations,
+    (SELECT count(*) FROM m JOIN chapters c ON c.id = m.chapter_id JOIN books b ON b.id = c.book_id JOIN stories s ON s.id = b.story_id WHERE m.entity_id = e.id) AS n_mentions,
+    concat(e.description, '/', e.type) AS attributes FROM entities e""",
+    "entities", "relations", "chapters", "books", "stories",
+)
+def q03_entity_sheet(spark, sf_dir):
+    entities, relations, catalogue, told = _sheet_inputs(spark, sf_dir)
+    attributes = entities.select(F.col("id").alias("entity_id"), F.explode(F.array(F.struct(F.lit(0).alias("sort_order"), F.lit("brand").alias("key"), F.col("description").alias("value")), F.struct(F.lit(1).alias("sort_order"), F.lit("kind").alias("key"), F.col("type").alias("value")))).alias("a"))
+    sheet = graph.entity_sheet(entities, attributes.select("entity_id", "a.*"), relations, told, catalogue)
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    joined = F.array_join(F.transform("attributes", lambda a: a["value"]), "/")
+    return sheet.select("id", "name", F.greatest(size("relations"), F.lit(0)).alias("n_relations"), F.greatest(size("mentions"), F.lit(0)).alias("n_mentions"), joined.alias("attributes"))
+
+
+@query(
+    _MENTIONS + " SELECT m.chapter_id, m.entity_id, c.title, b.name AS book_name, s.name AS story_name, s.universe_id FROM m JOIN chapters c ON c.id = m.chapter_id JOIN books b ON b.id = c.book_id JOIN stories s ON s.id = b.story_id",
+    "chapters", "books", "stories",
+)
+def q04_mention_occurrences(spark, sf_dir):
+    _, _, catalogue, told = _sheet_inputs(spark, sf_dir)
+    return mentions.occurrences(told, catalogue).select("chapter_id", "entity_id", "title", "book_name", "story_name", "universe_id")
+
+
+@query(
+    _MENTIONS + """ SELECT entity_id, chapter_id FROM (SELECT m.entity_id, m.chapter_id, row_number() OVER (PARTITION BY m.entity_id ORDER BY s.sort_order, b.sort_order, c.sort_order, c.id) AS k
+    FROM m JOIN chapters c ON c.id = m.chapter_id JOIN books b ON b.id = c.book_id JOIN stories s ON s.id = b.story_id) WHERE k = 1""",
+    "chapters", "books", "stories",
+)
+def w01_first_occurrences(spark, sf_dir):
+    _, _, catalogue, told = _sheet_inputs(spark, sf_dir)
+    return mentions.first_occurrences(mentions.occurrences(told, catalogue)).select("entity_id", "chapter_id")
+
+
+def _names(spark, sf_dir):
+    first = F.split(F.col("text"), " ")[0]
+    return _table(spark, sf_dir, "benchmark").select(first.alias("name")).where(F.length("name") >= 2).distinct().select(F.col("name").alias("entity_id"), "name")
+
+
+_NAMES = "WITH names AS (SELECT DISTINCT string_split(text, ' ')[1] AS name FROM benchmark WHERE length(string_split(text, ' ')[1]) >= 2), n AS (SELECT name, trim(lower(strip_accents(name))) AS k FROM names)"
+
+
+@query(_NAMES + """, d AS (SELECT doc_id, trim(lower(strip_accents(text))) AS t FROM documents)
+SELECT d.doc_id AS text_id, n.name AS entity_id FROM d, n WHERE length(k) >= 2 AND regexp_matches(d.t, concat('(?:^|[^a-z0-9])', regexp_escape(n.k), '(?:$|[^a-z0-9])'))""")
+def q05_mention_index(spark, sf_dir):
+    return mentions.find_mentions(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text"), _names(spark, sf_dir))
+
+
+@query()
+def q05_html_mention_index(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("content"))
+    return mentions.mention_index(pages, _names(spark, sf_dir).select(F.col("entity_id").alias("id"), "name"))
+
+
+@query()
+def q06_character_insights(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("text_id"), F.col("html"))
+    _, _, catalogue, told = _sheet_inputs(spark, sf_dir)
+    return mentions.insights(pages, _names(spark, sf_dir), mentions.occurrences(told, catalogue))
+
+
+_SEARCH = """, hits AS (
+  SELECT 0 AS kind_rank, 'story' AS kind, id, name AS label, 'História' AS context, sort_order AS place, concat_ws(' ', name, description) AS h FROM stories
+  UNION ALL SELECT 1, 'book', b.id, b.name, concat('Livro · ', s.name), b.sort_order, concat_ws(' ', b.name, b.description, s.name) FROM books b JOIN stories s ON b.story_id = s.id
+  UNION ALL SELECT 2, 'chapter', c.id, c.title, concat(s.name, ' · ', b.name), c.sort_order, concat_ws(' ', c.title, c.content, b.name, s.name) FROM chapters c JOIN books b ON c.book_id = b.id JOIN stories s ON b.story_id = s.id
+  UNION ALL SELECT 3, 'entity', id, name, type, CAST(id AS BIGINT), concat_ws(' ', name, description, type) FROM entities
+  UNION ALL SELECT 4, 'timeline', id, title, 'Linha do tempo', CAST(id AS BIGINT), concat_ws(' ', title, description, start_date) FROM timeline_events
+  UNION ALL SELECT 5, 'planning', id, title, concat('Planejamento · ', status), CAST(id AS BIGINT), concat_ws(' ', title, description, status) FROM planning_items)
+SELECT kind_rank, kind, id, label, context FROM hits WHERE contains(trim(lower(strip_accents(h))), 'on_1') ORDER BY kind_rank, place, id LIMIT 24"""
+
+
+@query(_SEARCH, "stories", "books", "chapters", "entities", "timeline_events", "planning_items")
+def q07_global_search(spark, sf_dir):
+    stories, books, chapters, entities, timeline, planning = _views(spark, sf_dir, "stories", "books", "chapters", "entities", "timeline_events", "planning_items")
+    cat, shelf = hierarchy.chapter_catalogue(chapters, books, stories), hierarchy.book_catalogue(books, stories)
+    c, s, number = F.col, search.search_source, F.col("id").cast("long")
+    sources = [
+        s(stories, "story", 0, ["name", "description"], c("name"), F.lit("História"), [c("sort_order")]),
+        s(shelf, "book", 1, ["name", "description", "story_name"], c("name"), F.concat(F.lit("Livro · "), "story_name"), [c("sort_order")]),
+        s(cat, "chapter", 2, ["title", "content", "book_name", "story_name"], c("title"), F.concat_ws(" · ", "story_name", "book_name"), [c("sort_order")]),
+        s(entities, "entity", 3, ["name", "description", "type"], c("name"), c("type"), [number]),
+        s(timeline, "timeline", 4, ["title", "description", "start_date"], c("title"), F.lit("Linha do tempo"), [number]),
+        s(planning, "planning", 5, ["title", "description", "status"], c("title"), F.concat(F.lit("Planejamento · "), "status"), [number]),
+    ]
+    return search.global_search(sources, "ÔN_1")
+
+
+@query(
+    """ SELECT p.id, p.universe_id, p.status, c.title AS chapter_title, b.name AS book_name, s.name AS story_name, row_number() OVER (PARTITION BY p.universe_id ORDER BY
+    CASE p.status WHEN 'IDEIAS' THEN 0 WHEN 'PLANEJADO' THEN 1 WHEN 'ESCREVENDO' THEN 2 WHEN 'REVISAO' THEN 3 ELSE 4 END, p.sort_order, p.created_at, p.id) AS place
+    FROM planning_items p LEFT JOIN chapters c ON c.id = p.chapter_id LEFT JOIN books b ON b.id = c.book_id LEFT JOIN stories s ON s.id = b.story_id""",
+    "planning_items", "chapters", "books", "stories",
+)
+def q08_planning_board(spark, sf_dir):
+    found = boards.planning_board(*_views(spark, sf_dir, "planning_items", "chapters", "books", "stories"))
+    place = F.row_number().over(Window.partitionBy("universe_id").orderBy(*boards.planning_order())).cast("long")
+    return found.select("id", "universe_id", "status", "chapter_title", "book_name", "story_name", place.alias("place"))
+
+
+@query(
+    " SELECT id, universe_id, title, start_date, row_number() OVER (PARTITION BY universe_id ORDER BY coalesce(sort_key, 0), start_date, created_at, id) AS place FROM timeline_events",
+    "timeline_events",
+)
+def q09_timeline(spark, sf_dir):
+    (rows,) = _views(spark, sf_dir, "timeline_events")
+    place = F.row_number().over(Window.partitionBy("universe_id").orderBy(*boards.timeline_order())).cast("long")
+    return rows.select("id", "universe_id", "title", "start_date", place.alias("place"))
+
+
+@query(
+    """ SELECT r.id, r.type, r.label, r.bidirectional, r.created_at, s.name AS source_name, s.type AS source_type, t.name AS target_name, t.type AS target_type
+    FROM relations r JOIN entities s ON s.id = r.source_id JOIN entities t ON t.id = r.target_id""",
+    "relations", "entities",
+)
+def q10_relation_cards(spark, sf_dir):
+    cards = graph.relation_cards(*_views(spark, sf_dir, "relations", "entities"))
+    return cards.select("id", "type", "label", "bidirectional", "created_at", "source_name", "source_type", "target_name", "target_type")
+
+
+@query(
+    """ SELECT c.id, c.entity_type, c.entity_id, c.created_at, coalesce(u.name, s.name, b.name, ch.title, e.name, c.entity_id) AS display_name FROM change_log c
+    LEFT JOIN universes u ON c.entity_type = 'universe' AND u.id = c.entity_id LEFT JOIN stories s ON c.entity_type = 'story' AND s.id = c.entity_id
+    LEFT JOIN books b ON c.entity_type = 'book' AND b.id = c.entity_id LEFT JOIN chapters ch ON c.entity_type = 'chapter' AND ch.id = c.entity_id
+    LEFT JOIN entities e ON c.entity_type = 'entity' AND e.id = c.entity_id ORDER BY c.logged DESC LIMIT 100""",
+    "change_log", "universes", "stories", "books", "chapters", "entities",
+)
+def q11_history_feed(spark, sf_dir):
+    log, universes, stories, books, chapters, entities = _views(spark, sf_dir, "change_log", "universes", "stories", "books", "chapters", "entities")
+    # the page is cut first, so that only its rows are joined
+    page = log.orderBy(F.desc("logged")).limit(100)
+    named = {"universe": universes, "story": stories, "book": books, "chapter": chapters.select("id", F.col("title").alias("name")), "entity": entities}
+    return boards.history(page, named).select("id", "entity_type", "entity_id", "created_at", "display_name")
+
+
+def _focal(relations):
+    return relations.agg(F.min(F.col("source_id").cast("long")).cast("string").alias("id"))
+
+
+_REACH = """, e AS (SELECT source_id AS a, target_id AS b FROM relations UNION ALL SELECT target_id, source_id FROM relations),
+reach AS (SELECT CAST(min(CAST(source_id AS BIGINT)) AS VARCHAR) AS id, 0 AS depth FROM relations UNION SELECT e.b, depth + 1 FROM reach JOIN e ON e.a = reach.id WHERE depth < 3),
+near AS (SELECT id, min(depth) AS depth FROM reach GROUP BY id)"""
+
+
+@query(_REACH + " SELECT id, depth FROM near /*RECURSIVE*/", "relations")
+def q12_graph_reach(spark, sf_dir):
+    (relations,) = _views(spark, sf_dir, "relations")
+    return graph.reached(relations, _focal(relations), 3)
+
+
+@query(
+    _REACH + """, shown AS (SELECT e.id FROM entities e JOIN near USING (id) WHERE e.type IN ('STANDARD', 'MEDIUM', 'LARGE'))
+    SELECT r.id, r.source_id, r.target_id FROM relations r WHERE r.source_id IN (SELECT id FROM shown) AND r.target_id IN (SELECT id FROM shown) /*RECURSIVE*/""",
+    "relations", "entities",
+)
+def q12_graph_neighbourhood(spark, sf_dir):
+    relations, entities = _views(spark, sf_dir, "relations", "entities")
+    _, found = graph.neighbourhood(entities, relations, _focal(relations), 3, ["STANDARD", "MEDIUM", "LARGE"])
+    return found.select("id", "source_id", "target_id")
+
+
+_LOOK = """, look AS (SELECT id, name, type, 'round-rectangle' AS shape, '#8b7f78' AS color, 0 AS has_image FROM entities WHERE type IN ('PROMO', 'SMALL')) SELECT id, name, type, shape, color, has_image FROM look"""
+
+
+@query(_LOOK, "entities")
+def g03_visible_nodes(spark, sf_dir):
+    (entities,) = _views(spark, sf_dir, "entities")
+    return graph.nodes(entities.where(F.col("type").isin("PROMO", "SMALL"))).select("id", "name", "type", "shape", "color", "has_image")
+
+
+@query(
+    """ SELECT e.id AS entity_id, r.id, CASE WHEN r.source_id = e.id THEN t.name ELSE s.name END AS other_name FROM entities e JOIN relations r ON r.source_id = e.id OR r.target_id = e.id
+    JOIN entities s ON s.id = r.source_id JOIN entities t ON t.id = r.target_id WHERE e.type = 'PROMO'""",
+    "entities", "relations",
+)
+def g05_relations_of_entities(spark, sf_dir):
+    entities, relations = _views(spark, sf_dir, "entities", "relations")
+    cards = graph.relation_cards(relations, entities)
+    found = graph.relations_of(cards, entities.where("type = 'PROMO'"))
+    return found.select("entity_id", "id", graph.other_name(F.col("entity_id")).alias("other_name"))
+
+
+@query(" SELECT type, count(*) AS n FROM entities GROUP BY type", "entities")
+def a08_types(spark, sf_dir):
+    (entities,) = _views(spark, sf_dir, "entities")
+    return graph.types_by_name(entities).join(entities.groupBy("type").agg(F.count(F.lit(1)).alias("n")), "type")
+
+
+_OUTCOME = """ SELECT coalesce(l.id, r.id) AS id, CASE WHEN r.id IS NULL THEN 'local' WHEN l.id IS NULL THEN 'insert' WHEN r.updated_at = l.updated_at AND r.content <> l.content THEN 'conflict'
+  WHEN r.updated_at > l.updated_at THEN 'update' ELSE 'kept' END AS outcome, l.title AS lt, r.title AS rt, l.content AS lc, r.content AS rc, l.word_count AS lw, r.word_count AS rw, l.updated_at AS lu, r.updated_at AS ru
+  FROM local_chapters l FULL JOIN remote_chapters r ON l.id = r.id"""
+
+
+def _merged(spark, sf_dir):
+    local, remote = _views(spark, sf_dir, "local_chapters", "remote_chapters")
+    return merge.merge_table(local, remote, "chapters")
+
+
+@query(
+    f""", o AS ({_OUTCOME}) SELECT id, CASE WHEN outcome IN ('insert', 'update') THEN rt ELSE lt END AS title, CASE WHEN outcome IN ('insert', 'update') THEN rc ELSE lc END AS content,
+    CAST(CASE WHEN outcome IN ('insert', 'update') THEN rw ELSE lw END AS INTEGER) AS word_count, CASE WHEN outcome IN ('insert', 'update') THEN ru ELSE lu END AS updated_at FROM o""",
+    "local_chapters", "remote_chapters",
+)
+def q13_snapshot_merge(spark, sf_dir):
+    return _merged(spark, sf_dir)[0].select("id", "title", "content", "word_count", "updated_at")
+
+
+@query(f", o AS ({_OUTCOME}) SELECT outcome, count(*) AS n FROM o GROUP BY outcome", "local_chapters", "remote_chapters")
+def q13_merge_outcomes(spark, sf_dir):
+    return _merged(spark, sf_dir)[1].groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f", o AS ({_OUTCOME}) SELECT id AS aggregate_id, lc AS local_value, rc AS remote_value FROM o WHERE outcome = 'conflict'", "local_chapters", "remote_chapters")
+def q13_merge_conflicts(spark, sf_dir):
+    return merge.conflict_rows(_merged(spark, sf_dir)[1], NOW).select("aggregate_id", "local_value", "remote_value")
+
+
+@query(
+    """ SELECT n.id AS entity_id, CASE WHEN o.id IS NULL THEN 'create' ELSE 'update' END AS action,
+    CASE WHEN o.id IS NULL THEN '' WHEN o.title <> n.title THEN 'title' WHEN o.status <> n.status THEN 'status' ELSE 'content' END AS field,
+    CASE WHEN o.id IS NULL THEN '' WHEN o.title <> n.title THEN o.title WHEN o.status <> n.status THEN o.status ELSE CAST(o.word_count AS VARCHAR) END AS old_value,
+    CASE WHEN o.id IS NULL THEN n.title WHEN o.title <> n.title THEN n.title WHEN o.status <> n.status THEN n.status ELSE CAST(n.word_count AS VARCHAR) END AS new_value, s.universe_id
+    FROM remote_chapters n LEFT JOIN local_chapters o ON o.id = n.id JOIN books b ON b.id = n.book_id JOIN stories s ON s.id = b.story_id""",
+    "local_chapters", "remote_chapters", "books", "stories",
+)
+def q14_change_capture(spark, sf_dir):
+    old, new, books, stories = _views(spark, sf_dir, "local_chapters", "remote_chapters", "books", "stories")
+    log = changes.chapter_log(changes.row_pairs(old, new), books, stories)
+    return log.select("entity_id", "action", "field", "old_value", "new_value", "universe_id")
+
+
+@query(
+    " SELECT o.id AS chapter_id, o.title, o.content, o.word_count FROM local_chapters o JOIN remote_chapters n ON n.id = o.id WHERE o.title <> n.title OR o.content <> n.content",
+    "local_chapters", "remote_chapters",
+)
+def q14_chapter_revisions(spark, sf_dir):
+    old, new = _views(spark, sf_dir, "local_chapters", "remote_chapters")
+    return changes.revisions(changes.row_pairs(old, new), NOW).select("chapter_id", "title", "content", "word_count")
+
+
+@query(" SELECT id AS entity_id, 'create' AS action, name AS new_value FROM entities WHERE CAST(id AS BIGINT) % 3 = 0 UNION ALL SELECT id, 'update', name FROM entities WHERE CAST(id AS BIGINT) % 3 = 1", "entities")
+def c05_entity_changes(spark, sf_dir):
+    (entities,) = _views(spark, sf_dir, "entities")
+    number = F.col("id").cast("long") % 3
+    pairs = changes.row_pairs(entities.where(number != 0), entities.where(number != 2))
+    return changes.entity_log(pairs).select("entity_id", "action", "new_value")
+
+
+def _key_and_iv():
+    """Fixed, as the rows must come out alike each time; real shares draw both at random."""
+    return F.lit("0123456789abcdef0123456789abcdef"), F.lit("abcdefghijkl").cast("binary")
+
+
+@query("SELECT doc_id, coalesce(text, '') AS document, 16 AS iv_chars, true AS valid FROM documents WHERE octet_length(encode(coalesce(text, ''))) >= 6")
+def q15_share_round_trip(spark, sf_dir):
+    key, iv = _key_and_iv()
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("document")).where(F.octet_length("document") >= 6)
+    sealed = docs.where(share.small_enough(F.col("document"))).select("doc_id", share.encrypt(F.col("document"), key, iv).alias("e"))
+    return sealed.select("doc_id", share.decrypt(F.col("e"), key).alias("document"), F.length("e.iv").alias("iv_chars"), share.valid_envelope(F.col("e"), F.lit(7)).alias("valid"))
+
+
+@query()
+def q15_share_bundles(spark, sf_dir):
+    universes, stories, books, chapters, entities = _views(spark, sf_dir, "universes", "stories", "books", "chapters", "entities")
+    attributes = entities.select(F.col("id").alias("entity_id"), F.lit("brand").alias("key"), F.when(F.col("type") == "PROMO", " ").otherwise(F.col("description")).alias("value"), F.lit(0).alias("sort_order"))
+    return share.bundles(universes, hierarchy.chapter_catalogue(chapters, books, stories), entities, attributes, NOW)
+
+
+@query(
+    """ SELECT 'stories' AS kind, id FROM stories WHERE universe_id <> '1' UNION ALL SELECT 'books', b.id FROM books b JOIN stories s ON b.story_id = s.id WHERE s.universe_id <> '1'
+    UNION ALL SELECT 'chapters', c.id FROM chapters c JOIN books b ON c.book_id = b.id JOIN stories s ON b.story_id = s.id WHERE s.universe_id <> '1'
+    UNION ALL SELECT 'entities', id FROM entities WHERE universe_id <> '1'
+    UNION ALL SELECT 'relations', id FROM relations WHERE universe_id <> '1' AND source_id NOT IN (SELECT id FROM entities WHERE universe_id = '1') AND target_id NOT IN (SELECT id FROM entities WHERE universe_id = '1')
+    UNION ALL SELECT 'cleared', p.id FROM planning_items p JOIN chapters c ON c.id = p.chapter_id JOIN books b ON c.book_id = b.id JOIN stories s ON b.story_id = s.id WHERE s.universe_id = '1' AND p.universe_id <> '1'""",
+    "universes", "stories", "books", "chapters", "entities", "relations", "planning_items",
+)
+def q16_cascade_delete(spark, sf_dir):
+    names = ["universes", "stories", "books", "chapters", "entities", "relations", "planning_items"]
+    tables = dict(zip(names, _views(spark, sf_dir, *names), strict=True))
+    left = dml.cascade_delete(tables, "universes", spark.createDataFrame([("1",)], "id string"))
+    before = tables["planning_items"].where("chapter_id is not null").select("id")
+    out = left["planning_items"].where("chapter_id is null").join(before, "id", "left_semi").select(F.lit("cleared").alias("kind"), "id")
+    for name in ("stories", "books", "chapters", "entities", "relations"):
+        out = out.unionByName(left[name].select(F.lit(name).alias("kind"), "id"))
+    return out
+
+
+_POSITIONS = """, cur AS (SELECT story_id, max(sort_order) AS last FROM books WHERE CAST(id AS BIGINT) % 2 = 0 GROUP BY 1)
+SELECT b.id, b.story_id, CAST(coalesce(cur.last, -1) + row_number() OVER (PARTITION BY b.story_id ORDER BY b.id) AS INTEGER) AS sort_order FROM books b LEFT JOIN cur ON cur.story_id = b.story_id WHERE CAST(b.id AS BIGINT) % 2 = 1"""
+
+
+@query(_POSITIONS, "books")
+def k02_next_positions(spark, sf_dir):
+    (books,) = _views(spark, sf_dir, "books")
+    odd = F.col("id").cast("long") % 2
+    return dml.next_positions(books.where(odd == 0), books.where(odd == 1).drop("sort_order"), "story_id", ["id"]).select("id", "story_id", "sort_order")
+
+
+@query(
+    f""" SELECT id, CASE WHEN CAST(id AS BIGINT) % 4 = 0 THEN '' ELSE name END AS name, CASE WHEN CAST(id AS BIGINT) % 4 = 2 THEN 'patched' ELSE description END AS description,
+    CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN '{NOW}' ELSE updated_at END AS updated_at FROM entities""",
+    "entities",
+)
+def k03_partial_update(spark, sf_dir):
+    (entities,) = _views(spark, sf_dir, "entities")
+    number = F.col("id").cast("long")
+    fields = F.when(number % 4 == 0, F.create_map(F.lit("name"), F.lit(""))).otherwise(F.create_map(F.lit("description"), F.lit("patched")))
+    return dml.patch(entities, entities.where(number % 2 == 0).select("id", fields.alias("fields")), NOW).select("id", "name", "description", "updated_at")
+
+
+@query(" SELECT id, CAST(CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN row_number() OVER (PARTITION BY story_id, CAST(id AS BIGINT) % 2 ORDER BY id DESC) - 1 ELSE sort_order END AS INTEGER) AS sort_order FROM books", "books")
+def k05_reorder(spark, sf_dir):
+    (books,) = _views(spark, sf_dir, "books")
+    even = books.where(F.col("id").cast("long") % 2 == 0)
+    order = even.groupBy("story_id").agg(F.reverse(F.array_sort(F.collect_list("id"))).alias("ids"))
+    return dml.reorder(books, order, "story_id").select("id", "sort_order")
+
+
+_UPSERT = """WITH a AS (SELECT doc_id, unnest(['lang', 'source']) AS key, unnest([lang, source]) AS value, unnest([0, 1]) AS sort_order FROM documents),
+v AS (SELECT doc_id, unnest(['source', 'size']) AS key, unnest(['changed', CAST(n_chars AS VARCHAR)]) AS value FROM documents WHERE doc_id % 3 = 0)
+SELECT CAST(a.doc_id AS VARCHAR) AS entity_id, a.key, coalesce(v.value, a.value) AS value, CAST(a.sort_order AS INTEGER) AS sort_order FROM a LEFT JOIN v USING (doc_id, key)
+UNION ALL SELECT CAST(doc_id AS VARCHAR), key, value, 2 FROM v WHERE key = 'size'"""
+
+
+@query(_UPSERT)
+def k06_set_attributes(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    owner = F.col("doc_id").cast("string").alias("entity_id")
+    own = docs.select(owner, F.posexplode(F.array(F.struct(F.lit("lang").alias("key"), F.col("lang").alias("value")), F.struct(F.lit("source").alias("key"), F.col("source").alias("value")))).alias("sort_order", "a"))
+    own = own.select(F.md5(F.concat_ws("|", "entity_id", "a.key")).alias("id"), "entity_id", "a.key", "a.value", "sort_order")
+    new = docs.where("doc_id % 3 = 0").select(owner, F.explode(F.create_map(F.lit("source"), F.lit("changed"), F.lit("size"), F.col("n_chars").cast("string"))).alias("key", "value"))
+    return dml.set_attributes(own, new).select("entity_id", "key", "value", "sort_order")
+
+
+_DEFAULTS = ", ".join(f"('{t}', '{k}', {i}, {len(keys)})" for t, keys in DEFAULT_ATTRIBUTES.items() for i, k in enumerate(keys))
+_TYPED = "SELECT CAST(p_partkey AS {0}) AS id, CAST(p_partkey % 5 AS {0}) AS universe_id, CASE p_type WHEN 'PROMO' THEN 'Lugar' WHEN 'SMALL' THEN 'Objeto' ELSE p_type END AS type FROM {1}"
+_TEMPLATES = [("0", "Lugar", "Clima", "x", 0), ("0", "Lugar", "Altitude", "0 m", 1), ("1", "LARGE", "Peso", "", 0), ("2", "Objeto", "Valor", "1", 3)]
+
+
+@query(
+    f"""WITH d(type, key, pos, n) AS (VALUES {_DEFAULTS}), e AS ({_TYPED.format('VARCHAR', 'part')}), t(universe_id, type, key, value, pos) AS (VALUES {", ".join(map(str, _TEMPLATES))})
+    SELECT e.id AS entity_id, d.key, '' AS value, d.pos AS sort_order FROM e JOIN d USING (type)
+    UNION ALL SELECT e.id, t.key, t.value, t.pos + coalesce((SELECT max(n) FROM d WHERE d.type = t.type), 0) FROM e JOIN t USING (universe_id, type) WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.type = t.type AND d.key = t.key)"""
+)
+def k07_seed_attributes(spark, sf_dir):
+    entities = spark.sql(_TYPED.format("STRING", "{part}"), part=_table(spark, sf_dir, "part"))
+    templates = spark.createDataFrame([(str(k), *t) for k, t in enumerate(_TEMPLATES)], "id string, universe_id string, entity_type string, attribute_key string, default_value string, sort_order int")
+    return dml.seed_attributes(entities, templates).select("entity_id", "key", "value", "sort_order")
+
+
+@query(
+    f""", cur AS (SELECT id AS chapter_id, status AS entity_id, 'old' AS created_at FROM chapters), want AS (SELECT id AS chapter_id, CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN status ELSE 'new' END AS entity_id FROM chapters WHERE CAST(id AS BIGINT) % 2 = 0)
+    SELECT cur.chapter_id, cur.entity_id, cur.created_at FROM cur WHERE CAST(chapter_id AS BIGINT) % 2 = 1 OR EXISTS (SELECT 1 FROM want w WHERE w.chapter_id = cur.chapter_id AND w.entity_id = cur.entity_id)
+    UNION ALL SELECT w.chapter_id, w.entity_id, '{NOW}' FROM want w WHERE NOT EXISTS (SELECT 1 FROM cur WHERE cur.chapter_id = w.chapter_id AND cur.entity_id = w.entity_id)""",
+    "chapters",
+)
+def k12_sync_mentions(spark, sf_dir):
+    (chapters,) = _views(spark, sf_dir, "chapters")
+    number = F.col("id").cast("long")
+    current = chapters.select(F.col("id"), F.col("id").alias("chapter_id"), F.col("status").alias("entity_id"), F.lit("old").alias("created_at"))
+    even = chapters.where(number % 2 == 0)
+    wanted = even.select(F.col("id").alias("chapter_id"), F.when(number % 3 == 0, F.col("status")).otherwise("new").alias("entity_id"))
+    return mentions.sync_mentions(current, wanted, wanted.select("chapter_id"), NOW).select("chapter_id", "entity_id", "created_at")
+
+
+@query(" SELECT id, name FROM entities WHERE translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%d w_d%' ORDER BY name, id LIMIT 10", "entities")
+def f04_search_entities(spark, sf_dir):
+    (entities,) = _views(spark, sf_dir, "entities")
+    return search.search_entities(entities, "D W_D").select("id", "name")
+
+
+@query(" SELECT id, name FROM entities WHERE contains(lower(concat_ws(' ', name, type, description)), 'brand#2')", "entities")
+def f06_filter_entities(spark, sf_dir):
+    (entities,) = _views(spark, sf_dir, "entities")
+    return search.filter_entities(entities, "  BRAND#2 ").select("id", "name")
+
+
+@query("SELECT event_id, length(props) >= 9 AND event_id % 4 < 3 AS valid FROM events")
+def f11_envelope_validation(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events")
+    body = F.rpad(F.lit("A"), 24, "b")
+    cipher = F.when(F.length("props") >= 9, body).otherwise(F.substring(body, 1, 23))
+    e = F.struct(F.lit(1).alias("version"), F.lit("A256GCM").alias("algorithm"), F.lit("abcdefghijklmnop").alias("iv"), cipher.alias("ciphertext"))
+    days = F.element_at(F.array(*map(F.lit, (1, 7, 30, 365))), (F.col("event_id") % 4 + 1).cast("int"))
+    return rows.select("event_id", e.alias("e"), days.alias("days")).select("event_id", share.valid_envelope(F.col("e"), F.col("days")).alias("valid"))
+
+
+@query(f" SELECT id, status FROM planning_items WHERE status NOT IN ('{"', '".join(PLANNING_STATUSES)}') OR status = 'IDEIAS'", "planning_items")
+def f14_status_check(spark, sf_dir):
+    (items,) = _views(spark, sf_dir, "planning_items")
+    good, bad = boards.check_status(items)
+    return good.where("status = 'IDEIAS'").unionByName(bad).select("id", "status")
+
+
+@query("SELECT doc_id, trim(lower(strip_accents(text))) AS norm FROM documents")
+def n01_normalise(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", text.normalise("text").alias("norm"))
+
+
+@query(r"""SELECT page_id, CAST(CASE WHEN t = '' THEN 0 ELSE len(regexp_split_to_array(t, '[\s\x0B]+')) END AS INTEGER) AS words
+FROM (SELECT page_id, regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '^[\s\x0B]+|[\s\x0B]+$', '', 'g') AS t FROM pages)""")
+def n02_word_count(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", text.word_count(F.col("html")).alias("words"))
+
+
+@query()
+def n03_paragraphs(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", F.posexplode(text.html_paragraphs("html")).alias("pos", "paragraph"))
+
+
+@query()
+def n23_sanitised_pages(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", text.sanitise_html("html").alias("html"))
+
+
+_CODES = r"""SELECT page_id, regexp_extract(html, '(?i)https?://[^\s<"]+', 0) AS seen, sha256(url) AS sha, rtrim(translate(base64(encode(url)), '+/', '-_'), '=') AS code,
+  url AS back, CASE WHEN trim(url) = '' THEN 'untitled' ELSE url[1:20] END AS title, replace(CAST(format('{:,}', page_id * 1000) AS VARCHAR), ',', '.') AS number FROM pages"""
+
+
+@query(_CODES)
+def n18_codes(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages")
+    code = text.base64url(F.col("url").cast("binary"))
+    return pages.select(
+        "page_id", F.coalesce(text.first_url(F.regexp_extract("html", r'(?i)https?://[^\s<"]+', 0)), F.lit("")).alias("seen"), F.sha2("url", 256).alias("sha"), code.alias("code"),
+        text.from_base64url(code).cast("string").alias("back"), text.default_text(F.col("url"), "untitled", 20).alias("title"), text.number_text(F.col("page_id") * 1000).alias("number"),
+    )
+
+
+@query("SELECT doc_id, '<p>' || replace(replace(replace(replace(trim(text, chr(10) || ' '), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '<br>') || '</p>' AS html FROM documents WHERE NOT contains(text, chr(10) || chr(10)) AND trim(text, chr(10) || ' ') <> ''")
+def n07_to_html(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("\n\n")) & (F.trim(F.col("text"), F.lit("\n ")) != ""))
+    return docs.select("doc_id", text.to_html(F.col("text")).alias("html"))
+
+
+_AGE = """SELECT event_id, CASE WHEN m < 2 THEN 'Editado agora' WHEN m < 60 THEN 'Editado há ' || m || ' min' WHEN m // 60 < 24 THEN 'Editado há ' || (m // 60) || ' h'
+  WHEN m // 1440 < 30 THEN 'Editado há ' || (m // 1440) || ' dia' || CASE WHEN m // 1440 = 1 THEN '' ELSE 's' END
+  ELSE strftime(s, '%d') || ' de ' || (['jan.', 'fev.', 'mar.', 'abr.', 'mai.', 'jun.', 'jul.', 'ago.', 'set.', 'out.', 'nov.', 'dez.'])[month(s)] || ' de ' || strftime(s, '%Y') END AS age
+FROM (SELECT event_id, date_trunc('second', ts) AS s, greatest(0, epoch_ms(TIMESTAMP '2024-02-20 00:00:00') - epoch_ms(date_trunc('second', ts))) // 60000 AS m FROM events)"""
+
+
+@query(_AGE)
+def n08_relative_age(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
+    now = F.unix_millis(F.to_timestamp(F.lit("2024-02-20T00:00:00Z")))
+    return rows.select("event_id", text.relative_age(F.col("at"), now).alias("age"))
+
+
+@query("SELECT event_id, ts + CASE event_id % 3 WHEN 0 THEN INTERVAL 1 DAY WHEN 1 THEN INTERVAL 7 DAY ELSE INTERVAL 30 DAY END > TIMESTAMP '2024-01-12 00:00:00' AS alive FROM events WHERE event_id % 5 > 0 OR event_type <> 'view'")
+def s07_share_expiry(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events")
+    days = F.element_at(F.array(*map(F.lit, DAYS)), (F.col("event_id") % 3 + 1).cast("int"))
+    stored = rows.select("event_id", F.col("event_id").cast("string").alias("id"), F.sha2(F.concat(F.lit("t"), "event_id"), 256).alias("revoke_hash"), share.expires_at(F.col("ts"), share.expiry_days(days)).alias("expires_at"))
+    token = F.when(F.col("event_type") == "view", F.concat(F.lit("t"), "event_id")).otherwise("wrong")
+    left = share.revoke(stored, rows.where("event_id % 5 = 0").select(F.col("event_id").cast("string").alias("id"), token.alias("token")))
+    alive, dead = share.split_expired(left, F.lit("2024-01-12 00:00:00").cast("timestamp_ntz"))
+    return alive.select("event_id", F.lit(True).alias("alive")).unionByName(dead.select("event_id", F.lit(False).alias("alive")))
+
+
+DAYS = share.DAYS
+
+
+@query(" SELECT 'universes' AS name, count(*) AS n FROM universes UNION ALL SELECT 'stories', count(*) FROM stories UNION ALL SELECT 'chapters', count(*) FROM chapters", "universes", "stories", "chapters")
+def s04_snapshot_counts(spark, sf_dir):
+    names = ["universes", "stories", "chapters"]
+    return snapshots.row_counts(snapshots.export_snapshot(dict(zip(names, _views(spark, sf_dir, *names), strict=True))))
+
+
+@query(" SELECT id, book_id, title, content, status, CAST(sort_order AS INTEGER) AS sort_order, updated_at FROM chapters", "chapters")
+def s06_snapshot_import(spark, sf_dir):
+    (chapters,) = _views(spark, sf_dir, "chapters")
+    columns = ["id", "book_id", "title", "content", "status", "sort_order", "updated_at"]
+    return snapshots.import_table(snapshots.export_snapshot({"chapters": chapters}), "chapters", columns)
+
+
+_BURSTS = """WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS starts FROM events),
+b AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts) AS burst FROM e)
+SELECT user_id, arg_max(event_type, ts) AS event_type, count(*) AS n FROM b GROUP BY user_id, burst"""
+
+
+@query(_BURSTS)
+def t01_debounce(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return events.debounced(rows, "user_id", "ts", "event_type", "30 minutes").select("user_id", "event_type", "n")
+
+
+@query()
+def t04_rate_limit(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").withColumn("kind", F.col("event_type"))
+    return events.rate_limited(rows, "kind", "ts")
