@@ -137,24 +137,14 @@ def _filter_signatures(pairs: DataFrame, seen: DataFrame, percent: int) -> DataF
 
 
 def _group_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """g1 < g2 for groups under one shingle that size and positions let link. lists: groups array<struct<gid, n, pos>>."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = [], []
-            for row in batch.column(0):
-                flat = row.values
-                gid, n, pos = (flat.field(k).to_numpy() for k in range(3))
-                a, b = np.triu_indices(len(gid), 1)
-                low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-                reach = np.minimum(pos[a], pos[b]) + 1 + np.minimum(n[a] - pos[a], n[b] - pos[b]) - 1
-                fit = (100 * low >= percent * high) & ((100 + percent) * reach >= percent * (n[a] + n[b]))
-                left.append(np.minimum(gid[a], gid[b])[fit])
-                right.append(np.maximum(gid[a], gid[b])[fit])
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["g1", "g2"])
-
-    return lists.select("groups").mapInArrow(run, "g1 long, g2 long").distinct()
+    """g1 < g2 for groups under one shingle that size and positions let link. lists: token, gid, n, pos."""
+    one, two = (lists.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("gid", "n", "pos"))) for k in (1, 2))
+    size = 100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")
+    # at most the shingles before both places, and at and after both places, are common
+    reach = F.least("pos1", "pos2") + F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
+    fit = size & ((100 + percent) * reach >= percent * (F.col("n1") + F.col("n2")))
+    pairs = one.join(two, (one["token"] == two["token"]) & (one["gid1"] < two["gid2"]) & fit)
+    return pairs.select(F.col("gid1").alias("g1"), F.col("gid2").alias("g2")).distinct()
 
 
 def forest(mask: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,15 +189,15 @@ def common_items(one: list[np.ndarray], two: list[np.ndarray], columns: int = 40
 def _families(in_lists: DataFrame) -> DataFrame:
     """token, cls of the long lists, with those that hold much the same sets made one.
 
-    Near copies of one text meet under many shingles. Lists that share sets are a
-    family; the family is one list, under its own key, if that makes fewer pairs
-    than its lists do one by one. Every pair of a list is also one of its family.
+    Near copies of one text meet under many shingles. Lists are put together by the
+    set with the smallest hash that they hold, which is the same for most lists of
+    the same copies; if that makes fewer pairs than the lists do one by one, they
+    become one list under a key of its own. Every pair of a list is one of that, too.
     """
-    # sets and shingles are nodes of one graph; their numbers are hashes of their own kinds
-    nodes = in_lists.select("token", "cls", F.xxhash64(F.lit("set"), "cls").alias("a"), F.xxhash64(F.lit("shingle"), "token").alias("b"))
-    labels = components(nodes)
-    placed = cut(nodes.join(labels, nodes.a == labels.id).select("token", "cls", F.col("comp").alias("family")))
-    apart = placed.groupBy("family", "token").agg(F.count(F.lit(1)).alias("k")).groupBy("family").agg(F.sum(F.col("k").cast("double") ** 2).alias("apart"))
+    by_hash = F.min(F.struct(F.xxhash64("cls").alias("h"), "cls"))
+    lead = in_lists.groupBy("token").agg(by_hash.alias("lead"), F.count(F.lit(1)).alias("k")).select("token", F.xxhash64(F.lit("family"), "lead.cls").alias("family"), "k")
+    placed = cut(in_lists.join(lead.select("token", "family"), "token"))
+    apart = lead.groupBy("family").agg(F.sum(F.col("k").cast("double") ** 2).alias("apart"))
     sets = placed.select("family", "cls").distinct()
     joint = sets.groupBy("family").agg(F.count(F.lit(1)).alias("k")).join(apart, "family").where("cast(k as double) * k <= apart").select("family")
     joint = cut(joint)
@@ -264,7 +254,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # one shuffle: the length of each list is counted where its groups meet
     lists = cut(posted.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("k > 1"))
 
-    short = lists.where(f"k <= {SHORT}").groupBy("token").agg(F.collect_list(F.struct("gid", F.col("n"), F.col("pos").cast("long"))).alias("groups"))
+    short = lists.where(f"k <= {SHORT}").select("token", "gid", "n", F.col("pos").cast("long").alias("pos"))
     sizes = [groups.select(F.col("gid").alias(f"g{k}"), F.col("m").alias(f"m{k}")) for k in (1, 2)]
     near = cut(_group_pairs(short, percent).join(sizes[0], "g1").join(sizes[1], "g2"))
 
