@@ -20,9 +20,13 @@ else, in the same document too. Three ideas make that a few shuffles:
   in either order, as far as the extensions can still add up. Matches are compared
   byte by byte in the end, so that no collision of hashes removes anything.
 
+* Crowds. A gram with more than CROWD different contexts (a line of half the corpus)
+  is split: windows with the anchor at nearly the same place share a long core of
+  bytes, and are grouped by that instead, in rounds, until groups are small or
+  their contexts are equal. So no task sorts more than CROWD contexts of one key.
+
 Anchors are pre-aggregated by each batch before the shuffle; members of a hot
-group are joined by gram and context, which adaptive execution splits. Only the
-distinct contexts of one gram meet in one task.
+group are joined by gram and context, which adaptive execution splits.
 
 Texts are UTF-8 bytes, null is empty; matches never cross documents. Rows that
 share doc_id and text are two places, so that both lose their bytes. Extra
@@ -36,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +52,10 @@ LENGTH, GRAM, PIECE = 400, 64, 1 << 20
 #: Bytes of contexts that are sorted together; the contexts of one gram always are.
 SORTED = 4 << 20
 
+#: Different contexts of one key that are sorted in one task, and parts that a larger crowd is split into.
+CROWD, SPLIT = 256, 5
+
+_PACK, _UNPACK = zstandard.ZstdCompressor(level=1, write_content_size=True), zstandard.ZstdDecompressor()
 _GRAMS, _CONTEXTS = tb.Polynomial(21), tb.Polynomial(22, 0xA0761D6478BD642F)
 
 
@@ -128,24 +137,26 @@ class Suffixes:
         lengths = np.array([len(c) for c in contexts], np.int64)
         self.start = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
         self.data = np.frombuffer(b"".join(contexts), np.uint8)
-        self.sums = _GRAMS.prefix(self.data)
+        # powers count from each context's start, so that their table stays as short as a context
+        _GRAMS.prefix(np.zeros(int(lengths.max(initial=0)), np.uint8))
+        local = np.arange(len(self.data)) - np.repeat(self.start, lengths)
+        self.sums = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum(_GRAMS.values[self.data] * _GRAMS.powers[local], out=self.sums[1:])
         self.left, self.right, self.gram = left.astype(np.int64), lengths - left, gram
         self.place = self.start + self.left
 
-    def _same(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, back: bool) -> np.ndarray:
-        inverses = _GRAMS.inverses
-        p, q = (a - n, b - n) if back else (a, b)
+    def _same(self, i: np.ndarray, j: np.ndarray, n: np.ndarray, back: bool) -> np.ndarray:
+        p, q = (self.place[i] - n, self.place[j] - n) if back else (self.place[i], self.place[j])
         one, two = self.sums[p + n] - self.sums[p], self.sums[q + n] - self.sums[q]
-        return one * inverses[p] == two * inverses[q]
+        return one * _GRAMS.inverses[p - self.start[i]] == two * _GRAMS.inverses[q - self.start[j]]
 
     def common(self, i: np.ndarray, j: np.ndarray, back: bool) -> np.ndarray:
         """Length of the common extension of pairs of contexts, by binary search over hashes."""
         reach = self.left if back else self.right
         low, high = np.zeros(len(i), np.int64), np.minimum(reach[i], reach[j])
-        a, b = self.place[i], self.place[j]
         while (low < high).any():
             middle = (low + high + 1) >> 1
-            same = self._same(a, b, middle, back)
+            same = self._same(i, j, middle, back)
             low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
         return low
 
@@ -232,6 +243,15 @@ class Suffixes:
         return best[True], best[False]
 
 
+def pack(text: str | None) -> bytes:
+    """A text's bytes on their way through a shuffle, half as large as Spark makes them."""
+    return _PACK.compress((text or "").encode())
+
+
+def unpack(data: bytes) -> bytes:
+    return _UNPACK.decompress(data)
+
+
 def _anchor_rows(docs: DataFrame, combine: bool) -> DataFrame:
     """gram, context, rk, place, reach of each anchor; combine: one row for each gram and context of a batch, with their number n."""
 
@@ -259,52 +279,119 @@ def _anchor_rows(docs: DataFrame, combine: bool) -> DataFrame:
     return docs.select("rk", "text").mapInArrow(run, "gram long, context long, rk long, place long, reach int, n long")
 
 
-def _contexts(docs: DataFrame) -> DataFrame:
-    """gram, context, left and the context's bytes. docs: text, wanted (places, grams, contexts and reaches of a document)."""
+#: Columns of contexts on their way: grouped by ``key``, equal if ``th`` is equal; ``low`` and ``high`` bound
+#: the place of the anchor in the windows that count; gram and context name the class, context is null if
+#: the class is known to be repeated as a whole and only others are compared with it (``weight`` 2).
+_PART = "key long, th long, left int, right int, low int, high int, bytes binary, gram long, context long, weight long"
+_PART_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+_PART_NAMES = [c.split()[0] for c in _PART.split(", ")]
+
+
+def _digest(data: bytes, *numbers: int) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8, person=("%d,%d" % numbers).encode()).digest(), "little", signed=True)
+
+
+def split_context(row: tuple) -> Iterator[tuple]:
+    """A context as up to SPLIT shorter ones, for the parts of its range of places.
+
+    Windows with the anchor at places low to high all hold the same core of bytes,
+    so equal windows have equal cores, which are the new keys.
+    """
+    _, _, left, right, low, high, data, gram, context, weight = row
+    width = -(-(high - low + 1) // SPLIT)
+    for a in range(low, high + 1, width):
+        b = min(a + width - 1, high)
+        if left >= a and right >= LENGTH - b:  # else no window lies within the document
+            new_left, new_right = min(left, b), min(right, LENGTH - a)
+            part = data[left - new_left : left + new_right]
+            yield _digest(data[left - a : left + LENGTH - b], a, b), _digest(part, new_left, a), new_left, new_right, a, b, part, gram, context, weight
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(_PART_TYPES)], _PART_NAMES)
+
+
+def _contexts(held: DataFrame, crowded: bool) -> DataFrame:
+    """The contexts of documents (z, wanted) of grams that are crowded, split, or of those that are not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, len(batch), 256):
                 rows: list[tuple] = []
-                for text, wanted in zip(batch.column(0).slice(low, 256), batch.column(1).slice(low, 256), strict=True):
-                    whole = (text.as_py() or "").encode()
-                    for w in wanted.as_py():
+                for z, wanted in zip(batch.column(0).slice(low, 256), batch.column(1).slice(low, 256), strict=True):
+                    chosen = [w for w in wanted.as_py() if (w["kinds"] > CROWD) == crowded]
+                    whole = unpack(z.as_py()) if chosen else b""
+                    for w in chosen:
                         left, right = divmod(w["reach"], 1000)
-                        rows.append((w["gram"], w["context"], left, whole[w["place"] - left : w["place"] + right]))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["gram", "context", "left", "bytes"])
+                        single = w["n"] == 1
+                        row = (w["gram"], w["context"], left, right, 0, LENGTH - GRAM, whole[w["place"] - left : w["place"] + right], w["gram"], w["context"] if single else None, 1 if single else 2)
+                        rows += split_context(row) if crowded else [row]
+                yield _batch(rows)
+
+    return held.select("z", "wanted").mapInArrow(run, _PART)
+
 
-    return docs.select("text", "wanted").mapInArrow(run, "gram long, context long, left long, bytes binary")
+def _split(parts: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, len(batch), 4096):
+                yield _batch([new for row in zip(*(c.to_pylist() for c in batch.slice(low, 4096).columns), strict=True) for new in split_context(row)])
 
+    return parts.select(*_PART_NAMES).mapInArrow(run, _PART)
 
-def _partly_repeated(contexts: DataFrame) -> DataFrame:
-    """gram, context, left, right: what is repeated around the anchors of each context that others extend."""
+
+def _partly_repeated(parts: DataFrame) -> DataFrame:
+    """gram, context, left, right: what is repeated around the anchors of each context, by contexts of the same key."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        gram = np.array([r[0] for r in rows], np.int64)
-        left, right = Suffixes([r[3] for r in rows], np.array([r[2] for r in rows], np.int64), gram).extents(LENGTH)
-        hit = np.flatnonzero(left + right)
-        columns = [gram[hit], np.array([r[1] for r in rows], np.int64)[hit], left[hit], right[hit]]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "context", "left", "right"])
+        key = np.array([r[0] for r in rows], np.int64)
+        left, right = Suffixes([r[2] for r in rows], np.array([r[1] for r in rows], np.int64), key).extents(LENGTH)
+        hit = [k for k in np.flatnonzero(left + right).tolist() if rows[k][4] is not None]
+        columns = [[rows[k][3] for k in hit], [rows[k][4] for k in hit], left[hit], right[hit]]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["gram", "context", "left", "right"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if size >= SORTED and row[0] != held[-1][0]:
-                    yield solve(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[3])
+            for low in range(0, len(batch), 4096):
+                for row in zip(*(c.to_pylist() for c in batch.slice(low, 4096).columns), strict=True):
+                    if size >= SORTED and row[0] != held[-1][0]:
+                        yield solve(held)
+                        held, size = [], 0
+                    held.append(row)
+                    size += len(row[2])
         if held:
             yield solve(held)
 
-    return contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "gram long, context long, left long, right long")
+    dealt = parts.select("key", "left", "bytes", "gram", "context").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "gram long, context long, left long, right long")
+
 
+def _crowds(parts: DataFrame) -> list[DataFrame]:
+    """What ``_partly_repeated`` finds, for contexts of crowded grams that were split once.
 
-def repeated_spans(rows: DataFrame) -> DataFrame:
-    """rk, spans (array of struct<a, b>, may overlap) of the rows rk, text that have any."""
+    Each round counts equal contexts, which are repeated as they are, sorts what has
+    at most CROWD different contexts under a key, and splits the rest. Once a range
+    is a single place, a context is its core and all under a key are equal, so the
+    rounds end; no group is ever gathered unless it is small.
+    """
+    found, key = [], ["key", "th"]
+    parts = cut(parts)
+    while parts.limit(1).count():
+        firsts = [F.first(c).alias(c) for c in ("left", "right", "low", "high", "bytes", "gram")]
+        each = cut(parts.groupBy(*key).agg(F.sum("weight").alias("n"), F.min("context").alias("context"), *firsts))
+        again = each.where(f"n > 1 and left + right >= {LENGTH}").select(*key)
+        found.append(parts.where("context is not null").join(again, key).select("gram", "context", F.col("left").cast("long"), F.col("right").cast("long")))
+        kinds = each.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"))
+        counted = cut(each.join(kinds.where("kinds > 1"), "key").withColumn("context", F.when(F.col("n") == 1, F.col("context"))).withColumn("weight", F.least("n", F.lit(2))))
+        found.append(_partly_repeated(counted.where(f"kinds <= {CROWD}")))
+        parts = cut(_split(counted.where(f"kinds > {CROWD}")))
+    return found
+
+
+def repeated_spans(rows: DataFrame, small: DataFrame) -> DataFrame:
+    """rk, spans (array of struct<a, b>, may overlap) of the rows (rk, text) that have any. small: the rows, ``packed``."""
     counted = (
         _anchor_rows(rows, True).repartition("gram")
         .groupBy("gram", "context")
@@ -313,9 +400,12 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     )
     classes = cut(counted.where("n > 1 or kinds > 1"))
     whole = classes.where("n > 1").select("gram", "context")
-    wanted = classes.where("kinds > 1").select("first.rk", F.struct("first.place", "gram", "context", "reach").alias("w")).groupBy("rk").agg(F.collect_list("w").alias("wanted"))
-    contexts = _contexts(rows.join(wanted, "rk").dropDuplicates(["rk"]))
-    partly = cut(_partly_repeated(contexts))
+    wanted = classes.where("kinds > 1").select("first.rk", F.struct("first.place", "gram", "context", "reach", "n", "kinds").alias("w")).groupBy("rk").agg(F.collect_list("w").alias("wanted"))
+    held = cut(small.join(wanted, "rk").dropDuplicates(["rk"]).select("z", "wanted"))
+    partly = _partly_repeated(_contexts(held, False))
+    for more in _crowds(_contexts(held, True)):
+        partly = partly.unionByName(more)
+    partly = cut(partly)
     single = classes.where("n = 1").join(partly, ["gram", "context"]).select("first.rk", (F.col("first.place") - F.col("left")).alias("a"), (F.col("first.place") + F.col("right")).alias("b"))
     left, right = F.floor(F.col("reach") / 1000), F.col("reach") % 1000
     every = _anchor_rows(rows, False).join(whole, ["gram", "context"]).where(left + right >= LENGTH)
@@ -323,6 +413,17 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     return spans.groupBy("rk").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """rk, id and z, the packed text, of rows rk, id, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = pa.array([pack(t.as_py()) for t in batch.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), z], ["rk", "id", "z"])
+
+    return rows.select("rk", "id", "text").mapInArrow(run, "rk long, id long, z binary")
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs that the spans cover."""
     out: list[tuple[int, int]] = []
@@ -338,16 +439,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """id_col, n_bytes, n_removed, n_spans and the kept bytes (``kept``, or their SHA-256 ``kept_sha256``) with the removed runs (``spans``) of each row."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.select(F.xxhash64("id", "text").alias("rk"), "id", "text")
+    small = packed(rows)
     # equal rows have equal keys and lose the same bytes, but each is a place of its own
-    spans = repeated_spans(rows)
+    spans = repeated_spans(rows, small)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, len(batch), 256):
                 out: list[tuple] = []
                 ids, texts, found = (batch.column(k).slice(low, 256).to_pylist() for k in range(3))
-                for doc, text, own in zip(ids, texts, found, strict=True):
-                    whole = (text or "").encode()
+                for doc, z, own in zip(ids, texts, found, strict=True):
+                    whole = unpack(z)
                     runs = merged([(s["a"], s["b"]) for s in own or ()])
                     ends = [0, *(x for r in runs for x in r), len(whole)]
                     kept = b"".join(whole[ends[k] : ends[k + 1]] for k in range(0, len(ends), 2))
@@ -358,7 +460,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
 
     last = "kept_sha256 string" if digests else "kept binary, spans array<struct<a: long, b: long>>"
-    done = rows.join(spans, "rk", "left").select("id", "text", "spans").mapInArrow(run, f"id long, n_bytes long, n_removed long, n_spans long, {last}")
+    done = small.join(spans, "rk", "left").select("id", "z", "spans").mapInArrow(run, f"id long, n_bytes long, n_removed long, n_spans long, {last}")
     return done.withColumnRenamed("id", id_col)
 
 

@@ -56,8 +56,9 @@ def corpus(seed, n=120):
     return rows
 
 
-@pytest.mark.parametrize("seed,piece", [(1, 1 << 20), (2, 700)])
-def test_against_brute_force(spark, seed, piece, monkeypatch):
+@pytest.mark.parametrize("seed,piece,crowd", [(1, 1 << 20, 256), (2, 700, 3)])
+def test_against_brute_force(spark, seed, piece, crowd, monkeypatch):
+    monkeypatch.setattr(sd, "CROWD", crowd)
     monkeypatch.setattr(sd, "PIECE", piece)
     monkeypatch.setattr(sd, "SORTED", 1 << 22 if seed == 1 else 5000)
     rows = corpus(seed)
