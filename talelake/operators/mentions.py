@@ -13,20 +13,23 @@ def find_mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
 
     texts: text_id, text; names: entity_id, name. A match begins and ends at
     boundaries, so the name's first word of [a-z0-9] is a whole word of the text:
-    both sides are joined on it and only then compared. Names without such a word
-    are joined on their first character. A word or character that very many texts
+    both sides are joined on it, and each text is then compared once with the longer
+    names that it may hold. Names without such a word are joined on their first character. A word or character that very many texts
     share makes an uneven join, which adaptive execution splits.
     """
     known = names.select("entity_id", normalise("name").alias("name")).where(F.length("name") >= 2)
     known = known.withColumn("word", F.regexp_extract("name", "[a-z0-9]+", 0))
     known = known.withColumn("key", F.when(F.col("word") != "", F.col("word")).otherwise(F.substring("name", 1, 1)))
     words = texts.select("text_id", normalise("text").alias("text"))
-    with_words = known.where("word <> ''")
-    keyed = words.select("text_id", "text", F.explode(F.array_distinct(F.split("text", "[^a-z0-9]+"))).alias("key")).where("key <> ''")
-    found = keyed.join(with_words, "key").where(mentions(F.col("text"), F.col("name"))).select("text_id", "entity_id")
-    signs = words.where(F.rlike("text", F.lit("[^a-z0-9\\s]"))).select("text_id", "text", F.explode(F.array_distinct(F.split(F.regexp_replace("text", "[a-z0-9]+", ""), ""))).alias("key"))
-    others = signs.join(known.where("word = ''"), "key").where(mentions(F.col("text"), F.col("name"))).select("text_id", "entity_id")
-    return found.unionByName(others).distinct()
+    # only ids and words go through the join; a name that is one word needs no more
+    whole = words.select("text_id", F.explode(F.array_distinct(F.split("text", "[^a-z0-9]+"))).alias("key")).where("key <> ''")
+    signs = words.where(F.rlike("text", F.lit("[^a-z0-9\\s]"))).select("text_id", F.explode(F.array_distinct(F.split(F.regexp_replace("text", "[a-z0-9]+", ""), ""))).alias("key"))
+    by_word = whole.join(known.where("word <> ''"), "key")
+    by_sign = signs.join(known.where("word = ''"), "key")
+    exact = by_word.where("name = word").select("text_id", "entity_id")
+    longer = by_word.where("name <> word").unionByName(by_sign).groupBy("text_id").agg(F.collect_set(F.struct("entity_id", "name")).alias("names"))
+    checked = words.join(longer, "text_id").select("text_id", F.filter("names", lambda n: mentions(F.col("text"), n["name"])).alias("names"))
+    return exact.unionByName(checked.select("text_id", F.explode("names").alias("n")).select("text_id", "n.entity_id")).distinct()
 
 
 def mention_index(chapters: DataFrame, entities: DataFrame) -> DataFrame:
