@@ -18,9 +18,9 @@ import base64
 import hashlib
 import heapq
 import re
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +29,8 @@ from talelake.llm.common import table
 
 #: Words whose ids a Python worker keeps between blocks; beyond that they are replayed anew.
 CACHED_WORDS = 400_000
+#: Words that are replayed together: their lists should fit in a processor's cache.
+REPLAYED = 8192
 
 #: Texts of only these characters split the same way under Python's own engine, which is faster.
 _PLAIN = re.compile("[^\t-\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‘-”]")
@@ -48,67 +50,91 @@ def split_words(text: str, pattern: regex.Pattern, fast: bool) -> list[str]:
     return [m.group() for m in pattern.finditer(text)]
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
-    """The ids of each word, all words merged together in rank order."""
-    token: list[bytes | None] = []
-    before: list[int] = []
-    after: list[int] = []
-    starts: list[int] = []
-    where: dict[int, list[int]] = defaultdict(list)
-    for word in words:
-        if (whole := ranks.get(word)) is not None:  # as every tokenizer of this kind: a known word is one token
-            starts.append(-1 - whole)
-            continue
-        first, n = len(token), len(word)
-        starts.append(first)
-        token.extend(word[i : i + 1] for i in range(n))
-        before.extend(range(first - 1, first + n - 1))
-        after.extend(range(first + 1, first + n + 1))
-        if n:
-            before[first] = after[-1] = -1
-        for i in range(n - 1):
-            if (r := ranks.get(word[i : i + 2])) is not None:
-                where[r].append(first + i)
-    queue = list(where)
-    heapq.heapify(queue)
-    while queue:
-        rank = heapq.heappop(queue)
-        places = sorted(where.pop(rank))
-        for k, i in enumerate(places):
-            j = after[i]
-            if token[i] is None or j < 0 or ranks.get(merged := token[i] + token[j]) != rank:
-                continue  # a neighbour has changed since
-            token[i], token[j] = merged, None
-            after[i] = after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
-            for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right >= 0 and (r := ranks.get(token[left] + token[right])) is not None:
-                    if r not in where:
-                        where[r] = []
+class Merges:
+    """A vocabulary as merges: ids are ranks, and a pair of ids has the rank of the token that both make."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.pairs: dict[int, int] = {}
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                left, right = ranks.get(token[:k]), ranks.get(token[k:])
+                if left is not None and right is not None:
+                    self.pairs[left << 32 | right] = rank
+        self.bytes = np.array([ranks[bytes((b,))] for b in range(256)], np.int64)
+        self.byte_pairs = np.array([self.pairs.get(int(x) << 32 | int(y), -1) for x in self.bytes for y in self.bytes], np.int64)
+
+    def replay(self, words: list[bytes]) -> list[bytes]:
+        """The packed ids of each word, all words merged together in rank order."""
+        pairs, ranks = self.pairs, self.ranks
+        found: list[bytes | None] = [None if (r := ranks.get(w)) is None else r.to_bytes(4, "little") for w in words]  # a known word is one token
+        open_words = [k for k, f in enumerate(found) if f is None]
+        data = np.frombuffer(b"".join(words[k] for k in open_words), np.uint8).astype(np.int64)
+        if not len(data):
+            return [f or b"" for f in found]
+        ends = np.cumsum([len(words[k]) for k in open_words])
+        last = np.zeros(len(data), bool)
+        last[ends - 1] = True
+        rank_of = np.where(last[:-1], -1, self.byte_pairs[data[:-1] * 256 + data[1:]])
+        # the inverted index: rank → places of its pairs, ascending
+        at = np.flatnonzero(rank_of >= 0)
+        at = at[np.argsort(rank_of[at], kind="stable")]
+        kinds, first = np.unique(rank_of[at], return_index=True)
+        where = {r: p.tolist() for r, p in zip(kinds.tolist(), np.split(at, first[1:]), strict=False)}
+        place = np.arange(len(data))
+        after = np.where(last, -1, place + 1).tolist()
+        before = np.where(np.concatenate(([True], last[:-1])), -1, place - 1).tolist()
+        token = self.bytes[data].tolist()
+        queue = list(where)
+        heapq.heapify(queue)
+        get = pairs.get
+        while queue:
+            rank = heapq.heappop(queue)
+            places = where.pop(rank)
+            places.sort()
+            for k, i in enumerate(places):
+                j = after[i]
+                if j < 0 or token[i] < 0 or get(token[i] << 32 | token[j]) != rank:
+                    continue  # a neighbour has changed since
+                token[i], token[j] = rank, -1
+                after[i] = right = after[j]
+                lower = False
+                if right >= 0:
+                    before[right] = i
+                    if (r := get(rank << 32 | token[right])) is not None:
+                        if r in where:
+                            where[r].append(i)
+                        else:
+                            where[r] = [i]
+                            heapq.heappush(queue, r)
+                            lower = r < rank
+                left = before[i]
+                if left >= 0 and (r := get(token[left] << 32 | rank)) is not None:
+                    if r in where:
+                        where[r].append(left)
+                    else:
+                        where[r] = [left]
                         heapq.heappush(queue, r)
-                    where[r].append(left)
-            if queue and queue[0] < rank:  # a pair of lower rank arose: it comes before the other places
-                if rest := places[k + 1 :]:
-                    if rank not in where:
-                        heapq.heappush(queue, rank)
-                    where[rank].extend(rest)
-                break
-    found = []
-    for at, word in zip(starts, words, strict=True):
-        if at < 0:
-            found.append([-1 - at])
-            continue
-        ids, i = [], at if word else -1
-        while i >= 0:
-            ids.append(ranks[token[i]])
-            i = after[i]
-        found.append(ids)
-    return found
+                        lower |= r < rank
+                if lower:  # a pair of lower rank arose: it comes before the other places
+                    if rest := places[k + 1 :]:
+                        if rank in where:
+                            where[rank].extend(rest)
+                        else:
+                            where[rank] = rest
+                            heapq.heappush(queue, rank)
+                    break
+        ids = np.array(token, np.int64)
+        alive = ids >= 0
+        cuts = (4 * np.cumsum(alive)[ends - 1]).tolist()
+        packed, low = ids[alive].astype("<u4").tobytes(), 0
+        for k, high in zip(open_words, cuts, strict=True):
+            found[k], low = packed[low:high], high
+        return found
 
 
 #: Of this Python worker: the ranks, the bytes of each id and the words' packed ids, by vocabulary file.
-_loaded: dict[str, tuple[dict[bytes, int], list[bytes], dict[str, bytes]]] = {}
+_loaded: dict[str, tuple[Merges, list[bytes], dict[str, bytes]]] = {}
 
 
 class Codec:
@@ -120,8 +146,8 @@ class Codec:
             tokens = [b""] * (max(ranks.values()) + 1)
             for token, rank in ranks.items():
                 tokens[rank] = token
-            _loaded[path] = ranks, tokens, {}
-        self.ranks, self.tokens, self.known = _loaded[path]
+            _loaded[path] = Merges(ranks), tokens, {}
+        self.merges, self.tokens, self.known = _loaded[path]
         self.pattern, self.fast = regex.compile(pattern), fast
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -131,8 +157,9 @@ class Codec:
         if len(self.known) + len(new) > CACHED_WORDS:
             self.known.clear()
             new = list({w for words in split for w in words})
-        packed = replay([w.encode() for w in new], self.ranks)
-        self.known.update((w, b"".join(i.to_bytes(4, "little") for i in ids)) for w, ids in zip(new, packed, strict=True))
+        for low in range(0, len(new), REPLAYED):
+            part = new[low : low + REPLAYED]
+            self.known.update(zip(part, self.merges.replay([w.encode() for w in part]), strict=True))
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
     def decode(self, ids: bytes) -> bytes:
