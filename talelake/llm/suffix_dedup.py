@@ -48,9 +48,9 @@ from talelake.llm import textblocks as tb
 from talelake.llm.common import cut, table
 
 #: Bytes of a repeated string, of an anchor's gram, and of a piece that is hashed at once.
-LENGTH, GRAM, PIECE = 400, 64, 1 << 20
+LENGTH, GRAM, PIECE = 400, 64, 1 << 17
 #: Bytes of contexts that are sorted together; the contexts of one gram always are.
-SORTED = 4 << 20
+SORTED = 1 << 20
 
 #: Different contexts of one key that are sorted in one task, and parts that a larger crowd is split into.
 CROWD, SPLIT = 256, 5

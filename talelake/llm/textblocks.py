@@ -15,8 +15,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Bytes that are worked on at once; longer only if a single word is.
-SEGMENT = 1 << 20
+#: Bytes that are worked on at once (they should fit in a processor's cache); longer only if a single word is.
+SEGMENT = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:
