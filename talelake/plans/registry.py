@@ -534,7 +534,7 @@ def n08_relative_age(spark, sf_dir):
 @query("SELECT event_id, ts + CASE event_id % 3 WHEN 0 THEN INTERVAL 1 DAY WHEN 1 THEN INTERVAL 7 DAY ELSE INTERVAL 30 DAY END > TIMESTAMP '2024-01-12 00:00:00' AS alive FROM events WHERE event_id % 5 > 0 OR event_type <> 'view'")
 def s07_share_expiry(spark, sf_dir):
     rows = _table(spark, sf_dir, "events")
-    days = F.element_at(F.array(*map(F.lit, DAYS)), (F.col("event_id") % 3 + 1).cast("int"))
+    days = F.element_at(F.array(*map(F.lit, share.DAYS)), (F.col("event_id") % 3 + 1).cast("int"))
     stored = rows.select("event_id", F.col("event_id").cast("string").alias("id"), F.sha2(F.concat(F.lit("t"), "event_id"), 256).alias("revoke_hash"), share.expires_at(F.col("ts"), share.expiry_days(days)).alias("expires_at"))
     token = F.when(F.col("event_type") == "view", F.concat(F.lit("t"), "event_id")).otherwise("wrong")
     left = share.revoke(stored, rows.where("event_id % 5 = 0").select(F.col("event_id").cast("string").alias("id"), token.alias("token")))
@@ -542,9 +542,6 @@ def s07_share_expiry(spark, sf_dir):
     return alive.select("event_id", F.lit(True).alias("alive")).unionByName(dead.select("event_id", F.lit(False).alias("alive")))
 
 
-DAYS = share.DAYS
-
-
 @query(" SELECT 'universes' AS name, count(*) AS n FROM universes UNION ALL SELECT 'stories', count(*) FROM stories UNION ALL SELECT 'chapters', count(*) FROM chapters", "universes", "stories", "chapters")
 def s04_snapshot_counts(spark, sf_dir):
     names = ["universes", "stories", "chapters"]
