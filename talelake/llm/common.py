@@ -1,35 +1,20 @@
-"""What the corpus operators share: table reading, lineage cuts, components."""
+"""What the corpus operators share: table reading, components, and the library's lineage cuts."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talelake.plans.lineage import cut
+
+__all__ = ["components", "cut", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared checkpoint folder.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session
-    without that setting gets a temporary folder.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            shared = tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph.
 
