@@ -85,21 +85,30 @@ def millis(text: Column) -> Column:
     return F.coalesce(F.unix_millis(F.try_to_timestamp(iso)), F.lit(0).cast("long"))
 
 
+def _day(stamp: Column) -> Column:
+    month = F.element_at(F.array(*map(F.lit, _MONTHS)), F.month(stamp))
+    return F.concat(F.date_format(stamp, "dd"), F.lit(" de "), month, F.lit(" de "), F.date_format(stamp, "yyyy"))
+
+
+def date_text(text: Column) -> Column:
+    """A date for display; what is no date stays as it is, nothing becomes "Sem data". A bare date is its noon."""
+    iso = F.when(F.length(text) == 10, F.concat(text, F.lit("T12:00:00"))).otherwise(text)
+    return F.when(F.coalesce(text, F.lit("")) == "", "Sem data").otherwise(F.coalesce(_day(F.try_to_timestamp(iso)), text))
+
+
 def relative_age(text: Column, now_millis: Column) -> Column:
     """How long ago, in the words of the library's cards; older than 30 days: the date."""
     at = millis(text)
     minutes = F.greatest(F.lit(0).cast("long"), F.floor((now_millis - at) / 60000))
     hours, days = F.floor(minutes / 60), F.floor(minutes / 1440)
     stamp = F.timestamp_millis(at)
-    month = F.element_at(F.array(*map(F.lit, _MONTHS)), F.month(stamp))
-    date = F.concat(F.date_format(stamp, "dd"), F.lit(" de "), month, F.lit(" de "), F.date_format(stamp, "yyyy"))
     return (
         F.when(at == 0, "Sem edição")
         .when(minutes < 2, "Editado agora")
         .when(minutes < 60, F.concat(F.lit("Editado há "), minutes.cast("string"), F.lit(" min")))
         .when(hours < 24, F.concat(F.lit("Editado há "), hours.cast("string"), F.lit(" h")))
         .when(days < 30, F.concat(F.lit("Editado há "), days.cast("string"), F.when(days == 1, " dia").otherwise(" dias")))
-        .otherwise(date)
+        .otherwise(_day(stamp))
     )
 
 

@@ -57,3 +57,13 @@ def global_search(sources: list[DataFrame], query: str, limit: int = LIMIT) -> D
         found = hits if found is None else found.unionByName(hits)
     return found.orderBy("kind_rank", "pos").limit(limit).select("kind_rank", "kind", "id", "label", "context")
 
+
+def recent(rows: DataFrame, n: int = 8) -> DataFrame:
+    """What was changed last."""
+    return rows.orderBy(F.desc("updated_at"), "id").limit(n)
+
+
+def toggled(selected: DataFrame, clicked: DataFrame) -> DataFrame:
+    """A selection of ids after some were clicked: those in it leave, the others join."""
+    left = selected.select("id").distinct().join(clicked.select("id"), "id", "left_anti")
+    return left.unionByName(clicked.select("id").distinct().join(selected.select("id"), "id", "left_anti"))

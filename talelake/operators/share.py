@@ -60,6 +60,26 @@ def expires_at(created: Column, days: Column) -> Column:
     return created + F.make_dt_interval(days)
 
 
+def new_shares(envelopes: DataFrame, now: Column) -> DataFrame:
+    """Records of valid envelopes (envelope, days): id, revoke_token, revoke_hash, created_at, expires_at, envelope.
+
+    Ids and tokens are random, so write the result once and read it from there;
+    the token goes to the sharer and is not to be stored.
+    """
+    valid = envelopes.where(valid_envelope(F.col("envelope"), F.col("days")))
+
+    def secret(n: int) -> Column:
+        return F.substring(base64url(F.unhex(F.replace(F.concat(F.uuid(), F.uuid()), F.lit("-"), F.lit("")))), 1, n)
+
+    made = valid.select(secret(16).alias("id"), secret(32).alias("revoke_token"), now.alias("created_at"), expires_at(now, F.col("days")).alias("expires_at"), "envelope")
+    return made.withColumn("revoke_hash", F.sha2("revoke_token", 256))
+
+
+def remembered(shares: DataFrame, n: int = 50) -> DataFrame:
+    """A sharer's last shares."""
+    return shares.orderBy(F.desc("created_at"), F.desc("id")).limit(n)
+
+
 def split_expired(shares: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """Shares that can be read, and those whose time is over (the very moment included)."""
     alive = F.col("expires_at") > now

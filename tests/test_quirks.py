@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from talelake.functions import text
 from talelake.functions.schemas import TABLES, empty, schema, with_defaults
 from talelake.operators import boards, changes, dml, graph, hierarchy, mentions, merge, search, share
-from talelake.sources import snapshots
+from talelake.sources import shares, snapshots
 
 
 def rows(spark, data, ddl):
@@ -103,6 +103,7 @@ def test_text_rules(spark):
     assert val(text.to_html(lit("a<b\nc\n\n\nd&"))) == "<p>a&lt;b<br>c</p><p>d&amp;</p>" and val(text.to_html(lit(" "))) == "<p></p>" and val(text.to_html(lit("x<br>y"))) == "x<br>y"
     assert val(text.millis(lit("1970-01-01 00:00:01"))) == 1000 and val(text.millis(lit(""))) == 0 and val(text.millis(lit("0000-99"))) == 0
     assert val(text.relative_age(lit(""), lit(0).cast("long"))) == "Sem edição" and val(text.number_text(lit(1234567))) == "1.234.567"
+    assert [val(text.date_text(lit(x))) for x in ("2026-03-05", "", "0000-99-01", "2026-12-01T23:00:00")] == ["05 de mar. de 2026", "Sem data", "0000-99-01", "01 de dez. de 2026"]
     assert val(text.first_url(lit("see HTTPS://a.b/c d"))) == "HTTPS://a.b/c" and val(text.first_url(lit("no"))) is None
     assert val(text.default_text(lit("  "), "Sem título")) == "Sem título" and val(text.default_text(lit("abc"), "", 2)) == "ab"
     assert val(text.is_image_url(lit("data:image/png;base64,AA=="))) and not val(text.is_image_url(lit("data:text/html;base64,AA==")))
@@ -166,6 +167,21 @@ def test_shares(spark):
     assert one.select(share.decrypt(share.encrypt(F.lit("secret"), key, iv), F.lit("q" * 32))).first()[0] is None
 
 
+def test_share_store(spark, tmp_path):
+    e = F.struct(F.lit(1).alias("version"), F.lit("A256GCM").alias("algorithm"), F.lit("i" * 16).alias("iv"), F.lit("c" * 24).alias("ciphertext"))
+    now = F.to_timestamp(F.lit("2026-01-01 00:00:00"))
+    made = share.new_shares(rows(spark, [(7,), (365,), (1,)], "days int").select("days", e.alias("envelope")), now)
+    made.write.parquet(str(tmp_path / "made"))
+    made = spark.read.parquet(str(tmp_path / "made"))
+    shares.store(made, str(tmp_path / "s"))
+    live = shares.read_live(spark, str(tmp_path / "s"), now)
+    assert live.count() == 2 and "revoke_token" not in live.columns and {len(r.id) for r in live.collect()} == {16}
+    later = F.to_timestamp(F.lit("2026-01-03 00:00:00"))
+    kept = shares.prune(spark, str(tmp_path / "s"), str(tmp_path / "t"), later)
+    assert shares.read_live(spark, kept, now).count() == 1
+    assert share.revoke(live, made.select("id", F.col("revoke_token").alias("token"))).count() == 0 and share.remembered(made, 1).count() == 1
+
+
 def test_snapshots(spark, tmp_path):
     r = made(spark, "relations", {"id": "r", "bidirectional": 1})
     snap = snapshots.export_snapshot({"relations": r, "change_log": empty(spark, "change_log")})
@@ -184,4 +200,6 @@ def test_search(spark):
     found = lambda q: {r.id for r in search.search_entities(e, q).collect()}
     assert found("ANA") == {"1"} and found("é") == set() and found("_b") == {"1", "3"} and found("\\b") == {"3"} and found("a%b") == {"1", "3"}
     sources = [search.search_source(e, "entity", 3, ["name"], F.col("name"), F.col("type"), [F.col("id")])]
+    assert [r.id for r in search.recent(made(spark, "entities", {"id": "a", "updated_at": "1"}, {"id": "b", "updated_at": "2"}), 1).collect()] == ["b"]
+    assert {r.id for r in search.toggled(e.where("id < '3'"), e.where("id > '1'")).collect()} == {"1", "3"}
     assert [r.id for r in search.global_search(sources, " ea ").collect()] == ["2"] and search.global_search(sources, "e").count() == 0
