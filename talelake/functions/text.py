@@ -18,6 +18,10 @@ _MARKS = {c: None for c in range(0x300, 0x370)}
 _PARAGRAPHS = frozenset(("p", "blockquote", "h1", "h2", "h3", "li"))
 _ALLOWED = frozenset("p br blockquote h1 h2 h3 h4 ul ol li strong b em i u s hr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# fixed values: patterns that decide what counts as what
+_DIALOGUE = r'^[—–\-]|[“”"]|\b(disse|perguntou|respondeu|sussurrou|gritou|falou)\b'
+_BLOCK_TAGS = r"(?i)<(?:p|h[1-6]|ul|ol|li|blockquote|img|hr|div|br)\b"
+_IMAGE_URL = r"^data:image/(?:png|jpe?g|webp|gif);base64,[A-Za-z0-9+/=]+$"
 #: Month names of the date display.
 _MONTHS = ["jan.", "fev.", "mar.", "abr.", "mai.", "jun.", "jul.", "ago.", "set.", "out.", "nov.", "dez."]
 
@@ -62,7 +66,7 @@ def mentions(norm_text: Column, norm_name: Column) -> Column:
 
 def is_dialogue(norm_paragraph: Column, norm_name: Column) -> Column:
     """A leading dash, a quotation mark anywhere, a verb of speech, or a leading "name:"."""
-    signs = norm_paragraph.rlike(r'^[—–\-]|[“”"]|\b(disse|perguntou|respondeu|sussurrou|gritou|falou)\b')
+    signs = norm_paragraph.rlike(_DIALOGUE)
     return signs | norm_paragraph.startswith(F.concat(norm_name, F.lit(":")))
 
 
@@ -75,7 +79,7 @@ def to_html(text: Column) -> Column:
     value = trim(F.coalesce(text, F.lit("")))
     escaped = F.replace(F.replace(F.replace(value, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     blocks = F.transform(F.split(escaped, "\n{2,}"), lambda p: F.concat(F.lit("<p>"), F.replace(p, F.lit("\n"), F.lit("<br>")), F.lit("</p>")))
-    has_blocks = value.rlike(r"(?i)<(?:p|h[1-6]|ul|ol|li|blockquote|img|hr|div|br)\b")
+    has_blocks = value.rlike(_BLOCK_TAGS)
     return F.when(value == "", "<p></p>").when(has_blocks, text).otherwise(F.array_join(blocks, ""))
 
 
@@ -138,7 +142,7 @@ def from_base64url(text: Column) -> Column:
 
 def is_image_url(text: Column) -> Column:
     """A data URL of an image that a viewer may show."""
-    return F.coalesce(text.rlike(r"^data:image/(?:png|jpe?g|webp|gif);base64,[A-Za-z0-9+/=]+$"), F.lit(False))
+    return F.coalesce(text.rlike(_IMAGE_URL), F.lit(False))
 
 
 def image_url(mime: Column, content: Column) -> Column:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from talelake.functions.text import base64url, from_base64url, trim
 
-#: Limits of plain and encrypted bundles, and the choices of days.
+# fixed values: limits of plain and encrypted bundles, the choices of days, and an envelope's alphabet
 PLAIN_BYTES, CIPHER_CHARS, DAYS = 2_000_000, 2_800_000, (1, 7, 30)
+URL_TEXT = "^[A-Za-z0-9_-]+$"
 
 
 def bundles(universes: DataFrame, catalogue: DataFrame, entities: DataFrame, attributes: DataFrame, now: str) -> DataFrame:
@@ -46,10 +47,9 @@ def decrypt(envelope: Column, key: Column) -> Column:
 
 def valid_envelope(e: Column, days: Column) -> Column:
     """Whether a store takes an envelope."""
-    url = "^[A-Za-z0-9_-]+$"
     n = F.length(e["ciphertext"])
-    good = (e["version"] == 1) & (e["algorithm"] == "A256GCM") & (F.length(e["iv"]) == 16) & e["iv"].rlike(url)
-    return F.coalesce(good & n.between(24, CIPHER_CHARS) & e["ciphertext"].rlike(url) & days.isin(*DAYS), F.lit(False))
+    good = (e["version"] == 1) & (e["algorithm"] == "A256GCM") & (F.length(e["iv"]) == 16) & e["iv"].rlike(URL_TEXT)
+    return F.coalesce(good & n.between(24, CIPHER_CHARS) & e["ciphertext"].rlike(URL_TEXT) & days.isin(*DAYS), F.lit(False))
 
 
 def small_enough(document: Column) -> Column:
