@@ -37,7 +37,7 @@ from talelake.llm import textblocks as tb
 from talelake.llm.common import components, cut, table
 
 #: A shingle is frequent if it has at least this part of all occurrences.
-FREQUENT = 1 << 22
+FREQUENT = 1 << 24
 #: Groups under one shingle up to which their pairs are listed, sets in a unit, and
 #: pairs of members of two groups up to which they are listed.
 SHORT, UNIT, FEW = 64, 256, 16
