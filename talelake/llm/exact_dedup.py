@@ -114,8 +114,9 @@ FROM d
 
 def drop_copies(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose texts neither the index nor a smaller id of docs has. They join the index."""
-    gone = cut(index.ingest(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone")).distinct())
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    # by id and text: ids may be null or repeated with other texts
+    gone = cut(index.ingest(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_digest")).distinct())
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]) & (digest(docs[text_col]) == gone["_digest"]), "left_anti")
 
 
 def drop_copies_once(docs: DataFrame) -> DataFrame:

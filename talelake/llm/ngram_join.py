@@ -230,12 +230,8 @@ def _verify(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("one", "two").mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
-    """id_col, n_shingles and component_id (smallest id reachable by links) of each row.
-
-    Two rows link when 100 * intersection >= percent * union of their sets of
-    distinct ``size``-word shingles.
-    """
+def _row_components(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """rk (hash of id and text), id, n, component_id and comp (a key of the component; null if the row is alone) of each row."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.select(F.xxhash64("id", "text").alias("rk"), "id", "text")
@@ -315,20 +311,35 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ids = cut(seen.where("n > 0").groupBy("cls").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies")))
     labelled = ids.join(labels.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "low", "copies", F.coalesce("comp", "cls").alias("comp"), F.col("comp").isNotNull().alias("linked"))
     lowest = labelled.where("linked").groupBy("comp").agg(F.min("low").alias("least"))
-    final = cut(labelled.where("linked or copies > 1").join(lowest, "comp", "left").select("cls", F.coalesce("least", "low").alias("component_id")))
-    found = seen.select("id", "n", "cls").where("n > 0").join(final, "cls", "left").select("id", "n", "component_id")
-    found = found.unionByName(seen.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    final = cut(labelled.where("linked or copies > 1").join(lowest, "comp", "left").select("cls", F.coalesce("least", "low").alias("component_id"), "comp"))
+    found = seen.select("rk", "id", "n", "cls").where("n > 0").join(final, "cls", "left").select("rk", "id", "n", "component_id", "comp")
+    found = found.unionByName(seen.where("n = 0").select("rk", "id", "n", F.col("id").alias("component_id"), F.lit(None).cast("long").alias("comp")))
+    return found.withColumn("component_id", F.coalesce("component_id", "id"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
+    """id_col, n_shingles and component_id (smallest id reachable by links) of each row.
+
+    Two rows link when 100 * intersection >= percent * union of their sets of
+    distinct ``size``-word shingles.
+    """
+    found = _row_components(docs, id_col, text_col, size, percent)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns, less all but the smallest id of each component.
 
-    Rows go by their id: ids are taken to be unique, and rows that share one stay or go together.
+    Rows go by id and text, and those that share both stay or go together. A null
+    id comes after all others; of different texts under one smallest id, one stays.
     """
-    found = jaccard_components(docs, id_col, text_col, size, percent)
-    gone = cut(found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct())
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    found = cut(_row_components(docs, id_col, text_col, size, percent).where("comp is not null").select("rk", "id", "component_id", "comp"))
+    first = found.where("id <=> component_id").select("rk", "id", "comp")
+    ties = first.groupBy("comp").agg(F.min("rk").alias("least"), F.max("rk").alias("most")).where("least < most").select("comp", "least")
+    lost = first.join(ties, "comp").where("rk <> least").select("rk", "id")
+    gone = cut(found.where("not (id <=> component_id)").select("rk", "id").unionByName(lost).select(F.col("rk").alias("_rk"), F.col("id").alias("_gone")).distinct())
+    key = docs[id_col].cast("long")
+    return docs.join(gone, (F.xxhash64(key, docs[text_col]) == gone["_rk"]) & key.eqNullSafe(gone["_gone"]), "left_anti")
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

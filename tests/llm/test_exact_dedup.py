@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from talelake.llm.exact_dedup import DigestIndex
+from talelake.llm.exact_dedup import DigestIndex, drop_copies_once
 
 
 def digest(text):
@@ -33,3 +33,10 @@ def test_heavy_groups_are_whole(spark):
     found = index.ingest(docs).groupBy("group_size", "kept").count().collect()
     assert {tuple(r) for r in found} == {(2000, True, 1), (2000, False, 1999), (1, True, 4000)}
     index.drop()
+
+
+def test_null_and_repeated_ids_lose_copies_only(spark):
+    rows = [(1, "x"), (None, "x"), (None, "unique"), (7, "x"), (7, "other"), (7, "other"), (None, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(map(str, map(tuple, drop_copies_once(docs).collect())))
+    assert found == sorted(map(str, [(1, "x"), (None, "unique"), (7, "other"), (7, "other"), (9, "")]))

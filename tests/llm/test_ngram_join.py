@@ -92,3 +92,16 @@ def test_forest_keeps_components():
         label = dict(zip(a.tolist(), b.tolist(), strict=True))
         for i, j in zip(*np.nonzero(mask), strict=True):
             assert label[left[i]] == label[right[j]]
+
+
+def test_null_and_repeated_ids_lose_near_copies_only(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    texts = [base + " end", base + " stop", base + " over", " ".join(f"u{k}" for k in range(40)), " ".join(f"v{k}" for k in range(40))]
+    pair = [" ".join(f"p{k}" for k in range(60)) + e for e in (" a", " b")]
+    same = [" ".join(f"q{k}" for k in range(60)) + e for e in (" a", " b")]
+    rows = [(1, texts[0]), (None, texts[1]), (7, texts[2]), (None, texts[3]), (7, texts[4]), (7, texts[4]), (None, pair[0]), (None, pair[1]), (8, same[0]), (8, same[1]), (9, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [tuple(r) for r in ngram_join.drop_near_copies(docs).collect()]
+    rest = [r for r in found if r[1] not in pair + same]
+    assert sorted(map(str, rest)) == sorted(map(str, [(1, texts[0]), (None, texts[3]), (7, texts[4]), (7, texts[4]), (9, ""), (None, None)]))
+    assert sorted(str(d) for d, t in found if t in pair + same) == ["8", "None"]
