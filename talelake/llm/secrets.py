@@ -11,8 +11,7 @@ given), and a table of one's own can be passed instead.
 Each text is scanned alone and whole, in the task that reads it; nothing is
 shuffled. A null or empty text has no findings, a null path is an empty one.
 Rows that share doc_id are scanned one by one; other columns are ignored, or
-passed through by ``redact``. Candidates longer than LONGEST characters are
-judged by their first LONGEST characters and found whole.
+passed through by ``redact``. Candidates of any length are found and judged whole.
 """
 
 from __future__ import annotations
@@ -33,8 +32,8 @@ from pyspark.sql import functions as F
 
 from talelake.llm.common import table
 
-#: Labelled findings that the forest is grown from, its trees, depth, and the longest candidate that features see.
-FINDINGS, TREES, DEPTH, LONGEST = 6000, 40, 9, 400
+#: Labelled findings that the forest is grown from, its trees and depth.
+FINDINGS, TREES, DEPTH = 6000, 40, 9
 #: Score from which a candidate is a secret.
 LEAST = 0.5
 #: Characters on either side that count as neighbourhood.
@@ -42,6 +41,8 @@ AROUND = 48
 
 _RUN = re.compile(r"[A-Za-z0-9_+/\-]{16,}(?:\.[A-Za-z0-9_+/\-]{8,}){0,2}={0,2}")
 _VALUE = re.compile(r"[=:][ \t]{0,3}[\"'`]?([^\s\"'`,;<>()\[\]{}|]{6,})")
+#: A sign that a value follows; values may hold further signs.
+_SIGN = re.compile(r"[=:](?=[ \t]{0,3}[\"'`]?[^\s\"'`,;<>()\[\]{}|]{6})")
 _KEY = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----.*?(?:-----END \1-----|\Z)", re.S)
 _DIGIT = re.compile(r"\d")
 #: What an assignment's value may be called.
@@ -96,9 +97,12 @@ def candidates(text: str) -> list[Finding]:
     for m in _RUN.finditer(text):
         if _DIGIT.search(text, *m.span()):
             spans.append((*m.span(), "token"))
-    for m in _VALUE.finditer(text):
-        if _NAME.search(text[max(0, m.start() - 32) : m.start()].rpartition("\n")[2]):
-            spans.append((*m.span(1), "assignment"))
+    taken = 0
+    for m in _SIGN.finditer(text):
+        # what stands inside a value that is taken ends with it
+        if m.end() >= taken and _NAME.search(text[max(0, m.start() - 32) : m.start()].rpartition("\n")[2]):
+            a, taken = _VALUE.match(text, m.start()).span(1)
+            spans.append((a, taken, "assignment"))
     found, end = [], -1
     for a, b, kind in sorted(spans, key=lambda s: (s[0], -s[1])):
         if a >= end:
@@ -132,7 +136,7 @@ def _class(c: str) -> int:
 
 
 def features(finding: Finding, path: str) -> list[float]:
-    value = finding.value[:LONGEST]
+    value = finding.value
     n = max(1, len(value))
     kinds = [_class(c) for c in value]
     share = [kinds.count(k) / n for k in range(4)]

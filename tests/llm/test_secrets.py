@@ -54,3 +54,27 @@ def test_candidates_are_whole_and_apart():
     found = secrets.candidates(f"key={long} other")
     assert [(f.start, f.end) for f in found] == [(4, 10004)]
     assert secrets.candidates("secret: aaa_bbb_ccc_ddd_1eee=ff/gg") and not secrets.candidates("")
+
+
+@pytest.mark.parametrize(
+    "text,value",
+    [
+        ("GET https://host.io/v1?api_key=h7Kq2Lz9Wd", "h7Kq2Lz9Wd"),
+        ("dsn: postgres://bob:hunter2xyz!@db/x?password=S3cr!t9x", "S3cr!t9x"),
+        ('{"db":"password=Secr3t!x"}', "Secr3t!x"),
+        ("a=b=c:token=abc123!", "abc123!"),
+    ],
+)
+def test_assignments_inside_other_values(text, value):
+    assert value in [f.value for f in secrets.candidates(text)]
+
+
+def test_features_see_the_whole_candidate():
+    head, one, two = "a1" * 300, "Zq9_" * 30, "pass" * 30
+    features = [secrets.features(secrets.Finding(0, 720, "token", head + tail, "", ""), "") for tail in (one, two)]
+    assert features[0] != features[1]
+
+
+def test_many_signs_take_linear_time():
+    (found,) = secrets.candidates("token=" * 100000)
+    assert (found.start, found.end) == (6, 600000)
