@@ -6,9 +6,12 @@ ratios are smoothed with a Gaussian over the neighbouring lines, and two-means
 clustering of the smoothed ratios gives the threshold. A region (an article, or
 else the nearest division) is content when one of its lines reaches the
 threshold before and after smoothing, and then all of its lines are taken, so that short paragraphs stay.
+Inside it, a part (a division, list or table) without such a line is left out if most of its text is links.
 Elements that are never article text (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments) are left out with all
-they hold. If the page marks an article, only articles are regions.
+they hold. If the page marks an article, only articles are regions. An article
+is not noise for standing in a form; in a menu, sidebar or footer it is read only
+if the page has no other text, and among reader comments never.
 
 A page is worked on alone, in the task that reads it, and whole. Null or empty
 html gives an empty text; unclosed and misplaced tags are closed by their
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -39,6 +43,8 @@ _NOISE = frozenset(
 )
 _ARTICLE = frozenset(("article", "main"))
 _REGION = frozenset("article main section div td body".split())
+#: What divides an article into parts.
+_PART = frozenset("article section div ul ol dl table".split())
 #: A start tag that ends an open element of the second kind.
 _CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dd", ("dl",)), "dd": ("dt", ("dl",)), "tr": ("tr", ("table",)), "td": ("td", ("tr",)), "th": ("td", ("tr",)), "option": ("option", ("select",))}
 #: Words of class, id and role that mark an element as noise.
@@ -49,6 +55,9 @@ _MARKS = frozenset(
     "disqus discussion replies reply respond menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager masthead "
     "header footer search searchbox skip toolbar complementary contentinfo dialog".split()
 )
+#: Of these, the words of reader comments, and words beside them that tell of a page's settings.
+_COMMENTS = frozenset("comment comments commentlist disqus discussion replies reply respond".split())
+_SETTINGS = frozenset("no has with without open closed enabled disabled allow count".split())
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 #: Standard deviation of the smoothing, in lines, and its weights.
 SIGMA = 1.0
@@ -67,26 +76,44 @@ def _marked(attrs: list[tuple[str, str | None]]) -> bool:
     return False
 
 
+def _comments(attrs: list[tuple[str, str | None]]) -> bool:
+    for name, value in attrs:
+        if value and name in ("class", "id"):
+            for word in value.split():
+                parts = [p.lower() for p in _WORD.findall(word)]
+                if parts and (parts[0] in _COMMENTS or parts[-1] in _COMMENTS) and not _SETTINGS.intersection(parts):
+                    return True
+    return False
+
+
 class LineReader(HTMLParser):
-    """Collects lines: text, number of tags, region, whether it is noise."""
+    """Collects lines: text, number of tags, region, whether it is noise, part, characters but blanks, those in links.
+
+    lenient: articles are read in menus, sidebars and footers, too.
+    """
 
-    def __init__(self):
+    def __init__(self, lenient: bool = False):
         super().__init__(convert_charrefs=True)
+        self.holders = ("template", "noscript") if lenient else ("nav", "footer", "aside", "template", "noscript")
+        self.comments_at = self.link_at = -1  # depths of the outermost element of comments and of an open link
+        self.parts: list[tuple[int, int]] = [(-1, 0)]  # (depth, number)
+        self.n_parts = self.chars = self.linked = 0
         self.open: list[str] = []
         self.noise_at = -1  # depth of the outermost noise element
         self.regions: list[tuple[int, int]] = [(-1, 0)]  # (depth, number)
         self.article_at = -1
         self.made = 0
         self.articles: set[int] = set()
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, bool, int, int, int]] = []
         self.pieces: list[str] = []
         self.tags = 0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.pieces).split()) if self.pieces else ""
         if text:
-            self.lines.append((text, self.tags, self.regions[-1][1], self.noise_at >= 0))
+            self.lines.append((text, self.tags, self.regions[-1][1], self.noise_at >= 0, self.parts[-1][1], self.chars, self.linked))
             self.tags = 0
+        self.chars = self.linked = 0
         self.pieces.clear()
 
     def pop_to(self, depth: int) -> None:
@@ -95,8 +122,13 @@ class LineReader(HTMLParser):
             self.noise_at = -1
         if self.article_at >= depth:
             self.article_at = -1
-        while self.regions[-1][0] >= depth:
-            self.regions.pop()
+        if self.comments_at >= depth:
+            self.comments_at = -1
+        if self.link_at >= depth:
+            self.link_at = -1
+        for inside in (self.regions, self.parts):
+            while inside[-1][0] >= depth:
+                inside.pop()
 
     def close_open(self, tag: str, stops: tuple[str, ...]) -> None:
         for depth in range(len(self.open) - 1, -1, -1):
@@ -119,8 +151,15 @@ class LineReader(HTMLParser):
                 self.close_open(*_CLOSES[tag])
         if tag in _VOID:
             return
-        if tag in _ARTICLE and self.noise_at >= 0 and self.open[self.noise_at] not in ("nav", "footer", "aside", "form", "template", "noscript"):
-            self.noise_at = -1  # what held it was never closed
+        if tag in _ARTICLE and self.noise_at >= 0 and self.comments_at < 0 and not any(t in self.holders for t in self.open[self.noise_at :]):
+            self.noise_at = -1  # what held it was never closed, or is a form around the page
+        if self.comments_at < 0 and attrs and tag not in ("html", "body", "article", "main") and _comments(attrs):
+            self.comments_at = len(self.open)
+        if tag == "a" and self.link_at < 0:
+            self.link_at = len(self.open)
+        if tag in _PART:
+            self.n_parts += 1
+            self.parts.append((len(self.open), self.n_parts))
         if self.noise_at < 0 and (tag in _NOISE or (tag not in ("html", "body", "article", "main") and attrs and _marked(attrs)) or (tag == "header" and self.article_at < 0)):
             self.noise_at = len(self.open)
         if tag in _REGION and self.article_at < 0 and self.noise_at < 0:
@@ -146,6 +185,9 @@ class LineReader(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        n = sum(map(len, data.split()))
+        self.chars += n
+        self.linked += n if self.link_at >= 0 else 0
         self.pieces.append(data if self.noise_at < 0 or self.open[self.noise_at] not in ("head", "script", "style") else "")
 
     def unknown_decl(self, data: str) -> None:
@@ -184,23 +226,31 @@ def extract(html: str | None) -> str:
     """Main text of one page."""
     if not html:
         return ""
-    reader = LineReader()
-    reader.feed(html)
-    reader.close()
-    reader.end_line()
-    lines = reader.lines
-    own = [i for i, (_, _, region, noise) in enumerate(lines) if not noise and (region in reader.articles or not reader.articles)]
-    if not own:
-        return ""
-    if len({lines[i][2] for i in own}) > 1:
-        ratios = [len(text) / max(1, tags) for text, tags, _, _ in lines]
-        score = smoothed(ratios)
-        cut = threshold(score)
-        # a line with a low ratio of its own is not lifted into content by its neighbours alone
-        content = {lines[i][2] for i in own if score[i] >= cut and ratios[i] >= cut} or {lines[max(own, key=score.__getitem__)][2]}
+    for lenient in (False, True):
+        reader = LineReader(lenient)
+        reader.feed(html)
+        reader.close()
+        reader.end_line()
+        lines = reader.lines
+        own = [i for i, line in enumerate(lines) if not line[3] and (line[2] in reader.articles or not reader.articles)]
+        if own:
+            break
     else:
-        content = {lines[own[0]][2]}
-    return " ".join(lines[i][0] for i in own if lines[i][2] in content)
+        return ""
+    ratios = [len(line[0]) / max(1, line[1]) for line in lines]
+    score = smoothed(ratios)
+    cut = threshold(score)
+    # a line with a low ratio of its own is not lifted into content by its neighbours alone
+    high = [i for i in own if score[i] >= cut and ratios[i] >= cut]
+    content = {lines[i][2] for i in high} or {lines[max(own, key=score.__getitem__)][2]}
+    own = [i for i in own if lines[i][2] in content]
+    if reader.articles:
+        kept, chars, linked = {lines[i][4] for i in high}, Counter(), Counter()
+        for i in own:
+            chars[lines[i][4]] += lines[i][5]
+            linked[lines[i][4]] += lines[i][6]
+        own = [i for i in own if lines[i][4] in kept or 2 * linked[lines[i][4]] < chars[lines[i][4]]] or own
+    return " ".join(lines[i][0] for i in own)
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -33,3 +33,26 @@ def test_table(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     assert sorted(map(str, map(tuple, extract_pages(pages).collect()))) == sorted(map(str, [(1, "u", "é a", 3), (1, "u", "é a", 3), (2, None, "", 0), (None, "v", "", 0)]))
     assert extract_pages(pages.limit(0)).count() == 0
+
+
+LONG = "plain words of a paragraph that goes on for quite a while, and then some more of it. " * 3
+
+
+def test_low_parts_of_links_inside_the_article():
+    links = "".join(f"<li><a href=/{k}>Story {k}</a></li>" for k in range(8))
+    page = f"<body><article><h1>Title</h1><p>{LONG}</p><div><a>Tweet</a> <a>Pin</a></div><p>Short.</p><ul><li>one<li>two <a>x</a></ul><p>{LONG}</p><ul>{links}</ul></article></body>"
+    assert extract(page) == f"Title {LONG}Short. one two x {LONG}".strip()
+
+
+def test_comments_stay_noise():
+    comments = "".join(f"<article><p>{LONG}</p></article>" for _ in range(3))
+    for mark in ("class=comments", 'id="post-comments"'):
+        assert extract(f"<body><article><p>Main. {LONG}</p></article><section {mark}>{comments}</section></body>") == f"Main. {LONG}".strip()
+        assert extract(f"<body><div><p>Main. {LONG}</p></div><section {mark}>{comments}</section></body>") == f"Main. {LONG}".strip()
+
+
+def test_articles_in_forms_menus_and_sidebars():
+    assert extract("<form><div>a</div><article><p>kept</p></article></form>") == "kept"
+    for tag in ("nav", "aside"):
+        assert extract(f"<{tag}><a>x</a><article><p>kept</p></article>") == "kept"
+        assert extract(f"<article><p>main</p></article><{tag}><article><p>teaser</p></article></{tag}>") == "main"
