@@ -6,10 +6,12 @@ a date such as ``0000-01-01`` survives; text order is time order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from talelake.functions.text import now_text
+
 #: Name → DDL of the columns.
 TABLES: dict[str, str] = {
     "universes": "id string, name string, description string, cover_image string, created_at string, updated_at string",
@@ -34,11 +36,24 @@ SYNCED = (
     "universes stories books chapters entities entity_attributes entity_templates relations mentions timeline_events planning_items attachments"
 ).split()
 
-#: Columns that may be null; all others are '' or 0 where nothing is given.
-NULLABLE = {("planning_items", "chapter_id"), ("timeline_events", "entity_id"), ("sync_conflicts", "resolved_at")}
+#: Columns that may be null; all others have a value where nothing is given.
+NULLABLE = {("planning_items", "chapter_id"), ("timeline_events", "entity_id")}
+
+# fixed values: what a new row has where nothing is given; times are the moment of writing, all other columns '' or 0
+DEFAULTS = {
+    ("chapters", "status"): "IDEIA",
+    ("chapters", "canon_status"): "CANON",
+    ("entities", "canon_status"): "CANON",
+    ("relations", "type"): "custom",
+    ("relations", "importance"): "normal",
+    ("timeline_events", "event_type"): "MARCO",
+    ("planning_items", "status"): "IDEIAS",
+}
+#: Columns that have the moment of writing where nothing is given.
+TIMES = ("created_at", "updated_at")
 
 # fixed values
-PLANNING_STATUSES = ["IDEIAS", "PLANEJADO", "ESCREVENDO", "REVISAO", "CONCLUIDO"]
+PLANNING_STATUSES = ["IDEIAS", "PLANEJADO", "ESCREVENDO", "REVISAO", "FINALIZADO"]
 DEFAULT_ATTRIBUTES = {
     "Personagem": ["Idade", "Nascimento", "Cidade natal", "Localização atual", "Nacionalidade", "Ocupação", "Arco do personagem", "Personalidade", "Qualidades", "Defeitos", "Motivações e objetivos", "Background", "Família", "Observação"],
     "Lugar": ["Tipo", "População", "Governo", "Governante", "Clima"],
@@ -67,14 +82,21 @@ def schema(table: str) -> T.StructType:
     return T.StructType.fromDDL(TABLES[table])
 
 
-def with_defaults(df: DataFrame, table: str) -> DataFrame:
-    """df with all of the table's columns: absent and null ones get '' or 0 unless null is allowed."""
+def default(table: str, field: T.StructField, now: str | None = None) -> Column:
+    """What a new row has in a column that it does not give."""
+    if (table, field.name) in NULLABLE:
+        return F.lit(None).cast(field.dataType)
+    if field.name in TIMES:
+        return F.lit(now) if now is not None else now_text()
+    return F.lit(DEFAULTS.get((table, field.name), "" if isinstance(field.dataType, T.StringType) else 0)).cast(field.dataType)
+
+
+def with_defaults(df: DataFrame, table: str, now: str | None = None) -> DataFrame:
+    """df with all of the table's columns: absent and null ones get their default unless null is allowed."""
     out = []
     for field in schema(table):
         value = F.col(field.name).cast(field.dataType) if field.name in df.columns else F.lit(None).cast(field.dataType)
-        if (table, field.name) not in NULLABLE:
-            value = F.coalesce(value, F.lit("" if isinstance(field.dataType, T.StringType) else 0).cast(field.dataType))
-        out.append(value.alias(field.name))
+        out.append(F.coalesce(value, default(table, field, now)).alias(field.name))
     return df.select(*out)
 
 
@@ -89,7 +111,7 @@ def default_attributes(spark: SparkSession) -> DataFrame:
 
 
 def relation_labels(spark: SparkSession) -> DataFrame:
-    """category, label, bidirectional of the predefined relations."""
+    """category, label, bidirectional of the predefined relations (a few dozen rows)."""
     return spark.createDataFrame([(c, *r) for c, rows in PREDEFINED_RELATIONS.items() for r in rows], "category string, label string, bidirectional boolean")
 
 

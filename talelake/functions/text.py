@@ -18,6 +18,8 @@ _MARKS = {c: None for c in range(0x300, 0x370)}
 _PARAGRAPHS = frozenset(("p", "blockquote", "h1", "h2", "h3", "li"))
 _ALLOWED = frozenset("p br blockquote h1 h2 h3 h4 ul ol li strong b em i u s hr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# fixed values: bytes of an image, files of one upload
+IMAGE_BYTES, UPLOAD_FILES = 8 * 1024 * 1024, 12
 # fixed values: patterns that decide what counts as what
 _DIALOGUE = r'^[—–\-]|[“”"]|\b(disse|perguntou|respondeu|sussurrou|gritou|falou)\b'
 _BLOCK_TAGS = r"(?i)<(?:p|h[1-6]|ul|ol|li|blockquote|img|hr|div|br)\b"
@@ -140,15 +142,25 @@ def from_base64url(text: Column) -> Column:
     return F.unbase64(F.translate(text, "-_", "+/"))
 
 
+def is_pairing_code(code: Column) -> Column:
+    """Whether what was typed is a code of six digits."""
+    return F.coalesce(trim(code).rlike("^[0-9]{6}$"), F.lit(False))
+
+
+def pairs_with(code: Column, expected: Column) -> Column:
+    """Whether the code that was typed is the one that a device shows."""
+    return is_pairing_code(code) & F.coalesce(trim(code) == expected, F.lit(False))
+
+
 def is_image_url(text: Column) -> Column:
     """A data URL of an image that a viewer may show."""
     return F.coalesce(text.rlike(_IMAGE_URL), F.lit(False))
 
 
 def image_url(mime: Column, content: Column) -> Column:
-    """Data URL of a file's bytes; null if it is no image or larger than 8 MB."""
+    """Data URL of a file's bytes; null if it is no image or larger than IMAGE_BYTES."""
     encoded = F.regexp_replace(F.base64(content), r"[\r\n]", "")
-    return F.when(mime.startswith("image/") & (F.length(content) <= 8 * 1024 * 1024), F.concat(F.lit("data:"), mime, F.lit(";base64,"), encoded))
+    return F.when(mime.startswith("image/") & (F.length(content) <= IMAGE_BYTES), F.concat(F.lit("data:"), mime, F.lit(";base64,"), encoded))
 
 
 class _Tree(HTMLParser):
@@ -224,12 +236,11 @@ def html_paragraphs(html: pd.Series) -> pd.Series:
 
 
 def sanitise(html: str | None) -> str:
-    """Only allowed elements without attributes; others are unwrapped and their texts stay."""
+    """Only allowed elements without attributes; others are unwrapped and their texts stay. The whole text is read."""
     from html import escape
 
     if not html:
         return ""
-    html = html[:2_000_000]
     tree, out = _Tree(html), []
     todo: list[tuple[str | None, object]] = [(None, iter(tree.root[1]))]
     while todo:

@@ -43,6 +43,20 @@ def patch(current: DataFrame, patches: DataFrame, now: str, key: str = "id") ->
     return joined.select(*out)
 
 
+def set_columns(current: DataFrame, values: DataFrame, now: str | None = None) -> DataFrame:
+    """Sets the columns that ``values`` has beside its id, one row for each id; also null ones. now: what ``updated_at`` becomes, if anything."""
+    given = [c for c in values.columns if c != "id"]
+    joined = current.join(values.select("id", F.struct(*given).alias("_new")), "id", "left")
+    hit = F.col("_new").isNotNull()
+
+    def value(field):
+        if field.name in given:
+            return F.when(hit, F.col(f"_new.{field.name}").cast(field.dataType)).otherwise(F.col(field.name))
+        return F.when(hit, F.lit(now)).otherwise(F.col(field.name)) if field.name == "updated_at" and now is not None else F.col(field.name)
+
+    return joined.select(*(value(f).alias(f.name) for f in current.schema))
+
+
 def reorder(current: DataFrame, order: DataFrame, parent: str) -> DataFrame:
     """Sets sort_order by place in a list, only of rows of the list's parent. order: parent, ids (array)."""
     places = order.select(F.col(parent), F.posexplode("ids").alias("_place", "id"))
@@ -60,6 +74,11 @@ def set_attributes(attributes: DataFrame, values: DataFrame) -> DataFrame:
     return changed.unionByName(fresh.select(*attributes.columns))
 
 
+def set_sheet(entities: DataFrame, attributes: DataFrame, values: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+    """Entities and attributes after a sheet was saved: the entities of changed attributes get ``updated_at``."""
+    return touch(entities, values.select(F.col("entity_id").alias("id")), now), set_attributes(attributes, values)
+
+
 def touch(rows: DataFrame, ids: DataFrame, now: str) -> DataFrame:
     """Sets updated_at of the given ids."""
     joined = rows.join(ids.select("id").distinct().withColumn("_hit", F.lit(True)), "id", "left")
@@ -92,8 +111,8 @@ CASCADES = [
 ]
 #: References that become null with their parent.
 CLEARED = [("planning_items", "chapter_id", "chapters"), ("timeline_events", "entity_id", "entities")]
-#: Kinds of owners of attachments.
-OWNERS = {"universe": "universes", "entity": "entities"}
+#: Kinds of owners whose attachments go with them; a universe's go by their own universe_id.
+OWNERS = {"entity": "entities", "chapter": "chapters"}
 
 
 def cascade_delete(tables: dict[str, DataFrame], table: str, ids: DataFrame) -> dict[str, DataFrame]:

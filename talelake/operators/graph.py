@@ -53,8 +53,32 @@ def nodes(entities: DataFrame) -> DataFrame:
     )
 
 
+def graph_nodes(entities: DataFrame) -> DataFrame:
+    """Entities as the graph's nodes."""
+    return entities.select("id", "name", "type", "image", "canon_status", "description")
+
+
 def edges(relations: DataFrame) -> DataFrame:
-    return relations.select("id", F.col("source_id").alias("source"), F.col("target_id").alias("target"), "type", "label", F.col("bidirectional").cast("boolean"))
+    """Relations as the graph's edges."""
+    return relations.select("id", F.col("source_id").alias("source"), F.col("target_id").alias("target"), "label", "bidirectional", "importance")
+
+
+def whole_graph(entities: DataFrame, relations: DataFrame, universe_id: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a universe."""
+    mine = F.col("universe_id") == universe_id
+    return graph_nodes(entities.where(mine)), edges(relations.where(mine))
+
+
+def new_relations(asked: DataFrame) -> DataFrame:
+    """Of the relations that were asked for, those that may be made: both ends are given and differ."""
+    return asked.where((F.coalesce("source_id", F.lit("")) != "") & (F.coalesce("target_id", F.lit("")) != "") & (F.col("source_id") != F.col("target_id")))
+
+
+def closed_neighbourhood(entities: DataFrame, relations: DataFrame, focal: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The focal nodes with their neighbours, and the edges that meet a focal node."""
+    touching = relations_of(relations, focal).drop("entity_id").dropDuplicates(["id"])
+    ends = touching.select(F.col("source_id").alias("id")).union(touching.select("target_id")).union(focal.select("id")).distinct()
+    return entities.join(ends, "id", "left_semi"), touching
 
 
 def induced(relations: DataFrame, visible: DataFrame) -> DataFrame:

@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talelake.functions.text import html_paragraphs, is_dialogue, mentions, normalise
+from talelake.plans.lineage import cut
+
+
+#: Names, and bytes of them, up to which they are broadcast; more are joined by key.
+NAMES, NAME_BYTES = 1 << 17, 1 << 24
 
 
 def find_mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
@@ -14,20 +19,23 @@ def find_mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
     texts: text_id, text; names: entity_id, name. A match begins and ends at
     boundaries, so the name's first word of [a-z0-9] is a whole word of the text:
     both sides are joined on it, and each text is then compared once with the longer
-    names that it may hold. Names without such a word are joined on their first character. A word or character that very many texts
-    share makes an uneven join, which adaptive execution splits.
+    names that it may hold. Names without such a word are joined on their first
+    character. Texts are normalised once and written. A list of names that is
+    measured to be small is broadcast, so that no word of a text is shuffled.
     """
     known = names.select("entity_id", normalise("name").alias("name")).where(F.length("name") >= 2)
     known = known.withColumn("word", F.regexp_extract("name", "[a-z0-9]+", 0))
-    known = known.withColumn("key", F.when(F.col("word") != "", F.col("word")).otherwise(F.substring("name", 1, 1)))
-    words = texts.select("text_id", normalise("text").alias("text"))
+    known = cut(known.withColumn("key", F.when(F.col("word") != "", F.col("word")).otherwise(F.substring("name", 1, 1))))
+    n, size, signs_wanted = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("name")), F.lit(0)), F.count_if(F.col("word") == "")).first()
+    listed = F.broadcast(known) if n <= NAMES and size <= NAME_BYTES else known
+    words = cut(texts.select("text_id", normalise("text").alias("text")))
     # only ids and words go through the join; a name that is one word needs no more
-    whole = words.select("text_id", F.explode(F.array_distinct(F.split("text", "[^a-z0-9]+"))).alias("key")).where("key <> ''")
-    signs = words.where(F.rlike("text", F.lit("[^a-z0-9\\s]"))).select("text_id", F.explode(F.array_distinct(F.split(F.regexp_replace("text", "[a-z0-9]+", ""), ""))).alias("key"))
-    by_word = whole.join(known.where("word <> ''"), "key")
-    by_sign = signs.join(known.where("word = ''"), "key")
-    exact = by_word.where("name = word").select("text_id", "entity_id")
-    longer = by_word.where("name <> word").unionByName(by_sign).groupBy("text_id").agg(F.collect_set(F.struct("entity_id", "name")).alias("names"))
+    found = words.select("text_id", F.explode(F.array_distinct(F.split("text", "[^a-z0-9]+"))).alias("key")).where("key <> ''").join(listed.where("word <> ''"), "key")
+    if signs_wanted:
+        signs = words.where(F.rlike("text", F.lit("[^a-z0-9\\s]"))).select("text_id", F.explode(F.array_distinct(F.split(F.regexp_replace("text", "[a-z0-9]+", ""), ""))).alias("key"))
+        found = found.unionByName(signs.join(listed.where("word = ''"), "key"))
+    exact = found.where("name = word").select("text_id", "entity_id")
+    longer = found.where("name <> word").groupBy("text_id").agg(F.collect_set(F.struct("entity_id", "name")).alias("names"))
     checked = words.join(longer, "text_id").select("text_id", F.filter("names", lambda n: mentions(F.col("text"), n["name"])).alias("names"))
     return exact.unionByName(checked.select("text_id", F.explode("names").alias("n")).select("text_id", "n.entity_id")).distinct()
 
@@ -52,27 +60,39 @@ def first_occurrences(told: DataFrame) -> DataFrame:
 
 
 def insights(content: DataFrame, characters: DataFrame, told: DataFrame) -> DataFrame:
-    """Characters that a text mentions or that occur anywhere.
+    """The characters that each text mentions.
 
-    content: text_id, html; characters: entity_id, name. Returns text_id,
-    entity_id, mentioned, snippets (the first three paragraphs of dialogue) and
-    the first chapter of each pair of text and character.
+    content: text_id, html; characters: entity_id, name; told: occurrences. Returns
+    text_id, entity_id, snippets (the first three paragraphs of dialogue) and the
+    character's first chapter, null without any. Characters that only occur elsewhere
+    are the same for every text: ``first_occurrences`` has them, ``text_insights`` puts
+    both together for one text.
     """
-    blocks = content.select("text_id", F.posexplode(html_paragraphs("html")).alias("pos", "paragraph"))
-    block_id = F.concat_ws(" ", F.col("pos").cast("string"), F.col("text_id").cast("string"))
-    keyed = blocks.withColumn("block", block_id)
-    pairs = find_mentions(keyed.select(F.col("block").alias("text_id"), F.col("paragraph").alias("text")), characters).withColumnRenamed("text_id", "block")
-    full = pairs.join(keyed, "block").join(characters, "entity_id")
+    blocks = cut(content.select("text_id", F.posexplode(html_paragraphs("html")).alias("pos", "paragraph")))
+    keyed = blocks.select(F.struct("text_id", "pos").alias("text_id"), F.col("paragraph").alias("text"))
+    pairs = find_mentions(keyed, characters).select("text_id.text_id", "text_id.pos", "entity_id")
+    full = pairs.join(blocks, ["text_id", "pos"]).join(characters, "entity_id")
     full = full.withColumn("spoken", is_dialogue(normalise("paragraph"), normalise("name")))
-    spoken = F.array_sort(F.collect_list(F.when(F.col("spoken"), F.struct("pos", "paragraph"))))
-    here = full.groupBy("text_id", "entity_id").agg(F.slice(F.transform(spoken, lambda s: s["paragraph"]), 1, 3).alias("snippets"))
+    # the three smallest are kept on the way, so that no list grows with a text
+    spoken = F.when(F.col("spoken"), F.col("pos"))
+    ranked = full.withColumn("_k", F.when(F.col("spoken"), F.row_number().over(Window.partitionBy("text_id", "entity_id", F.col("spoken")).orderBy("pos"))))
+    kept = F.collect_list(F.when(F.col("_k") <= 3, F.struct(spoken.alias("pos"), "paragraph")))
+    here = ranked.groupBy("text_id", "entity_id").agg(F.transform(F.array_sort(kept), lambda s: s["paragraph"]).alias("snippets"))
     first = first_occurrences(told).select("entity_id", F.col("chapter_id").alias("first_chapter"))
-    everywhere = first.join(characters.select("entity_id"), "entity_id", "left_semi")
-    ids = content.select("text_id").distinct()
-    grid = here.select("text_id", "entity_id").unionByName(ids.join(everywhere.select("entity_id"), how="cross")).distinct()
-    return grid.join(here, ["text_id", "entity_id"], "left").join(everywhere, "entity_id", "left").select(
-        "text_id", "entity_id", F.col("snippets").isNotNull().alias("mentioned"), F.coalesce("snippets", F.array().cast("array<string>")).alias("snippets"), "first_chapter"
-    )
+    return here.join(first, "entity_id", "left").select("text_id", "entity_id", "snippets", "first_chapter")
+
+
+def text_insights(content: DataFrame, characters: DataFrame, told: DataFrame) -> DataFrame:
+    """entity_id, mentioned, snippets, first_chapter of one text's characters: those that it mentions or that occur anywhere. content: one row."""
+    here = insights(content, characters, told).select("entity_id", "snippets")
+    first = first_occurrences(told).join(characters.select("entity_id"), "entity_id", "left_semi").select("entity_id", F.col("chapter_id").alias("first_chapter"))
+    both = here.join(first, "entity_id", "full_outer")
+    return both.select("entity_id", F.col("snippets").isNotNull().alias("mentioned"), F.coalesce("snippets", F.array().cast("array<string>")).alias("snippets"), "first_chapter")
+
+
+def rebuild_mentions(chapters: DataFrame, entities: DataFrame, current: DataFrame, now: str) -> DataFrame:
+    """The mention table after the given chapters (all of them, or those of a batch of saves) were read anew."""
+    return sync_mentions(current, mention_index(chapters, entities), chapters.select(F.col("id").alias("chapter_id")), now)
 
 
 def sync_mentions(current: DataFrame, wanted: DataFrame, chapters: DataFrame, now: str) -> DataFrame:

@@ -1,19 +1,23 @@
 """Last-writer-wins merge of a remote snapshot into local tables.
 
-Rows are decided set-wise: one full-outer join by id for each table. A row whose
-keys include ``updated_at`` wins only if it is later as text; one without it
-always wins. A chapter of equal time and other content is a conflict and leaves
-the local row as it is.
+A snapshot's rows count in their order, so that an id that comes more than once is
+applied step by step; windows over each id, in order, give every row the state that
+it meets. A row whose keys include ``updated_at`` is applied only if it is later, as
+text, than what is there; one without it always is. A chapter of equal time and other
+content is a conflict and changes nothing. A new row has the tables' defaults where it
+gives nothing.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from talelake.functions.schemas import SYNCED, schema
+from talelake.functions.schemas import SYNCED, default, schema
+from talelake.operators import changes
+from talelake.sources import snapshots
 
 #: Foreign keys: table → (column, parent table), null values excepted.
 PARENTS = {
@@ -29,101 +33,110 @@ PARENTS = {
     "planning_items": [("universe_id", "universes"), ("chapter_id", "chapters")],
     "attachments": [("universe_id", "universes")],
 }
+#: Columns that a snapshot's rows may have beside their values: place in the snapshot, and the keys that the row has.
+PLACE, KEYS = "_pos", "_keys"
 
 
-def last_of_each(remote: DataFrame, table: str, position: str = "_pos") -> DataFrame:
-    """One row for each id of a snapshot, as if its rows had come one after the other.
-
-    With times the latest row wins, the first of equally late ones; without, the
-    last. ``_rival`` tells that a chapter has equally late rows of other content.
-    """
-    if "updated_at" in remote.columns:
-        order = [F.desc("updated_at"), F.col(position)]
-    else:
-        order = [F.desc(position)]
-    ranked = remote.withColumn("_k", F.row_number().over(Window.partitionBy("id").orderBy(*order)))
-    if table == "chapters" and {"updated_at", "content"} <= set(remote.columns):
-        same_time = Window.partitionBy("id", "updated_at")
-        ranked = ranked.withColumn("_rival", F.min("content").over(same_time) != F.max("content").over(same_time))
-    return ranked.where("_k = 1").drop("_k")
+def _has(name: str) -> Column:
+    return F.array_contains("keys", name)
 
 
-def classify(local: DataFrame, remote: DataFrame, table: str, columns: list[str] | None = None) -> DataFrame:
-    """id, outcome (insert, update, conflict, kept, local) and both rows as structs l and r.
+def merge_steps(local: DataFrame, remote: DataFrame, table: str, now: str) -> DataFrame:
+    """id, pos, outcome, last, o and n: each row of the snapshot with the table's row before and after it.
 
-    remote: at most one row for each id, with the columns that the snapshot has.
+    outcome: insert, update, conflict, kept, or local for a row that the snapshot
+    lacks (pos -1). ``last`` marks the id's last step, whose n is in the merged table;
+    o is null before an insert. remote may have ``_pos`` (rows without it have no
+    order, and ids then come once) and ``_keys``; without that, its columns are its keys.
     """
-    timed, has_content = "updated_at" in remote.columns, table == "chapters" and "content" in remote.columns
-    mine = local.select("id", F.struct(*local.columns).alias("l"))
-    # a row without an id is no row
-    theirs = remote.where(F.col("id").isNotNull()).select("id", F.struct(*remote.columns).alias("r"))
-    outcome = F.when(F.col("r").isNull(), "local").when(F.col("l").isNull(), "insert")
-    if timed and has_content:
-        outcome = outcome.when((F.col("l.updated_at") == F.col("r.updated_at")) & (F.col("l.content") != F.col("r.content")), "conflict")
-    if timed:
-        # a row that has the key but no value is never later
-        outcome = outcome.when(F.coalesce(F.col("r.updated_at") > F.col("l.updated_at"), F.lit(False)), "update").otherwise("kept")
-    else:
-        outcome = outcome.otherwise("update")
-    return mine.join(theirs, "id", "full_outer").select("id", outcome.alias("outcome"), "l", "r")
-
-
-def _merged_value(name: str, remote_columns: list[str], default: Column, kind) -> Column:
-    mine, theirs = F.col(f"l.{name}"), F.col(f"r.{name}") if name in remote_columns else None
-    if theirs is None:
-        taken = F.when(F.col("outcome") == "insert", default).otherwise(mine)
-        return taken.cast(kind).alias(name)
-    return F.when(F.col("outcome").isin("insert", "update"), theirs).otherwise(mine).cast(kind).alias(name)
-
-
-def merge_table(local: DataFrame, remote: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
-    """The merged table, and the classified rows."""
-    rows = classify(local, last_of_each(remote, table) if "_pos" in remote.columns else remote, table)
     fields = [f for f in schema(table) if f.name in local.columns]
-    theirs = [c for c in remote.columns if not c.startswith("_")]
-    out = []
-    for f in fields:
-        default = F.lit("" if f.dataType.simpleString() == "string" else 0).cast(f.dataType)
-        out.append(_merged_value(f.name, theirs, default, f.dataType))
-    return rows.select(*out), rows
+    given = [c for c in remote.columns if c not in (PLACE, KEYS)]
 
+    def values(columns):
+        return F.struct(*((F.col(f.name) if f.name in columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields)).alias("v")
 
-def conflict_rows(classified: DataFrame, now: str) -> DataFrame:
+    mine = local.select("id", F.lit(-1).cast("long").alias("pos"), F.array(*(F.lit(f.name) for f in fields)).alias("keys"), values(local.columns))
+    place = (F.col(PLACE).cast("long") if PLACE in remote.columns else F.lit(0).cast("long")).alias("pos")
+    keys = F.col(KEYS) if KEYS in remote.columns else F.array(*map(F.lit, given))
+    # a row without an id is no row
+    theirs = remote.where(F.col("id").isNotNull()).select("id", place, keys.alias("keys"), values(given))
+    by = Window.partitionBy("id").orderBy("pos")
+    past = by.rowsBetween(Window.unboundedPreceding, -1)
+    rows = mine.unionByName(theirs).withColumn("first", F.row_number().over(by) == 1)
+    is_timed = "updated_at" in local.columns
+    # the time that a row meets is the latest of the local row, of the first insert, and of the rows before it
+    timed = _has("updated_at") if is_timed else F.lit(False)
+    set_time = F.when(timed, F.col("v.updated_at")).when(F.col("first"), F.lit(now)) if is_timed else F.lit(None).cast("string")
+    rows = rows.withColumn("met", F.max(set_time).over(past)).withColumn("done", F.col("first") | ~timed | F.coalesce(set_time > F.col("met"), F.lit(False)))
+
+    def state(window, f):
+        """The field's value after the rows of the window: that of the last applied row that gives it, or the first insert's default."""
+        value = F.when(F.col("done") & _has(f.name), F.struct(F.col(f"v.{f.name}").alias("x"))).when(F.col("first"), F.struct(default(table, f, now).alias("x")))
+        return F.last(value, ignorenulls=True).over(window)["x"].alias(f.name)
+
+    through = by.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select(
+        "id", "pos", "keys", "v", "first", "met", "done",
+        F.when(~F.col("first"), F.struct(*(state(past, f) for f in fields))).alias("o"), F.struct(*(state(through, f) for f in fields)).alias("n"),
+        F.lead("pos").over(by).isNull().alias("last"),
+    )
+    clash = F.lit(False)
+    if table == "chapters" and is_timed and any(f.name == "content" for f in fields):
+
+        def text(name):
+            return F.coalesce(F.when(_has(name), F.col(f"v.{name}")), F.lit(""))
+
+        clash = ~F.col("first") & (F.col("o.updated_at") == text("updated_at")) & (F.col("o.content") != text("content"))
+    rows = rows.withColumn("clash", clash).withColumn("given", F.col("v.content") if any(f.name == "content" for f in fields) else F.lit(None).cast("string"))
+    outcome = F.when(F.col("pos") < 0, "local").when(F.col("clash"), "conflict").when(F.col("first"), "insert").when(F.col("done"), "update").otherwise("kept")
+    rows = rows.select("id", "pos", outcome.alias("outcome"), "last", "o", "n", "given")
+    return rows.where("pos >= 0 or last")
+
+
+def merge_table(local: DataFrame, remote: DataFrame, table: str, now: str) -> tuple[DataFrame, DataFrame]:
+    """The merged table, and the steps that lead to it."""
+    steps = merge_steps(local, remote, table, now)
+    return steps.where("last").select("n.*"), steps
+
+
+def conflict_rows(steps: DataFrame, now: str) -> DataFrame:
     """Conflicts of chapters as rows of the conflict table."""
-    at = F.lit(now)
-    return classified.where("outcome = 'conflict' or (outcome in ('insert', 'update') and coalesce(r._rival, false))" if _has_rival(classified) else "outcome = 'conflict'").select(
-        F.md5(F.concat_ws("|", F.lit("chapter"), "id", F.col("l.content"), F.col("r.content"))).alias("id"),
+    return steps.where("outcome = 'conflict'").select(
+        F.md5(F.concat_ws("|", F.lit("chapter"), "id", F.col("pos").cast("string"), F.col("o.content"), F.col("given"))).alias("id"),
         F.lit("chapter").alias("aggregate_type"),
         F.col("id").alias("aggregate_id"),
         F.lit("content").alias("field"),
-        F.coalesce(F.col("l.content"), F.col("r.content")).alias("local_value"),
-        F.col("r.content").alias("remote_value"),
-        at.alias("created_at"),
-        F.lit(None).cast("string").alias("resolved_at"),
+        F.col("o.content").alias("local_value"),
+        F.coalesce("given", F.lit("")).alias("remote_value"),
+        F.lit(now).alias("created_at"),
+        F.lit("").alias("resolved_at"),
     )
 
 
-def _has_rival(classified: DataFrame) -> bool:
-    return "_rival" in classified.schema["r"].dataType.names
-
-
 @dataclass
 class Merge:
-    """Result of a merge: tables, the classified rows of each, and the conflicts."""
+    """Result of a merge: tables, the steps of each, and the conflicts."""
 
     tables: dict[str, DataFrame]
-    rows: dict[str, DataFrame]
+    steps: dict[str, DataFrame]
     conflicts: DataFrame | None
 
     def counts(self) -> DataFrame:
         """table, applied, conflicts: an action for all tables at once."""
-        parts = [
-            rows.agg(F.lit(t).alias("table"), F.count_if(F.col("outcome").isin("insert", "update")).alias("applied"), F.count_if(F.col("outcome") == "conflict").alias("conflicts"))
-            for t, rows in self.rows.items()
-        ]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
+        applied, clashes = F.count_if(F.col("outcome").isin("insert", "update")), F.count_if(F.col("outcome") == "conflict")
+        return _union([steps.agg(F.lit(t).alias("table"), applied.alias("applied"), clashes.alias("conflicts")) for t, steps in self.steps.items()])
+
+    def history(self) -> dict[str, DataFrame]:
+        """What the merge adds to change_log and chapter_revisions: logs are made anew where rows arrive, they do not travel."""
+        out = {}
+        if "chapters" in self.steps:
+            pairs = self.steps["chapters"].where("outcome in ('insert', 'update')")
+            out["chapter_revisions"] = changes.revisions(pairs, "")
+            if "books" in self.tables and "stories" in self.tables:
+                out["change_log"] = changes.chapter_log(pairs, self.tables["books"], self.tables["stories"])
+        if "entities" in self.steps:
+            log = changes.entity_log(self.steps["entities"].where("outcome in ('insert', 'update')"))
+            out["change_log"] = out["change_log"].unionByName(log) if "change_log" in out else log
         return out
 
 
@@ -145,15 +158,26 @@ def merge_snapshot(local: dict[str, DataFrame], remote: dict[str, DataFrame], no
     With ``check``, a merged row without its parent fails the whole merge before
     anything is written.
     """
-    tables, rows, conflicts = dict(local), {}, None
+    tables, steps, conflicts = dict(local), {}, None
     for table in SYNCED:
         if table in local and table in remote:
-            tables[table], rows[table] = merge_table(local[table], remote[table], table)
+            tables[table], steps[table] = merge_table(local[table], remote[table], table, now)
             if table == "chapters":
-                conflicts = conflict_rows(rows[table], now)
+                conflicts = conflict_rows(steps[table], now)
     if check and (lost := orphans(tables)) is not None and (row := lost.first()) is not None:
         raise ValueError(f"{row['table']} {row['id']}: {row['column']} has no row")
-    return Merge(tables, rows, conflicts)
+    return Merge(tables, steps, conflicts)
+
+
+def merge_into(spark: SparkSession, folder: str, remote: dict[str, DataFrame], version: str, now: str) -> Merge:
+    """Merges a snapshot into a folder of versions: all tables are written as a new version, which then becomes the current one.
+
+    A failure before the last step leaves the current version as it is.
+    """
+    result = merge_snapshot(snapshots.read_tables(spark, snapshots.current_version(spark, folder)), remote, now)
+    snapshots.write_version({t: result.tables[t] for t in SYNCED}, folder, version)
+    snapshots.publish(spark, folder, version, now)
+    return result
 
 
 def exchange(a: dict[str, DataFrame], b: dict[str, DataFrame], now: str) -> tuple[Merge, Merge]:
@@ -161,3 +185,22 @@ def exchange(a: dict[str, DataFrame], b: dict[str, DataFrame], now: str) -> tupl
     at_b = merge_snapshot(b, {t: a[t] for t in SYNCED if t in a}, now)
     at_a = merge_snapshot(a, {t: at_b.tables[t] for t in SYNCED if t in at_b.tables}, now)
     return at_a, at_b
+
+
+def exchange_counts(a: dict[str, DataFrame], at_a: Merge, at_b: Merge) -> DataFrame:
+    """received, sent, conflicts of an exchange that a began: rows that came back, rows that a had, and clashes on both sides."""
+
+    def rows_of(tables, name):
+        parts = [tables[t].agg(F.count(F.lit(1)).alias("n")) for t in SYNCED if t in tables]
+        return _union(parts).agg(F.sum("n").alias(name))
+
+    clashes = _union([s.agg(F.count_if(F.col("outcome") == "conflict").alias("n")) for m in (at_a, at_b) for s in m.steps.values()]).agg(F.sum("n").alias("conflicts"))
+    # three tables of one row each
+    return rows_of(at_b.tables, "received").join(rows_of(a, "sent")).join(clashes)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -28,14 +28,20 @@ def filter_entities(entities: DataFrame, query: str) -> DataFrame:
     return entities.where(F.contains(F.lower(F.concat_ws(" ", "name", "type", "description")), F.lower(F.trim(F.lit(query)))))
 
 
+# fixed values: the sign of each kind of hit; an entity has its initial
+ICONS = {"story": "⌂", "book": "▱", "chapter": "▤", "timeline": "◷", "planning": "☑"}
+
+
 def search_source(df: DataFrame, kind: str, rank: int, fields: list, label, context, order: list) -> DataFrame:
     """One source of a search: what is searched, what a hit shows, and its own order."""
+    icon = F.lit(ICONS[kind]) if kind in ICONS else F.upper(F.substring(label, 1, 1))
     return df.select(
         F.lit(rank).alias("kind_rank"),
         F.lit(kind).alias("kind"),
         F.col("id"),
         label.alias("label"),
         context.alias("context"),
+        icon.alias("icon"),
         F.struct(*order).alias("place"),
         F.concat_ws(" ", *fields).alias("haystack"),
     )
@@ -49,13 +55,13 @@ def global_search(sources: list[DataFrame], query: str, limit: int = LIMIT) -> D
     """
     q = norm(query)
     if len(q) < SHORTEST:
-        return sources[0].select("kind_rank", "kind", "id", "label", "context").limit(0)
+        return sources[0].select("kind_rank", "kind", "id", "label", "context", "icon").limit(0)
     found = None
     for source in sources:
         hits = source.where(F.contains(normalise("haystack"), F.lit(q))).orderBy("place", "id").limit(limit)
-        hits = hits.select("kind_rank", "kind", "id", "label", "context", F.row_number().over(Window.orderBy("place", "id")).alias("pos"))
+        hits = hits.select("kind_rank", "kind", "id", "label", "context", "icon", F.row_number().over(Window.orderBy("place", "id")).alias("pos"))
         found = hits if found is None else found.unionByName(hits)
-    return found.orderBy("kind_rank", "pos").limit(limit).select("kind_rank", "kind", "id", "label", "context")
+    return found.orderBy("kind_rank", "pos").limit(limit).select("kind_rank", "kind", "id", "label", "context", "icon")
 
 
 def recent(rows: DataFrame, n: int = 8) -> DataFrame:
@@ -63,6 +69,11 @@ def recent(rows: DataFrame, n: int = 8) -> DataFrame:
     return rows.orderBy(F.desc("updated_at"), "id").limit(n)
 
 
+def sub_select(rows: DataFrame, column: str, value: str) -> DataFrame:
+    """A column of a board or a branch of a tree: the rows with one status, story, book or type."""
+    return rows.where(F.col(column) == value)
+
+
 def toggled(selected: DataFrame, clicked: DataFrame) -> DataFrame:
     """A selection of ids after some were clicked: those in it leave, the others join."""
     left = selected.select("id").distinct().join(clicked.select("id"), "id", "left_anti")

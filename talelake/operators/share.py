@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talelake.functions.text import base64url, from_base64url, trim
@@ -10,21 +10,43 @@ from talelake.functions.text import base64url, from_base64url, trim
 # fixed values: limits of plain and encrypted bundles, the choices of days, and an envelope's alphabet
 PLAIN_BYTES, CIPHER_CHARS, DAYS = 2_000_000, 2_800_000, (1, 7, 30)
 URL_TEXT = "^[A-Za-z0-9_-]+$"
+#: Bytes that JSON adds to a row of a bundle, about.
+ROW_BYTES = 64
 
 
 def bundles(universes: DataFrame, catalogue: DataFrame, entities: DataFrame, attributes: DataFrame, now: str) -> DataFrame:
-    """universe_id and document: the JSON of each universe with its chapters and entities, blank attributes left out."""
+    """universe_id, bytes and document: the JSON of each universe with its chapters and entities, blank attributes left out.
+
+    The rows of a universe are gathered only if their texts add up to no more than
+    a share may hold; a larger one has no document, and nothing of it is gathered.
+    """
+    filled = attributes.where(trim(F.col("value")) != "").select("entity_id", "sort_order", "key", "value")
+    owned = filled.join(entities.select(F.col("id").alias("entity_id"), "universe_id"), "entity_id")
+
+    def weight(rows, *columns):
+        texts = sum((F.octet_length(F.coalesce(c, F.lit(""))) for c in columns), F.lit(ROW_BYTES))
+        return rows.select("universe_id", texts.cast("long").alias("w"))
+
+    weights = weight(catalogue, "id", "title", "content", "story_name", "book_name").unionByName(weight(entities, "id", "type", "name", "description", "image")).unionByName(weight(owned, "key", "value"))
+    sizes = weights.groupBy("universe_id").agg(F.sum("w").alias("bytes"))
+    small = sizes.where(F.col("bytes") <= PLAIN_BYTES).select("universe_id")
     chapter = F.struct("id", "title", "content", F.col("story_name").alias("storyName"), F.col("book_name").alias("bookName"))
-    chapters = catalogue.groupBy("universe_id").agg(F.array_sort(F.collect_list(chapter)).alias("chapters"))
-    filled = attributes.where(trim(F.col("value")) != "")
-    own = filled.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("sort_order", "key", "value"))).alias("a"))
+    chapters = catalogue.join(small, "universe_id", "left_semi").groupBy("universe_id").agg(F.array_sort(F.collect_list(chapter)).alias("chapters"))
+    own = owned.join(small, "universe_id", "left_semi").groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("sort_order", "key", "value"))).alias("a"))
     own = own.select(F.col("entity_id").alias("id"), F.transform("a", lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"))).alias("attributes"))
     entity = F.struct("id", "type", "name", "description", "image", "attributes")
-    shown = entities.join(own, "id", "left").groupBy("universe_id").agg(F.array_sort(F.collect_list(entity)).alias("entities"))
-    whole = universes.withColumnRenamed("id", "universe_id").join(chapters, "universe_id", "left").join(shown, "universe_id", "left")
+    shown = entities.join(small, "universe_id", "left_semi").join(own, "id", "left").groupBy("universe_id").agg(F.array_sort(F.collect_list(entity)).alias("entities"))
+    whole = universes.withColumnRenamed("id", "universe_id").join(sizes, "universe_id", "left").join(chapters, "universe_id", "left").join(shown, "universe_id", "left")
     universe = F.struct("name", "description", F.col("cover_image").alias("coverImage"))
     document = F.struct(F.lit(2).alias("version"), F.lit("bundle").alias("kind"), F.col("name").alias("title"), universe.alias("universe"), "chapters", "entities", F.lit(now).alias("sharedAt"))
-    return whole.select("universe_id", F.to_json(document).alias("document"))
+    size = F.coalesce("bytes", F.lit(0)).cast("long")
+    return whole.select("universe_id", size.alias("bytes"), F.when(size <= PLAIN_BYTES, F.to_json(document)).alias("document"))
+
+
+def shown_attributes(attributes: DataFrame, n: int = 40) -> DataFrame:
+    """The first attributes of each entity, as a reader of a share sees them."""
+    by = Window.partitionBy("entity_id").orderBy("sort_order", "key")
+    return attributes.withColumn("_k", F.row_number().over(by)).where(F.col("_k") <= n).drop("_k")
 
 
 def expiry_days(days: Column) -> Column:

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talelake.functions import text
-from talelake.functions.schemas import DEFAULT_ATTRIBUTES, PLANNING_STATUSES
-from talelake.operators import boards, changes, dml, graph, hierarchy, mentions, merge, search, share
+from talelake.functions.schemas import DEFAULT_ATTRIBUTES, with_defaults
+from talelake.operators import boards, changes, dml, graph, hierarchy, mentions, merge, reads, search, share
+from talelake.plans.positions import numbered
 from talelake.sources import snapshots
 from talelake.sources.views import view, with_views
 from talelake.streaming import events
@@ -64,8 +64,7 @@ def q01_universe_library(spark, sf_dir):
 )
 def q02_chapter_catalogue(spark, sf_dir):
     found = hierarchy.chapter_catalogue(*_views(spark, sf_dir, "chapters", "books", "stories"))
-    place = F.row_number().over(Window.partitionBy("universe_id").orderBy(*hierarchy.reading_order("id"))).cast("long")
-    return found.select("id", "title", "word_count", "book_name", "story_name", "universe_id", place.alias("place"))
+    return numbered(found, "universe_id", hierarchy.reading_order("id")).select("id", "title", "word_count", "book_name", "story_name", "universe_id", "place")
 
 
 @query(" SELECT b.id, b.name, s.name AS story_name, s.universe_id FROM books b JOIN stories s ON b.story_id = s.id", "books", "stories")
@@ -73,21 +72,12 @@ def j01_book_catalogue(spark, sf_dir):
     return hierarchy.book_catalogue(*_views(spark, sf_dir, "books", "stories")).select("id", "name", "story_name", "universe_id")
 
 
-def _relations(whole):
-    return "all_relations" if whole else "relations"
+def _sheet_inputs(spark, sf_dir):
+    entities, relations, told = _views(spark, sf_dir, "entities", "relations", "mentions")
+    return entities, relations, hierarchy.chapter_catalogue(*_views(spark, sf_dir, "chapters", "books", "stories")), told.select("chapter_id", "entity_id")
 
 
-def _sheet_inputs(spark, sf_dir, whole):
-    entities, relations = _views(spark, sf_dir, "entities", _relations(whole))
-    chapters, books, stories = _views(spark, sf_dir, "chapters", "books", "stories")
-    lines = _table(spark, sf_dir, "lineitem")
-    if not whole:
-        lines = lines.where("l_orderkey % 50 = 0")
-    told = lines.select(F.col("l_orderkey").cast("string").alias("chapter_id"), F.col("l_partkey").cast("string").alias("entity_id")).distinct()
-    return entities, relations, hierarchy.chapter_catalogue(chapters, books, stories), told
-
-
-_MENTIONS = ", m AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS chapter_id, CAST(l_partkey AS VARCHAR) AS entity_id FROM lineitem WHERE l_orderkey % 50 = 0)"
+_MENTIONS = ", m AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS chapter_id, CAST(l_partkey AS VARCHAR) AS entity_id FROM lineitem)"
 
 
 @query(
@@ -97,8 +87,8 @@ _MENTIONS = ", m AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS chapter_id,
     concat(e.description, '/', e.type) AS attributes FROM entities e""",
     "entities", "relations", "chapters", "books", "stories",
 )
-def q03_entity_sheet(spark, sf_dir, whole=False):
-    entities, relations, catalogue, told = _sheet_inputs(spark, sf_dir, whole)
+def q03_entity_sheet(spark, sf_dir):
+    entities, relations, catalogue, told = _sheet_inputs(spark, sf_dir)
     attributes = entities.select(F.col("id").alias("entity_id"), F.explode(F.array(F.struct(F.lit(0).alias("sort_order"), F.lit("brand").alias("key"), F.col("description").alias("value")), F.struct(F.lit(1).alias("sort_order"), F.lit("kind").alias("key"), F.col("type").alias("value")))).alias("a"))
     sheet = graph.entity_sheet(entities, attributes.select("entity_id", "a.*"), relations, told, catalogue)
     size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
@@ -106,12 +96,30 @@ def q03_entity_sheet(spark, sf_dir, whole=False):
     return sheet.select("id", "name", F.greatest(size("relations"), F.lit(0)).alias("n_relations"), F.greatest(size("mentions"), F.lit(0)).alias("n_mentions"), joined.alias("attributes"))
 
 
+@query(
+    _MENTIONS + """, i AS (SELECT r.source_id AS id, concat('source|', r.id, '|', r.label, '|', o.name) AS t, 'source' AS side, r.id AS rid FROM relations r JOIN entities o ON o.id = r.target_id
+      UNION ALL SELECT r.target_id, concat('target|', r.id, '|', r.label, '|', o.name), 'target', r.id FROM relations r JOIN entities o ON o.id = r.source_id),
+    rel AS (SELECT id, md5(string_agg(t, ',' ORDER BY side, rid)) AS relations FROM i GROUP BY id),
+    told AS (SELECT m.entity_id AS id, md5(string_agg(c.title, ',' ORDER BY s.sort_order, b.sort_order, c.sort_order, c.id)) AS mentions
+      FROM m JOIN chapters c ON c.id = m.chapter_id JOIN books b ON b.id = c.book_id JOIN stories s ON s.id = b.story_id GROUP BY m.entity_id)
+    SELECT e.id, coalesce(rel.relations, '') AS relations, coalesce(told.mentions, '') AS mentions FROM entities e LEFT JOIN rel USING (id) LEFT JOIN told USING (id)""",
+    "entities", "relations", "chapters", "books", "stories",
+)
+def q03_sheet_contents(spark, sf_dir):
+    entities, relations, catalogue, told = _sheet_inputs(spark, sf_dir)
+    none = spark.createDataFrame([], "entity_id string, sort_order int, key string, value string")
+    sheet = graph.entity_sheet(entities, none, relations, told, catalogue)
+    lines = F.transform("relations", lambda r: F.concat_ws("|", r["side"], r["relation_id"], r["label"], r["other_name"]))
+    hashed = lambda c: F.coalesce(F.md5(F.array_join(c, ",")), F.lit(""))
+    return sheet.select("id", hashed(lines).alias("relations"), hashed(F.transform("mentions", lambda m: m["title"])).alias("mentions"))
+
+
 @query(
     _MENTIONS + " SELECT m.chapter_id, m.entity_id, c.title, b.name AS book_name, s.name AS story_name, s.universe_id FROM m JOIN chapters c ON c.id = m.chapter_id JOIN books b ON b.id = c.book_id JOIN stories s ON s.id = b.story_id",
     "chapters", "books", "stories",
 )
-def q04_mention_occurrences(spark, sf_dir, whole=False):
-    _, _, catalogue, told = _sheet_inputs(spark, sf_dir, whole)
+def q04_mention_occurrences(spark, sf_dir):
+    _, _, catalogue, told = _sheet_inputs(spark, sf_dir)
     return mentions.occurrences(told, catalogue).select("chapter_id", "entity_id", "title", "book_name", "story_name", "universe_id")
 
 
@@ -120,21 +128,42 @@ def q04_mention_occurrences(spark, sf_dir, whole=False):
     FROM m JOIN chapters c ON c.id = m.chapter_id JOIN books b ON b.id = c.book_id JOIN stories s ON s.id = b.story_id) WHERE k = 1""",
     "chapters", "books", "stories",
 )
-def w01_first_occurrences(spark, sf_dir, whole=False):
-    _, _, catalogue, told = _sheet_inputs(spark, sf_dir, whole)
+def w01_first_occurrences(spark, sf_dir):
+    _, _, catalogue, told = _sheet_inputs(spark, sf_dir)
     return mentions.first_occurrences(mentions.occurrences(told, catalogue)).select("entity_id", "chapter_id")
 
 
 def _names(spark, sf_dir):
-    first = F.split(F.col("text"), " ")[0]
-    return _table(spark, sf_dir, "benchmark").select(first.alias("name")).where(F.length("name") >= 2).distinct().select(F.col("name").alias("entity_id"), "name")
+    """Every word of the benchmark texts, and the first two words of each together."""
+    words = F.split("text", " ")
+    names = _table(spark, sf_dir, "benchmark").select(F.explode(F.concat(words, F.array(F.array_join(F.slice(words, 1, 2), " ")))).alias("name"))
+    return names.where(F.length("name") >= 2).distinct().select(F.col("name").alias("entity_id"), "name")
+
+
+def _page(text, lang, source):
+    """A document as HTML: a heading, a paragraph for each line, a list."""
+    escaped = F.replace(F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = F.array_join(F.transform(F.split(escaped, "\n"), lambda x: F.concat(F.lit("<p class='x'>"), x, F.lit("</p>"))), "")
+    return F.concat(F.lit("<article id=a><h2>"), F.coalesce(lang, F.lit("")), F.lit("</h2>"), lines, F.lit("<ul><li>"), F.coalesce(source, F.lit("")), F.lit("</li></ul></article>"))
 
 
-_NAMES = "WITH names AS (SELECT DISTINCT string_split(text, ' ')[1] AS name FROM benchmark WHERE length(string_split(text, ' ')[1]) >= 2), n AS (SELECT name, trim(lower(strip_accents(name))) AS k FROM names)"
+def _pages(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), _page(F.col("text"), F.col("lang"), F.col("source")).alias("html"))
 
 
-@query(_NAMES + """, d AS (SELECT doc_id, trim(lower(strip_accents(text))) AS t FROM documents)
-SELECT d.doc_id AS text_id, n.name AS entity_id FROM d, n WHERE length(k) >= 2 AND regexp_matches(d.t, concat('(?:^|[^a-z0-9])', regexp_escape(n.k), '(?:$|[^a-z0-9])'))""")
+_BLANK = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+_NAMES = """w AS (SELECT string_split(text, ' ') AS ws FROM benchmark),
+names AS (SELECT DISTINCT name FROM (SELECT unnest(ws) AS name FROM w UNION ALL SELECT array_to_string(ws[1:2], ' ') FROM w) WHERE length(name) >= 2),
+n AS (SELECT name, k FROM (SELECT name, trim(lower(strip_accents(name))) AS k FROM names) WHERE length(k) >= 2)"""
+#: text_id, entity_id by the relation ``t`` (text_id, t normalised): plain words by equality, other names by pattern.
+_FOUND = """found AS (
+  SELECT DISTINCT text_id, n.name AS entity_id FROM (SELECT text_id, unnest(list_distinct(regexp_split_to_array(t, '[^a-z0-9]+'))) AS k FROM t) JOIN n USING (k)
+  UNION SELECT text_id, n.name FROM t JOIN n ON NOT regexp_full_match(n.k, '[a-z0-9]+') AND contains(t.t, n.k) AND regexp_matches(t.t, concat('(?:^|[^a-z0-9])', regexp_escape(n.k), '(?:$|[^a-z0-9])')))"""
+_LINES = rf"""lines AS (SELECT doc_id AS text_id, list_filter(list_transform([coalesce(lang, '')] || string_split(coalesce(text, ''), chr(10)) || [coalesce(source, '')],
+  lambda x: regexp_replace(x, '^{_BLANK}|{_BLANK}$', '', 'g')), lambda x: x <> '') AS ps FROM documents)"""
+
+
+@query(f"WITH {_NAMES}, t AS (SELECT doc_id AS text_id, trim(lower(strip_accents(text))) AS t FROM documents), {_FOUND} SELECT text_id, entity_id FROM found")
 def q05_mention_index(spark, sf_dir):
     return mentions.find_mentions(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text"), _names(spark, sf_dir))
 
@@ -145,21 +174,51 @@ def q05_html_mention_index(spark, sf_dir):
     return mentions.mention_index(pages, _names(spark, sf_dir).select(F.col("entity_id").alias("id"), "name"))
 
 
-@query()
+@query(f"WITH {_NAMES}, {_LINES}, t AS (SELECT text_id, trim(lower(strip_accents(array_to_string(ps, ' ')))) AS t FROM lines), {_FOUND} SELECT text_id AS chapter_id, entity_id FROM found")
+def q05_chapter_mentions(spark, sf_dir):
+    chapters = _pages(spark, sf_dir).select(F.col("text_id").alias("id"), F.col("html").alias("content"))
+    return mentions.mention_index(chapters, _names(spark, sf_dir).select(F.col("entity_id").alias("id"), "name"))
+
+
+def _told(spark, sf_dir):
+    """Where the names occur among the documents, with an order of reading."""
+    d, number = F.col("text_id"), lambda k: (F.col("text_id") % k).cast("int")
+    return q05_mention_index(spark, sf_dir).select("entity_id", d.cast("string").alias("chapter_id"), number(3).alias("story_order"), number(5).alias("book_order"), d.alias("sort_order"))
+
+
+_FIRST = "first AS (SELECT entity_id, CAST(arg_min(text_id, (text_id % 3, text_id % 5, text_id)) AS VARCHAR) AS first_chapter FROM whole GROUP BY entity_id)"
+_HERE = rf"""whole AS (WITH t AS (SELECT doc_id AS text_id, trim(lower(strip_accents(text))) AS t FROM documents), {_FOUND} SELECT * FROM found), {_FIRST},
+p AS (SELECT text_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS pos FROM lines), np AS (SELECT text_id, pos, p, trim(lower(strip_accents(p))) AS t FROM p),
+f AS (WITH t AS (SELECT (text_id, pos) AS text_id, t FROM np), {_FOUND} SELECT text_id[1] AS text_id, text_id[2] AS pos, entity_id FROM found),
+here AS (SELECT f.text_id, f.entity_id, array_to_string((list(np.p ORDER BY np.pos) FILTER (regexp_matches(np.t, '^[—–\-]|[“”"]|\b(disse|perguntou|respondeu|sussurrou|gritou|falou)\b') OR starts_with(np.t, n.k || ':')))[1:3], chr(1)) AS s
+  FROM f JOIN np USING (text_id, pos) JOIN n ON n.name = f.entity_id GROUP BY f.text_id, f.entity_id)"""
+
+
+@query(f"WITH {_NAMES}, {_LINES}, {_HERE} SELECT text_id, entity_id, md5(coalesce(s, '')) AS snippets, first_chapter FROM here LEFT JOIN first USING (entity_id)")
 def q06_character_insights(spark, sf_dir):
-    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("text_id"), F.col("html"))
-    _, _, catalogue, told = _sheet_inputs(spark, sf_dir, True)
-    return mentions.insights(pages, _names(spark, sf_dir), mentions.occurrences(told, catalogue))
+    found = mentions.insights(_pages(spark, sf_dir), _names(spark, sf_dir), _told(spark, sf_dir))
+    return found.select("text_id", "entity_id", F.md5(F.array_join("snippets", "\x01")).alias("snippets"), "first_chapter")
+
+
+@query(
+    f"""WITH {_NAMES}, {_LINES}, {_HERE}, one AS (SELECT * FROM here WHERE text_id = (SELECT min(doc_id) FROM documents))
+    SELECT entity_id, one.s IS NOT NULL OR one.text_id IS NOT NULL AS mentioned, md5(coalesce(one.s, '')) AS snippets, first_chapter FROM one FULL JOIN first USING (entity_id)"""
+)
+def q06_one_text(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    text = pages.join(pages.agg(F.min("text_id").alias("text_id")), "text_id")  # the text that is open
+    found = mentions.text_insights(text, _names(spark, sf_dir), _told(spark, sf_dir))
+    return found.select("entity_id", "mentioned", F.md5(F.array_join("snippets", "\x01")).alias("snippets"), "first_chapter")
 
 
 _SEARCH = """, hits AS (
-  SELECT 0 AS kind_rank, 'story' AS kind, id, name AS label, 'História' AS context, sort_order AS place, concat_ws(' ', name, description) AS h FROM stories
-  UNION ALL SELECT 1, 'book', b.id, b.name, concat('Livro · ', s.name), b.sort_order, concat_ws(' ', b.name, b.description, s.name) FROM books b JOIN stories s ON b.story_id = s.id
-  UNION ALL SELECT 2, 'chapter', c.id, c.title, concat(s.name, ' · ', b.name), c.sort_order, concat_ws(' ', c.title, c.content, b.name, s.name) FROM chapters c JOIN books b ON c.book_id = b.id JOIN stories s ON b.story_id = s.id
-  UNION ALL SELECT 3, 'entity', id, name, type, CAST(id AS BIGINT), concat_ws(' ', name, description, type) FROM entities
-  UNION ALL SELECT 4, 'timeline', id, title, 'Linha do tempo', CAST(id AS BIGINT), concat_ws(' ', title, description, start_date) FROM timeline_events
-  UNION ALL SELECT 5, 'planning', id, title, concat('Planejamento · ', status), CAST(id AS BIGINT), concat_ws(' ', title, description, status) FROM planning_items)
-SELECT kind_rank, kind, id, label, context FROM hits WHERE contains(trim(lower(strip_accents(h))), 'on_1') ORDER BY kind_rank, place, id LIMIT 24"""
+  SELECT 0 AS kind_rank, 'story' AS kind, id, name AS label, 'História' AS context, '⌂' AS icon, sort_order AS place, concat_ws(' ', name, description) AS h FROM stories
+  UNION ALL SELECT 1, 'book', b.id, b.name, concat('Livro · ', s.name), '▱', b.sort_order, concat_ws(' ', b.name, b.description, s.name) FROM books b JOIN stories s ON b.story_id = s.id
+  UNION ALL SELECT 2, 'chapter', c.id, c.title, concat(s.name, ' · ', b.name), '▤', c.sort_order, concat_ws(' ', c.title, c.content, b.name, s.name) FROM chapters c JOIN books b ON c.book_id = b.id JOIN stories s ON b.story_id = s.id
+  UNION ALL SELECT 3, 'entity', id, name, type, upper(name[1]), CAST(id AS BIGINT), concat_ws(' ', name, description, type) FROM entities
+  UNION ALL SELECT 4, 'timeline', id, title, 'Linha do tempo', '◷', CAST(id AS BIGINT), concat_ws(' ', title, description, start_date) FROM timeline_events
+  UNION ALL SELECT 5, 'planning', id, title, concat('Planejamento · ', status), '☑', CAST(id AS BIGINT), concat_ws(' ', title, description, status) FROM planning_items)
+SELECT kind_rank, kind, id, label, context, icon FROM hits WHERE contains(trim(lower(strip_accents(h))), 'on_1') ORDER BY kind_rank, place, id LIMIT 24"""
 
 
 @query(_SEARCH, "stories", "books", "chapters", "entities", "timeline_events", "planning_items")
@@ -186,8 +245,7 @@ def q07_global_search(spark, sf_dir):
 )
 def q08_planning_board(spark, sf_dir):
     found = boards.planning_board(*_views(spark, sf_dir, "planning_items", "chapters", "books", "stories"))
-    place = F.row_number().over(Window.partitionBy("universe_id").orderBy(*boards.planning_order())).cast("long")
-    return found.select("id", "universe_id", "status", "chapter_title", "book_name", "story_name", place.alias("place"))
+    return numbered(found, "universe_id", boards.planning_order()).select("id", "universe_id", "status", "chapter_title", "book_name", "story_name", "place")
 
 
 @query(
@@ -196,8 +254,7 @@ def q08_planning_board(spark, sf_dir):
 )
 def q09_timeline(spark, sf_dir):
     (rows,) = _views(spark, sf_dir, "timeline_events")
-    place = F.row_number().over(Window.partitionBy("universe_id").orderBy(*boards.timeline_order())).cast("long")
-    return rows.select("id", "universe_id", "title", "start_date", place.alias("place"))
+    return numbered(rows, "universe_id", boards.timeline_order()).select("id", "universe_id", "title", "start_date", "place")
 
 
 @query(
@@ -205,8 +262,8 @@ def q09_timeline(spark, sf_dir):
     FROM relations r JOIN entities s ON s.id = r.source_id JOIN entities t ON t.id = r.target_id""",
     "relations", "entities",
 )
-def q10_relation_cards(spark, sf_dir, whole=False):
-    cards = graph.relation_cards(*_views(spark, sf_dir, _relations(whole), "entities"))
+def q10_relation_cards(spark, sf_dir):
+    cards = graph.relation_cards(*_views(spark, sf_dir, "relations", "entities"))
     return cards.select("id", "type", "label", "bidirectional", "created_at", "source_name", "source_type", "target_name", "target_type")
 
 
@@ -235,8 +292,8 @@ near AS (SELECT id, min(depth) AS depth FROM reach GROUP BY id)"""
 
 
 @query(_REACH + " SELECT id, depth FROM near /*RECURSIVE*/", "relations")
-def q12_graph_reach(spark, sf_dir, whole=False):
-    (relations,) = _views(spark, sf_dir, _relations(whole))
+def q12_graph_reach(spark, sf_dir):
+    (relations,) = _views(spark, sf_dir, "relations")
     return graph.reached(relations, _focal(relations), 3)
 
 
@@ -245,19 +302,51 @@ def q12_graph_reach(spark, sf_dir, whole=False):
     SELECT r.id, r.source_id, r.target_id FROM relations r WHERE r.source_id IN (SELECT id FROM shown) AND r.target_id IN (SELECT id FROM shown) /*RECURSIVE*/""",
     "relations", "entities",
 )
-def q12_graph_neighbourhood(spark, sf_dir, whole=False):
-    relations, entities = _views(spark, sf_dir, _relations(whole), "entities")
+def q12_graph_neighbourhood(spark, sf_dir):
+    relations, entities = _views(spark, sf_dir, "relations", "entities")
     _, found = graph.neighbourhood(entities, relations, _focal(relations), 3, ["STANDARD", "MEDIUM", "LARGE"])
     return found.select("id", "source_id", "target_id")
 
 
-_LOOK = """, look AS (SELECT id, name, type, 'round-rectangle' AS shape, '#8b7f78' AS color, 0 AS has_image FROM entities WHERE type IN ('PROMO', 'SMALL')) SELECT id, name, type, shape, color, has_image FROM look"""
+_LOOK = """ SELECT id, name, CASE type WHEN 'PROMO' THEN 'Lugar' WHEN 'SMALL' THEN 'Objeto' WHEN 'LARGE' THEN 'Personagem' ELSE type END AS type,
+  CASE type WHEN 'PROMO' THEN 'hexagon' WHEN 'SMALL' THEN 'triangle' WHEN 'LARGE' THEN 'ellipse' ELSE 'round-rectangle' END AS shape,
+  CASE type WHEN 'PROMO' THEN '#06b6d4' WHEN 'SMALL' THEN '#10b981' WHEN 'LARGE' THEN '#8b5cf6' ELSE '#8b7f78' END AS color, CASE WHEN image <> '' THEN 1 ELSE 0 END AS has_image FROM entities"""
+
+
+@query(
+    """ SELECT 'node' AS kind, id, name AS a, type AS b, image AS c, canon_status AS d, description AS e FROM entities WHERE universe_id = '1'
+    UNION ALL SELECT 'edge', id, source_id, target_id, label, CAST(bidirectional AS VARCHAR), importance FROM relations WHERE universe_id = '1'""",
+    "entities", "relations",
+)
+def g01_whole_graph(spark, sf_dir):
+    nodes, edges = graph.whole_graph(*_views(spark, sf_dir, "entities", "relations"), "1")
+    c = F.col
+    first = nodes.select(F.lit("node").alias("kind"), "id", c("name").alias("a"), c("type").alias("b"), c("image").alias("c"), c("canon_status").alias("d"), c("description").alias("e"))
+    return first.unionByName(edges.select(F.lit("edge").alias("kind"), "id", c("source").alias("a"), c("target").alias("b"), c("label").alias("c"), c("bidirectional").cast("string").alias("d"), c("importance").alias("e")))
+
+
+@query(
+    """, f AS (SELECT CAST(min(CAST(source_id AS BIGINT)) AS VARCHAR) AS id FROM relations), r AS (SELECT * FROM relations WHERE source_id = (SELECT id FROM f) OR target_id = (SELECT id FROM f))
+    SELECT 'edge' AS kind, id FROM r UNION ALL SELECT 'node', id FROM entities WHERE id IN (SELECT source_id FROM r UNION SELECT target_id FROM r UNION SELECT id FROM f)""",
+    "entities", "relations",
+)
+def g04_closed_neighbourhood(spark, sf_dir):
+    entities, relations = _views(spark, sf_dir, "entities", "relations")
+    nodes, edges = graph.closed_neighbourhood(entities, relations, _focal(relations))
+    return nodes.select(F.lit("node").alias("kind"), "id").unionByName(edges.select(F.lit("edge").alias("kind"), "id"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_partkey <> l_suppkey")
+def f15_new_relations(spark, sf_dir):
+    asked = _table(spark, sf_dir, "lineitem").withColumns({"source_id": F.col("l_partkey").cast("string"), "target_id": F.col("l_suppkey").cast("string")})
+    return graph.new_relations(asked).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
 @query(_LOOK, "entities")
 def g03_visible_nodes(spark, sf_dir):
     (entities,) = _views(spark, sf_dir, "entities")
-    return graph.nodes(entities.where(F.col("type").isin("PROMO", "SMALL"))).select("id", "name", "type", "shape", "color", "has_image")
+    known = F.when(F.col("type") == "PROMO", "Lugar").when(F.col("type") == "SMALL", "Objeto").when(F.col("type") == "LARGE", "Personagem").otherwise(F.col("type"))
+    return graph.nodes(entities.withColumn("type", known)).select("id", "name", "type", "shape", "color", "has_image")
 
 
 @query(
@@ -265,8 +354,8 @@ def g03_visible_nodes(spark, sf_dir):
     JOIN entities s ON s.id = r.source_id JOIN entities t ON t.id = r.target_id WHERE e.type = 'PROMO'""",
     "entities", "relations",
 )
-def g05_relations_of_entities(spark, sf_dir, whole=False):
-    entities, relations = _views(spark, sf_dir, "entities", _relations(whole))
+def g05_relations_of_entities(spark, sf_dir):
+    entities, relations = _views(spark, sf_dir, "entities", "relations")
     cards = graph.relation_cards(relations, entities)
     found = graph.relations_of(cards, entities.where("type = 'PROMO'"))
     return found.select("entity_id", "id", graph.other_name(F.col("entity_id")).alias("other_name"))
@@ -285,7 +374,7 @@ _OUTCOME = """ SELECT coalesce(l.id, r.id) AS id, CASE WHEN r.id IS NULL THEN 'l
 
 def _merged(spark, sf_dir):
     local, remote = _views(spark, sf_dir, "local_chapters", "remote_chapters")
-    return merge.merge_table(local, remote, "chapters")
+    return merge.merge_table(local, remote, "chapters", NOW)
 
 
 @query(
@@ -307,6 +396,85 @@ def q13_merge_conflicts(spark, sf_dir):
     return merge.conflict_rows(_merged(spark, sf_dir)[1], NOW).select("aggregate_id", "local_value", "remote_value")
 
 
+def _stepwise(spark, sf_dir):
+    """A merge of a snapshot in JSON that has every third chapter twice and lacks the status of every seventh."""
+    local, remote, books, stories = _views(spark, sf_dir, "local_chapters", "remote_chapters", "books", "stories")
+    number = F.col("id").cast("long")
+    given = remote.withColumn("status", F.when(number % 7 != 0, F.col("status"))).withColumn("pos", 2 * number)
+    time = F.date_format(F.to_timestamp("updated_at") + F.make_dt_interval(number % 4 - 1), "yyyy-MM-dd HH:mm:ss")
+    again = given.where(number % 3 == 0).withColumn("content", F.concat("content", F.lit("b"))).withColumn("updated_at", time).withColumn("pos", 2 * number + 1)
+    fields = F.to_json(F.struct("id", "book_id", "title", "content", "word_count", "status", "updated_at"))  # null fields are left out
+    snapshot = given.unionByName(again).select(F.lit("chapters").alias("name"), fields.alias("row"), "pos")
+    names = ["id", "book_id", "title", "content", "word_count", "status", "updated_at"]
+    rows = snapshots.import_table(snapshot, "chapters", names, steps=True)
+    tables = {"chapters": with_defaults(local, "chapters", NOW), "books": with_defaults(books, "books", NOW), "stories": with_defaults(stories, "stories", NOW)}
+    return merge.merge_snapshot(tables, {"chapters": rows}, NOW, check=False)
+
+
+_STEPS = """, r AS (SELECT *, CAST(id AS BIGINT) AS k FROM remote_chapters),
+two AS (SELECT id, book_id, title, CASE WHEN k % 7 <> 0 THEN status END AS status, content, word_count, updated_at, 1 AS step FROM r
+  UNION ALL SELECT id, book_id, title, CASE WHEN k % 7 <> 0 THEN status END, content || 'b', word_count, strftime(CAST(updated_at AS TIMESTAMP) + to_days(CAST(k % 4 - 1 AS INTEGER)), '%Y-%m-%d %H:%M:%S'), 2 FROM r WHERE k % 3 = 0),
+s0 AS (SELECT *, 'CANON' AS canon_status FROM local_chapters),
+o1 AS (SELECT coalesce(l.id, t.id) AS id, CASE WHEN t.id IS NULL THEN 'local' WHEN l.id IS NULL THEN 'insert' WHEN l.updated_at = t.updated_at AND l.content <> t.content THEN 'conflict'
+    WHEN t.updated_at > l.updated_at THEN 'update' ELSE 'kept' END AS outcome, l.title AS lt, l.content AS lc, l.status AS ls, l.word_count AS lw, l.updated_at AS lu, t.title, t.content, t.status, t.word_count, t.updated_at
+  FROM s0 l FULL JOIN (SELECT * FROM two WHERE step = 1) t ON l.id = t.id),
+s1 AS (SELECT id, outcome IN ('insert', 'update') AS x, CASE WHEN x THEN title ELSE lt END AS title, CASE WHEN x THEN content ELSE lc END AS content,
+    CASE WHEN outcome = 'insert' THEN coalesce(status, 'IDEIA') WHEN x THEN coalesce(status, ls) ELSE ls END AS status, CASE WHEN x THEN word_count ELSE lw END AS word_count, CASE WHEN x THEN updated_at ELSE lu END AS updated_at FROM o1),
+o2 AS (SELECT l.id, CASE WHEN t.id IS NULL THEN 'local' WHEN l.updated_at = t.updated_at AND l.content <> t.content THEN 'conflict' WHEN t.updated_at > l.updated_at THEN 'update' ELSE 'kept' END AS outcome,
+    l.title AS lt, l.content AS lc, l.status AS ls, l.word_count AS lw, l.updated_at AS lu, t.title, t.content, t.status, t.word_count, t.updated_at
+  FROM s1 l LEFT JOIN (SELECT * FROM two WHERE step = 2) t ON l.id = t.id),
+s2 AS (SELECT id, outcome = 'update' AS x, CASE WHEN x THEN title ELSE lt END AS title, CASE WHEN x THEN content ELSE lc END AS content, CASE WHEN x THEN coalesce(status, ls) ELSE ls END AS status,
+    CASE WHEN x THEN word_count ELSE lw END AS word_count, CASE WHEN x THEN updated_at ELSE lu END AS updated_at FROM o2),
+both_steps AS (SELECT * FROM o1 UNION ALL SELECT * FROM o2)"""
+
+
+@query(_STEPS + " SELECT id, title, content, status, 'CANON' AS canon_status, CAST(word_count AS INTEGER) AS word_count, updated_at FROM s2", "local_chapters", "remote_chapters")
+def q13_stepwise_merge(spark, sf_dir):
+    return _stepwise(spark, sf_dir).tables["chapters"].select("id", "title", "content", "status", "canon_status", "word_count", "updated_at")
+
+
+@query(_STEPS + " SELECT id AS aggregate_id, lc AS local_value, content AS remote_value FROM both_steps WHERE outcome = 'conflict'", "local_chapters", "remote_chapters")
+def q13_stepwise_conflicts(spark, sf_dir):
+    return _stepwise(spark, sf_dir).conflicts.select("aggregate_id", "local_value", "remote_value")
+
+
+@query(
+    _STEPS + " SELECT 'chapters' AS name, count(*) FILTER (outcome IN ('insert', 'update')) AS applied, count(*) FILTER (outcome = 'conflict') AS conflicts FROM both_steps",
+    "local_chapters", "remote_chapters",
+)
+def q13_stepwise_counts(spark, sf_dir):
+    return _stepwise(spark, sf_dir).counts().withColumnRenamed("table", "name")
+
+
+@query(
+    _STEPS + """, u AS (SELECT lr.id, s.universe_id FROM (SELECT id, book_id FROM local_chapters UNION SELECT id, book_id FROM remote_chapters) lr JOIN books b ON b.id = lr.book_id JOIN stories s ON s.id = b.story_id)
+    SELECT id AS entity_id, outcome AS action, CASE WHEN outcome = 'insert' THEN '' WHEN lt <> title THEN 'title' WHEN coalesce(status, ls) <> ls THEN 'status' ELSE 'content' END AS field,
+    CASE WHEN outcome = 'insert' THEN '' WHEN lt <> title THEN lt WHEN coalesce(status, ls) <> ls THEN ls ELSE CAST(lw AS VARCHAR) END AS old_value,
+    CASE WHEN outcome = 'insert' OR lt <> title THEN title WHEN coalesce(status, ls) <> ls THEN status ELSE CAST(word_count AS VARCHAR) END AS new_value, universe_id
+    FROM both_steps JOIN u USING (id) WHERE outcome IN ('insert', 'update')""",
+    "local_chapters", "remote_chapters", "books", "stories",
+)
+def q13_merge_history(spark, sf_dir):
+    log = _stepwise(spark, sf_dir).history()["change_log"]
+    action = F.when(F.col("action") == "create", "insert").otherwise(F.col("action"))
+    return log.select("entity_id", action.alias("action"), "field", "old_value", "new_value", "universe_id")
+
+
+@query(_STEPS + " SELECT id AS chapter_id, lt AS title, lc AS content, lw AS word_count FROM both_steps WHERE outcome = 'update' AND (lt <> title OR lc <> content)", "local_chapters", "remote_chapters")
+def q13_merge_revisions(spark, sf_dir):
+    return _stepwise(spark, sf_dir).history()["chapter_revisions"].select("chapter_id", "title", "content", F.col("word_count").cast("long").alias("word_count"))
+
+
+@query(
+    f""", o AS ({_OUTCOME}) SELECT CAST((SELECT count(*) FROM o) AS BIGINT) AS received, CAST((SELECT count(*) FROM local_chapters) AS BIGINT) AS sent,
+    CAST(2 * (SELECT count(*) FROM o WHERE outcome = 'conflict') AS BIGINT) AS conflicts""",
+    "local_chapters", "remote_chapters",
+)
+def q13_exchange_counts(spark, sf_dir):
+    local, remote = ({"chapters": v} for v in _views(spark, sf_dir, "local_chapters", "remote_chapters"))
+    return merge.exchange_counts(local, *merge.exchange(local, remote, NOW))
+
+
 @query(
     """ SELECT n.id AS entity_id, CASE WHEN o.id IS NULL THEN 'create' ELSE 'update' END AS action,
     CASE WHEN o.id IS NULL THEN '' WHEN o.title <> n.title THEN 'title' WHEN o.status <> n.status THEN 'status' ELSE 'content' END AS field,
@@ -343,39 +511,99 @@ def _key_and_iv():
     return F.lit("0123456789abcdef0123456789abcdef"), F.lit("abcdefghijkl").cast("binary")
 
 
-@query("SELECT doc_id, coalesce(text, '') AS document, 16 AS iv_chars, true AS valid FROM documents WHERE octet_length(encode(coalesce(text, ''))) >= 6")
-def q15_share_round_trip(spark, sf_dir, whole=False):
+@query(
+    """SELECT doc_id, coalesce(text, '') AS document, 16 AS iv_chars, ceil((octet_length(encode(coalesce(text, ''))) + 16) * 4 / 3) BETWEEN 24 AND 2800000 AS valid
+    FROM documents WHERE octet_length(encode(coalesce(text, ''))) <= 2000000"""
+)
+def q15_share_round_trip(spark, sf_dir):
     key, iv = _key_and_iv()
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("document"))
-    if not whole:
-        docs = docs.where(F.octet_length("document") >= 6)
     sealed = docs.where(share.small_enough(F.col("document"))).select("doc_id", share.encrypt(F.col("document"), key, iv).alias("e"))
     return sealed.select("doc_id", share.decrypt(F.col("e"), key).alias("document"), F.length("e.iv").alias("iv_chars"), share.valid_envelope(F.col("e"), F.lit(7)).alias("valid"))
 
 
-@query()
+_ATTRIBUTES = "a AS (SELECT id AS entity_id, 'brand' AS key, CASE WHEN type = 'PROMO' THEN ' ' ELSE description END AS value FROM entities)"
+
+
+@query(
+    f""", {_ATTRIBUTES}, cat AS (SELECT s.universe_id, c.id, c.title, c.content, b.name AS book_name, s.name AS story_name FROM chapters c JOIN books b ON c.book_id = b.id JOIN stories s ON b.story_id = s.id),
+    w AS (SELECT universe_id, 64 + octet_length(encode(concat(id, title, content, story_name, book_name))) AS w FROM cat
+      UNION ALL SELECT universe_id, 64 + octet_length(encode(concat(id, type, name, description, image))) FROM entities
+      UNION ALL SELECT e.universe_id, 64 + octet_length(encode(concat(a.key, a.value))) FROM a JOIN entities e ON e.id = a.entity_id WHERE trim(a.value) <> ''),
+    size AS (SELECT universe_id, CAST(sum(w) AS BIGINT) AS bytes FROM w GROUP BY 1),
+    ch AS (SELECT universe_id, md5(string_agg(concat(id, title, content, story_name, book_name), ',' ORDER BY id, title)) AS chapters FROM cat GROUP BY 1),
+    en AS (SELECT universe_id, md5(string_agg(concat(e.id, e.type, e.name, CASE WHEN trim(a.value) <> '' THEN concat(a.key, '=', a.value) ELSE '' END), ',' ORDER BY e.id)) AS entities FROM entities e JOIN a ON a.entity_id = e.id GROUP BY 1)
+    SELECT u.id AS universe_id, coalesce(bytes, 0) AS bytes, CASE WHEN coalesce(bytes, 0) <= 2000000 THEN u.name END AS title,
+    CASE WHEN bytes <= 2000000 THEN chapters END AS chapters, CASE WHEN bytes <= 2000000 THEN entities END AS entities
+    FROM universes u LEFT JOIN size ON size.universe_id = u.id LEFT JOIN ch ON ch.universe_id = u.id LEFT JOIN en ON en.universe_id = u.id""",
+    "universes", "stories", "books", "chapters", "entities",
+)
 def q15_share_bundles(spark, sf_dir):
     universes, stories, books, chapters, entities = _views(spark, sf_dir, "universes", "stories", "books", "chapters", "entities")
     attributes = entities.select(F.col("id").alias("entity_id"), F.lit("brand").alias("key"), F.when(F.col("type") == "PROMO", " ").otherwise(F.col("description")).alias("value"), F.lit(0).alias("sort_order"))
-    return share.bundles(universes, hierarchy.chapter_catalogue(chapters, books, stories), entities, attributes, NOW)
+    found = share.bundles(universes, hierarchy.chapter_catalogue(chapters, books, stories), entities, attributes, NOW)
+    # opened again as a reader does
+    chapter, attribute = "struct<id: string, title: string, content: string, storyName: string, bookName: string>", "struct<key: string, value: string>"
+    entity = f"struct<id: string, type: string, name: string, attributes: array<{attribute}>>"
+    read = F.from_json("document", f"title string, chapters array<{chapter}>, entities array<{entity}>")
+
+    def hashed(column, line):
+        return F.md5(F.array_join(F.transform(column, line), ","))
+
+    lines = lambda a: F.array_join(F.transform(a, lambda x: F.concat(x["key"], F.lit("="), x["value"])), "")
+    return found.withColumn("d", read).select(
+        "universe_id", "bytes", F.col("d.title").alias("title"),
+        hashed("d.chapters", lambda c: F.concat(c["id"], c["title"], c["content"], c["storyName"], c["bookName"])).alias("chapters"),
+        hashed("d.entities", lambda e: F.concat(e["id"], e["type"], e["name"], F.coalesce(lines(e["attributes"]), F.lit("")))).alias("entities"),
+    )
+
+
+@query(f", {_ATTRIBUTES} SELECT entity_id, key, value FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY key) AS k FROM (SELECT * FROM a UNION ALL SELECT a.entity_id, concat('k', lpad(CAST(i AS VARCHAR), 2, '0')), a.value FROM a, range(60) t(i))) WHERE k <= 40", "entities")
+def o09_shown_attributes(spark, sf_dir):
+    (entities,) = _views(spark, sf_dir, "entities")
+    value = F.when(F.col("type") == "PROMO", " ").otherwise(F.col("description"))
+    keys = F.array(F.lit("brand"), *(F.lit(f"k{i:02d}") for i in range(60)))
+    return share.shown_attributes(entities.select(F.col("id").alias("entity_id"), F.explode(keys).alias("key"), value.alias("value"), F.lit(0).alias("sort_order"))).select("entity_id", "key", "value")
+
+
+_GONE = """, gb AS (SELECT b.id FROM books b JOIN stories s ON b.story_id = s.id WHERE s.universe_id = '1'), gc AS (SELECT id FROM chapters WHERE book_id IN (SELECT id FROM gb)),
+ge AS (SELECT id FROM entities WHERE universe_id = '1')"""
 
 
 @query(
-    """ SELECT 'stories' AS kind, id FROM stories WHERE universe_id <> '1' UNION ALL SELECT 'books', b.id FROM books b JOIN stories s ON b.story_id = s.id WHERE s.universe_id <> '1'
-    UNION ALL SELECT 'chapters', c.id FROM chapters c JOIN books b ON c.book_id = b.id JOIN stories s ON b.story_id = s.id WHERE s.universe_id <> '1'
-    UNION ALL SELECT 'entities', id FROM entities WHERE universe_id <> '1'
-    UNION ALL SELECT 'relations', id FROM relations WHERE universe_id <> '1' AND source_id NOT IN (SELECT id FROM entities WHERE universe_id = '1') AND target_id NOT IN (SELECT id FROM entities WHERE universe_id = '1')
-    UNION ALL SELECT 'cleared', p.id FROM planning_items p JOIN chapters c ON c.id = p.chapter_id JOIN books b ON c.book_id = b.id JOIN stories s ON b.story_id = s.id WHERE s.universe_id = '1' AND p.universe_id <> '1'""",
-    "universes", "stories", "books", "chapters", "entities", "relations", "planning_items",
+    _GONE + """ SELECT 'stories' AS kind, id FROM stories WHERE universe_id <> '1' UNION ALL SELECT 'books', id FROM books WHERE id NOT IN (SELECT id FROM gb)
+    UNION ALL SELECT 'chapters', id FROM chapters WHERE id NOT IN (SELECT id FROM gc) UNION ALL SELECT 'entities', id FROM entities WHERE universe_id <> '1'
+    UNION ALL SELECT 'relations', id FROM relations WHERE universe_id <> '1' AND source_id NOT IN (SELECT id FROM ge) AND target_id NOT IN (SELECT id FROM ge)
+    UNION ALL SELECT 'mentions', id FROM mentions WHERE chapter_id NOT IN (SELECT id FROM gc) AND entity_id NOT IN (SELECT id FROM ge)
+    UNION ALL SELECT 'entity_attributes', id || '-a' FROM entities WHERE universe_id <> '1' UNION ALL SELECT 'entity_templates', id || '-t' FROM universes WHERE id <> '1'
+    UNION ALL SELECT 'chapter_revisions', id || '-r' FROM chapters WHERE id NOT IN (SELECT id FROM gc) UNION ALL SELECT 'timeline_events', id FROM timeline_events WHERE universe_id <> '1'
+    UNION ALL SELECT 'timeline cleared', id FROM timeline_events WHERE universe_id <> '1' AND sort_key IS NOT NULL AND CAST(CAST(floor(sort_key) AS BIGINT) AS VARCHAR) IN (SELECT id FROM ge)
+    UNION ALL SELECT 'planning_items', id FROM planning_items WHERE universe_id <> '1' UNION ALL SELECT 'planning cleared', id FROM planning_items WHERE universe_id <> '1' AND chapter_id IN (SELECT id FROM gc)
+    UNION ALL SELECT 'attachments', 'e' || e.id FROM entities e WHERE CAST(e.id AS BIGINT) % 2 = 0 AND e.id NOT IN (SELECT id FROM ge) UNION ALL SELECT 'attachments', 'c' || id FROM chapters WHERE id NOT IN (SELECT id FROM gc)""",
+    "universes", "stories", "books", "chapters", "entities", "relations", "mentions", "timeline_events", "planning_items",
 )
-def q16_cascade_delete(spark, sf_dir, whole=False):
-    names = ["universes", "stories", "books", "chapters", "entities", "relations", "planning_items"]
-    tables = dict(zip(names, _views(spark, sf_dir, *(_relations(whole) if n == "relations" else n for n in names)), strict=True))
+def q16_cascade_delete(spark, sf_dir):
+    names = ["universes", "stories", "books", "chapters", "entities", "relations", "mentions", "timeline_events", "planning_items"]
+    tables = dict(zip(names, _views(spark, sf_dir, *names), strict=True))
+    entities, chapters = tables["entities"], tables["chapters"]
+    c, with_id = F.col, lambda suffix: F.concat("id", F.lit(suffix)).alias("id")
+    tables["timeline_events"] = tables["timeline_events"].withColumn("entity_id", c("sort_key").cast("long").cast("string"))
+    tables["entity_attributes"] = entities.select(with_id("-a"), c("id").alias("entity_id"))
+    tables["entity_templates"] = tables["universes"].select(with_id("-t"), c("id").alias("universe_id"))
+    tables["chapter_revisions"] = chapters.select(with_id("-r"), c("id").alias("chapter_id"))
+    # attachments hang on their owners; their own universe is one that stays
+    owned = [(entities.where(c("id").cast("long") % 2 == 0), "entity", "e"), (chapters, "chapter", "c")]
+    parts = [d.select(F.concat(F.lit(p), "id").alias("id"), F.lit("0").alias("universe_id"), F.lit(kind).alias("owner_type"), c("id").alias("owner_id")) for d, kind, p in owned]
+    tables["attachments"] = parts[0].unionByName(parts[1])
     left = dml.cascade_delete(tables, "universes", spark.createDataFrame([("1",)], "id string"))
-    before = tables["planning_items"].where("chapter_id is not null").select("id")
-    out = left["planning_items"].where("chapter_id is null").join(before, "id", "left_semi").select(F.lit("cleared").alias("kind"), "id")
-    for name in ("stories", "books", "chapters", "entities", "relations"):
-        out = out.unionByName(left[name].select(F.lit(name).alias("kind"), "id"))
+    out = None
+    for name in tables:
+        if name != "universes":
+            part = left[name].select(F.lit(name).alias("kind"), "id")
+            out = part if out is None else out.unionByName(part)
+    for name, column in (("planning_items", "chapter_id"), ("timeline_events", "entity_id")):
+        had = tables[name].where(c(column).isNotNull()).select("id")
+        out = out.unionByName(left[name].where(c(column).isNull()).join(had, "id", "left_semi").select(F.lit(f"{name.split('_')[0]} cleared").alias("kind"), "id"))
     return out
 
 
@@ -479,11 +707,24 @@ def f11_envelope_validation(spark, sf_dir):
     return rows.select("event_id", e.alias("e"), days.alias("days")).select("event_id", share.valid_envelope(F.col("e"), F.col("days")).alias("valid"))
 
 
-@query(f" SELECT id, status FROM planning_items WHERE status NOT IN ('{"', '".join(PLANNING_STATUSES)}') OR status = 'IDEIAS'", "planning_items")
+@query(
+    """, i AS (SELECT id, CASE WHEN chapter_id IS NULL THEN 'CONCLUIDO' ELSE status END AS status FROM planning_items UNION ALL SELECT concat(id, '-null'), NULL FROM planning_items)
+    SELECT id, status, coalesce(status IN ('IDEIAS', 'PLANEJADO', 'ESCREVENDO', 'REVISAO', 'FINALIZADO'), false) AS valid FROM i""",
+    "planning_items",
+)
 def f14_status_check(spark, sf_dir):
     (items,) = _views(spark, sf_dir, "planning_items")
-    good, bad = boards.check_status(items)
-    return good.where("status = 'IDEIAS'").unionByName(bad).select("id", "status")
+    asked = items.select("id", F.when(F.col("chapter_id").isNull(), "CONCLUIDO").otherwise(F.col("status")).alias("status"))
+    asked = asked.unionByName(items.select(F.concat("id", F.lit("-null")).alias("id"), F.lit(None).cast("string").alias("status")))
+    good, bad = boards.check_status(asked)
+    return good.withColumn("valid", F.lit(True)).unionByName(bad.withColumn("valid", F.lit(False)))
+
+
+@query("SELECT event_id, regexp_full_match(c, '[0-9]{6}') AS valid, regexp_full_match(c, '[0-9]{6}') AND c = '000420' AS paired FROM (SELECT event_id, lpad(CAST(event_id AS VARCHAR), CAST(5 + event_id % 3 AS INTEGER), '0') AS c FROM events)")
+def f12_pairing_codes(spark, sf_dir):
+    length = (F.col("event_id") % 3 + 5).cast("int")
+    code = F.concat(F.lit(" "), F.lpad(F.col("event_id").cast("string"), length, F.lit("0")), F.lit("\t"))
+    return _table(spark, sf_dir, "events").select("event_id", text.is_pairing_code(code).alias("valid"), text.pairs_with(code, F.lit("000420")).alias("paired"))
 
 
 @query("SELECT doc_id, trim(lower(strip_accents(text))) AS norm FROM documents")
@@ -497,16 +738,40 @@ def n02_word_count(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", text.word_count(F.col("html")).alias("words"))
 
 
-@query()
+@query(f"WITH {_LINES} SELECT text_id AS doc_id, unnest(ps) AS paragraph, generate_subscripts(ps, 1) - 1 AS pos FROM lines")
 def n03_paragraphs(spark, sf_dir):
+    return _pages(spark, sf_dir).select(F.col("text_id").alias("doc_id"), F.posexplode(text.html_paragraphs("html")).alias("pos", "paragraph"))
+
+
+@query()
+def n03_page_paragraphs(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", F.posexplode(text.html_paragraphs("html")).alias("pos", "paragraph"))
 
 
+_ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(
+    f"""SELECT doc_id, '<h2>' || coalesce(lang, '') || '</h2>' || array_to_string(list_transform(string_split({_ESCAPED.format("coalesce(text, '')")}, chr(10)), lambda x: '<p>' || x || '</p>'), '')
+    || '<ul><li>' || coalesce(source, '') || '</li></ul>' || 'alert(1)more' AS html FROM documents"""
+)
+def n23_sanitised_texts(spark, sf_dir):
+    more = "<script type=x>alert(1)</script><div><a href='q'>more</a></div><img src=x>"
+    html = _pages(spark, sf_dir).select(F.col("text_id").alias("doc_id"), F.concat("html", F.lit(more)).alias("html"))
+    return html.select("doc_id", text.sanitise_html("html").alias("html"))
+
+
 @query()
 def n23_sanitised_pages(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", text.sanitise_html("html").alias("html"))
 
 
+@query(r"SELECT doc_id, nullif(regexp_extract(text, '(?i)https?://[^\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+', 0), '') AS url FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -page_id, html FROM pages)")
+def n06_first_urls(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(_table(spark, sf_dir, "pages").select((-F.col("page_id")).alias("doc_id"), F.col("html").alias("text")))
+    return rows.select("doc_id", text.first_url(F.col("text")).alias("url"))
+
+
 _CODES = r"""SELECT page_id, regexp_extract(html, '(?i)https?://[^\s<"]+', 0) AS seen, sha256(url) AS sha, rtrim(translate(base64(encode(url)), '+/', '-_'), '=') AS code,
   url AS back, CASE WHEN trim(url) = '' THEN 'untitled' ELSE url[1:20] END AS title, replace(CAST(format('{:,}', page_id * 1000) AS VARCHAR), ',', '.') AS number FROM pages"""
 
@@ -521,12 +786,15 @@ def n18_codes(spark, sf_dir):
     )
 
 
-@query("SELECT doc_id, '<p>' || replace(replace(replace(replace(trim(text, chr(10) || ' '), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '<br>') || '</p>' AS html FROM documents WHERE NOT contains(text, chr(10) || chr(10)) AND trim(text, chr(10) || ' ') <> ''")
-def n07_to_html(spark, sf_dir, whole=False):
-    docs = _table(spark, sf_dir, "documents")
-    if not whole:
-        docs = docs.where(~F.contains("text", F.lit("\n\n")) & (F.trim(F.col("text"), F.lit("\n ")) != ""))
-    return docs.select("doc_id", text.to_html(F.col("text")).alias("html"))
+_WHOLE = rf"regexp_replace(coalesce(text, ''), '^{_BLANK}|{_BLANK}$', '', 'g')"
+
+
+@query(
+    f"""SELECT doc_id, CASE WHEN t = '' THEN '<p></p>' WHEN regexp_matches(t, '(?i)<(?:p|h[1-6]|ul|ol|li|blockquote|img|hr|div|br)\\b') THEN text
+    ELSE '<p>' || replace(array_to_string(regexp_split_to_array({_ESCAPED.format("t")}, '\\n{{2,}}'), '</p><p>'), chr(10), '<br>') || '</p>' END AS html FROM (SELECT doc_id, text, {_WHOLE} AS t FROM documents)"""
+)
+def n07_to_html(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", text.to_html(F.col("text")).alias("html"))
 
 
 _AGE = """SELECT event_id, CASE WHEN m < 2 THEN 'Editado agora' WHEN m < 60 THEN 'Editado há ' || m || ' min' WHEN m // 60 < 24 THEN 'Editado há ' || (m // 60) || ' h'
@@ -577,15 +845,119 @@ def t01_debounce(spark, sf_dir):
     return events.debounced(rows, "user_id", "ts", "event_type", "30 minutes").select("user_id", "event_type", "n")
 
 
-@query()
+_LIMITED = """WITH RECURSIVE e AS (SELECT event_id, CAST(user_id AS VARCHAR) AS client, (epoch_us(ts) // 240) // 1000 AS t FROM events),
+n AS (SELECT client, t, min(t) OVER (PARTITION BY client ORDER BY t RANGE BETWEEN 3600000 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM e),
+w AS (SELECT client, min(t) AS s FROM e GROUP BY client UNION SELECT n.client, n.later FROM w JOIN n ON n.client = w.client AND n.t = w.s WHERE n.later IS NOT NULL),
+p AS (SELECT e.event_id, e.client, e.t, w.s FROM e ASOF JOIN w ON e.client = w.client AND e.t >= w.s)
+SELECT event_id, client, t, row_number() OVER (PARTITION BY client, s ORDER BY t, event_id) <= 20 AS allowed FROM p"""
+
+
+@query(_LIMITED)
 def t04_rate_limit(spark, sf_dir):
-    rows = _table(spark, sf_dir, "events").withColumn("kind", F.col("event_type"))
-    return events.rate_limited(rows, "kind", "ts")
+    # the month of events in three hours, so that some clients ask too often
+    rows = _table(spark, sf_dir, "events").withColumn("at", F.timestamp_micros(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 240).cast("long")))
+    return events.rate_limited(rows, "user_id", "at", "event_id")
 
 
-#: Queries whose SQL takes a part of the rows, once more over all rows; their SQL does not hold for these.
-_PARTIAL = (
-    q03_entity_sheet, q04_mention_occurrences, w01_first_occurrences, q10_relation_cards, q12_graph_reach, q12_graph_neighbourhood,
-    g05_relations_of_entities, q15_share_round_trip, q16_cascade_delete, n07_to_html,
+_ASKED = "('1', '3', '17', 'none')"
+
+
+@query(
+    f""" SELECT 'universe' AS kind, id, name AS label FROM universes WHERE id IN {_ASKED} UNION ALL SELECT 'story', id, name FROM stories WHERE id IN {_ASKED} UNION ALL SELECT 'book', id, name FROM books WHERE id IN {_ASKED}
+    UNION ALL SELECT 'chapter', id, title FROM chapters WHERE id IN {_ASKED} UNION ALL SELECT 'entity', id, name FROM entities WHERE id IN {_ASKED}""",
+    "universes", "stories", "books", "chapters", "entities",
+)
+def s03_point_lookups(spark, sf_dir):
+    kinds = {"universe": "universes", "story": "stories", "book": "books", "chapter": "chapters", "entity": "entities"}
+    out = None
+    for kind, name in kinds.items():
+        (rows,) = _views(spark, sf_dir, name)
+        part = reads.by_ids(rows, ["1", "3", "17", "none"]).select(F.lit(kind).alias("kind"), "id", F.col("title" if kind == "chapter" else "name").alias("label"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(" SELECT id, name, sort_order FROM books WHERE story_id = '7' AND sort_order >= 20", "books")
+def s01_parameterised_select(spark, sf_dir):
+    (books,) = _views(spark, sf_dir, "books")
+    return reads.select(spark, "SELECT id, name, sort_order FROM {books} WHERE story_id = :story AND sort_order >= :least", {"books": books}, story="7", least=20)
+
+
+@query(" SELECT id, name FROM stories WHERE universe_id = '2' ORDER BY sort_order, id LIMIT 1", "stories")
+def s02_first_row(spark, sf_dir):
+    (stories,) = _views(spark, sf_dir, "stories")
+    row = reads.select_one(reads.children(stories, "universe_id", "2").select("id", "name"))
+    return spark.createDataFrame([] if row is None else [(row["id"], row["name"])], "id string, name string")
+
+
+@query(
+    """ SELECT 'timeline' AS kind, id FROM timeline_events WHERE universe_id = '3' UNION ALL SELECT 'planning', id FROM planning_items WHERE universe_id = '3'
+    UNION ALL SELECT 'history', id FROM change_log WHERE universe_id = '3' UNION ALL SELECT 'relation', id FROM relations WHERE universe_id = '3'""",
+    "timeline_events", "planning_items", "change_log", "relations",
+)
+def f01_universe_rows(spark, sf_dir):
+    out = None
+    for kind, rows in zip(("timeline", "planning", "history", "relation"), _views(spark, sf_dir, "timeline_events", "planning_items", "change_log", "relations"), strict=True):
+        part = reads.of_universe(rows, "3").select(F.lit(kind).alias("kind"), "id")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    " SELECT 'typed' AS kind, id, name FROM entities WHERE universe_id = '2' AND type = 'PROMO' UNION ALL SELECT 'any', id, name FROM entities WHERE universe_id = '2' UNION ALL SELECT 'drafts', id, name FROM entities WHERE universe_id = '2' AND type = 'PROMO' AND canon_status = 'RASCUNHO'",
+    "entities",
+)
+def f02_matching_entities(spark, sf_dir):
+    (entities,) = _views(spark, sf_dir, "entities")
+    asked = {"typed": {"type": "PROMO"}, "any": {"type": None}, "drafts": {"type": "PROMO", "canon_status": "RASCUNHO"}}
+    out = None
+    for kind, values in asked.items():
+        part = reads.matching(entities, universe_id="2", **values).select(F.lit(kind).alias("kind"), "id", "name")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    """ SELECT 'planning' AS kind, id FROM planning_items WHERE status = 'FINALIZADO' UNION ALL SELECT 'book', id FROM books WHERE story_id = '4' UNION ALL SELECT 'chapter', id FROM chapters WHERE book_id = '9'
+    UNION ALL SELECT 'count ' || type, CAST(count(*) AS VARCHAR) FROM entities GROUP BY type""",
+    "planning_items", "books", "chapters", "entities",
+)
+def f10_sub_selects(spark, sf_dir):
+    planning, books, chapters, entities = _views(spark, sf_dir, "planning_items", "books", "chapters", "entities")
+    parts = [("planning", planning, "status", "FINALIZADO"), ("book", books, "story_id", "4"), ("chapter", chapters, "book_id", "9")]
+    out = entities.groupBy("type").agg(F.count(F.lit(1)).cast("string").alias("id")).select(F.concat(F.lit("count "), "type").alias("kind"), "id")
+    for kind, rows, column, value in parts:
+        out = out.unionByName(search.sub_select(rows, column, value).select(F.lit(kind).alias("kind"), "id"))
+    return out
+
+
+@query(
+    f""" SELECT id, CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN concat('new ', id) ELSE content END AS content, CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN 7 ELSE word_count END AS word_count,
+    CASE WHEN CAST(id AS BIGINT) % 5 = 0 THEN 'FEITO' ELSE status END AS status, CASE WHEN CAST(id AS BIGINT) % 3 = 0 OR CAST(id AS BIGINT) % 5 = 0 THEN '{NOW}' ELSE updated_at END AS updated_at FROM chapters""",
+    "chapters",
+)
+def k04_column_updates(spark, sf_dir):
+    (chapters,) = _views(spark, sf_dir, "chapters")
+    number = F.col("id").cast("long")
+    content = chapters.where(number % 3 == 0).select("id", F.concat(F.lit("new "), "id").alias("content"), F.lit(7).alias("word_count"))
+    changed = dml.set_columns(chapters, content, NOW)
+    return dml.set_columns(changed, chapters.where(number % 5 == 0).select("id", F.lit("FEITO").alias("status")), NOW).select("id", "content", "word_count", "status", "updated_at")
+
+
+@query(f" SELECT id, CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN '{NOW}' ELSE updated_at END AS updated_at FROM entities", "entities")
+def k06_touched_entities(spark, sf_dir):
+    (entities,) = _views(spark, sf_dir, "entities")
+    own = spark.createDataFrame([], "id string, entity_id string, key string, value string, sort_order int")
+    values = entities.where(F.col("id").cast("long") % 3 == 0).select(F.col("id").alias("entity_id"), F.lit("k").alias("key"), F.lit("v").alias("value"))
+    return dml.set_sheet(entities, own, values, NOW)[0].select("id", "updated_at")
+
+
+@query(
+    " SELECT chapter_id, entity_id, created_at FROM mentions UNION ALL SELECT DISTINCT m.chapter_id, concat(m.entity_id, 'x'), 'new' FROM mentions m WHERE CAST(m.entity_id AS BIGINT) % 2 = 1",
+    "mentions",
 )
-QUERIES.update({f"{f.__name__}_whole": partial(f, whole=True) for f in _PARTIAL})
+def k13_insert_absent(spark, sf_dir):
+    (told,) = _views(spark, sf_dir, "mentions")
+    odd = F.col("entity_id").cast("long") % 2 == 1
+    asked = told.withColumn("entity_id", F.when(odd, F.concat("entity_id", F.lit("x"))).otherwise(F.col("entity_id"))).withColumn("created_at", F.lit("new"))
+    return dml.insert_absent(told, asked.unionByName(asked), ["chapter_id", "entity_id"]).select("chapter_id", "entity_id", "created_at")

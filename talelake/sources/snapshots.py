@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,30 +31,58 @@ def export_snapshot(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def import_table(snapshot: DataFrame, name: str, columns: list[str] | None = None) -> DataFrame:
+def import_table(snapshot: DataFrame, name: str, columns: list[str] | None = None, steps: bool = False) -> DataFrame:
     """One table of a snapshot, typed; booleans become 0 or 1 and objects JSON text. Rows without the key ``id`` are left out.
 
-    columns: those that the snapshot's rows have, all of the table's if not given.
+    columns: those that the snapshot's rows have, all of the table's if not given. steps: also ``_keys``, the keys of
+    each row, and ``_pos`` if the snapshot has its rows' places as ``pos``, for a merge row by row.
     """
     kept = [f for f in schema(name) if columns is None or f.name in columns]
     raw = snapshot.where(F.col("name") == name)
     values = [F.get_json_object("row", f"$.{f.name}").alias(f.name) for f in kept]
     typed = [F.when(F.col(f.name).isin("true", "false"), (F.col(f.name) == "true").cast("int").cast("string")).otherwise(F.col(f.name)).try_cast(f.dataType).alias(f.name) if not isinstance(f.dataType, T.StringType) else F.col(f.name) for f in kept]
-    return raw.select(*values).where("id is not null").select(*typed)
+    more = [F.json_object_keys("row").alias("_keys"), *([F.col("pos").alias("_pos")] if "pos" in snapshot.columns else [])] if steps else []
+    return raw.select(*values, *more).where("id is not null").select(*typed, *(c for c in ("_keys", "_pos") if steps and (c == "_keys" or "pos" in snapshot.columns)))
 
 
 def read_tables(spark: SparkSession, folder: str, names: list[str] | None = None) -> dict[str, DataFrame]:
-    """Tables of a folder of Parquet files, with all of their columns."""
-    return {n: with_defaults(spark.read.parquet(f"{folder}/{n}.parquet"), n) for n in names or SYNCED}
+    """Tables of a folder of Parquet files, with all of their columns. A filter by universe reads only its folders."""
+    return {n: with_defaults(spark.read.schema(schema(n)).parquet(f"{folder}/{n}.parquet"), n) for n in names or SYNCED}
 
 
 def write_version(tables: dict[str, DataFrame], folder: str, version: str) -> str:
-    """Writes all tables into a new folder; readers move on only when the caller publishes its path."""
+    """Writes all tables into a new folder, by universe where a table has that column; nobody reads it before ``publish``."""
     path = f"{folder}/{version}"
     for name, df in tables.items():
-        df.write.mode("errorifexists").parquet(f"{path}/{name}.parquet")
+        writer = df.write.mode("errorifexists")
+        (writer.partitionBy("universe_id") if "universe_id" in df.columns else writer).parquet(f"{path}/{name}.parquet")
     return path
 
 
+_COMMITS = "sequence long, version string, committed_at string"
+
+
+def _commits(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(_COMMITS).json(f"{folder}/commits")
+
+
+def publish(spark: SparkSession, folder: str, version: str, now: str) -> None:
+    """Makes a written version the current one: one row, which the write protocol shows whole or not at all.
+
+    Writers take turns; of two at once the later row counts.
+    """
+    try:
+        last = _commits(spark, folder).agg(F.coalesce(F.max("sequence"), F.lit(0))).first()[0]
+    except AnalysisException:  # the first version of this folder
+        last = 0
+    spark.createDataFrame([(last + 1, version, now)], _COMMITS).write.mode("append").json(f"{folder}/commits")
+
+
+def current_version(spark: SparkSession, folder: str) -> str:
+    """Path of the version that was published last."""
+    last = _commits(spark, folder).agg(F.max_by("version", "sequence")).first()[0]
+    return f"{folder}/{last}"
+
+
 def row_counts(snapshot: DataFrame) -> DataFrame:
     return snapshot.groupBy("name").agg(F.count(F.lit(1)).alias("n"))

@@ -16,21 +16,26 @@ _VIEWS = {
         "CAST(round(o_totalprice * 100) AS BIGINT) AS word_count, o_orderstatus AS status, o_orderkey AS sort_order, {updated} AS updated_at FROM orders"
     ),
     "entities": (
-        "SELECT CAST(p_partkey AS {str}) AS id, CAST(p_partkey % 5 AS {str}) AS universe_id, p_type AS type, p_name AS name, p_brand AS description, '' AS image, "
+        "SELECT CAST(p_partkey AS {str}) AS id, CAST(p_partkey % 5 AS {str}) AS universe_id, p_type AS type, p_name AS name, p_brand AS description, CASE WHEN p_size % 4 = 0 THEN 'data:image/png;base64,AA==' ELSE '' END AS image, "
+        "CASE WHEN p_size % 3 = 0 THEN 'RASCUNHO' ELSE 'CANON' END AS canon_status, "
         "concat('2024-01-', substr(CAST(110 + p_size % 19 AS {str}), 2, 2), ' 00:00:00') AS updated_at FROM part"
     ),
     "relations": (
         "SELECT concat(CAST(l_orderkey AS {str}), '-', CAST(l_linenumber AS {str}), '-', CAST(source AS {str}), '-', CAST(l_suppkey AS {str})) AS id, "
         "CAST(l_orderkey % 5 AS {str}) AS universe_id, CAST(source AS {str}) AS source_id, CAST(target AS {str}) AS target_id, l_returnflag AS type, "
-        "l_linestatus AS label, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS bidirectional, {shipped} AS created_at "
+        "l_linestatus AS label, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS bidirectional, CASE WHEN l_returnflag = 'R' THEN 'alta' ELSE 'normal' END AS importance, {shipped} AS created_at "
         "FROM (SELECT l_orderkey, l_linenumber, l_suppkey, l_returnflag, l_linestatus, l_shipdate, l_partkey AS source, "
-        "lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS target FROM lineitem WHERE l_orderkey % 50 = 0) "
+        "lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS target FROM lineitem) "
         "WHERE target IS NOT NULL AND target <> source"
     ),
+    "mentions": (
+        "SELECT concat(CAST(l_orderkey AS {str}), ':', CAST(l_partkey AS {str})) AS id, CAST(l_orderkey AS {str}) AS chapter_id, CAST(l_partkey AS {str}) AS entity_id, {first_shipped} AS created_at "
+        "FROM lineitem GROUP BY l_orderkey, l_partkey"
+    ),
     "planning_items": (
         "SELECT CAST(o_orderkey AS {str}) AS id, CAST(o_custkey % 5 AS {str}) AS universe_id, CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE CAST(o_orderkey AS {str}) END AS chapter_id, "
         "concat('Plan ', CAST(o_orderkey AS {str})) AS title, '' AS description, CASE o_orderpriority WHEN '1-URGENT' THEN 'IDEIAS' WHEN '2-HIGH' THEN 'PLANEJADO' "
-        "WHEN '3-MEDIUM' THEN 'ESCREVENDO' WHEN '4-NOT SPECIFIED' THEN 'REVISAO' ELSE 'CONCLUIDO' END AS status, o_custkey AS sort_order, {updated} AS created_at FROM orders"
+        "WHEN '3-MEDIUM' THEN 'ESCREVENDO' WHEN '4-NOT SPECIFIED' THEN 'REVISAO' ELSE 'FINALIZADO' END AS status, o_custkey AS sort_order, {updated} AS created_at FROM orders"
     ),
     "timeline_events": (
         "SELECT CAST(event_id AS {str}) AS id, CAST(user_id % 5 AS {str}) AS universe_id, event_type AS title, props AS description, {at} AS start_date, '' AS display_date, "
@@ -50,11 +55,9 @@ _VIEWS = {
         "FROM orders WHERE o_orderkey % 10 <> 1"
     ),
 }
-#: The same over every order; SQL of the queries keeps to the part above.
-_VIEWS["all_relations"] = _VIEWS["relations"].replace(" WHERE l_orderkey % 50 = 0", "")
 #: The driver's tables that each view reads.
 _BASES = {
-    "universes": "region", "stories": "nation", "books": "customer", "chapters": "orders", "entities": "part", "relations": "lineitem", "all_relations": "lineitem", "planning_items": "orders",
+    "universes": "region", "stories": "nation", "books": "customer", "chapters": "orders", "entities": "part", "relations": "lineitem", "mentions": "lineitem", "planning_items": "orders",
     "timeline_events": "events", "change_log": "events", "local_chapters": "orders", "remote_chapters": "orders",
 }
 
@@ -66,6 +69,7 @@ def _sql(name: str, dialect: str) -> str:
         updated=time("o_orderdate"),
         shifted=time("o_orderdate + (o_orderkey % 3 - 1) * INTERVAL 1 DAY"),
         shipped=time("l_shipdate"),
+        first_shipped=time("min(l_shipdate)"),
         at=time("ts"),
     )
 

@@ -6,11 +6,14 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from talelake.operators import changes, mentions
+from talelake.plans.lineage import cut
+
 #: Requests of a client in an hour that pass, and the hour in milliseconds.
 ALLOWED, HOUR = 20, 3_600_000
 
@@ -36,63 +39,94 @@ def limited(times: list[int], started: int | None, count: int) -> tuple[list[boo
     return passed, started, count
 
 
-def rate_limited(requests: DataFrame, client: str, time: str) -> DataFrame:
-    """client, time, allowed of a table of requests, in the order of their times.
+def rate_limited(requests: DataFrame, client: str, time: str, id_col: str) -> DataFrame:
+    """id_col, client, t (milliseconds) and allowed of each request; requests of one time go by id.
 
-    A client's windows follow from each other, so its times, and nothing else of
-    its requests, are one group.
+    A client's windows follow from each other, but a request after an hour of silence
+    always starts one, so its requests fall apart into stretches without such a gap.
+    Stretches are dealt and sorted, and a task reads them in order with one window in
+    hand: nothing is gathered. A null client is a client of its own.
     """
+    rows = requests.select(F.col(id_col).cast("long").alias("id"), F.col(client).cast("string").alias("client"), F.unix_millis(F.col(time).cast("timestamp")).alias("t"))
+    by = Window.partitionBy("client").orderBy("t", "id")
+    starts = F.coalesce((F.col("t") - F.lag("t").over(by) >= HOUR).cast("long"), F.lit(1))
+    rows = rows.withColumn("starts", starts).withColumn("stretch", F.sum("starts").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    dealt = rows.select("id", "client", "t", "stretch").repartition("client", "stretch").sortWithinPartitions("client", "stretch", "t", "id")
 
-    def run(key, table):
-        times = sorted(table["t"].to_pylist())
-        passed, _, _ = limited(times, None, 0)
-        return pa.table({"client": pa.array([key[0].as_py()] * len(times), pa.string()), "t": pa.array(times, pa.int64()), "allowed": pa.array(passed, pa.bool_())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, started, count = None, None, 0
+        for batch in batches:
+            allowed: list[bool] = []
+            for own, stretch, t in zip(*(batch.column(k).to_pylist() for k in (1, 3, 2)), strict=True):
+                if (own, stretch) != held:
+                    held, started, count = (own, stretch), None, 0
+                passed, started, count = limited([t], started, count)
+                allowed += passed
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(allowed, pa.bool_())], ["id", "client", "t", "allowed"])
 
-    rows = requests.select(F.col(client).cast("string").alias("client"), F.unix_millis(F.col(time).cast("timestamp")).alias("t"))
-    return rows.groupBy("client").applyInArrow(run, "client string, t long, allowed boolean")
+    return dealt.mapInArrow(run, "id long, client string, t long, allowed boolean").withColumnRenamed("id", id_col)
 
 
-def rate_limited_stream(requests: DataFrame, client: str, time: str) -> DataFrame:
-    """The same over a stream: each client's window is kept as state."""
+def rate_limited_stream(requests: DataFrame, client: str, time: str, id_col: str, late: str = "10 minutes") -> DataFrame:
+    """The same over a stream: each client's window is kept as state, and goes when it is over by the stream's own time."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         started, count = state.get if state.exists else (None, 0)
-        times = sorted(int(t) for frame in frames for t in frame["t"])
-        passed, started, count = limited(times, started, count)
+        rows = pd.concat(list(frames)).sort_values(["t", "id"])
+        passed, started, count = limited([int(t) for t in rows["t"]], started, count)
         state.update((started, count))
-        yield pd.DataFrame({"client": [key[0]] * len(times), "t": times, "allowed": passed})
+        state.setTimeoutTimestamp(max(started + HOUR, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"id": rows["id"], "client": [key[0]] * len(rows), "t": rows["t"], "allowed": passed})
 
-    rows = requests.select(F.col(client).cast("string").alias("client"), F.unix_millis(F.col(time).cast("timestamp")).alias("t"))
-    return rows.groupBy("client").applyInPandasWithState(step, "client string, t long, allowed boolean", "started long, count long", "append", GroupStateTimeout.NoTimeout)
+    rows = requests.select(F.col(id_col).cast("long").alias("id"), F.col(client).cast("string").alias("client"), F.col(time).cast("timestamp").alias("at"))
+    rows = rows.withWatermark("at", late).withColumn("t", F.unix_millis("at"))
+    found = rows.groupBy("client").applyInPandasWithState(step, "id long, client string, t long, allowed boolean", "started long, count long", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.withColumnRenamed("id", id_col)
 
 
 class ShareState(StatefulProcessor):
-    """Live shares by id: a put (expires) is kept until its time; a revoke (hash) with the right hash removes it; a get tells whether it is there."""
+    """Live shares by id: a put (expires) is kept until its time; a revoke (hash) with the right hash removes it; a get tells whether it is there.
+
+    A timer removes a share when its time is over by the stream's own time, also if nobody asks for it again.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.share = handle.getValueState("share", "expires long, revoke_hash string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values("t")
+        events = pd.concat(list(rows)).sort_values("t", kind="stable")
         out = []
         for e in events.itertuples():
             held = self.share.get() if self.share.exists() else None
             live = held is not None and held[0] > e.t
             if e.kind == "put":
                 self.share.update((int(e.expires), e.revoke_hash))
+                self.handle.registerTimer(int(e.expires))
                 continue
             if held is not None and (not live or e.kind == "revoke" and held[1] == e.revoke_hash):
                 self.share.clear()
             out.append((key[0], e.kind, int(e.t), bool(live and (e.kind == "get" or held[1] == e.revoke_hash))))
         yield pd.DataFrame(out, columns=["id", "kind", "t", "found"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.share.exists() and self.share.get()[0] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.share.clear()  # a later put may have moved the end
+        yield from ()
+
     def close(self) -> None:
         """Nothing is held outside the state."""
 
 
-def share_stream(events: DataFrame) -> DataFrame:
-    """id, kind, t, found of the gets and revokes of a stream (id, kind, t, expires, revoke_hash)."""
-    return events.groupBy("id").transformWithStateInPandas(ShareState(), outputStructType="id string, kind string, t long, found boolean", outputMode="append", timeMode="none")
+def share_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """id, kind, t, found of the gets and revokes of a stream (id, kind, t, expires, revoke_hash).
+
+    The session needs a state store that keeps several states, such as RocksDB.
+    """
+    return events.withColumn("at", F.timestamp_millis("t")).withWatermark("at", late).groupBy("id").transformWithStateInPandas(ShareState(), outputStructType="id string, kind string, t long, found boolean", outputMode="append", timeMode="EventTime")
 
 
 def apply_changes(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
@@ -100,6 +134,36 @@ def apply_changes(stream: DataFrame, apply: Callable[[DataFrame, int], None], ch
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def capture(folder: str, books: DataFrame, stories: DataFrame, now: str) -> Callable[[DataFrame, int], None]:
+    """A batch function for saved chapters: logs and revisions against the chapters of ``folder`` are appended there, and the chapters written anew.
+
+    Each batch has folders of its own, so that a batch that runs twice writes the same again.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        old = spark.read.parquet(f"{folder}/chapters/{number}")
+        saved = batch.withColumn("_k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("updated_at")))).where("_k = 1").select(*old.columns)
+        known = old.join(saved.select("id"), "id", "left_semi").select(*old.columns)
+        pairs = cut(changes.row_pairs(known, saved))
+        changes.chapter_log(pairs, books, stories).write.mode("overwrite").parquet(f"{folder}/change_log/batch={number}")
+        changes.revisions(pairs, now).write.mode("overwrite").parquet(f"{folder}/chapter_revisions/batch={number}")
+        left = old.join(saved.select("id"), "id", "left_anti").select(*old.columns)
+        left.unionByName(saved).write.mode("overwrite").parquet(f"{folder}/chapters/{number + 1}")
+
+    return apply
+
+
+def sync_saves(folder: str, entities: DataFrame, now: str) -> Callable[[DataFrame, int], None]:
+    """A batch function for saved chapters (id, content): only their mentions are read anew; ``folder`` gets a new mention table for each batch."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        current = batch.sparkSession.read.parquet(f"{folder}/mentions/{number}")
+        mentions.rebuild_mentions(batch, entities, current, now).write.mode("overwrite").parquet(f"{folder}/mentions/{number + 1}")
+
+    return apply
+
+
 def body_allowed(body, limit: int = 3_000_000):
     """Whether a request's body is within the limit."""
     return F.octet_length(body) <= limit

@@ -45,27 +45,27 @@ CH = "id string, book_id string, title string, content string, updated_at string
 def test_merge_rules(spark):
     local = rows(spark, [("c1", "b", "t", "x", "5"), ("c2", "b", "t", "x", "5"), ("c3", "b", "t", "x", "5"), ("c4", "b", "t", "x", "5"), ("c5", "b", "t", "x", "5")], CH)
     remote = rows(spark, [("c1", "b", "t2", "y", "5"), ("c2", "b", "t2", "x", "5"), ("c3", "b", "t", "y", "6"), ("c4", "b", "t", "y", "4"), ("new", "b", "n", "z", "1"), (None, "b", "n", "z", "1")], CH)
-    merged, classified = merge.merge_table(local, remote, "chapters")
+    merged, classified = merge.merge_table(local, remote, "chapters", "9")
     assert {r.id: r.outcome for r in classified.collect()} == {"c1": "conflict", "c2": "kept", "c3": "update", "c4": "kept", "c5": "local", "new": "insert"}
     assert {r.id: (r.title, r.content) for r in merged.collect()} == {"c1": ("t", "x"), "c2": ("t", "x"), "c3": ("t", "y"), "c4": ("t", "x"), "c5": ("t", "x"), "new": ("n", "z")}
     assert [(r.aggregate_id, r.local_value, r.remote_value) for r in merge.conflict_rows(classified, "9").collect()] == [("c1", "x", "y")]
-    again, _ = merge.merge_table(merged, remote, "chapters")
+    again, _ = merge.merge_table(merged, remote, "chapters", "9")
     assert sorted(again.collect()) == sorted(merged.collect())
 
 
 def test_merge_without_times_and_duplicates(spark):
     local = rows(spark, [("r1", "old", "imp")], "id string, label string, importance string")
     remote = rows(spark, [("r1", "a", 0), ("r1", "b", 1)], "id string, label string, _pos int")
-    merged, classified = merge.merge_table(local, remote, "relations")
-    assert [(r.label, r.importance) for r in merged.collect()] == [("b", "imp")] and classified.first().outcome == "update"
+    merged, classified = merge.merge_table(local, remote, "relations", "9")
+    assert [(r.label, r.importance) for r in merged.collect()] == [("b", "imp")] and [r.outcome for r in classified.collect()] == ["update", "update"]
     twice = rows(spark, [("n", "b", "t", "first", "5", 0), ("n", "b", "t", "second", "5", 1), ("m", "b", "t", "x", "5", 0), ("m", "b", "t", "y", "6", 1)], CH + ", _pos int")
-    merged, classified = merge.merge_table(rows(spark, [], CH), twice, "chapters")
+    merged, classified = merge.merge_table(rows(spark, [], CH), twice, "chapters", "9")
     assert {r.id: r.content for r in merged.collect()} == {"n": "first", "m": "y"}
     assert [r.aggregate_id for r in merge.conflict_rows(classified, "9").collect()] == ["n"]
     universes = made(spark, "universes", {"id": "u", "name": "N", "updated_at": "2026-08-20 10:00:00"})
     newer = made(spark, "universes", {"id": "u", "name": "M", "updated_at": "2026-08-20 12:00:00"})
     result = merge.merge_snapshot({"universes": universes}, {"universes": newer, "change_log": empty(spark, "change_log")}, "9")
-    assert result.tables["universes"].first().name == "M" and "change_log" not in result.rows
+    assert result.tables["universes"].first().name == "M" and "change_log" not in result.steps
     assert merge.merge_snapshot({"universes": newer}, {"universes": universes}, "9").tables["universes"].first().name == "M"
     assert result.counts().first()[:] == ("universes", 1, 0)
     lost = {"universes": universes, "stories": empty(spark, "stories")}
@@ -129,9 +129,11 @@ def test_mentions(spark):
     names = rows(spark, [("a", "Avila"), ("b", "Ana"), ("c", "C++"), ("d", "—"), ("e", "日本"), ("f", "")], "entity_id string, name string")
     assert {(r.text_id, r.entity_id) for r in mentions.find_mentions(texts, names).collect()} == {(1, "a"), (1, "c"), (2, "e")}
     content = rows(spark, [(1, '<p>Ana foi.</p><p>Ana: "sim"</p><p>"Não", disse Ana.</p>')], "text_id int, html string")
-    told = rows(spark, [("b", "c9", 0, 0, 1), ("b", "c8", 0, 0, 0)], "entity_id string, chapter_id string, story_order int, book_order int, sort_order int")
+    told = rows(spark, [("b", "c9", 0, 0, 1), ("b", "c8", 0, 0, 0), ("a", "c9", 0, 0, 1)], "entity_id string, chapter_id string, story_order int, book_order int, sort_order int")
     (r,) = mentions.insights(content, names.where("entity_id = 'b'"), told).collect()
-    assert r.mentioned and r.snippets == ['Ana: "sim"', '"Não", disse Ana.'] and r.first_chapter == "c8"
+    assert r.snippets == ['Ana: "sim"', '"Não", disse Ana.'] and r.first_chapter == "c8"
+    both = {r.entity_id: (r.mentioned, r.first_chapter) for r in mentions.text_insights(content, names.where("entity_id in ('a', 'b', 'c')"), told).collect()}
+    assert both == {"b": (True, "c8"), "a": (False, "c9")}
 
 
 def test_edits(spark):
@@ -141,11 +143,12 @@ def test_edits(spark):
         "universes": made(spark, "universes", {"id": "u"}, {"id": "v"}),
         "entities": made(spark, "entities", {"id": "e", "universe_id": "u"}, {"id": "f", "universe_id": "v"}),
         "timeline_events": made(spark, "timeline_events", {"id": "1", "universe_id": "v", "entity_id": "e"}, {"id": "2", "universe_id": "u", "entity_id": "e"}),
-        "attachments": made(spark, "attachments", {"id": "1", "universe_id": "v", "owner_type": "entity", "owner_id": "e"}, {"id": "2", "universe_id": "v", "owner_type": "x", "owner_id": "e"}),
+        "attachments": made(spark, "attachments", {"id": "1", "universe_id": "v", "owner_type": "entity", "owner_id": "e"}, {"id": "2", "universe_id": "v", "owner_type": "x", "owner_id": "e"}, {"id": "3", "universe_id": "v", "owner_type": "chapter", "owner_id": "c"}),
+        "stories": made(spark, "stories", {"id": "s", "universe_id": "u"}), "books": made(spark, "books", {"id": "b", "story_id": "s"}), "chapters": made(spark, "chapters", {"id": "c", "book_id": "b"}),
         "change_log": made(spark, "change_log", {"id": "1", "universe_id": "u"}),
     }
     left = dml.cascade_delete(tables, "universes", rows(spark, [("u",)], "id string"))
-    assert {t: sorted(r.id for r in d.collect()) for t, d in left.items()} == {"universes": ["v"], "entities": ["f"], "timeline_events": ["1"], "attachments": ["2"], "change_log": ["1"]}
+    assert {t: sorted(r.id for r in d.collect()) for t, d in left.items()} == {"universes": ["v"], "entities": ["f"], "timeline_events": ["1"], "attachments": ["2"], "change_log": ["1"], "stories": [], "books": [], "chapters": []}
     assert left["timeline_events"].first().entity_id is None
     assert dml.touch(tables["universes"], rows(spark, [("u",)], "id string"), "9").where("updated_at = '9'").count() == 1
     assert dml.delete(tables["universes"], rows(spark, [("u",)], "id string")).count() == 1 and dml.insert(tables["universes"], tables["universes"]).count() == 4

@@ -4,18 +4,21 @@ from pyspark.sql import functions as F
 from talelake.streaming import events
 
 
+EPOCH = 1_700_000_000_000
+
+
 def test_limits():
     passed, started, count = events.limited([0] * 21 + [3_599_999, 3_600_000], None, 0)
     assert passed == [True] * 20 + [False, False, True] and (started, count) == (3_600_000, 1)
 
 
 def test_batch_and_stream_agree(spark, tmp_path):
-    data = [(c, t) for c in ("a", "b") for t in range(0, 30 * (1 if c == "a" else 300_000), 1 if c == "a" else 300_000)]
-    frame = spark.createDataFrame(data, "client string, t long").select("client", F.timestamp_millis("t").alias("at"))
+    data = [(c, t) for c in ("a", "b") for t in range(EPOCH, EPOCH + 30 * (1 if c == "a" else 300_000), 1 if c == "a" else 300_000)]
+    frame = spark.createDataFrame([(k, *row) for k, row in enumerate(data)], "n long, client string, t long").select("n", "client", F.timestamp_millis("t").alias("at"))
     frame.repartition(1).write.parquet(str(tmp_path / "in"))
-    batch = sorted(tuple(r) for r in events.rate_limited(frame, "client", "at").collect())
-    assert sum(r[2] for r in batch if r[0] == "a") == 20 and all(r[2] for r in batch if r[0] == "b")
-    stream = events.rate_limited_stream(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in")), "client", "at")
+    batch = sorted(tuple(r) for r in events.rate_limited(frame, "client", "at", "n").collect())
+    assert sum(r[3] for r in batch if r[1] == "a") == 20 and all(r[3] for r in batch if r[1] == "b") and [r[0] for r in batch] == list(range(60))
+    stream = events.rate_limited_stream(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in")), "client", "at", "n")
     q = stream.writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
     q.awaitTermination()
     assert sorted(tuple(r) for r in spark.table("limited").collect()) == batch
@@ -45,6 +48,7 @@ def test_share_state():
 
     p = events.ShareState()
     p.share = Value()
+    p.handle = type("Handle", (), {"registerTimer": lambda self, t: None})()
     rows = pd.DataFrame([("put", 0, 100, "h"), ("get", 1, 0, ""), ("revoke", 2, 0, "wrong"), ("get", 3, 0, ""), ("revoke", 4, 0, "h"), ("get", 5, 0, ""), ("put", 6, 50, "h"), ("get", 50, 0, "")], columns=["kind", "t", "expires", "revoke_hash"])
     (out,) = p.handleInputRows(("s",), iter([rows]), None)
     assert out["found"].tolist() == [True, False, True, True, False, False]
@@ -57,3 +61,37 @@ def test_changes_run_by_batch(spark, tmp_path):
     q.awaitTermination()
     assert sum(seen) == 5
     assert spark.range(1).select(events.body_allowed(F.lit("abc"), 3), events.body_allowed(F.lit("abcd"), 3)).first()[:] == (True, False)
+
+
+def test_share_stream(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = [("s", "put", 1, 100, "h"), ("s", "get", 1, 0, ""), ("s", "revoke", 4, 0, "h"), ("s", "get", 5, 0, ""), ("x", "get", 1, 0, ""), ("e", "put", 1, 3, "h"), ("e", "get", 3, 0, "")]
+        frame = spark.createDataFrame(rows, "id string, kind string, t long, expires long, revoke_hash string")
+        frame.coalesce(1).write.parquet(str(tmp_path / "in"))
+        stream = events.share_stream(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in")))
+        q = stream.writeStream.format("memory").queryName("shares").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+        q.awaitTermination()
+        assert {tuple(r) for r in spark.table("shares").collect()} == {("s", "get", 1, True), ("s", "revoke", 4, True), ("s", "get", 5, False), ("x", "get", 1, False), ("e", "get", 3, False)}
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_capture_and_mentions_of_a_stream(spark, tmp_path):
+    books, stories = spark.createDataFrame([("b", "s")], "id string, story_id string"), spark.createDataFrame([("s", "u")], "id string, universe_id string")
+    ddl = "id string, book_id string, title string, content string, status string, word_count int, updated_at string"
+    folder = str(tmp_path / "store")
+    spark.createDataFrame([("c", "b", "t", "<p>Ana</p>", "x", 1, "1"), ("d", "b", "t", "<p>Ana</p>", "x", 1, "1")], ddl).write.parquet(f"{folder}/chapters/0")
+    spark.createDataFrame([("m", "c", "a", "1"), ("k", "d", "a", "1")], "id string, chapter_id string, entity_id string, created_at string").write.parquet(f"{folder}/mentions/0")
+    source = str(tmp_path / "in")
+    for k, row in enumerate([("c", "b", "t2", "<p>Bia</p>", "x", 2, "2"), ("c", "b", "t2", "<p>Bia e Ana</p>", "x", 4, "3")]):
+        spark.createDataFrame([row], ddl).coalesce(1).write.mode("append").parquet(source)
+    names = spark.createDataFrame([("a", "Ana"), ("b", "Bia")], "id string, name string")
+    steps = {"capture": events.capture(folder, books, stories, "9"), "sync": events.sync_saves(folder, names, "9")}
+    for name, step in steps.items():
+        stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(source)
+        events.apply_changes(stream, step, str(tmp_path / name)).awaitTermination()
+    assert sorted((r.field, r.old_value, r.new_value) for r in spark.read.parquet(f"{folder}/change_log").collect()) == [("content", "2", "4"), ("title", "t", "t2")]
+    assert sorted(r.content for r in spark.read.parquet(f"{folder}/chapter_revisions").collect()) == ["<p>Ana</p>", "<p>Bia</p>"]
+    assert {r.id: r.word_count for r in spark.read.parquet(f"{folder}/chapters/2").collect()} == {"c": 4, "d": 1}
+    assert {(r.chapter_id, r.entity_id) for r in spark.read.parquet(f"{folder}/mentions/2").collect()} == {("c", "a"), ("c", "b"), ("d", "a")}
