@@ -8,40 +8,49 @@ else, in the same document too. Three ideas make that a few shuffles:
   so two equal windows have an anchor at the same place. An anchor's context is
   what windows around it can reach: LENGTH - GRAM bytes to the left, LENGTH to the
   right, within its document.
-* Equal contexts. Anchors are counted by gram and context (128 bits of hash). A
-  context that occurs twice is repeated as a whole. A gram with one context that
-  occurs once repeats nothing; that is most of the corpus, and its bytes never move.
+* Equal contexts. A first pass counts the grams of anchors. A gram that occurs once
+  repeats nothing; that is most of the corpus, and its bytes never move. Anchors of
+  the other grams are counted by context, by 128 bits of BLAKE2. A context that
+  occurs twice is repeated as a whole.
 * Suffix sorts. Grams with several contexts have one context of each kind sorted
   twice, by what follows and by what precedes the anchor. Suffixes are compared by
-  prefix polynomial hashes: a binary search over their lengths finds the common
-  extension. Windows at an anchor all cover it, so what is removed around it is one
-  stretch, from the longest left to the longest right extension among contexts
-  whose extensions add up to LENGTH. They are found by walking from an anchor's place
-  in either order, as far as the extensions can still add up. Matches are compared
-  byte by byte in the end, so that no collision of hashes removes anything.
+  prefix polynomial hashes modulo the prime 2**61 - 1 with a random base: a binary
+  search over their lengths finds the common extension. Windows at an anchor all
+  cover it, so what is removed around it is one stretch, from the longest left to the
+  longest right extension among contexts whose extensions add up to LENGTH. They are
+  found by walking from an anchor's place in either order, as far as the extensions
+  can still add up. Matches are compared byte by byte in the end.
 
 * Crowds. A gram with more than CROWD different contexts (a line of half the corpus)
   is split: windows with the anchor at nearly the same place share a long core of
   bytes, and are grouped by that instead, in rounds, until groups are small or
   their contexts are equal. So no task sorts more than CROWD contexts of one key.
 
-Anchors are pre-aggregated by each batch before the shuffle; members of a hot
-group are joined by gram and context, which adaptive execution splits.
+So bytes go only after a comparison of bytes, or for an equal 128-bit BLAKE2 digest of
+whole contexts, for which no two different strings are known. The hashes of grams only
+choose and group anchors.
 
-Texts are UTF-8 bytes, null is empty; matches never cross documents. Rows that
-share doc_id and text are two places, so that both lose their bytes. Extra
-columns are ignored.
+Grams and contexts are counted by batch and by task before a shuffle, and no window
+or list runs over a gram; joins by gram or context may be uneven, which adaptive
+execution splits. A document is named by its id and the hash of its text; rows that
+share both have equal spans.
+
+Texts are UTF-8 bytes of any length (long ones are hashed in pieces), null is empty; a
+null id is a value like any other. Matches never cross documents. Rows that share
+doc_id and text are two places, so that both lose their bytes. Extra columns are
+ignored, an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talelake.llm import textblocks as tb
@@ -56,7 +65,66 @@ SORTED = 1 << 20
 CROWD, SPLIT = 256, 5
 
 _PACK, _UNPACK = zstandard.ZstdCompressor(level=1, write_content_size=True), zstandard.ZstdDecompressor()
-_GRAMS, _CONTEXTS = tb.Polynomial(21), tb.Polynomial(22, 0xA0761D6478BD642F)
+_FACTORS = tb.mix(np.arange(1, 33, dtype=np.uint64)) | np.uint64(1)
+_PRIME, _LOW31, _LOW30 = np.uint64((1 << 61) - 1), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+
+
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of the ``gram`` bytes (8, 16, 32 or 64) from each place on.
+
+    The eight bytes at each place are mixed to 64 bits, and those of a gram added with
+    random factors.
+    """
+    n = len(data)
+    padded = np.concatenate((data, np.zeros(16, np.uint8)))
+    word = np.empty(n, np.uint64)
+    for k in range(min(8, n)):
+        word[k::8] = padded[k : k + (n - k + 7) // 8 * 8].view("<u8")
+    sums, width = tb.mix(word), 8
+    while width < gram:
+        sums = sums[: len(sums) - width] + _FACTORS[width.bit_length()] * sums[width:]
+        width *= 2
+    return tb.mix(sums[: n - gram + 1])
+
+
+def _reduce(x: np.ndarray) -> np.ndarray:
+    x = (x & _PRIME) + (x >> np.uint64(61))
+    return np.minimum(x, x - _PRIME)  # below the prime, x - prime wraps around and is larger
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Product modulo the prime 2**61 - 1, of factors below it, in 64-bit integers."""
+    shift = np.uint64(31)
+    a1, a0, b1, b0 = a >> shift, a & _LOW31, b >> shift, b & _LOW31
+    middle = a1 * b0 + a0 * b1
+    return _reduce(a1 * b1 * np.uint64(2) + (middle >> np.uint64(30)) + ((middle & _LOW30) << shift) + a0 * b0)
+
+
+class Polynomial:
+    """Hashes of stretches of bytes modulo 2**61 - 1, with a random base and random values."""
+
+    def __init__(self):
+        # results do not depend on the draw
+        self.base = random.SystemRandom().randrange(1 << 32, int(_PRIME))
+        self.values = np.array([random.SystemRandom().randrange(int(_PRIME)) for _ in range(256)], np.uint64)
+        self.powers = np.ones(1, np.uint64)
+
+    def grow(self, n: int) -> None:
+        """Powers up to n."""
+        while len(self.powers) < n:
+            step = np.uint64(pow(self.base, len(self.powers), int(_PRIME)))
+            self.powers = np.concatenate((self.powers, times(self.powers, step)))
+
+    def prefix(self, data: np.ndarray, local: np.ndarray) -> np.ndarray:
+        """Prefix sums of the bytes' values times the powers of their places ``local``, one more than there are bytes."""
+        terms = times(self.values[data], self.powers[local])
+        high, low = np.cumsum(terms >> np.uint64(31)), np.cumsum(terms & _LOW31)
+        high = _reduce(high)
+        sums = _reduce((high >> np.uint64(30)) + ((high & _LOW30) << np.uint64(31)) + low)
+        return np.concatenate((np.zeros(1, np.uint64), sums))
+
+
+_SUFFIXES = Polynomial()
 
 
 def sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -74,16 +142,15 @@ def sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
 def anchors(data: np.ndarray, offsets: np.ndarray, low: int = 0, high: int | None = None, length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
     """Anchors of documents that lie one after the other, from windows that start in [low, high).
 
-    Returns row, place (in data), gram, context, left and right (the context's reach) of each.
+    Returns row, place (in data), gram, left and right (the context's reach) of each.
     """
     n = len(data)
     if n < length:
-        return {k: np.zeros(0, np.uint64 if k in ("gram", "context") else np.int64) for k in ("row", "place", "gram", "context", "left", "right")}
+        return {k: np.zeros(0, np.uint64 if k == "gram" else np.int64) for k in ("row", "place", "gram", "left", "right")}
     sizes = np.diff(offsets)
     end = np.repeat(offsets[1:], sizes)
-    sums = _GRAMS.prefix(data)
+    grams = gram_hashes(data, gram)
     at = np.arange(n - gram + 1)
-    grams = tb.mix((sums[gram:] - sums[: n - gram + 1]) * _GRAMS.inverses[: n - gram + 1])
     grams[at + gram > end[: len(at)]] = np.iinfo(np.uint64).max  # reaches into the next document
     width = length - gram + 1
     least = sliding(grams, width, True)
@@ -96,8 +163,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, low: int = 0, high: int | Non
     row = np.searchsorted(offsets, place, "right") - 1
     left = np.minimum(length - gram, place - offsets[row])
     right = np.minimum(length, offsets[row + 1] - place)
-    context = _CONTEXTS.stretch(_CONTEXTS.prefix(data), place - left, place + right)
-    return {"row": row, "place": place, "gram": grams[place], "context": tb.mix(context + (left * 1009 + right).astype(np.uint64)), "left": left, "right": right}
+    return {"row": row, "place": place, "gram": grams[place], "left": left, "right": right}
 
 
 def batch_anchors(column: pa.Array, length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
@@ -130,6 +196,16 @@ def batch_anchors(column: pa.Array, length: int = LENGTH, gram: int = GRAM) -> d
     return {k: np.concatenate([p[k] for p in found]) for k in found[0]} if found else anchors(data, offsets)
 
 
+def context_digests(column: pa.Array, found: dict[str, np.ndarray]) -> np.ndarray:
+    """128 bits of BLAKE2 of each anchor's context and its reach, as two columns."""
+    data, offsets = tb.utf8(column)
+    raw, at = memoryview(np.ascontiguousarray(data)), offsets[found["row"]] + found["place"]
+    spans = zip((at - found["left"]).tolist(), (at + found["right"]).tolist(), found["left"].tolist(), strict=True)
+    names = [b"%d" % k for k in range(LENGTH + 1)]
+    digests = b"".join(hashlib.blake2b(raw[a:b], digest_size=16, person=names[left]).digest() for a, b, left in spans)
+    return np.frombuffer(digests, np.int64).reshape(-1, 2)
+
+
 class Suffixes:
     """Contexts side by side, compared by the prefix hashes of one polynomial."""
 
@@ -138,17 +214,15 @@ class Suffixes:
         self.start = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
         self.data = np.frombuffer(b"".join(contexts), np.uint8)
         # powers count from each context's start, so that their table stays as short as a context
-        _GRAMS.prefix(np.zeros(int(lengths.max(initial=0)), np.uint8))
-        local = np.arange(len(self.data)) - np.repeat(self.start, lengths)
-        self.sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_GRAMS.values[self.data] * _GRAMS.powers[local], out=self.sums[1:])
+        _SUFFIXES.grow(int(lengths.max(initial=0)) + 1)
+        self.sums = _SUFFIXES.prefix(self.data, np.arange(len(self.data)) - np.repeat(self.start, lengths))
         self.left, self.right, self.gram = left.astype(np.int64), lengths - left, gram
         self.place = self.start + self.left
 
     def _same(self, i: np.ndarray, j: np.ndarray, n: np.ndarray, back: bool) -> np.ndarray:
         p, q = (self.place[i] - n, self.place[j] - n) if back else (self.place[i], self.place[j])
-        one, two = self.sums[p + n] - self.sums[p], self.sums[q + n] - self.sums[q]
-        return one * _GRAMS.inverses[p - self.start[i]] == two * _GRAMS.inverses[q - self.start[j]]
+        one, two = _reduce(self.sums[p + n] + _PRIME - self.sums[p]), _reduce(self.sums[q + n] + _PRIME - self.sums[q])
+        return times(one, _SUFFIXES.powers[q - self.start[j]]) == times(two, _SUFFIXES.powers[p - self.start[i]])
 
     def common(self, i: np.ndarray, j: np.ndarray, back: bool) -> np.ndarray:
         """Length of the common extension of pairs of contexts, by binary search over hashes."""
@@ -252,43 +326,47 @@ def unpack(data: bytes) -> bytes:
     return _UNPACK.decompress(data)
 
 
-def _anchor_rows(docs: DataFrame, combine: bool) -> DataFrame:
-    """gram, context, rk, place, reach of each anchor; combine: one row for each gram and context of a batch, with their number n."""
+def _gram_counts(docs: DataFrame) -> DataFrame:
+    """gram, n: how often each is an anchor, by batch. docs: text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, n = np.unique(batch_anchors(batch.column(0))["gram"], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n.astype(np.int32))], ["gram", "n"])
+
+    return docs.select("text").mapInArrow(run, "gram long, n int")
+
+
+#: An anchor: its gram, its context's digest, its document and its place there; reach has how far the context goes to the left and right.
+_ANCHOR = ["gram", "c1", "c2", "k1", "k2", "place", "reach"]
+
+
+def _anchor_rows(docs: DataFrame) -> DataFrame:
+    """The anchors of rows k1, k2, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch_anchors(batch.column(1))
-            rk = batch.column(0).to_numpy()[found["row"]]
-            n = np.ones(len(rk), np.int64)
-            if combine and len(rk):
-                order = np.lexsort((found["place"], rk, found["context"], found["gram"]))
-                g, c = found["gram"][order], found["context"][order]
-                first = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (c[1:] != c[:-1]))))
-                n = np.diff(np.append(first, len(order)))
-                found, rk = {k: v[order[first]] for k, v in found.items()}, rk[order[first]]
-            columns = {
-                "gram": found["gram"].view(np.int64),
-                "context": found["context"].view(np.int64),
-                "rk": rk,
-                "place": found["place"].astype(np.int64),
-                "reach": (found["left"] * 1000 + found["right"]).astype(np.int32),
-                "n": n.astype(np.int64),
-            }
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns.values()], list(columns))
-
-    return docs.select("rk", "text").mapInArrow(run, "gram long, context long, rk long, place long, reach int, n long")
+            found = batch_anchors(batch.column(2))
+            digests = context_digests(batch.column(2), found)
+            row = pa.array(found["row"])
+            reach = (found["left"] * 1000 + found["right"]).astype(np.int32)
+            columns = [pa.array(x) for x in (found["gram"].view(np.int64), digests[:, 0].copy(), digests[:, 1].copy())]
+            columns += [batch.column(0).take(row), batch.column(1).take(row), pa.array(found["place"].astype(np.int32)), pa.array(reach)]
+            yield pa.RecordBatch.from_arrays(columns, _ANCHOR)
+
+    return docs.select("k1", "k2", "text").mapInArrow(run, "gram long, c1 long, c2 long, k1 long, k2 long, place int, reach int")
 
 
 #: Columns of contexts on their way: grouped by ``key``, equal if ``th`` is equal; ``low`` and ``high`` bound
-#: the place of the anchor in the windows that count; gram and context name the class, context is null if
+#: the place of the anchor in the windows that count; gram, c1 and c2 name the class, c1 is null if
 #: the class is known to be repeated as a whole and only others are compared with it (``weight`` 2).
-_PART = "key long, th long, left int, right int, low int, high int, bytes binary, gram long, context long, weight long"
-_PART_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+_PART = "key long, th binary, left int, right int, low int, high int, bytes binary, gram long, c1 long, c2 long, weight long"
+_PART_TYPES = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 _PART_NAMES = [c.split()[0] for c in _PART.split(", ")]
 
 
-def _digest(data: bytes, *numbers: int) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8, person=("%d,%d" % numbers).encode()).digest(), "little", signed=True)
+def _digest(data: bytes, *numbers: int, size: int = 16) -> bytes:
+    return hashlib.blake2b(data, digest_size=size, person=("%d,%d" % numbers).encode()).digest()
 
 
 def split_context(row: tuple) -> Iterator[tuple]:
@@ -297,14 +375,15 @@ def split_context(row: tuple) -> Iterator[tuple]:
     Windows with the anchor at places low to high all hold the same core of bytes,
     so equal windows have equal cores, which are the new keys.
     """
-    _, _, left, right, low, high, data, gram, context, weight = row
+    _, _, left, right, low, high, data, *rest = row
     width = -(-(high - low + 1) // SPLIT)
     for a in range(low, high + 1, width):
         b = min(a + width - 1, high)
         if left >= a and right >= LENGTH - b:  # else no window lies within the document
             new_left, new_right = min(left, b), min(right, LENGTH - a)
             part = data[left - new_left : left + new_right]
-            yield _digest(data[left - a : left + LENGTH - b], a, b), _digest(part, new_left, a), new_left, new_right, a, b, part, gram, context, weight
+            core = int.from_bytes(_digest(data[left - a : left + LENGTH - b], a, b, size=8), "little", signed=True)
+            yield core, _digest(part, new_left, a), new_left, new_right, a, b, part, *rest
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -324,7 +403,7 @@ def _contexts(held: DataFrame, crowded: bool) -> DataFrame:
                     for w in chosen:
                         left, right = divmod(w["reach"], 1000)
                         single = w["n"] == 1
-                        row = (w["gram"], w["context"], left, right, 0, LENGTH - GRAM, whole[w["place"] - left : w["place"] + right], w["gram"], w["context"] if single else None, 1 if single else 2)
+                        row = (w["gram"], b"", left, right, 0, LENGTH - GRAM, whole[w["place"] - left : w["place"] + right], w["gram"], w["c1"] if single else None, w["c2"], 1 if single else 2)
                         rows += split_context(row) if crowded else [row]
                 yield _batch(rows)
 
@@ -341,14 +420,14 @@ def _split(parts: DataFrame) -> DataFrame:
 
 
 def _partly_repeated(parts: DataFrame) -> DataFrame:
-    """gram, context, left, right: what is repeated around the anchors of each context, by contexts of the same key."""
+    """gram, c1, c2, left, right: what is repeated around the anchors of each context, by contexts of the same key."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         key = np.array([r[0] for r in rows], np.int64)
         left, right = Suffixes([r[2] for r in rows], np.array([r[1] for r in rows], np.int64), key).extents(LENGTH)
         hit = [k for k in np.flatnonzero(left + right).tolist() if rows[k][4] is not None]
-        columns = [[rows[k][3] for k in hit], [rows[k][4] for k in hit], left[hit], right[hit]]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["gram", "context", "left", "right"])
+        columns = [*([rows[k][c] for k in hit] for c in (3, 4, 5)), left[hit], right[hit]]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["gram", "c1", "c2", "left", "right"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -364,8 +443,8 @@ def _partly_repeated(parts: DataFrame) -> DataFrame:
         if held:
             yield solve(held)
 
-    dealt = parts.select("key", "left", "bytes", "gram", "context").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "gram long, context long, left long, right long")
+    dealt = parts.select("key", "left", "bytes", "gram", "c1", "c2").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "gram long, c1 long, c2 long, left long, right long")
 
 
 def _crowds(parts: DataFrame) -> list[DataFrame]:
@@ -379,49 +458,48 @@ def _crowds(parts: DataFrame) -> list[DataFrame]:
     found, key = [], ["key", "th"]
     parts = cut(parts)
     while parts.limit(1).count():
-        firsts = [F.first(c).alias(c) for c in ("left", "right", "low", "high", "bytes", "gram")]
-        each = cut(parts.groupBy(*key).agg(F.sum("weight").alias("n"), F.min("context").alias("context"), *firsts))
+        firsts = [F.first(c).alias(c) for c in ("left", "right", "low", "high", "bytes", "gram", "c2")]
+        each = cut(parts.groupBy(*key).agg(F.sum("weight").alias("n"), F.min("c1").alias("c1"), *firsts))
         again = each.where(f"n > 1 and left + right >= {LENGTH}").select(*key)
-        found.append(parts.where("context is not null").join(again, key).select("gram", "context", F.col("left").cast("long"), F.col("right").cast("long")))
+        found.append(parts.where("c1 is not null").join(again, key).select("gram", "c1", "c2", F.col("left").cast("long"), F.col("right").cast("long")))
         kinds = each.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"))
-        counted = cut(each.join(kinds.where("kinds > 1"), "key").withColumn("context", F.when(F.col("n") == 1, F.col("context"))).withColumn("weight", F.least("n", F.lit(2))))
+        counted = cut(each.join(kinds.where("kinds > 1"), "key").withColumn("c1", F.when(F.col("n") == 1, F.col("c1"))).withColumn("weight", F.least("n", F.lit(2))))
         found.append(_partly_repeated(counted.where(f"kinds <= {CROWD}")))
         parts = cut(_split(counted.where(f"kinds > {CROWD}")))
     return found
 
 
 def repeated_spans(rows: DataFrame, small: DataFrame) -> DataFrame:
-    """rk, spans (array of struct<a, b>, may overlap) of the rows (rk, text) that have any. small: the rows, ``packed``."""
-    counted = (
-        _anchor_rows(rows, True).repartition("gram")
-        .groupBy("gram", "context")
-        .agg(F.sum("n").alias("n"), F.min(F.struct("rk", "place")).alias("first"), F.first("reach").alias("reach"))
-        .withColumn("kinds", F.count(F.lit(1)).over(Window.partitionBy("gram")))
-    )
-    classes = cut(counted.where("n > 1 or kinds > 1"))
-    whole = classes.where("n > 1").select("gram", "context")
-    wanted = classes.where("kinds > 1").select("first.rk", F.struct("first.place", "gram", "context", "reach", "n", "kinds").alias("w")).groupBy("rk").agg(F.collect_list("w").alias("wanted"))
-    held = cut(small.join(wanted, "rk").dropDuplicates(["rk"]).select("z", "wanted"))
+    """k1, k2, spans (array of struct<a, b>, may overlap) of the rows (k1, k2, text) that have any. small: the rows, ``packed``."""
+    context, doc = ["gram", "c1", "c2"], ["k1", "k2"]
+    again = _gram_counts(rows).groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
+    every = cut(_anchor_rows(rows).join(again, "gram", "left_semi"))
+    counted = cut(every.groupBy(*context).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*doc, "place")).alias("first"), F.first("reach").alias("reach")))
+    kinds = counted.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    several = cut(counted.join(kinds, "gram"))
+    fields = F.struct("first.place", *context, "reach", "n", "kinds").alias("w")
+    wanted = several.select("first.k1", "first.k2", fields).groupBy(*doc).agg(F.collect_list("w").alias("wanted"))
+    held = cut(small.join(wanted, doc).dropDuplicates(doc).select("z", "wanted"))
     partly = _partly_repeated(_contexts(held, False))
     for more in _crowds(_contexts(held, True)):
         partly = partly.unionByName(more)
     partly = cut(partly)
-    single = classes.where("n = 1").join(partly, ["gram", "context"]).select("first.rk", (F.col("first.place") - F.col("left")).alias("a"), (F.col("first.place") + F.col("right")).alias("b"))
+    single = several.where("n = 1").join(partly, context).select("first.k1", "first.k2", (F.col("first.place") - F.col("left")).alias("a"), (F.col("first.place") + F.col("right")).alias("b"))
     left, right = F.floor(F.col("reach") / 1000), F.col("reach") % 1000
-    every = _anchor_rows(rows, False).join(whole, ["gram", "context"]).where(left + right >= LENGTH)
-    spans = every.select("rk", (F.col("place") - left).alias("a"), (F.col("place") + right).alias("b")).unionByName(single)
-    return spans.groupBy("rk").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    whole = every.join(counted.where("n > 1").select(*context), context, "left_semi").where(left + right >= LENGTH)
+    spans = whole.select(*doc, (F.col("place") - left).alias("a"), (F.col("place") + right).alias("b")).unionByName(single)
+    return spans.groupBy(*doc).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def packed(rows: DataFrame) -> DataFrame:
-    """rk, id and z, the packed text, of rows rk, id, text."""
+    """k1, k2, id and z, the packed text, of rows k1, k2, id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = pa.array([pack(t.as_py()) for t in batch.column(2)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), z], ["rk", "id", "z"])
+            z = pa.array([pack(t.as_py()) for t in batch.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], z], ["k1", "k2", "id", "z"])
 
-    return rows.select("rk", "id", "text").mapInArrow(run, "rk long, id long, z binary")
+    return rows.select("k1", "k2", "id", "text").mapInArrow(run, "k1 long, k2 long, id long, z binary")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -438,7 +516,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans and the kept bytes (``kept``, or their SHA-256 ``kept_sha256``) with the removed runs (``spans``) of each row."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.select(F.xxhash64("id", "text").alias("rk"), "id", "text")
+    # a null id stands with 0: only equal texts share a key for it, and those have equal spans
+    rows = rows.select(F.coalesce("id", F.lit(0)).alias("k1"), F.xxhash64("text").alias("k2"), "id", "text")
     small = packed(rows)
     # equal rows have equal keys and lose the same bytes, but each is a place of its own
     spans = repeated_spans(rows, small)
@@ -460,7 +539,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
 
     last = "kept_sha256 string" if digests else "kept binary, spans array<struct<a: long, b: long>>"
-    done = small.join(spans, "rk", "left").select("id", "z", "spans").mapInArrow(run, f"id long, n_bytes long, n_removed long, n_spans long, {last}")
+    done = small.join(spans, ["k1", "k2"], "left").select("id", "z", "spans").mapInArrow(run, f"id long, n_bytes long, n_removed long, n_spans long, {last}")
     return done.withColumnRenamed("id", id_col)
 
 

@@ -2,11 +2,15 @@
 
 Words are ``[^\\x20\\x09-\\x0D]+`` over UTF-8 bytes with A-Z lower-cased, as the
 contracts of the shingle and language-model operators have it. All hashes are 64
-bits wide: a polynomial over random byte values, then a bijective mix.
+bits wide: a polynomial over random byte values, then a bijective mix, for words
+of up to LONG bytes (in longer ones strings can be made that such a polynomial does
+not tell apart), BLAKE2 for longer words.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,6 +21,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes that are worked on at once (they should fit in a processor's cache); longer only if a single word is.
 SEGMENT = 1 << 17
+#: Bytes up to which a word is hashed by the polynomial.
+LONG = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -114,7 +120,10 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         first[1:] &= space[:-1] | edge[1:-1]
         last[:-1] &= space[1:] | edge[1:-1]
         start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
-        hashes.append(_WORDS.stretch(_WORDS.prefix(part), start, stop))
+        found = _WORDS.stretch(_WORDS.prefix(part), start, stop)
+        for k in np.flatnonzero(stop - start > LONG).tolist():
+            found[k] = int.from_bytes(hashlib.blake2b(part[start[k] : stop[k]].tobytes(), digest_size=8).digest(), "little")
+        hashes.append(found)
         places.append(start + begin)
         begin = end
     if not hashes:

@@ -85,6 +85,32 @@ def test_pieces_give_the_same_anchors(monkeypatch):
         assert (whole[k] == parts[k]).all(), k
 
 
+def test_strings_that_defeat_powers_of_two(spark):
+    """A string of two letters by the parity of set bits and its complement collide in any polynomial modulo 2**64."""
+    r = random.Random(5)
+    rows = []
+    for i in range(24):
+        a, b = ("*", "u") if i % 2 else ("u", "*")
+        rows.append((i, "".join(chr(33 + r.randrange(90)) for _ in range(300)) + "".join(a if bin(k).count("1") % 2 else b for k in range(256))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((tuple(x) for x in sd.remove_repeats(docs, digests=True).collect()), key=str)
+    assert found == brute(rows, 400) and all(x[2] == 0 for x in found)
+
+
+def test_products_and_hashes():
+    r = random.Random(1)
+    prime = (1 << 61) - 1
+    a, b = ([*(r.randrange(prime) for _ in range(500)), 0, prime - 1, prime - 1] for _ in range(2))
+    assert sd.times(np.array(a, np.uint64), np.array(b, np.uint64)).tolist() == [x * y % prime for x, y in zip(a, b, strict=True)]
+    data = np.frombuffer(bytes(r.randrange(3) for _ in range(3000)), np.uint8)
+    for gram in (8, 16, 64):
+        by = {}
+        for k, h in enumerate(sd.gram_hashes(data, gram).tolist()):
+            assert by.setdefault(bytes(data[k : k + gram]), h) == h
+        assert len(set(by.values())) == len(by) and len(sd.gram_hashes(data, gram)) == 3000 - gram + 1
+    assert sd.gram_hashes(data[1:65], 64)[0] == sd.gram_hashes(data, 64)[1]
+
+
 def test_sort_and_extents():
     r = random.Random(3)
     contexts, left = [], []
