@@ -16,7 +16,8 @@ cap: every piece gets a bin.
 Sizes are words ``[^\\x20\\x09-\\x0D]+``, one at least, so that an empty or null
 text also gets a place. A null source is a source of its own. Clusters are
 texts that are equal up to white space, unless a column is named. Repeated rows
-are pieces of their own. Extra columns are ignored.
+are pieces of their own, a null id is an id. Extra columns are ignored, an empty
+table gives no rows. A text of any length is cut into pieces; a word is never cut.
 """
 
 from __future__ import annotations
@@ -92,57 +93,72 @@ def pack(pieces: list[tuple[int, str | None, str]], capacity: int) -> list[tuple
     return found
 
 
-def pack_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster_col: str | None = None, capacity: int = CAPACITY
-) -> DataFrame:
-    """One row for each piece: id_col, piece, n_words, bin_id, bin_offset.
-
-    piece counts from 0 in the document; it holds words piece * capacity and on.
-    """
-    cluster = F.col(cluster_col).cast("string") if cluster_col else digest(F.col(text_col))
+def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, cluster_col: str | None, capacity: int) -> DataFrame:
+    """id, digest, piece, n_words, bin_id, bin_offset of each piece."""
+    named = F.col(cluster_col).cast("string") if cluster_col else F.lit(None).cast("string")
     sized = docs.select(
         F.col(id_col).cast("long").alias("id"),
         F.col(source_col).cast("string").alias("source"),
-        F.substring(cluster, 1, 32).alias("cluster") if not cluster_col else cluster.alias("cluster"),
+        F.substring(digest(F.col(text_col)), 1, 32).alias("digest"),
+        named.alias("cluster"),
         F.greatest(F.lit(1), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD))).alias("n"),
     )
     sized = cut(sized)
     last = F.floor((F.col("n") - 1) / capacity)
-    pieces = sized.select("id", "source", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"), "n")
-    pieces = pieces.select("id", "source", "cluster", "piece", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).alias("size"))
+    cluster = F.col("cluster") if cluster_col else F.col("digest")
+    pieces = sized.select("id", "source", "digest", cluster.alias("cluster"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"), "n")
+    pieces = pieces.select("id", "source", "digest", "cluster", "piece", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).alias("size"))
     shards = max(1, -(-sized.agg(F.coalesce(F.sum(last + 1), F.lit(0))).first()[0] // SHARD))
-    placed = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece", "cluster"), F.lit(shards)))
+    placed = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece", "digest"), F.lit(shards)))
 
     def run(key, batch):
-        rows = batch.sort_by([("id", "ascending"), ("piece", "ascending"), ("cluster", "ascending")])
+        rows = batch.sort_by([("id", "ascending"), ("piece", "ascending"), ("digest", "ascending"), ("cluster", "ascending")])
         sizes = rows["size"].to_pylist()
         found = pack(list(zip(sizes, rows["source"].to_pylist(), rows["cluster"].to_pylist(), strict=True)), capacity)
         names = [f"{key[0].as_py()}-{number}" for number, _ in found]
-        columns = [rows["id"], rows["piece"], rows["size"].cast(pa.int64()), pa.array(names, pa.string()), pa.array([at for _, at in found], pa.int64())]
-        return pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], ["id", "piece", "n_words", "bin_id", "bin_offset"])
+        columns = [rows["id"], rows["digest"], rows["piece"], rows["size"].cast(pa.int64()), pa.array(names, pa.string()), pa.array([at for _, at in found], pa.int64())]
+        return pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], ["id", "digest", "piece", "n_words", "bin_id", "bin_offset"])
 
-    packed = placed.groupBy("shard").applyInArrow(run, "id long, piece long, n_words long, bin_id string, bin_offset long")
-    return packed.withColumnRenamed("id", id_col)
+    return placed.groupBy("shard").applyInArrow(run, "id long, digest string, piece long, n_words long, bin_id string, bin_offset long")
 
 
-def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packs all documents into bins of 1,024 words."""
-    return pack_documents(table(spark, sf_dir, "documents"))
+def pack_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster_col: str | None = None, capacity: int = CAPACITY
+) -> DataFrame:
+    """One row for each piece: id_col, piece, n_words, bin_id, bin_offset.
 
+    piece counts from 0 in the document; it holds words piece * capacity and on.
+    docs must have the three named columns.
+    """
+    return _placed(docs, id_col, text_col, source_col, cluster_col, capacity).drop("digest").withColumnRenamed("id", id_col)
 
-def piece_texts(docs: DataFrame, packed: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """packed with the text of each piece, words joined by one space. id_col must be unique in docs."""
+
+def pack_texts(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster_col: str | None = None, capacity: int = CAPACITY
+) -> DataFrame:
+    """``pack_documents`` with each piece's text: its words, joined by one space.
+
+    Pieces meet their texts by id, digest of the text and number. Rows that share
+    id and text have the same pieces, so that a text is taken once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "digest", "piece", "text"]
         for batch in batches:
-            ids, pieces, texts = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for row in range(len(batch)):
+                text = batch.column(2)[row].as_py()
                 words = (text or "").encode().split()
-                for piece, low in enumerate(range(0, max(1, len(words)), capacity)):
-                    ids.append(doc)
-                    pieces.append(piece)
-                    texts.append(b" ".join(words[low : low + capacity]).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pieces, pa.int64()), pa.array(texts, pa.string())], ["id", "piece", "text"])
-
-    texts = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "id long, piece long, text string")
-    return packed.join(texts.withColumnRenamed("id", id_col), [id_col, "piece"])
+                parts = [b" ".join(words[low : low + capacity]).decode() for low in range(0, max(1, len(words)), capacity)]
+                same = [pa.array([batch.column(k)[row].as_py()] * len(parts), kind) for k, kind in ((0, pa.int64()), (1, pa.string()))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.string())], names)
+
+    placed = cut(_placed(docs, id_col, text_col, source_col, cluster_col, capacity))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.substring(digest(F.col(text_col)), 1, 32).alias("digest"), F.col(text_col).alias("text"))
+    pieces = texts.mapInArrow(run, "id long, digest string, piece long, text string").dropDuplicates(["digest", "id", "piece"])
+    here = placed["id"].eqNullSafe(pieces["id"]) & (placed["digest"] == pieces["digest"]) & (placed["piece"] == pieces["piece"])
+    return placed.join(pieces, here).select(placed["id"].alias(id_col), placed["piece"], "n_words", "bin_id", "bin_offset", "text")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs all documents into bins of 1,024 words."""
+    return pack_documents(table(spark, sf_dir, "documents"))

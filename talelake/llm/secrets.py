@@ -1,7 +1,7 @@
 """Secrets in texts: candidates by pattern, false positives removed by a random forest.
 
 Candidates are long runs of token characters with a digit, values of
-assignments, and whole private-key blocks. The forest judges each by its length,
+assignments with a telling name before them, and whole private-key blocks. The forest judges each by its length,
 the transitions between its characters, how much of it dictionary words cover,
 the path that the text came from and the words around it. It is grown in numpy
 from labelled findings: ``labelled_findings`` writes them by rule from the kinds
@@ -9,7 +9,8 @@ of strings that scanners of this sort meet (no table of labelled findings is
 given), and a table of one's own can be passed instead.
 
 Each text is scanned alone and whole, in the task that reads it; nothing is
-shuffled. A null or empty text has no findings, a null path is an empty one.
+shuffled. A null or empty text has no findings, a null path is an empty one, an
+empty table gives no rows. ``redact`` needs the columns that it is told of.
 Rows that share doc_id are scanned one by one; other columns are ignored, or
 passed through by ``redact``. Candidates of any length are found and judged whole.
 """
@@ -22,6 +23,7 @@ import math
 import random
 import re
 import string
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -97,12 +99,16 @@ def candidates(text: str) -> list[Finding]:
     for m in _RUN.finditer(text):
         if _DIGIT.search(text, *m.span()):
             spans.append((*m.span(), "token"))
-    taken = 0
+    names = [m.start() for m in _NAME.finditer(text)]
+    taken = last = 0
     for m in _SIGN.finditer(text):
+        # the name stands between the sign or line break before and this sign, however long that is;
         # what stands inside a value that is taken ends with it
-        if m.end() >= taken and _NAME.search(text[max(0, m.start() - 32) : m.start()].rpartition("\n")[2]):
+        k = bisect_left(names, m.start()) - 1
+        if m.end() >= taken and k >= 0 and names[k] >= max(last, text.rfind("\n", last, m.start())):
             a, taken = _VALUE.match(text, m.start()).span(1)
             spans.append((a, taken, "assignment"))
+        last = m.start()
     found, end = [], -1
     for a, b, kind in sorted(spans, key=lambda s: (s[0], -s[1])):
         if a >= end:
@@ -183,6 +189,23 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, str,
             lambda: "eyJ" + take(b62, 20) + "." + take(b62, 40) + "." + take(b62 + "-_", 43),
         ])()
 
+    def key_block(body: str) -> str:
+        kind = r.choice(["", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED "]) + "PRIVATE KEY"
+        return f"-----BEGIN {kind}-----{body}-----END {kind}-----"
+
+    def private_key() -> str:
+        body = base64.b64encode(r.randbytes(r.choice([12, 15, 24, 32, 48, 120, 300, 600, 1200]))).decode()
+        line = r.choice(["\n", "\n", "\\n", " "])
+        return key_block(line + line.join(body[k : k + 64] for k in range(0, len(body), 64)) + line)
+
+    def no_key() -> str:
+        """A block that only shows what a key looks like."""
+        inside = r.choice([
+            lambda: "\n...\n", lambda: "", lambda: "\n" + "x" * r.randrange(8, 80) + "\n", lambda: " your key here ", lambda: "\n<" + " ".join(r.sample(words, 3)) + ">\n",
+            lambda: "\n" + " ".join(r.sample(words, r.randrange(5, 30))) + "\n", lambda: "\nEXAMPLE" + "A" * r.randrange(10, 60) + "\n", lambda: "\n[REDACTED]\n",
+        ])()
+        return key_block(inside)
+
     def harmless() -> str:
         hexes = "0123456789abcdef"
         return r.choice([
@@ -204,6 +227,10 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, str,
     out: list[tuple[str, str, int]] = []
     while len(out) < n:
         label = len(out) % 2
+        if r.random() < 0.08:  # whole key blocks, and such that hold none
+            path = r.choice(secret_paths if r.random() < 0.6 else harmless_paths)
+            out.append((f"{prose(4)}\n{private_key() if label else no_key()}\n{prose(4)}", path, label))
+            continue
         if label:
             name, value, path = r.choice(names), secret(), r.choice(secret_paths if r.random() < 0.8 else harmless_paths)
         elif r.random() < 0.2:  # digests of commits and files look like secrets but for their names

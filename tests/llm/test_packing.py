@@ -3,7 +3,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from talelake.llm.packing import pack, pack_documents, piece_texts
+from talelake.llm.packing import pack, pack_documents, pack_texts
 
 PIECE = st.tuples(st.integers(1, 10), st.sampled_from(["a", "b", "c", None]), st.sampled_from("xyz12345"))
 
@@ -69,11 +69,16 @@ def test_documents(spark):
     for content in bins.values():
         assert sum(x.n_words for x in content) <= 1024 and len({source[x.doc_id] for x in content}) == len(content)
     assert sorted((x.doc_id, x.piece) for x in pack_documents(docs).collect()) == sorted((x.doc_id, x.piece) for x in found)
-    unique = docs.where("doc_id < 900")
-    texts = piece_texts(unique, pack_documents(unique)).collect()
+    texts = pack_texts(docs).collect()
+    # the words of a document, in order; rows that share id and text hold the same pieces
     by_doc = {}
     for x in sorted(texts, key=lambda x: x.piece):
-        assert len(x.text.split()) == x.n_words
+        assert len(x.text.split()) == x.n_words or not x.text
         by_doc.setdefault(x.doc_id, []).append(x.text)
-    assert all(" ".join(by_doc[d]) == t for d, t, _, _ in rows if d < 900)
+    assert all(" ".join(by_doc[d]) == " ".join((t or "").split()) for d, t, _, _ in rows if d != 904) and by_doc[904] == ["twice", "twice"]
+    key = lambda x: (x.doc_id, x.piece, x.bin_id, x.bin_offset)
+    assert sorted(map(key, texts)) == sorted(map(key, found))
+    assert pack_texts(docs.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, "a b", None), (None, "c", None), (None, None, "s")], "doc_id long, text string, source string")
+    assert sorted((x.doc_id, x.text) for x in pack_texts(odd).collect()) == [(None, ""), (None, "a b"), (None, "c")]
     assert pack_documents(docs.limit(0)).count() == 0

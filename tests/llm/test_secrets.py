@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from talelake.llm import secrets
@@ -18,6 +20,37 @@ def test_held_out_findings(forest):
     assert total > 1200 and right / total > 0.95
 
 
+def test_key_blocks(forest):
+    """Held-out blocks: keys are found, blocks that only show what a key looks like are not."""
+    labelled = [x for x in secrets.labelled_findings(4000, seed=77) if "PRIVATE KEY-----" in x[0]]
+    assert len(labelled) > 200 and {y for _, _, y in labelled} == {0, 1}
+    kinds = {f.kind for t, _, _ in secrets.labelled_findings() for f in secrets.candidates(t)[:1]}
+    assert kinds == {"token", "assignment", "private_key"}
+    right = 0
+    for text, path, label in labelled:
+        (found,) = secrets.judge(forest, [text], [path])
+        assert [f.kind for f, _ in found] == ["private_key"]
+        right += (found[0][1] >= secrets.LEAST) == label
+    assert right >= 0.97 * len(labelled)
+
+
+PLANTED = re.compile(r"(?<![A-Za-z])(?:[Tt]oken|TOKEN) = \"([0-9A-Za-z]{40})\"")
+
+
+def test_secrets_of_the_documents(spark, forest):
+    """Against a plain reading of the documents: every quoted 40-character token is found, and little else is."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {(r.doc_id, m.start(1), m.end(1)) for r in docs.collect() for m in PLANTED.finditer(r.text or "")}
+    found = {(r.doc_id, r.start, r.end) for r in secrets.scan(docs, forest).where("is_secret").collect()}
+    assert len(want) > 5 and want <= found
+    assert len(found) <= 1.1 * len(want)
+
+
+def test_names_at_any_distance():
+    (found,) = secrets.candidates("the_secret_" + "x" * 300 + " = hunter22!")[-1:]
+    assert found.value == "hunter22!" and not secrets.candidates("secret\nx = hunter22!")
+
+
 def test_chosen_texts(forest):
     texts = {
         'and token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce" the': True,
