@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of
 documents. ``run`` applies them in order to the documents table.
+
+No stage fails on nulls, empty or very long texts, repeated rows, empty tables or
+extra columns; all but the last pass extra columns on. A null text is an empty one. A
+null id is an id like any other, and comes last where the smallest stays. Rows that
+share id and text are one document: they stay or go together. Rows that share an id
+alone are different documents.
 """
 
 from __future__ import annotations
@@ -18,7 +24,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts (operator 5)."""
+    """One document of each group of equal texts (operator 5): the smallest id's."""
     return exact_dedup.drop_copies_once(docs)
 
 
@@ -28,13 +34,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts masked (operator 7)."""
+    """All documents, secrets in their texts masked and n_chars set where a text has changed (operator 7)."""
     return secrets.redact(docs, secrets.train())
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bins of 1,024 words, one row for each piece of a document (operator 6)."""
-    return packing.pack_documents(docs)
+    """Bins of 1,024 words, one row with its text for each piece of a document (operator 6)."""
+    return packing.pack_texts(docs)
 
 
 STAGES = [
