@@ -19,9 +19,14 @@ compared by 64-bit hashes of their shingles. Nulls, empty texts and texts
 without words have the empty set, which links with nothing. Rows that share
 doc_id and text are copies of each other. Extra columns are ignored.
 
-The table of frequent shingles is the only thing that is broadcast. It holds
-those with at least 1/FREQUENT of all shingle occurrences and thus at most
-FREQUENT rows, and it decides about speed alone: any order gives the same links.
+The only thing that is broadcast is a table of 2**SLOTS half bytes: how frequent the
+shingles of a slot are, as a power of two. It is as large for any input, takes in every
+shingle that occurs OFTEN times or more, and decides about speed alone: any order that
+all sets share gives the same links, also one in which rare shingles share a slot with
+frequent ones. It is made in tasks, and comes to the driver as it is broadcast.
+
+A document of any length is one set; sets are gathered in units of about UNIT sets and
+ITEMS shingles at most, or of one set that is larger. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,33 +41,61 @@ from pyspark.sql import functions as F
 from talelake.llm import textblocks as tb
 from talelake.llm.common import components, cut, table
 
-#: A shingle is frequent if it has at least this part of all occurrences.
-FREQUENT = 1 << 24
+#: Slots of the table of frequencies (a power of two), its parts, and occurrences from which a shingle counts.
+SLOTS, PART, OFTEN = 25, 15, 4
+#: Shingles in a unit.
+ITEMS = 1 << 18
 #: Groups under one shingle up to which their pairs are listed, sets in a unit, and
 #: pairs of members of two groups up to which they are listed.
 SHORT, UNIT, FEW = 64, 256, 16
 
 
-def _frequent(docs: DataFrame, text: str, size: int) -> DataFrame:
-    """shingle, n: occurrences of those that a batch holds twice; the row without a shingle has the total."""
+def _frequent(docs: DataFrame, text: str, size: int) -> np.ndarray:
+    """Level of each slot: the power of two below the occurrences of its most frequent shingle, 0 below OFTEN, 15 at most.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Shingles that a batch holds once are not counted there.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = {len(s) and int(s[0]) ^ int(s[-1]) ^ len(s): s for s in tb.shingles(*tb.utf8(batch.column(0)), size)}
-            if total := sum(map(len, sets.values())):
+            if sum(map(len, sets.values())):
                 found, n = np.unique(np.concatenate(list(sets.values())), return_counts=True)
                 found, n = found[n > 1].view(np.int64), n[n > 1]
-                yield pa.RecordBatch.from_arrays([pa.array([*found, None], pa.int64()), pa.array([*n, total], pa.int64())], ["shingle", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["shingle", "n"])
 
-    counts = docs.select(text).mapInArrow(run, "shingle long, n long")
-    return cut(counts.groupBy("shingle").agg(F.sum("n").alias("n")))
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slot, level = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for part in np.unique(slot >> PART).tolist():
+                own = slot >> PART == part
+                parts.setdefault(part, np.zeros(1 << PART, np.uint8))[slot[own] & ((1 << PART) - 1)] = level[own]
+        packed = [(x[::2] << 4 | x[1::2]).tobytes() for x in parts.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array(packed, pa.binary())], ["part", "levels"])
+
+    counts = docs.select(text).mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
+    level = F.least(F.lit(15), F.floor(F.log2(F.col("n"))).cast("int")).cast("byte")
+    slots = counts.select(F.shiftrightunsigned("shingle", 64 - SLOTS).alias("slot"), level.alias("level")).groupBy("slot").agg(F.max("level").alias("level"))
+    dealt = slots.repartition(F.shiftright("slot", PART)).select("slot", "level")
+    table = np.zeros(1 << SLOTS - 1, np.uint8)
+    for row in dealt.mapInArrow(gather, "part long, levels binary").toLocalIterator():
+        half = 1 << PART - 1
+        table[row.part * half : (row.part + 1) * half] = np.frombuffer(row.levels, np.uint8)
+    return table
+
+
+def levels(table: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """Level of each shingle by its slot in the packed table."""
+    slot = (shingles >> np.uint64(64 - SLOTS)).astype(np.int64)
+    packed = table[slot >> 1]
+    return np.where(slot & 1, packed & 15, packed >> 4)
 
 
 def _documents(docs: DataFrame, text: str, size: int, percent: int, frequent, keep_sets: bool) -> DataFrame:
     """rk, id, cls (the set's hash), gid (its prefix's), n and the prefix of each row, or else its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, weight = frequent.value if frequent is not None else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
@@ -77,10 +110,7 @@ def _documents(docs: DataFrame, text: str, size: int, percent: int, frequent, ke
                     items = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(whole.view(np.int64)))
                     yield pa.RecordBatch.from_arrays([pa.array(cls), items, part.column(3)], ["cls", "items", "units"])
                     continue
-                rank = np.zeros(len(whole), np.int64)
-                if len(known):
-                    place = np.minimum(np.searchsorted(known, whole), len(known) - 1)
-                    rank = np.where(known[place] == whole, weight[place], 0)
+                rank = levels(frequent.value, whole)
                 prefixes, gid = [], []
                 for s, end, n in zip(sets, ends.tolist(), lengths.tolist(), strict=True):
                     p = n + (-percent * n) // 100 + 1 if n else 0
@@ -235,23 +265,20 @@ def _row_components(docs: DataFrame, id_col: str, text_col: str, size: int, perc
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.select(F.xxhash64("id", "text").alias("rk"), "id", "text")
-    counts = _frequent(rows, "text", size)
-    total = counts.where("shingle is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    top = counts.where(f"shingle is not null and n * {FREQUENT} >= {total}").toArrow()
-    key = top["shingle"].to_numpy().view(np.uint64)
-    by = np.argsort(key)
-    frequent = spark.sparkContext.broadcast((key[by], top["n"].to_numpy()[by]))
+    frequent = spark.sparkContext.broadcast(_frequent(rows, "text", size))
 
     seen = cut(_documents(rows, "text", size, percent, frequent, False))
-    members = cut(seen.where("n > 0").groupBy("gid", "cls").agg(F.min("rk").alias("rk")))
-    groups = members.groupBy("gid").agg(F.count(F.lit(1)).alias("m"))
+    members = cut(seen.where("n > 0").groupBy("gid", "cls").agg(F.min(F.struct("rk", "id")).alias("row"), F.first("n").alias("n")))
+    # u: units of a group or a list, by its sets and their shingles; never more than sets
+    units_of = F.least(F.count(F.lit(1)), F.greatest(F.ceil(F.count(F.lit(1)) / UNIT), F.ceil(F.sum("n") / ITEMS))).cast("int").alias("u")
+    groups = members.groupBy("gid").agg(F.count(F.lit(1)).alias("m"), units_of)
     prefixes = seen.where("n > 0").groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     posted = prefixes.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
     # one shuffle: the length of each list is counted where its groups meet
     lists = cut(posted.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("k > 1"))
 
     short = lists.where(f"k <= {SHORT}").select("token", "gid", "n", F.col("pos").cast("long").alias("pos"))
-    sizes = [groups.select(F.col("gid").alias(f"g{k}"), F.col("m").alias(f"m{k}")) for k in (1, 2)]
+    sizes = [groups.select(F.col("gid").alias(f"g{k}"), F.col("m").alias(f"m{k}"), F.col("u").alias(f"u{k}")) for k in (1, 2)]
     near = cut(_group_pairs(short, percent).join(sizes[0], "g1").join(sizes[1], "g2"))
 
     # few members: their pairs, less those whose signatures rule a link out; a verified pair is two units of one set
@@ -263,30 +290,27 @@ def _row_components(docs: DataFrame, id_col: str, text_col: str, size: int, perc
     alone = cut(_filter_signatures(cut(listed_pairs.distinct()), seen, percent))
 
     # many members: units are (kind, key, block); a group's or a list's sets are dealt into blocks by hash
-    def blocks(m):
-        return F.ceil(F.col(m) / UNIT).cast("int")
-
     between = (
         near.where(f"not ({few})")
-        .select(F.lit(0).alias("kind"), F.col("g1").alias("k1"), F.col("g2").alias("k2"), F.explode(F.sequence(F.lit(0), blocks("m1") - 1)).alias("b1"), "m2")
-        .select("kind", "k1", "k2", "b1", F.explode(F.sequence(F.lit(0), blocks("m2") - 1)).alias("b2"))
+        .select(F.lit(0).alias("kind"), F.col("g1").alias("k1"), F.col("g2").alias("k2"), F.explode(F.sequence(F.lit(0), F.col("u1") - 1)).alias("b1"), "u2")
+        .select("kind", "k1", "k2", "b1", F.explode(F.sequence(F.lit(0), F.col("u2") - 1)).alias("b2"))
     )
 
     def within(kind, sized):
-        first = sized.select(F.lit(kind).alias("kind"), F.col("key").alias("k1"), F.col("key").alias("k2"), F.explode(F.sequence(F.lit(0), blocks("m") - 1)).alias("b1"), "m")
-        return first.select("kind", "k1", "k2", "b1", F.explode(F.sequence(F.col("b1"), blocks("m") - 1)).alias("b2"))
+        first = sized.select(F.lit(kind).alias("kind"), F.col("key").alias("k1"), F.col("key").alias("k2"), F.explode(F.sequence(F.lit(0), F.col("u") - 1)).alias("b1"), "u")
+        return first.select("kind", "k1", "k2", "b1", F.explode(F.sequence(F.col("b1"), F.col("u") - 1)).alias("b2"))
 
     many = groups.where(f"m * m > {FEW}")
     in_lists = cut(lists.where(f"k > {SHORT}").select("token", "gid").join(members.select("gid", "cls"), "gid").select("token", "cls").distinct())
     in_lists = cut(_families(in_lists))
-    long_lists = in_lists.groupBy("token").agg(F.count(F.lit(1)).alias("m"))
+    long_lists = in_lists.join(members.select("cls", "n").distinct(), "cls").groupBy("token").agg(units_of)
     single = alone.select(F.lit(2).alias("kind"), F.col("c1").alias("k1"), F.col("c2").alias("k2"), F.lit(0).alias("b1"), F.lit(0).alias("b2"))
     pairs = cut(
         between.unionByName(within(0, many.withColumnRenamed("gid", "key"))).unionByName(within(1, long_lists.withColumnRenamed("token", "key"))).unionByName(single)
     )
 
     def dealt(kind, dealt_rows, key):
-        return dealt_rows.select(F.lit(kind).alias("kind"), F.col(key).alias("key"), F.pmod(F.xxhash64("cls"), blocks("m")).cast("int").alias("block"), "cls")
+        return dealt_rows.select(F.lit(kind).alias("kind"), F.col(key).alias("key"), F.pmod(F.xxhash64("cls"), F.col("u")).cast("int").alias("block"), "cls")
 
     wide = near.where(f"not ({few})")
     in_groups = wide.select(F.col("g1").alias("gid")).union(wide.select("g2")).union(many.select("gid")).distinct()
@@ -297,9 +321,11 @@ def _row_components(docs: DataFrame, id_col: str, text_col: str, size: int, perc
         .unionByName(apart.select(F.lit(2).alias("kind"), F.col("cls").alias("key"), F.lit(0).alias("block"), "cls"))
     )
     # a set's units travel with the row that it is made of, so that sets are shuffled once
-    first_rows = members.groupBy("cls").agg(F.min("rk").alias("rk"))
-    where = cut(belongs.groupBy("cls").agg(F.collect_list(F.struct("kind", "key", "block")).alias("units")).join(first_rows, "cls").select("rk", "units"))
-    sets = _documents(rows.join(where, "rk").dropDuplicates(["rk"]), "text", size, percent, None, True)
+    first_rows = members.groupBy("cls").agg(F.min("row").alias("row"))
+    where = cut(belongs.groupBy("cls").agg(F.collect_list(F.struct("kind", "key", "block")).alias("units")).join(first_rows, "cls").select(F.col("row.rk").alias("_rk"), F.col("row.id").alias("_id"), "units"))
+    # id and hash together name a row
+    chosen = rows.join(where, (rows["rk"] == where["_rk"]) & rows["id"].eqNullSafe(where["_id"])).dropDuplicates(["rk", "id"])
+    sets = _documents(chosen, "text", size, percent, None, True)
     units = sets.select("cls", "items", F.explode("units").alias("u")).groupBy("u.kind", "u.key", "u.block").agg(F.collect_list(F.struct("cls", "items")).alias("sets"))
     units = cut(units)
     left = units.select("kind", F.col("key").alias("k1"), F.col("block").alias("b1"), F.col("sets").alias("one"))

@@ -7,11 +7,16 @@ that it is most sure of, and they join the other view's training rows. Scores
 are calibrated on labelled documents that were kept out, and the calibrated log
 odds of both views are added, less the prior's, to score every document.
 
-Training takes at most LABELLED labelled and UNLABELLED other documents, those
-with the smallest hashes of doc_id; their features, not their texts, go to the
-driver. Everything else is one pass over the documents without a shuffle.
-
-A null text is empty, other nulls are values of their own. If a doc_id has
+The first classifiers are fitted on at most LABELLED labelled documents, those with
+the smallest hashes of doc_id, whose features, not their texts, go to the driver. A
+round of co-training is one pass over all other documents: each task labels those
+that a view is sure of and adds up what a Newton step of the other view needs (a
+gradient and a curvature for each label), so that sums of a fixed size, added up in
+tasks, are all that is gathered. Pseudo-labels weigh as much as the labelled rows
+together, at most, and in their proportion of good and bad.
+
+A null text is empty, other nulls are values of their own; texts of any length are
+read whole, and an empty table gives no rows. If a doc_id has
 several labels their mean counts. Without labels of both kinds every document
 gets the score 1 and is kept. Repeated rows get equal scores (up to rounding); extra columns are
 ignored, or passed through by ``keep_good``.
@@ -31,10 +36,10 @@ from pyspark.sql import functions as F
 from talelake.llm import textblocks as tb
 from talelake.llm.common import table
 
-#: Bounds of the training rows.
-LABELLED, UNLABELLED = 8000, 8000
+#: Most labelled rows that are fitted on, and tasks that add up the sums of a round.
+LABELLED, ADDERS = 8000, 32
 #: Rounds of co-training, and how sure a view must be of a label that it gives to the other.
-ROUNDS, SURE = 4, 0.98
+ROUNDS, SURE = 3, 0.98
 
 # each printable ASCII sign for itself; letters by case, digits, white space, control and other bytes as classes
 _SIGNS = [c for c in range(33, 127) if not chr(c).isalnum()]
@@ -117,7 +122,11 @@ def _newton(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 12) -> np.n
     return w
 
 
-def fit_view(x: np.ndarray, y: np.ndarray, ridge: float = 4.0) -> View:
+#: Ridge of the views' regressions.
+RIDGE = 4.0
+
+
+def fit_view(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> View:
     x = x.astype(float)
     mean, scale = x.mean(0), x.std(0) + 1e-3
     w = _newton(np.hstack([(x - mean) / scale, np.ones((len(x), 1))]), y, ridge)
@@ -144,30 +153,64 @@ class Model:
         return self.text.logit(text) + self.meta.logit(meta) - self.prior
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, check: np.ndarray) -> Model | None:
-    """label: 1, 0 or nan; check: labelled rows that only calibrate."""
-    labelled = ~np.isnan(label)
-    train, held = labelled & ~check, labelled & check
+def _sums(view: View, x: np.ndarray, y: float) -> np.ndarray:
+    """Number, gradient and curvature of rows with the label y at the view's weights, in one array."""
+    z = np.hstack([(x - view.mean) / view.scale, np.ones((len(x), 1))])
+    p = 1 / (1 + np.exp(-np.clip(z @ np.append(view.weight, view.bias), -30, 30)))
+    return np.concatenate(([len(x)], z.T @ (p - y), ((z * (p * (1 - p) + 1e-6)[:, None]).T @ z).ravel()))
+
+
+def pseudo_sums(views: list[View], features: list[np.ndarray]) -> np.ndarray:
+    """For each view and label 0 and 1: the sums of the rows that the other view is sure of."""
+    out = []
+    for me, other in ((0, 1), (1, 0)):
+        logit = views[other].logit(features[other])
+        for y in (0.0, 1.0):
+            sure = (logit if y else -logit) >= np.log(SURE / (1 - SURE))
+            out.append(_sums(views[me], features[me][sure].astype(float), y))
+    return np.concatenate(out)
+
+
+def newton_step(view: View, x: np.ndarray, y: np.ndarray, pseudo: list[np.ndarray], ridge: float) -> View:
+    """The view after one step on labelled rows and the sums of pseudo-labelled ones (label 0, label 1)."""
+    d = len(view.weight) + 1
+    labelled = [_sums(view, x[y == v].astype(float), v) for v in (0.0, 1.0)]
+    total = labelled[0][1:] + labelled[1][1:]
+    found = [p[0] for p in pseudo]
+    if min(found) > 0:
+        share = min(1.0, sum(found) / len(x))
+        for own, more in zip(labelled, pseudo, strict=True):
+            total = total + more[1:] * (share * own[0] / more[0])
+    w = np.append(view.weight, view.bias)
+    penalty = np.full(d, ridge)
+    penalty[-1] = 1e-6
+    step = np.linalg.solve(total[d:].reshape(d, d) + np.diag(penalty), total[:d] + penalty * w)
+    w = w - step * min(1.0, 5 / (np.abs(step).max() + 1e-9))
+    return View(view.mean, view.scale, w[:-1], float(w[-1]))
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, check: np.ndarray, unlabelled: Callable[[list[View]], np.ndarray | None], rounds: int = ROUNDS) -> Model | None:
+    """label: 1 or 0; check: rows that only calibrate; unlabelled: ``pseudo_sums`` over all other documents, None without any."""
+    train, held = ~check, check
     if not held.any():
         held = train
     if not (set(label[train]) == set(label[held]) == {0.0, 1.0}):
         return None
-    views = [text, meta]
-    own = [np.where(train, label, np.nan) for _ in views]
-    prior_rate = label[train].mean()
-    for k in range(ROUNDS + 1):
-        fitted = [calibrate(fit_view(x[~np.isnan(y)], y[~np.isnan(y)]), x[held], label[held]) for x, y in zip(views, own, strict=True)]
-        if k == ROUNDS:
+    features = [text, meta]
+    views = [calibrate(fit_view(x[train], label[train]), x[held], label[held]) for x in features]
+    for _ in range(rounds):
+        sums = unlabelled(views)
+        if sums is None:
             break
-        free = ~labelled
-        for me, other in ((0, 1), (1, 0)):
-            logit = fitted[me].logit(views[me])
-            for value, rate in ((1.0, prior_rate), (0.0, 1 - prior_rate)):
-                sure = np.flatnonzero(free & np.isnan(own[other]) & ((logit if value else -logit) >= np.log(SURE / (1 - SURE))))
-                best = sure[np.argsort(-np.abs(logit[sure]), kind="stable")][: max(1, int(0.1 * rate * free.sum()))]
-                own[other][best] = value
+        new, at = [], 0
+        for view, x in zip(views, features, strict=True):
+            d = len(view.weight) + 1
+            size = 1 + d + d * d
+            new.append(calibrate(newton_step(view, x[train], label[train], [sums[at : at + size], sums[at + size : at + 2 * size]], RIDGE), x[held], label[held]))
+            at += 2 * size
+        views = new
     rate = (label[held].sum() + 1) / (held.sum() + 2)
-    return Model(*fitted, float(np.log(rate / (1 - rate))))
+    return Model(*views, float(np.log(rate / (1 - rate))))
 
 
 def _features(docs: DataFrame) -> DataFrame:
@@ -187,16 +230,44 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> Model | None:
+def _unlabelled_sums(rows: DataFrame, ids: list[int], views: list[View]) -> np.ndarray | None:
+    """``pseudo_sums`` over all rows but those with the given ids."""
+    shared = rows.sparkSession.sparkContext.broadcast((views, np.array(sorted(ids), np.int64)))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        views, known = shared.value
+        total = None
+        for batch in batches:
+            for low in range(0, len(batch), 2048):
+                part = batch.slice(low, 2048)
+                own = part.column(0).to_pylist()
+                part = part.filter(pa.array(~np.isin(np.array([-1 if i is None else i for i in own], np.int64), known) | np.array([i is None for i in own], bool)))
+                found = pseudo_sums(views, [text_features(part.column(1)), meta_features(*(part.column(k).to_pylist() for k in (2, 3, 4)))])
+                total = found if total is None else total + found
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["sums"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for row in batch.column(0):
+                total = row.values.to_numpy() if total is None else total + row.values.to_numpy()
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["sums"])
+
+    # ADDERS rows at most come to the driver
+    found = rows.mapInArrow(add, "sums array<double>").repartition(ADDERS).mapInArrow(add_up, "sums array<double>").toArrow()["sums"]
+    return sum(row.values.to_numpy() for row in found) if len(found) else None
+
+
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rounds: int = ROUNDS, labelled: int = LABELLED) -> Model | None:
     """The model from documents (doc_id, text, lang, source, n_chars) and labels (doc_id, label_col)."""
     by_hash = [F.xxhash64("id"), "id"]
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull())
     known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.avg(label_col) >= 0.5).cast("double").alias("label"))
     rows = _plain(docs)
     ids = rows.select("id").where("id is not null").distinct()
-    chosen = ids.join(known, "id").orderBy(*by_hash).limit(LABELLED)
-    others = ids.join(known, "id", "left_anti").orderBy(*by_hash).limit(UNLABELLED).withColumn("label", F.lit(None).cast("double"))
-    picked = chosen.unionByName(others).toArrow()  # LABELLED + UNLABELLED rows at most
+    picked = ids.join(known, "id").orderBy(*by_hash).limit(labelled).toArrow()
     if not len(picked):
         return None
     few = docs.sparkSession.createDataFrame(picked.select(["id"]))
@@ -208,9 +279,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> Mod
     if not found:
         return None
     ids_ = table_["id"].to_numpy()[order]
-    label = np.array([np.nan if label_of[i] is None else label_of[i] for i in ids_.tolist()])
+    label = np.array([label_of[i] for i in ids_.tolist()])
     check = np.array([zlib.crc32(str(i).encode()) % 4 == 0 for i in ids_.tolist()])
-    return co_train(*found, label, check)
+    return co_train(*found, label, check, lambda views: _unlabelled_sums(rows, picked["id"].to_pylist(), views), rounds)
 
 
 def _scorer(model: Model | None) -> Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]:

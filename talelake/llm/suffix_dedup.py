@@ -66,7 +66,7 @@ CROWD, SPLIT = 256, 5
 
 _PACK, _UNPACK = zstandard.ZstdCompressor(level=1, write_content_size=True), zstandard.ZstdDecompressor()
 _FACTORS = tb.mix(np.arange(1, 33, dtype=np.uint64)) | np.uint64(1)
-_PRIME, _LOW31, _LOW30 = np.uint64((1 << 61) - 1), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+_PRIME, _BELOW, _LOW31, _LOW30 = np.uint64((1 << 61) - 1), np.uint64((1 << 64) - (1 << 61) + 1), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -213,16 +213,18 @@ class Suffixes:
         lengths = np.array([len(c) for c in contexts], np.int64)
         self.start = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
         self.data = np.frombuffer(b"".join(contexts), np.uint8)
-        # powers count from each context's start, so that their table stays as short as a context
-        _SUFFIXES.grow(int(lengths.max(initial=0)) + 1)
-        self.sums = _SUFFIXES.prefix(self.data, np.arange(len(self.data)) - np.repeat(self.start, lengths))
+        # powers count from a place as far from every anchor, so that stretches at equal distances are compared without
+        # a product, and their table stays as short as a context
+        shift = int(left.max(initial=0)) - left.astype(np.int64)
+        _SUFFIXES.grow(int((lengths + shift).max(initial=0)) + 1)
+        self.sums = _SUFFIXES.prefix(self.data, np.arange(len(self.data)) - np.repeat(self.start - shift, lengths))
         self.left, self.right, self.gram = left.astype(np.int64), lengths - left, gram
         self.place = self.start + self.left
 
     def _same(self, i: np.ndarray, j: np.ndarray, n: np.ndarray, back: bool) -> np.ndarray:
         p, q = (self.place[i] - n, self.place[j] - n) if back else (self.place[i], self.place[j])
-        one, two = _reduce(self.sums[p + n] + _PRIME - self.sums[p]), _reduce(self.sums[q + n] + _PRIME - self.sums[q])
-        return times(one, _SUFFIXES.powers[q - self.start[j]]) == times(two, _SUFFIXES.powers[p - self.start[i]])
+        rest = self.sums[p + n] - self.sums[p] - self.sums[q + n] + self.sums[q]
+        return (rest == 0) | (rest == _PRIME) | (rest == _BELOW)  # the sums are below the prime, so is their difference's amount
 
     def common(self, i: np.ndarray, j: np.ndarray, back: bool) -> np.ndarray:
         """Length of the common extension of pairs of contexts, by binary search over hashes."""
@@ -337,8 +339,9 @@ def _gram_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "gram long, n int")
 
 
-#: An anchor: its gram, its context's digest, its document and its place there; reach has how far the context goes to the left and right.
-_ANCHOR = ["gram", "c1", "c2", "k1", "k2", "place", "reach"]
+#: An anchor: its gram, its context's digest, its document, and in one number its place there and its context's reach to the left and right.
+_ANCHOR = ["gram", "c1", "c2", "k1", "k2", "at"]
+_PLACE, _SIDE = 1 << 20, 1000
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
@@ -349,12 +352,12 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
             found = batch_anchors(batch.column(2))
             digests = context_digests(batch.column(2), found)
             row = pa.array(found["row"])
-            reach = (found["left"] * 1000 + found["right"]).astype(np.int32)
+            at = found["place"].astype(np.int64) * _PLACE + found["left"] * _SIDE + found["right"]
             columns = [pa.array(x) for x in (found["gram"].view(np.int64), digests[:, 0].copy(), digests[:, 1].copy())]
-            columns += [batch.column(0).take(row), batch.column(1).take(row), pa.array(found["place"].astype(np.int32)), pa.array(reach)]
+            columns += [batch.column(0).take(row), batch.column(1).take(row), pa.array(at)]
             yield pa.RecordBatch.from_arrays(columns, _ANCHOR)
 
-    return docs.select("k1", "k2", "text").mapInArrow(run, "gram long, c1 long, c2 long, k1 long, k2 long, place int, reach int")
+    return docs.select("k1", "k2", "text").mapInArrow(run, "gram long, c1 long, c2 long, k1 long, k2 long, at long")
 
 
 #: Columns of contexts on their way: grouped by ``key``, equal if ``th`` is equal; ``low`` and ``high`` bound
@@ -390,24 +393,30 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(_PART_TYPES)], _PART_NAMES)
 
 
+#: Lists of a document's contexts; what: 1 if the context occurs once, and 2 more if its gram is crowded.
+_WANTED = ["gram", "c1", "c2", "at", "what"]
+
+
 def _contexts(held: DataFrame, crowded: bool) -> DataFrame:
-    """The contexts of documents (z, wanted) of grams that are crowded, split, or of those that are not."""
+    """The contexts of documents (z, and of each context gram, c1, c2, at and what) of grams that are crowded, split, or of those that are not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, len(batch), 256):
                 rows: list[tuple] = []
-                for z, wanted in zip(batch.column(0).slice(low, 256), batch.column(1).slice(low, 256), strict=True):
-                    chosen = [w for w in wanted.as_py() if (w["kinds"] > CROWD) == crowded]
-                    whole = unpack(z.as_py()) if chosen else b""
-                    for w in chosen:
-                        left, right = divmod(w["reach"], 1000)
-                        single = w["n"] == 1
-                        row = (w["gram"], b"", left, right, 0, LENGTH - GRAM, whole[w["place"] - left : w["place"] + right], w["gram"], w["c1"] if single else None, w["c2"], 1 if single else 2)
+                for z, *lists in zip(*(c.slice(low, 256) for c in batch.columns), strict=True):
+                    whole = None
+                    for gram, c1, c2, at, what in zip(*(x.as_py() for x in lists), strict=True):
+                        if (what >= 2) != crowded:
+                            continue
+                        whole = unpack(z.as_py()) if whole is None else whole
+                        place, (left, right) = at // _PLACE, divmod(at % _PLACE, _SIDE)
+                        single = what % 2 == 1
+                        row = (gram, b"", left, right, 0, LENGTH - GRAM, whole[place - left : place + right], gram, c1 if single else None, c2, 1 if single else 2)
                         rows += split_context(row) if crowded else [row]
                 yield _batch(rows)
 
-    return held.select("z", "wanted").mapInArrow(run, _PART)
+    return held.select("z", *_WANTED).mapInArrow(run, _PART)
 
 
 def _split(parts: DataFrame) -> DataFrame:
@@ -471,23 +480,27 @@ def _crowds(parts: DataFrame) -> list[DataFrame]:
 
 def repeated_spans(rows: DataFrame, small: DataFrame) -> DataFrame:
     """k1, k2, spans (array of struct<a, b>, may overlap) of the rows (k1, k2, text) that have any. small: the rows, ``packed``."""
-    context, doc = ["gram", "c1", "c2"], ["k1", "k2"]
-    again = _gram_counts(rows).groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
+    context, doc = ["c1", "c2"], ["k1", "k2"]
+    # written, so that a gram with very many anchors is split by the join
+    again = cut(_gram_counts(rows).groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram"))
     every = cut(_anchor_rows(rows).join(again, "gram", "left_semi"))
-    counted = cut(every.groupBy(*context).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*doc, "place")).alias("first"), F.first("reach").alias("reach")))
+    counted = every.groupBy(*context).agg(F.count(F.lit(1)).alias("n"), F.first("gram").alias("gram"), F.min(F.struct(*doc, "at")).alias("one"))
     kinds = counted.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    several = cut(counted.join(kinds, "gram"))
-    fields = F.struct("first.place", *context, "reach", "n", "kinds").alias("w")
-    wanted = several.select("first.k1", "first.k2", fields).groupBy(*doc).agg(F.collect_list("w").alias("wanted"))
-    held = cut(small.join(wanted, doc).dropDuplicates(doc).select("z", "wanted"))
+    classes = cut(counted.join(kinds, "gram", "left").select("gram", *context, "n", "kinds", "one.*").where("n > 1 or kinds > 1"))
+    several = classes.where("kinds > 1")
+    what = F.when(F.col("n") == 1, 1).otherwise(0) + F.when(F.col("kinds") > CROWD, 2).otherwise(0)
+    fields = F.struct("gram", *context, "at", what.cast("byte").alias("what"))
+    wanted = several.groupBy(*doc).agg(F.collect_list(fields).alias("w")).select(*doc, *(F.col(f"w.{c}") for c in _WANTED))
+    held = cut(small.join(wanted, doc).dropDuplicates(doc).select("z", *_WANTED))
     partly = _partly_repeated(_contexts(held, False))
     for more in _crowds(_contexts(held, True)):
         partly = partly.unionByName(more)
-    partly = cut(partly)
-    single = several.where("n = 1").join(partly, context).select("first.k1", "first.k2", (F.col("first.place") - F.col("left")).alias("a"), (F.col("first.place") + F.col("right")).alias("b"))
-    left, right = F.floor(F.col("reach") / 1000), F.col("reach") % 1000
-    whole = every.join(counted.where("n > 1").select(*context), context, "left_semi").where(left + right >= LENGTH)
-    spans = whole.select(*doc, (F.col("place") - left).alias("a"), (F.col("place") + right).alias("b")).unionByName(single)
+    partly = cut(partly.drop("gram"))
+    place, left, right = F.floor(F.col("at") / _PLACE), F.floor(F.col("at") % _PLACE / _SIDE), F.col("at") % _PLACE % _SIDE
+    single = several.where("n = 1").select(*context, *doc, place.alias("place")).join(partly, context)
+    single = single.select(*doc, (F.col("place") - F.col("left")).alias("a"), (F.col("place") + F.col("right")).alias("b"))
+    whole = every.join(classes.where("n > 1").select(*context), context, "left_semi").where(left + right >= LENGTH)
+    spans = whole.select(*doc, (place - left).alias("a"), (place + right).alias("b")).unionByName(single)
     return spans.groupBy(*doc).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 

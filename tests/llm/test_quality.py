@@ -54,3 +54,33 @@ def test_features_do_not_depend_on_batches():
     whole = quality.text_features(pa.array(texts))
     assert whole.shape == (5, quality.TEXT_WIDTH)
     assert np.allclose(whole, np.vstack([quality.text_features(pa.array([t], pa.string())) for t in texts]))
+
+
+def test_sums_are_those_of_all_rows(spark):
+    """A round's sums over the table equal those of all unlabelled rows at once, whatever the partitions."""
+    rows, labels, _ = rows_of(400)
+    docs = spark.createDataFrame([*rows, (None, "a b", None, None, None)], DOCS)
+    known = [i for i, _ in labels]
+    free = [r for r in [*rows, (None, "a b", None, None, None)] if r[0] not in set(known)]
+    features = [quality.text_features(pa.array([r[1] for r in free])), quality.meta_features(*([r[k] for r in free] for k in (2, 3, 4)))]
+    y = np.array([i % 2 for i in range(len(free))], float)
+    views = [quality.calibrate(quality.fit_view(x, y), x, y) for x in features]
+    views[0].slope, views[1].slope = 5.0, 50.0
+    want = quality.pseudo_sums(views, features)
+    for parts in (1, 7):
+        assert np.allclose(quality._unlabelled_sums(quality._plain(docs.repartition(parts)), known, views), want)
+    assert want[0] > 0 and quality._unlabelled_sums(quality._plain(docs.limit(0)), known, views) is None
+
+
+def test_labels_of_the_documents(spark):
+    """Held-out labels: both views with co-training do no worse than without it, and leave good documents alone."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    held = {r.doc_id: r.quality for r in labels.where("doc_id % 3 = 0").collect()}
+    right, lost = {}, {}
+    for rounds in (0, quality.ROUNDS):
+        model = quality.train(docs, labels.where("doc_id % 3 <> 0"), rounds=rounds)
+        kept = {r.doc_id: r.kept for r in quality.score_documents(docs.where("doc_id % 3 = 0"), model).collect()}
+        right[rounds] = sum(kept[d] == bool(q) for d, q in held.items())
+        lost[rounds] = sum(q == 1 and not kept[d] for d, q in held.items())
+        print(rounds, right[rounds], len(held), lost[rounds], model.text.slope, model.meta.slope)
+    assert right[quality.ROUNDS] >= max(0.99 * len(held), right[0] - 3) and lost[quality.ROUNDS] <= 0.002 * len(held)
