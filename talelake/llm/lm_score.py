@@ -1,7 +1,8 @@
 """Log-bilinear language model, trained with noise-contrastive estimation.
 
-The tokens are a document's words and one end. The model's classes are the most
-frequent tokens, the end, and one class for all other words. From the two
+The tokens are a document's words and one end. The model's classes are the end, each
+of the most frequent words, and RARE classes of all other words, known or not, by their
+last letters: every word is in a class, as a target and as a context. From the two
 classes before it, a token's class has the score
 
     s(w | u, v) = (d1 * r_u + d2 * r_v) . q_w + b_w        (u is the nearer one)
@@ -10,9 +11,9 @@ Training is numpy inside Spark tasks. A bounded sample warms the parameters up;
 then every task trains a copy on all training documents of its partition, and
 the copies' mean, weighted by tokens, is the model. The normaliser of each pair
 of classes is computed once by batched matrix products, so log-probabilities are
-normalised exactly. A word of the class of all others has that class's
-probability times its smoothed share (c + 0.1) / (N' + 0.1 (V' + 1)) in the
-class; N' and V' are the class's training tokens and distinct words.
+normalised exactly. A rare word has its class's probability times its smoothed
+share (c + 0.1) / (N' + 0.1 (V' + 1)) in the class; N' and V' are the class's training
+tokens and distinct words, so that all words of a class and one unseen add up to one.
 
 Counts are sums over all training documents. Those of the words with at least
 1/HEAD of all training tokens (at most HEAD words) are broadcast; the rest are
@@ -20,7 +21,9 @@ joined by word, with one row for each document and rare word.
 
 A null text is empty and has its end alone; a null doc_id counts as the empty
 text for the held-out split. Rows that share doc_id are scored on their own.
-Without any training document all classes are alike. Extra columns are ignored.
+Without any training document all classes are alike. Extra columns are ignored, texts
+of any length are read whole, and an empty table gives no rows. Tasks train on the
+partitions that they are given, so scores depend a little on how the table is dealt.
 """
 
 from __future__ import annotations
@@ -35,27 +38,28 @@ from pyspark.sql import functions as F
 from talelake.llm import textblocks as tb
 from talelake.llm.common import cut, table
 
-#: Classes, the width of their vectors, noise words of a minibatch, and its tokens.
-CLASSES, WIDTH, NOISE, BATCH = 1024, 32, 32, 4096
+#: Classes, those of rare words among them, the width of their vectors, noise words of a minibatch, and its tokens.
+CLASSES, RARE, WIDTH, NOISE, BATCH = 1024, 384, 32, 32, 4096
 #: Documents that warm the parameters up, and passes over them.
 WARM_DOCS, WARM_PASSES = 1000, 3
 #: A word's count is broadcast if it has at least this part of all tokens.
 HEAD = 1 << 20
-END, OTHER = 0, 1
+#: The end's class; rare words have classes 1 to RARE, frequent words those after.
+END = 0
 _END_HASH = np.uint64(0x0123456789ABCDEF)
 
 
-def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of each token, ends included."""
-    hashes, row = tb.words(*tb.utf8(column))
+def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row and class among the rare words of each token, ends included."""
+    hashes, row, last = tb.words_and_ends(*tb.utf8(column))
     n = len(column)
     out = np.full(len(hashes) + n, _END_HASH)
-    rows = np.zeros(len(out), np.int64)
+    rows, rare = np.zeros(len(out), np.int64), np.zeros(len(out), np.int64)
     at = np.arange(len(hashes)) + row
-    out[at], rows[at] = hashes, row
+    out[at], rows[at], rare[at] = hashes, row, 1 + (tb.mix(last) % np.uint64(RARE)).astype(np.int64)
     ends = np.cumsum(np.bincount(row, minlength=n)) + np.arange(n)
     rows[ends] = np.arange(n)
-    return out, rows
+    return out, rows, rare
 
 
 def contexts(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,19 +158,27 @@ class Scorer:
 
 
 def _counts(train: DataFrame) -> DataFrame:
-    """h, c: the training count of each token."""
+    """h, rare, c: each token's class among the rare words and its training count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, c = np.unique(tokens(batch.column(0))[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
+            hashes, _, rare = tokens(batch.column(0))
+            h, first, c = np.unique(hashes, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(rare[first].astype(np.int16)), pa.array(c)], ["h", "rare", "c"])
 
-    return train.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return train.select("text").mapInArrow(run, "h long, rare short, c long").groupBy("h").agg(F.first("rare").alias("rare"), F.sum("c").alias("c"))
 
 
-def _class_ids(keys: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def _class_ids(keys: np.ndarray, ids: np.ndarray, hashes: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """The class of each token: its own if it is among the keys, else that of its last letters."""
     place, there = lookup(keys, hashes)
-    return np.where(there, ids[place] if len(ids) else OTHER, OTHER)
+    return np.where(there, ids[place] if len(ids) else END, rare)
+
+
+def classes_of(keys: np.ndarray, ids: np.ndarray, column: pa.Array) -> np.ndarray:
+    """Classes of all tokens of a text column, in order."""
+    hashes, _, rare = tokens(column)
+    return _class_ids(keys, ids, hashes, rare)
 
 
 def train_model(train: DataFrame, keys: np.ndarray, ids: np.ndarray, unigram: np.ndarray) -> LogBilinear:
@@ -175,7 +187,7 @@ def train_model(train: DataFrame, keys: np.ndarray, ids: np.ndarray, unigram: np
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_class_ids(keys, ids, tokens(batch.column(0))[0])], pa.list_(pa.int64()))], ["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([classes_of(keys, ids, batch.column(0))], pa.list_(pa.int64()))], ["ids"])
 
     model = LogBilinear.fresh(unigram)
     chosen = train.select("id").orderBy(F.xxhash64("id"), "id").limit(WARM_DOCS)
@@ -189,7 +201,7 @@ def train_model(train: DataFrame, keys: np.ndarray, ids: np.ndarray, unigram: np
         flat, squares = start.value
         own, squares, seen = LogBilinear(flat.copy(), k), None if squares is None else squares.copy(), 0
         for batch in batches:
-            classes = _class_ids(keys, ids, tokens(batch.column(0))[0])
+            classes = classes_of(keys, ids, batch.column(0))
             squares = own.fit(classes, unigram, seen, squares=squares)
             seen += len(classes)
         if seen:
@@ -231,40 +243,47 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = cut(_counts(train))
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     end_hash = int(_END_HASH.view(np.int64))
-    top = counts.where(f"h <> {end_hash}").orderBy(F.desc("c"), "h").limit(CLASSES - 2).toArrow()
+    words = counts.where(f"h <> {end_hash}")
+    top = words.orderBy(F.desc("c"), "h").limit(CLASSES - RARE - 1).toArrow()
     ends = counts.where(f"h = {end_hash}").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     keys = np.append(top["h"].to_numpy().view(np.uint64), _END_HASH)
-    ids = np.append(np.arange(2, len(top) + 2), END)
+    ids = np.append(np.arange(RARE + 1, RARE + 1 + len(top)), END)
     by = np.argsort(keys)
     keys, ids = keys[by], ids[by]
-    known = top["c"].to_numpy()
-    other_tokens, other_kinds = total - ends - int(known.sum()), kinds - len(top) - (ends > 0)
-    unigram = np.concatenate(([ends, other_tokens], known)) + 0.1
+    # tokens and kinds of each class of rare words: RARE rows, less the frequent words
+    sums = words.groupBy("rare").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("k")).toArrow()
+    known, own = top["c"].to_numpy(), top["rare"].to_numpy().astype(np.int64)
+    rare_tokens, rare_kinds = np.zeros(RARE + 1), np.zeros(RARE + 1)
+    rare_tokens[sums["rare"].to_numpy()], rare_kinds[sums["rare"].to_numpy()] = sums["c"].to_numpy(), sums["k"].to_numpy()
+    rare_tokens -= np.bincount(own, known, RARE + 1)
+    rare_kinds -= np.bincount(own, minlength=RARE + 1)
+    unigram = np.concatenate(([ends], rare_tokens[1:], known)) + 0.1
     unigram = unigram / unigram.sum()
+    rare_logs = np.log10(rare_tokens + 0.1 * (rare_kinds + 1))
     model = train_model(train, keys, ids, unigram)
     head = counts.where(f"c * {HEAD} >= {total}").toArrow()
     head_keys = head["h"].to_numpy().view(np.uint64)
     by = np.argsort(head_keys)
     head_keys, head_logs = head_keys[by], np.log10(head["c"].to_numpy()[by] + 0.1)
-    head_ids = _class_ids(keys, ids, head_keys)
-    tables = spark.sparkContext.broadcast((model.flat, _normalisers(spark, model), head_keys, head_logs, head_ids, keys, ids))
+    head_ids = _class_ids(keys, ids, head_keys, head["rare"].to_numpy().astype(np.int64)[by])
+    tables = spark.sparkContext.broadcast((model.flat, _normalisers(spark, model), head_keys, head_logs, head_ids, keys, ids, rare_logs))
     model_k = model.k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, log_z, head_keys, head_logs, head_ids, keys, ids = tables.value
+        flat, log_z, head_keys, head_logs, head_ids, keys, ids, rare_logs = tables.value
         scorer = Scorer(LogBilinear(flat, model_k), log_z)
         for batch in batches:
             for low in range(0, len(batch), 512):
                 part = batch.slice(low, 512)
-                h, row = tokens(part.column(2))
+                h, row, rare = tokens(part.column(2))
                 n = len(part)
                 place, there = lookup(head_keys, h)
-                classes = np.where(there, head_ids[place] if len(head_ids) else OTHER, OTHER)
+                classes = np.where(there, head_ids[place] if len(head_ids) else END, END)
                 if not there.all():  # a class may be too rare for the head when the corpus is small
-                    classes[~there] = _class_ids(keys, ids, h[~there])
+                    classes[~there] = _class_ids(keys, ids, h[~there], rare[~there])
                 logs = np.where(there, head_logs[place] if len(head_logs) else 0.0, 0.0)
-                other = classes == OTHER
-                # what is in no head is left to the join: hash, occurrences and whether its class is all others
+                other = (classes > END) & (classes <= RARE)
+                # what is in no head is left to the join: hash, occurrences and whether it is a rare word
                 tail = np.flatnonzero(~there)
                 order = tail[np.lexsort((h[tail], row[tail]))]
                 first = np.flatnonzero(np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])))) if len(order) else order
@@ -281,11 +300,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     "id": part.column(0),
                     "held_out": part.column(1),
                     "n_tokens": pa.array(np.bincount(row, minlength=n)),
-                    "n_other": pa.array(np.bincount(row[other], minlength=n)),
                     "head_known": pa.array(np.bincount(row[there], minlength=n)),
                     "head_logs": total_of(logs),
                     "head_other_logs": total_of(np.where(other, logs, 0.0)),
-                    "class_logs": total_of(scorer.log10(classes)),
+                    "class_logs": total_of(scorer.log10(classes) - np.where(other, rare_logs[np.where(other, classes, 0)], 0.0)),
                     "words": lists(h[order[first]].view(np.int64)),
                     "times": lists(times),
                     "others": lists(other[order[first]]),
@@ -294,7 +312,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     seen = rows.select("id", held_out.alias("held_out"), "text").mapInArrow(
         run,
-        "id long, held_out boolean, n_tokens long, n_other long, head_known long, head_logs double, head_other_logs double, class_logs double, "
+        "id long, held_out boolean, n_tokens long, head_known long, head_logs double, head_other_logs double, class_logs double, "
         "words array<long>, times array<long>, others array<boolean>",
     )
     seen = cut(seen).withColumn("row", F.monotonically_increasing_id())  # stable: it numbers rows that are written
@@ -312,7 +330,6 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     none, zero = F.lit(0.0), F.lit(0)
     base_log = float(np.log10(total + 0.1 * (kinds + 1)))
-    other_log = float(np.log10(other_tokens + 0.1 * (other_kinds + 1)))
     return seen.join(sums, "row", "left").select(
         F.col("id").alias(id_col),
         "held_out",
@@ -320,7 +337,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         (F.col("head_known") + F.coalesce("tail_known", zero)).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("head_logs") + F.coalesce("tail_logs", none) - F.col("n_tokens") * base_log).alias("base_score"),
-        (F.col("class_logs") + F.col("head_other_logs") + F.coalesce("tail_other_logs", none) - F.col("n_other") * other_log).alias("score"),
+        (F.col("class_logs") + F.col("head_other_logs") + F.coalesce("tail_other_logs", none)).alias("score"),
     )
 
 

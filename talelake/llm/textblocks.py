@@ -91,7 +91,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word and the row that it is in, in order."""
-    hashes, places = [], []
+    return words_and_ends(data, offsets)[:2]
+
+
+def words_and_ends(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row and last three bytes of each word, in order."""
+    hashes, places, ends = [], [], []
     begin, total = 0, len(data)
     bounds = offsets[1:-1]
     while begin < total:
@@ -124,12 +129,16 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         for k in np.flatnonzero(stop - start > LONG).tolist():
             found[k] = int.from_bytes(hashlib.blake2b(part[start[k] : stop[k]].tobytes(), digest_size=8).digest(), "little")
         hashes.append(found)
+        last3 = part[stop - 1].astype(np.uint32)
+        for k in (2, 3):
+            last3 = last3 << np.uint32(8) | np.where(stop - k >= start, part[np.maximum(stop - k, 0)], 0)
+        ends.append(last3)
         places.append(start + begin)
         begin = end
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
     place = np.concatenate(places)
-    return np.concatenate(hashes), np.searchsorted(offsets, place, "right") - 1
+    return np.concatenate(hashes), np.searchsorted(offsets, place, "right") - 1, np.concatenate(ends)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:

@@ -34,7 +34,7 @@ def expected(rows):
     return out
 
 
-@pytest.mark.parametrize("head,classes", [(1 << 20, 64), (40, 20)])
+@pytest.mark.parametrize("head,classes", [(1 << 20, 448), (40, 404)])
 def test_counts_and_scores(spark, head, classes, monkeypatch):
     monkeypatch.setattr(lm_score, "HEAD", head)
     monkeypatch.setattr(lm_score, "CLASSES", classes)
