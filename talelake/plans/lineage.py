@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the session's ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a temporary folder.
-    """
+def _folder(df: DataFrame) -> None:
+    """Sets the checkpoint folder if the session has none: that of ``spark.checkpoint.dir``, a temporary one only for a local session."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir", None)
@@ -20,4 +18,24 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(shared)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the session's ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a temporary folder. Spark removes
+    a checkpoint that is no longer used if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is true.
+    """
+    _folder(df)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, computed once and written as a compressed table in that folder, so that later reads take only their columns.
+
+    It stays until the session's checkpoint folder is removed.
+    """
+    _folder(df)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
