@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talelake.plans.lineage import cut
+from talelake.plans.lineage import cut, stored
 
-__all__ = ["components", "cut", "table"]
+__all__ = ["components", "cut", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -54,7 +54,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talelake.llm import textblocks as tb
-from talelake.llm.common import cut, table
+from talelake.llm.common import cut, stored, table
 
 #: Bytes of a repeated string, of an anchor's gram, and of a piece that is hashed at once.
 LENGTH, GRAM, PIECE = 400, 64, 1 << 17
@@ -101,12 +101,11 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Polynomial:
-    """Hashes of stretches of bytes modulo 2**61 - 1, with a random base and random values."""
+    """Hashes of stretches of bytes modulo 2**61 - 1, with a random base."""
 
     def __init__(self):
         # results do not depend on the draw
         self.base = random.SystemRandom().randrange(1 << 32, int(_PRIME))
-        self.values = np.array([random.SystemRandom().randrange(int(_PRIME)) for _ in range(256)], np.uint64)
         self.powers = np.ones(1, np.uint64)
 
     def grow(self, n: int) -> None:
@@ -116,10 +115,13 @@ class Polynomial:
             self.powers = np.concatenate((self.powers, times(self.powers, step)))
 
     def prefix(self, data: np.ndarray, local: np.ndarray) -> np.ndarray:
-        """Prefix sums of the bytes' values times the powers of their places ``local``, one more than there are bytes."""
-        terms = times(self.values[data], self.powers[local])
-        high, low = np.cumsum(terms >> np.uint64(31)), np.cumsum(terms & _LOW31)
-        high = _reduce(high)
+        """Prefix sums of the bytes (and one) times the powers of their places ``local``, one more than there are bytes.
+
+        Both halves of the powers are added up without a reduction, which 2**23 bytes allow.
+        """
+        value = data.astype(np.uint64) + np.uint64(1)
+        high = _reduce(np.cumsum(value * (self.powers >> np.uint64(31))[local]))
+        low = np.cumsum(value * (self.powers & _LOW31)[local])
         sums = _reduce((high >> np.uint64(30)) + ((high & _LOW30) << np.uint64(31)) + low)
         return np.concatenate((np.zeros(1, np.uint64), sums))
 
@@ -252,26 +254,30 @@ class Suffixes:
         return out
 
     def sort(self, back: bool) -> np.ndarray:
-        """Bottom-up mergesort, all pairs of runs of a level at once."""
+        """Bottom-up mergesort of each gram's contexts, all pairs of runs of a level at once."""
         n = len(self.place)
         order = np.argsort(self.gram, kind="stable")
+        if not n:
+            return order
+        edge = np.flatnonzero(np.concatenate(([True], self.gram[order][1:] != self.gram[order][:-1])))
+        sizes = np.diff(np.append(edge, n))
+        begin, size = np.repeat(edge, sizes), np.repeat(sizes, sizes)
+        at = np.arange(n) - begin
         width = 1
-        while width < n:
-            at = np.arange(n)
+        while width < sizes.max():
             run = at // width
-            sibling = run ^ 1
-            low = np.minimum(sibling * width, n)
+            low = np.minimum((run ^ 1) * width, size)
             first = low.copy()
-            high = np.minimum(low + width, n)
-            while (active := low < high).any():
-                k = np.flatnonzero(active)
+            high = np.minimum(low + width, size)
+            k = np.flatnonzero(low < high)
+            while len(k):
                 middle = (low[k] + high[k]) >> 1
-                lower = self.before(order[middle], order[k], back)
+                lower = self.before(order[begin[k] + middle], order[k], back)
                 low[k[lower]] = middle[lower] + 1
                 high[k[~lower]] = middle[~lower]
-            target = (run & ~1) * width + (at - run * width) + (low - first)
+                k = k[low[k] < high[k]]
             merged = np.empty_like(order)
-            merged[target] = order
+            merged[begin + (run & ~1) * width + (at - run * width) + (low - first)] = order
             order, width = merged, width * 2
         return order
 
@@ -483,15 +489,15 @@ def repeated_spans(rows: DataFrame, small: DataFrame) -> DataFrame:
     context, doc = ["c1", "c2"], ["k1", "k2"]
     # written, so that a gram with very many anchors is split by the join
     again = cut(_gram_counts(rows).groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram"))
-    every = cut(_anchor_rows(rows).join(again, "gram", "left_semi"))
+    every = stored(_anchor_rows(rows).join(again, "gram", "left_semi"))
     counted = every.groupBy(*context).agg(F.count(F.lit(1)).alias("n"), F.first("gram").alias("gram"), F.min(F.struct(*doc, "at")).alias("one"))
     kinds = counted.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    classes = cut(counted.join(kinds, "gram", "left").select("gram", *context, "n", "kinds", "one.*").where("n > 1 or kinds > 1"))
+    classes = stored(counted.join(kinds, "gram", "left").select("gram", *context, "n", "kinds", "one.*").where("n > 1 or kinds > 1"))
     several = classes.where("kinds > 1")
     what = F.when(F.col("n") == 1, 1).otherwise(0) + F.when(F.col("kinds") > CROWD, 2).otherwise(0)
     fields = F.struct("gram", *context, "at", what.cast("byte").alias("what"))
     wanted = several.groupBy(*doc).agg(F.collect_list(fields).alias("w")).select(*doc, *(F.col(f"w.{c}") for c in _WANTED))
-    held = cut(small.join(wanted, doc).dropDuplicates(doc).select("z", *_WANTED))
+    held = stored(small.join(wanted, doc).dropDuplicates(doc).select("z", *_WANTED))
     partly = _partly_repeated(_contexts(held, False))
     for more in _crowds(_contexts(held, True)):
         partly = partly.unionByName(more)
