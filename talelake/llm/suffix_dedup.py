@@ -54,7 +54,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talelake.llm import textblocks as tb
-from talelake.llm.common import cut, stored, table
+from talelake.llm.common import stored, table
 
 #: Bytes of a repeated string, of an anchor's gram, and of a piece that is hashed at once.
 LENGTH, GRAM, PIECE = 400, 64, 1 << 17
@@ -471,16 +471,16 @@ def _crowds(parts: DataFrame) -> list[DataFrame]:
     rounds end; no group is ever gathered unless it is small.
     """
     found, key = [], ["key", "th"]
-    parts = cut(parts)
+    parts = stored(parts)
     while parts.limit(1).count():
         firsts = [F.first(c).alias(c) for c in ("left", "right", "low", "high", "bytes", "gram", "c2")]
-        each = cut(parts.groupBy(*key).agg(F.sum("weight").alias("n"), F.min("c1").alias("c1"), *firsts))
+        each = stored(parts.groupBy(*key).agg(F.sum("weight").alias("n"), F.min("c1").alias("c1"), *firsts))
         again = each.where(f"n > 1 and left + right >= {LENGTH}").select(*key)
         found.append(parts.where("c1 is not null").join(again, key).select("gram", "c1", "c2", F.col("left").cast("long"), F.col("right").cast("long")))
         kinds = each.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"))
-        counted = cut(each.join(kinds.where("kinds > 1"), "key").withColumn("c1", F.when(F.col("n") == 1, F.col("c1"))).withColumn("weight", F.least("n", F.lit(2))))
+        counted = stored(each.join(kinds.where("kinds > 1"), "key").withColumn("c1", F.when(F.col("n") == 1, F.col("c1"))).withColumn("weight", F.least("n", F.lit(2))))
         found.append(_partly_repeated(counted.where(f"kinds <= {CROWD}")))
-        parts = cut(_split(counted.where(f"kinds > {CROWD}")))
+        parts = stored(_split(counted.where(f"kinds > {CROWD}")))
     return found
 
 
@@ -488,7 +488,7 @@ def repeated_spans(rows: DataFrame, small: DataFrame) -> DataFrame:
     """k1, k2, spans (array of struct<a, b>, may overlap) of the rows (k1, k2, text) that have any. small: the rows, ``packed``."""
     context, doc = ["c1", "c2"], ["k1", "k2"]
     # written, so that a gram with very many anchors is split by the join
-    again = cut(_gram_counts(rows).groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram"))
+    again = stored(_gram_counts(rows).groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram"))
     every = stored(_anchor_rows(rows).join(again, "gram", "left_semi"))
     counted = every.groupBy(*context).agg(F.count(F.lit(1)).alias("n"), F.first("gram").alias("gram"), F.min(F.struct(*doc, "at")).alias("one"))
     kinds = counted.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
@@ -501,7 +501,7 @@ def repeated_spans(rows: DataFrame, small: DataFrame) -> DataFrame:
     partly = _partly_repeated(_contexts(held, False))
     for more in _crowds(_contexts(held, True)):
         partly = partly.unionByName(more)
-    partly = cut(partly.drop("gram"))
+    partly = stored(partly.drop("gram"))
     place, left, right = F.floor(F.col("at") / _PLACE), F.floor(F.col("at") % _PLACE / _SIDE), F.col("at") % _PLACE % _SIDE
     single = several.where("n = 1").select(*context, *doc, place.alias("place")).join(partly, context)
     single = single.select(*doc, (F.col("place") - F.col("left")).alias("a"), (F.col("place") + F.col("right")).alias("b"))
