@@ -37,12 +37,12 @@ from pyspark.sql import functions as F
 
 from talelake.llm.common import table
 
-#: A word: digits, a-z and all that is not ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words; digits, a-z and all that is not ASCII make words.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Part of a template's words that a block must hold.
 LEAST = 0.8
 #: Words of all templates together; so large is the table that is broadcast.
-MOST_WORDS = 65_536
+MOST_WORDS = 8192
 #: Words of a text that one row holds.
 PART = 1024
 
@@ -89,13 +89,12 @@ def words(text: Column) -> Column:
     plain = F.octet_length(text) == F.char_length(text)
     # lower() has a fast way for ASCII; in other texts it would change more than A-Z
     lower = F.when(plain, F.lower(text)).otherwise(F.translate(text, ascii_uppercase, ascii_lowercase))
-    return F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(lower, BETWEEN), "")  # empty: before the first and after the last
 
 
 def occurrences(docs: DataFrame, vocabulary: list[str], text_col: str = "text") -> dict[str, int]:
     """How often each word of the vocabulary stands in all documents (0: nowhere)."""
-    known = docs.sparkSession.createDataFrame([(w,) for w in vocabulary], "word string")
-    found = docs.select(F.explode(words(F.col(text_col))).alias("word")).join(F.broadcast(known), "word").groupBy("word").count()
+    found = docs.select(F.explode(words(F.col(text_col))).alias("word")).where(F.col("word").isin(vocabulary)).groupBy("word").count()
     return dict.fromkeys(vocabulary, 0) | {r["word"]: r["count"] for r in found.collect()}  # as many rows as the vocabulary has words
 
 
@@ -127,7 +126,10 @@ def find_blocks(docs: DataFrame, templates: list[Template], least: float = LEAST
     # parts of a text with all blocks that begin in them, so that no row that follows holds a long text
     part = lambda c: F.struct(c.alias("low"), F.slice("words", c + 1, PART + 2 * longest).alias("words"))
     parts = F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(PART)), part)
-    split = split.select("doc", "digest", F.size("words").cast("long").alias("n_words"), F.explode(parts).alias("part")).select("doc", "digest", "n_words", "part.*")
+    rare = sorted({p[0] for p in prefixes[1:]})
+    few = F.when(F.arrays_overlap("words", F.lit(rare)), F.col("words")).otherwise(F.array().cast("array<string>"))  # most texts have none of these words
+    split = split.select("doc", "digest", F.size("words").cast("long").alias("n_words"), few.alias("words"))
+    split = split.select("doc", "digest", "n_words", F.explode(parts).alias("part")).select("doc", "digest", "n_words", "part.*")
     # no word is empty, so an empty one in the first part stands for the document
     marked = F.when(F.col("low") == 0, F.array_append("words", F.lit(""))).otherwise(F.col("words"))
     placed = split.select("*", F.posexplode(marked).alias("at", "word")).withColumn("at", F.col("at") + F.col("low"))
@@ -184,6 +186,10 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+#: A word in SQL.
+WORD = BETWEEN.replace("[", "[^")
+
+
 def _listed(templates: list[Template]) -> str:
     return ",\n  ".join(f"({k}, '{t.label}', {str(t.ordered).lower()}, string_split('{t.text}', ' '))" for k, t in enumerate(templates))
 
