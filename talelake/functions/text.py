@@ -37,10 +37,17 @@ def norm(text: str | None) -> str | None:
     return unicodedata.normalize("NFD", text).translate(_MARKS).lower().strip(_STRIP)
 
 
-@F.pandas_udf(T.StringType())
-def normalise(texts: pd.Series) -> pd.Series:
-    """``norm`` of a column; Python is needed for canonical decomposition."""
-    return texts.map(norm, na_action="ignore")
+def normalise(text: Column | str) -> Column:
+    """``norm`` of a column, in the JVM: ASCII texts are only lower-cased, others decomposed by ICU, which Spark has on board.
+
+    Spark takes a call by reflection for one whose result may change, so it is not
+    moved below joins; use it where its column is made.
+    """
+    value = F.col(text) if isinstance(text, str) else text
+    decomposed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), value, F.lit(False))
+    bare = F.regexp_replace(decomposed, r"[\u0300-\u036F]+", "")
+    plain = F.octet_length(value) == F.char_length(value)
+    return F.btrim(F.lower(F.when(plain, value).when(value.isNotNull(), bare)), F.lit(_STRIP))
 
 
 def trim(text: Column) -> Column:

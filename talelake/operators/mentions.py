@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talelake.functions.text import html_paragraphs, is_dialogue, mentions, normalise
@@ -11,33 +11,72 @@ from talelake.plans.lineage import cut
 
 #: Names, and bytes of them, up to which they are broadcast; more are joined by key.
 NAMES, NAME_BYTES = 1 << 17, 1 << 24
+#: Two neighbouring words of [a-z0-9] with what stands between them, at each word.
+_PAIR = r"(?<![a-z0-9])(?=([a-z0-9]+[^a-z0-9]+[a-z0-9]+))"
+
+
+def _grams(text: Column | str, n: int) -> Column:
+    """All stretches of n characters without a-z, 0-9."""
+    return F.regexp_extract_all(text, F.lit(f"(?=([^a-z0-9]{{{n}}}))"), F.lit(1))
+
+
+def _rarest_grams(words: DataFrame, signs: DataFrame) -> DataFrame:
+    """Names without a word, each with the one of its stretches of three characters (two, if it has no more) that the fewest texts have.
+
+    A name with a stretch that no text has is left out: it stands nowhere.
+    """
+    parts = signs.withColumn("key", F.explode(F.array_distinct(F.when(F.length("name") > 2, _grams("name", 3)).otherwise(F.array("name")))))
+    wanted = parts.select("key").distinct()
+    held = words.select(F.explode(F.array_distinct(F.concat(_grams("text", 3), _grams("text", 2)))).alias("key")).join(wanted, "key", "left_semi").groupBy("key").count()
+    counted = parts.join(held, "key", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    best = counted.groupBy("entity_id", "name").agg(F.min_by("key", F.struct("count", "key")).alias("key"), F.min("count").alias("count"))
+    return best.where("count > 0").select("entity_id", "name", "key", F.lit(False).alias("whole"))
+
+
+def candidates(texts: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """Normalised texts (text_id, text, keys), names by key (entity_id, name, key, whole), and whether these are few enough to be broadcast.
+
+    A name's key is its first two words of [a-z0-9] with what stands between them, its
+    only word, or, without any, a stretch of three characters that few texts have; a
+    text that holds the name has the key. ``whole``: having the key is enough.
+    """
+    known = names.select("entity_id", normalise("name").alias("name")).where(F.length("name") >= 2)
+    pair, word = F.regexp_extract("name", _PAIR, 1), F.regexp_extract("name", "[a-z0-9]+", 0)
+    known = cut(known.select("entity_id", "name", F.when(pair != "", pair).otherwise(word).alias("key")).withColumn("whole", F.col("name") == F.col("key")))
+    size = F.coalesce(F.sum(F.octet_length("name")), F.lit(0))
+    n, size, pairs, signs = known.agg(F.count(F.lit(1)), size, F.count_if(F.rlike("key", F.lit("[^a-z0-9]"))), F.count_if(F.col("key") == "")).first()
+    few = n <= NAMES and size <= NAME_BYTES
+    words = texts.select("text_id", normalise("text").alias("text"))
+    if signs or not few:  # read twice
+        words = cut(words)
+    parts = [F.split("text", "[^a-z0-9]+")]
+    if pairs:
+        parts.append(F.regexp_extract_all("text", F.lit(_PAIR), F.lit(1)))
+    if signs:
+        known = cut(known.where("key <> ''").unionByName(_rarest_grams(words, known.where("key = ''").select("entity_id", "name"))))
+        parts += [_grams("text", 3), _grams("text", 2)]
+    return words.withColumn("keys", F.array_distinct(F.concat(*parts))), known.where("key <> ''"), few
 
 
 def find_mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
     """text_id, entity_id for each name that stands in a text as a whole word.
 
     texts: text_id, text; names: entity_id, name. A match begins and ends at
-    boundaries, so the name's first word of [a-z0-9] is a whole word of the text:
-    both sides are joined on it, and each text is then compared once with the longer
-    names that it may hold. Names without such a word are joined on their first
-    character. Texts are normalised once and written. A list of names that is
-    measured to be small is broadcast, so that no word of a text is shuffled.
+    boundaries of [a-z0-9], so a text that holds a name has the name's key (see
+    ``candidates``): both sides are joined on keys, and only names that are more than
+    their key are looked for in the text. A list of names that is measured to be small
+    is broadcast, and a text is then read in one pass and never shuffled; of a larger
+    one, keys are joined first, and texts with what they may hold after that.
     """
-    known = names.select("entity_id", normalise("name").alias("name")).where(F.length("name") >= 2)
-    known = known.withColumn("word", F.regexp_extract("name", "[a-z0-9]+", 0))
-    known = cut(known.withColumn("key", F.when(F.col("word") != "", F.col("word")).otherwise(F.substring("name", 1, 1))))
-    n, size, signs_wanted = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("name")), F.lit(0)), F.count_if(F.col("word") == "")).first()
-    listed = F.broadcast(known) if n <= NAMES and size <= NAME_BYTES else known
-    words = cut(texts.select("text_id", normalise("text").alias("text")))
-    # only ids and words go through the join; a name that is one word needs no more
-    found = words.select("text_id", F.explode(F.array_distinct(F.split("text", "[^a-z0-9]+"))).alias("key")).where("key <> ''").join(listed.where("word <> ''"), "key")
-    if signs_wanted:
-        signs = words.where(F.rlike("text", F.lit("[^a-z0-9\\s]"))).select("text_id", F.explode(F.array_distinct(F.split(F.regexp_replace("text", "[a-z0-9]+", ""), ""))).alias("key"))
-        found = found.unionByName(signs.join(listed.where("word = ''"), "key"))
-    exact = found.where("name = word").select("text_id", "entity_id")
-    longer = found.where("name <> word").groupBy("text_id").agg(F.collect_set(F.struct("entity_id", "name")).alias("names"))
-    checked = words.join(longer, "text_id").select("text_id", F.filter("names", lambda n: mentions(F.col("text"), n["name"])).alias("names"))
-    return exact.unionByName(checked.select("text_id", F.explode("names").alias("n")).select("text_id", "n.entity_id")).distinct()
+    words, known, few = candidates(texts, names)
+    # a plain search first: patterns are compiled only for names that are there
+    holds = F.contains("text", F.col("name")) & mentions(F.col("text"), F.col("name"))
+    if few:
+        keyed = words.select("text_id", "text", F.explode("keys").alias("key"))
+        return keyed.join(F.broadcast(known), "key").where(F.col("whole") | holds).select("text_id", "entity_id").distinct()
+    found = words.select("text_id", F.explode("keys").alias("key")).join(known, "key")
+    longer = found.where("not whole").select("text_id", "entity_id", "name").join(words.select("text_id", "text"), "text_id").where(holds)
+    return found.where("whole").select("text_id", "entity_id").unionByName(longer.select("text_id", "entity_id")).distinct()
 
 
 def mention_index(chapters: DataFrame, entities: DataFrame) -> DataFrame:

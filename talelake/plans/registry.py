@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -168,6 +169,23 @@ def q05_mention_index(spark, sf_dir):
     return mentions.find_mentions(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text"), _names(spark, sf_dir))
 
 
+#: Letters of another script, to which a-z and A-Z are turned.
+_LETTERS, _OTHER = string.ascii_letters, "".join(chr(0x430 + k) for k in range(26)) + "".join(chr(0x410 + k) for k in range(26))
+_OTHER_NAMES = f"""n AS (SELECT name, trim(lower(strip_accents(name))) AS k FROM (
+  SELECT DISTINCT translate(concat(a, ' ', b), '{_LETTERS}', '{_OTHER}') AS name FROM (SELECT unnest(ws[1:-2]) AS a, unnest(ws[2:]) AS b FROM (SELECT string_split(text, ' ') AS ws FROM benchmark))))"""
+
+
+@query(f"""WITH {_OTHER_NAMES}, t AS (SELECT doc_id AS text_id, trim(lower(strip_accents(translate(text, '{_LETTERS}', '{_OTHER}')))) AS t FROM documents)
+SELECT DISTINCT text_id, name AS entity_id FROM t JOIN n ON contains(t.t, n.k) AND regexp_matches(t.t, concat('(?:^|[^a-z0-9])', regexp_escape(n.k), '(?:$|[^a-z0-9])'))""")
+def q05_other_scripts(spark, sf_dir):
+    """Names of two words, and texts, in Cyrillic letters."""
+    texts = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), F.translate("text", _LETTERS, _OTHER).alias("text"))
+    words = _table(spark, sf_dir, "benchmark").select(F.split("text", " ").alias("ws"))
+    pairs = words.select(F.explode(F.arrays_zip(F.slice("ws", F.lit(1), F.size("ws") - 1).alias("a"), F.slice("ws", F.lit(2), F.size("ws") - 1).alias("b"))).alias("p"))
+    names = pairs.select(F.translate(F.concat_ws(" ", "p.a", "p.b"), _LETTERS, _OTHER).alias("name")).distinct()
+    return mentions.find_mentions(texts, names.select(F.col("name").alias("entity_id"), "name"))
+
+
 @query()
 def q05_html_mention_index(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("content"))
