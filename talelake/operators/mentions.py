@@ -11,8 +11,12 @@ from talelake.plans.lineage import cut
 
 #: Names, and bytes of them, up to which they are broadcast; more are joined by key.
 NAMES, NAME_BYTES = 1 << 17, 1 << 24
-#: Two neighbouring words of [a-z0-9] with what stands between them, at each word.
+#: At each word of [a-z0-9]: it and the next one with what stands between them; it, or both, with one sign that ends at a boundary.
 _PAIR = r"(?<![a-z0-9])(?=([a-z0-9]+[^a-z0-9]+[a-z0-9]+))"
+_SIGNED = r"(?<![a-z0-9])(?=([a-z0-9]+[^a-z0-9])(?:[^a-z0-9]|\z))"
+_SIGNED_PAIR = r"(?<![a-z0-9])(?=([a-z0-9]+[^a-z0-9]+[a-z0-9]+[^a-z0-9])(?:[^a-z0-9]|\z))"
+#: Kinds of keys that a text has beside its words: (pattern of a whole name of the kind, the text's keys).
+_KINDS = [(None, _PAIR), (r"^[a-z0-9]+[^a-z0-9]\z", _SIGNED), (r"^[a-z0-9]+[^a-z0-9]+[a-z0-9]+[^a-z0-9]\z", _SIGNED_PAIR)]
 
 
 def _grams(text: Column | str, n: int) -> Column:
@@ -36,22 +40,23 @@ def _rarest_grams(words: DataFrame, signs: DataFrame) -> DataFrame:
 def candidates(texts: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
     """Normalised texts (text_id, text, keys), names by key (entity_id, name, key, whole), and whether these are few enough to be broadcast.
 
-    A name's key is its first two words of [a-z0-9] with what stands between them, its
-    only word, or, without any, a stretch of three characters that few texts have; a
+    A name's key is the name itself if it is a word or two of [a-z0-9], with one sign
+    after them or without; else its first two words with what stands between them, its
+    only word, or, without any, a stretch of three characters that few texts have. A
     text that holds the name has the key. ``whole``: having the key is enough.
     """
     known = names.select("entity_id", normalise("name").alias("name")).where(F.length("name") >= 2)
     pair, word = F.regexp_extract("name", _PAIR, 1), F.regexp_extract("name", "[a-z0-9]+", 0)
-    known = cut(known.select("entity_id", "name", F.when(pair != "", pair).otherwise(word).alias("key")).withColumn("whole", F.col("name") == F.col("key")))
+    signed = F.rlike("name", F.lit(_KINDS[1][0])) | F.rlike("name", F.lit(_KINDS[2][0]))
+    known = cut(known.select("entity_id", "name", F.when(signed, F.col("name")).when(pair != "", pair).otherwise(word).alias("key")).withColumn("whole", F.col("name") == F.col("key")))
     size = F.coalesce(F.sum(F.octet_length("name")), F.lit(0))
-    n, size, pairs, signs = known.agg(F.count(F.lit(1)), size, F.count_if(F.rlike("key", F.lit("[^a-z0-9]"))), F.count_if(F.col("key") == "")).first()
+    kinds = [F.count_if(F.rlike("key", F.lit("[a-z0-9][^a-z0-9]+[a-z0-9]+$"))), *(F.count_if(F.rlike("key", F.lit(kind))) for kind, _ in _KINDS[1:])]
+    n, size, signs, *wanted = known.agg(F.count(F.lit(1)), size, F.count_if(F.col("key") == ""), *kinds).first()
     few = n <= NAMES and size <= NAME_BYTES
     words = texts.select("text_id", normalise("text").alias("text"))
     if signs or not few:  # read twice
         words = cut(words)
-    parts = [F.split("text", "[^a-z0-9]+")]
-    if pairs:
-        parts.append(F.regexp_extract_all("text", F.lit(_PAIR), F.lit(1)))
+    parts = [F.split("text", "[^a-z0-9]+"), *(F.regexp_extract_all("text", F.lit(keys), F.lit(1)) for count, (_, keys) in zip(wanted, _KINDS, strict=True) if count)]
     if signs:
         known = cut(known.where("key <> ''").unionByName(_rarest_grams(words, known.where("key = ''").select("entity_id", "name"))))
         parts += [_grams("text", 3), _grams("text", 2)]
@@ -71,10 +76,11 @@ def find_mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
     words, known, few = candidates(texts, names)
     # a plain search first: patterns are compiled only for names that are there
     holds = F.contains("text", F.col("name")) & mentions(F.col("text"), F.col("name"))
+    # outer: Spark would otherwise make the keys twice, first to see whether there are any
     if few:
-        keyed = words.select("text_id", "text", F.explode("keys").alias("key"))
+        keyed = words.select("text_id", "text", F.explode_outer("keys").alias("key"))
         return keyed.join(F.broadcast(known), "key").where(F.col("whole") | holds).select("text_id", "entity_id").distinct()
-    found = words.select("text_id", F.explode("keys").alias("key")).join(known, "key")
+    found = words.select("text_id", F.explode_outer("keys").alias("key")).join(known, "key")
     longer = found.where("not whole").select("text_id", "entity_id", "name").join(words.select("text_id", "text"), "text_id").where(holds)
     return found.where("whole").select("text_id", "entity_id").unionByName(longer.select("text_id", "entity_id")).distinct()
 
