@@ -94,7 +94,8 @@ def words(text: Column) -> Column:
 
 def occurrences(docs: DataFrame, vocabulary: list[str], text_col: str = "text") -> dict[str, int]:
     """How often each word of the vocabulary stands in all documents (0: nowhere)."""
-    found = docs.select(F.explode(words(F.col(text_col))).alias("word")).where(F.col("word").isin(vocabulary)).groupBy("word").count()
+    # outer: Spark would otherwise split each text twice, first to see whether it has words
+    found = docs.select(F.explode_outer(words(F.col(text_col))).alias("word")).where(F.col("word").isin(vocabulary)).groupBy("word").count()
     return dict.fromkeys(vocabulary, 0) | {r["word"]: r["count"] for r in found.collect()}  # as many rows as the vocabulary has words
 
 
@@ -129,15 +130,15 @@ def find_blocks(docs: DataFrame, templates: list[Template], least: float = LEAST
     rare = sorted({p[0] for p in prefixes[1:]})
     few = F.when(F.arrays_overlap("words", F.lit(rare)), F.col("words")).otherwise(F.array().cast("array<string>"))  # most texts have none of these words
     split = split.select("doc", "digest", F.size("words").cast("long").alias("n_words"), few.alias("words"))
-    split = split.select("doc", "digest", "n_words", F.explode(parts).alias("part")).select("doc", "digest", "n_words", "part.*")
+    split = split.select("doc", "digest", "n_words", F.explode_outer(parts).alias("part")).select("doc", "digest", "n_words", "part.*")
     # no word is empty, so an empty one in the first part stands for the document
     marked = F.when(F.col("low") == 0, F.array_append("words", F.lit(""))).otherwise(F.col("words"))
-    placed = split.select("*", F.posexplode(marked).alias("at", "word")).withColumn("at", F.col("at") + F.col("low"))
+    placed = split.select("*", F.posexplode_outer(marked).alias("at", "word")).withColumn("at", F.col("at") + F.col("low"))
     found = placed.join(F.broadcast(listed), "word")
     step, block = F.size("phrase"), F.col("block")
     k = F.floor(F.col("at") / step).cast("int")
     blocks = F.when(F.col("template").isNull(), F.array(F.lit(0))).when(k > 0, F.array(k, k - 1)).otherwise(F.array(k))
-    cut = found.withColumn("k", F.explode(blocks)).withColumn("start", F.col("k") * step)
+    cut = found.withColumn("k", F.explode_outer(blocks)).withColumn("start", F.col("k") * step)
     cut = cut.where(F.col("template").isNull() | ((F.col("start") >= F.col("low")) & (F.col("start") < F.col("low") + PART)))
     cut = cut.withColumn("block", F.when(F.col("template").isNotNull(), F.slice("words", F.col("start") - F.col("low") + 1, 2 * step)))
     known = F.array_intersect(F.lit(order), block)  # the block's words that matter, in the global order
