@@ -1,7 +1,8 @@
 """Secrets in texts: candidates by pattern, false positives removed by a random forest.
 
 Candidates are long runs of token characters with a digit, values of
-assignments with a telling name before them, and whole private-key blocks. The forest judges each by its length,
+assignments with a telling name before them, and private-key blocks, closed or cut
+off. What stands inside a block that is no key is judged, too. The forest judges each by its length,
 the transitions between its characters, how much of it dictionary words cover,
 the path that the text came from and the words around it. It is grown in numpy
 from labelled findings: ``labelled_findings`` writes them by rule from the kinds
@@ -23,9 +24,9 @@ import math
 import random
 import re
 import string
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,12 @@ _RUN = re.compile(r"[A-Za-z0-9_+/\-]{16,}(?:\.[A-Za-z0-9_+/\-]{8,}){0,2}={0,2}")
 _VALUE = re.compile(r"[=:][ \t]{0,3}[\"'`]?([^\s\"'`,;<>()\[\]{}|]{6,})")
 #: A sign that a value follows; values may hold further signs.
 _SIGN = re.compile(r"[=:](?=[ \t]{0,3}[\"'`]?[^\s\"'`,;<>()\[\]{}|]{6})")
-_KEY = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----.*?(?:-----END \1-----|\Z)", re.S)
+#: A key block: up to its END line, if that comes before another BEGIN, or else as far as its lines are base64.
+_KEY = re.compile(
+    r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----(?:(?:(?!-----BEGIN ).)*?-----END \1-----"
+    r"|(?:(?:\s|\\[nr]){1,8}(?:Proc-Type|DEK-Info): [^\n\\]*)*(?:(?:(?:\s|\\[nr]){1,8}[A-Za-z0-9+/]{16,}={0,2}(?![A-Za-z0-9+/]))+(?:(?:\s|\\[nr]){1,8}[A-Za-z0-9+/]+(?:={1,2}|(?=[ \t]*(?:\\[nr]|[\r\n]|\Z))))?)?)",
+    re.S,
+)
 _DIGIT = re.compile(r"\d")
 #: What an assignment's value may be called.
 _NAME = re.compile(r"(?i)(?:pass|pwd|secret|token|key|auth|cred|bearer|sign|salt|session)")
@@ -93,9 +99,14 @@ class Finding:
     after: str
 
 
+def _finding(text: str, a: int, b: int, kind: str) -> Finding:
+    return Finding(a, b, kind, text[a:b], text[max(0, a - AROUND) : a], text[b : b + AROUND])
+
+
 def candidates(text: str) -> list[Finding]:
-    """Possible secrets, in order, none inside another."""
-    spans: list[tuple[int, int, str]] = [(*m.span(), "private_key") for m in _KEY.finditer(text)] if "-----BEGIN " in text else []
+    """Possible secrets, in order. None lies inside another, but for those inside key blocks, which count where the block is no key."""
+    blocks = [_finding(text, *m.span(), "private_key") for m in _KEY.finditer(text)] if "-----BEGIN " in text else []
+    spans: list[tuple[int, int, str]] = []
     for m in _RUN.finditer(text):
         if _DIGIT.search(text, *m.span()):
             spans.append((*m.span(), "token"))
@@ -112,13 +123,31 @@ def candidates(text: str) -> list[Finding]:
     found, end = [], -1
     for a, b, kind in sorted(spans, key=lambda s: (s[0], -s[1])):
         if a >= end:
-            found.append(Finding(a, b, kind, text[a:b], text[max(0, a - AROUND) : a], text[b : b + AROUND]))
+            found.append(_finding(text, a, b, kind))
             end = b
         elif b > end:  # two patterns overlap: both are covered
             last = found.pop()
             found.append(Finding(last.start, b, last.kind, text[last.start : b], last.before, text[b : b + AROUND]))
             end = b
-    return found
+    return sorted(blocks + found, key=lambda f: (f.start, -f.end)) if blocks else found
+
+
+def _outside_keys(found: list[tuple[Finding, float]]) -> list[tuple[Finding, float]]:
+    """What is left beside the blocks that are keys: candidates in them go, and one that runs into a block ends there."""
+    keys = [f for f, s in found if f.kind == "private_key" and s >= LEAST]
+    if not keys:
+        return found
+    starts, left = [k.start for k in keys], []
+    for f, s in found:
+        if f in keys:
+            left.append((f, s))
+            continue
+        k = bisect_right(starts, f.start) - 1
+        if k >= 0 and f.start < keys[k].end:
+            continue
+        end = min(f.end, starts[k + 1]) if k + 1 < len(starts) else f.end
+        left.append((f if end == f.end else replace(f, end=end, value=f.value[: end - f.start]), s))
+    return left
 
 
 def _coverage(value: str) -> float:
@@ -167,6 +196,7 @@ def features(finding: Finding, path: str) -> list[float]:
         len(set(value)) / n, value.count("/") / n, value.count("-") / n, value.count(".") / n, value.count("_") / n,
         has(name, _GOOD_NAMES), has(low, _BAD_NAMES), has(around, _BAD_NAMES), has(name, _HASH_NAMES), float("://" in around or "www." in around),
         float(finding.before.rstrip()[-1:] in ("=", ":") or finding.before[-1:] in "\"'`" and bool(finding.before)),
+        math.log2(1 + n / max(1, len(re.findall(r"(?:[^\s\\]|\\[^nr])+", value)))),  # its pieces: lines of a key, or words
         has(where, _CODE_PATHS), has(where, _TEST_PATHS), float(finding.kind == "private_key"), float(finding.kind == "assignment"),
     ]
 
@@ -191,7 +221,8 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, str,
 
     def key_block(body: str) -> str:
         kind = r.choice(["", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED "]) + "PRIVATE KEY"
-        return f"-----BEGIN {kind}-----{body}-----END {kind}-----"
+        # some are cut off
+        return f"-----BEGIN {kind}-----{body}" + (f"-----END {kind}-----" if r.random() < 0.75 else "\n")
 
     def private_key() -> str:
         body = base64.b64encode(r.randbytes(r.choice([12, 15, 24, 32, 48, 120, 300, 600, 1200]))).decode()
@@ -201,7 +232,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, str,
     def no_key() -> str:
         """A block that only shows what a key looks like."""
         inside = r.choice([
-            lambda: "\n...\n", lambda: "", lambda: "\n" + "x" * r.randrange(8, 80) + "\n", lambda: " your key here ", lambda: "\n<" + " ".join(r.sample(words, 3)) + ">\n",
+            lambda: "\n...\n", lambda: "", lambda: " " + prose(r.randrange(1, 20)) + "\n", lambda: "\n" + "x" * r.randrange(8, 80) + "\n", lambda: " your key here ", lambda: "\n<" + " ".join(r.sample(words, 3)) + ">\n",
             lambda: "\n" + " ".join(r.sample(words, r.randrange(5, 30))) + "\n", lambda: "\nEXAMPLE" + "A" * r.randrange(10, 60) + "\n", lambda: "\n[REDACTED]\n",
         ])()
         return key_block(inside)
@@ -227,7 +258,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, str,
     out: list[tuple[str, str, int]] = []
     while len(out) < n:
         label = len(out) % 2
-        if r.random() < 0.08:  # whole key blocks, and such that hold none
+        if r.random() < 0.16:  # key blocks, whole or cut off, and such that hold none
             path = r.choice(secret_paths if r.random() < 0.6 else harmless_paths)
             out.append((f"{prose(4)}\n{private_key() if label else no_key()}\n{prose(4)}", path, label))
             continue
@@ -243,6 +274,25 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, str,
     return out
 
 
+def prose_in_blocks(n: int = 200, seed: int = 12) -> list[tuple[str, str, int]]:
+    """Blocks that hold prose with a secret in it: the block is no key. Labelled like ``labelled_findings``."""
+    r = random.Random(seed)
+    words, letters = sorted(_DICTIONARY), string.ascii_letters + string.digits
+
+    def word() -> str:
+        """Of the dictionary or not, some with a capital or a sign."""
+        found = r.choice(words) if r.random() < 0.4 else "".join(r.choices(string.ascii_lowercase, k=r.randrange(1, 9)))
+        return r.choice([found, found, found, found.capitalize(), found + r.choice(",.")])
+
+    out = []
+    for _ in range(n):
+        before, after = (" ".join(word() for _ in range(r.randrange(3, 16))) for _ in range(2))
+        secret = "".join(r.choices(letters, k=r.randrange(10, 44)))
+        end = r.choice(["-----END PRIVATE KEY-----", "\n-----END PRIVATE KEY-----"])
+        out.append((f"-----BEGIN PRIVATE KEY----- {before}. {r.choice(['token', 'api_key', 'password'])} = {secret} {after} {end}", r.choice(["web", "src/client.py", ""]), 0))
+    return out
+
+
 @dataclass
 class Forest:
     """Trees as arrays: feature (-1 at a leaf), threshold, children, and the leaf's score."""
@@ -289,7 +339,8 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES, seed: int = 5) -> For
                 gain = np.where(edge, len(own) * rate * (1 - rate) - gini, -1)
                 i = int(gain.argmax())
                 if gain[i] > best[0]:
-                    best = (gain[i], f, (v[i] + v[i + 1]) / 2)
+                    middle = (v[i] + v[i + 1]) / 2
+                    best = (gain[i], f, middle if middle < v[i + 1] else v[i])  # the sum may round up
             if best[1] < 0:
                 continue
             feature[node], threshold[node], child[node] = int(best[1]), float(best[2]), len(feature)
@@ -307,7 +358,7 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES, seed: int = 5) -> For
 def train(findings: list[tuple[str, str, int]] | None = None) -> Forest:
     """The forest of labelled findings (text, path, label): each text's first candidate."""
     x, y = [], []
-    for text, path, label in findings if findings is not None else labelled_findings():
+    for text, path, label in findings if findings is not None else labelled_findings() + prose_in_blocks():
         if found := candidates(text):
             x.append(features(found[0], path))
             y.append(label)
@@ -315,11 +366,11 @@ def train(findings: list[tuple[str, str, int]] | None = None) -> Forest:
 
 
 def judge(forest: Forest, texts: list[str | None], paths: list[str | None]) -> list[list[tuple[Finding, float]]]:
-    """Candidates of each text with their scores."""
+    """Candidates of each text with their scores; those inside a block that is a key are part of it."""
     found = [candidates(t) if t else [] for t in texts]
     x = [features(f, p or "") for fs, p in zip(found, paths, strict=True) for f in fs]
     scores = iter(forest.score(np.array(x, float)).tolist() if x else ())
-    return [[(f, next(scores)) for f in fs] for fs in found]
+    return [_outside_keys([(f, next(scores)) for f in fs]) for fs in found]
 
 
 def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
