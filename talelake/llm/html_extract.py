@@ -9,7 +9,12 @@ threshold before and after smoothing, and then all of its lines are taken, so th
 Inside it, a part (a division, list or table) without such a line is left out if most of its text is links.
 Elements that are never article text (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments) are left out with all
-they hold. If the page marks an article, only articles are regions. An article
+they hold; outside an article, names of classes and ids tell them, too. Inside one such
+names only raise a doubt, as sections and paragraphs of an article have names like them:
+a doubtful part stays if one of its lines is content by its ratio, or if it is a
+paragraph or heading, unless most of its text is links; only names that say nothing but
+"comments", "advert" or "newsletter" decide alone. If the page marks an article, only
+articles are regions, and a later article named a comment is one. An article
 is not noise for standing in a form; in a menu, sidebar or footer it is read only
 if the page has no other text, and among reader comments never.
 
@@ -58,6 +63,15 @@ _MARKS = frozenset(
 #: Of these, the words of reader comments, and words beside them that tell of a page's settings.
 _COMMENTS = frozenset("comment comments commentlist disqus discussion replies reply respond".split())
 _SETTINGS = frozenset("no has with without open closed enabled disabled allow count".split())
+#: Names that decide inside an article, too, if they are a whole class or id, or its first part.
+_SURE = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo newsletter subscribe subscription signup login cookie cookies consent gdpr popup "
+    "comments commentlist disqus respond sidebar navbar breadcrumb breadcrumbs pagination pager sharing complementary contentinfo".split()
+)
+#: Names that articles give to parts of their own: no doubt inside one.
+_OWN = frozenset("header masthead notice notices discussion".split())
+#: Blocks that are a paragraph or a heading.
+_LINE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote figcaption pre dt dd".split())
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 #: Standard deviation of the smoothing, in lines, and its weights.
 SIGMA = 1.0
@@ -76,6 +90,22 @@ def _marked(attrs: list[tuple[str, str | None]]) -> bool:
     return False
 
 
+def _doubt(attrs: list[tuple[str, str | None]]) -> int:
+    """What names say of an element inside an article: 2 noise, 1 maybe, 0 nothing."""
+    found = 0
+    for name, value in attrs:
+        if value and name in ("class", "id", "role"):
+            for word in value.split():
+                parts = [p.lower() for p in _WORD.findall(word)]
+                if parts and (parts[0] in _SURE or word.lower() in _SURE) and not _SETTINGS.intersection(parts):
+                    return 2
+                if parts and any(p in _MARKS and p not in _OWN for p in (parts[0], parts[-1])):
+                    found = 1
+        elif name == "hidden" or name == "aria-hidden" and value == "true":
+            return 2
+    return found
+
+
 def _comments(attrs: list[tuple[str, str | None]]) -> bool:
     for name, value in attrs:
         if value and name in ("class", "id"):
@@ -96,6 +126,8 @@ class LineReader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.holders = ("template", "noscript") if lenient else ("nav", "footer", "aside", "template", "noscript")
         self.comments_at = self.link_at = -1  # depths of the outermost element of comments and of an open link
+        self.doubt_at, self.doubt = -1, 0  # depth and number of the outermost doubtful part
+        self.doubts: dict[int, bool] = {}  # number → whether it is a paragraph or heading
         self.parts: list[tuple[int, int]] = [(-1, 0)]  # (depth, number)
         self.n_parts = self.chars = self.linked = 0
         self.open: list[str] = []
@@ -104,14 +136,14 @@ class LineReader(HTMLParser):
         self.article_at = -1
         self.made = 0
         self.articles: set[int] = set()
-        self.lines: list[tuple[str, int, int, bool, int, int, int]] = []
+        self.lines: list[tuple[str, int, int, bool, int, int, int, int]] = []
         self.pieces: list[str] = []
         self.tags = 0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.pieces).split()) if self.pieces else ""
         if text:
-            self.lines.append((text, self.tags, self.regions[-1][1], self.noise_at >= 0, self.parts[-1][1], self.chars, self.linked))
+            self.lines.append((text, self.tags, self.regions[-1][1], self.noise_at >= 0, self.parts[-1][1], self.chars, self.linked, self.doubt if self.doubt_at >= 0 else 0))
             self.tags = 0
         self.chars = self.linked = 0
         self.pieces.clear()
@@ -124,6 +156,8 @@ class LineReader(HTMLParser):
             self.article_at = -1
         if self.comments_at >= depth:
             self.comments_at = -1
+        if self.doubt_at >= depth:
+            self.doubt_at = -1
         if self.link_at >= depth:
             self.link_at = -1
         for inside in (self.regions, self.parts):
@@ -153,15 +187,28 @@ class LineReader(HTMLParser):
             return
         if tag in _ARTICLE and self.noise_at >= 0 and self.comments_at < 0 and not any(t in self.holders for t in self.open[self.noise_at :]):
             self.noise_at = -1  # what held it was never closed, or is a form around the page
-        if self.comments_at < 0 and attrs and tag not in ("html", "body", "article", "main") and _comments(attrs):
+        whole = tag in ("html", "body", "main") or tag == "article" and not self.articles
+        inside = self.article_at >= 0 and tag != "article"
+        doubt = _doubt(attrs) if inside and attrs else 0
+        if self.comments_at < 0 and attrs and not whole and (doubt == 2 or not inside) and _comments(attrs):
             self.comments_at = len(self.open)
         if tag == "a" and self.link_at < 0:
             self.link_at = len(self.open)
         if tag in _PART:
             self.n_parts += 1
             self.parts.append((len(self.open), self.n_parts))
-        if self.noise_at < 0 and (tag in _NOISE or (tag not in ("html", "body", "article", "main") and attrs and _marked(attrs)) or (tag == "header" and self.article_at < 0)):
-            self.noise_at = len(self.open)
+        if self.noise_at < 0:
+            if inside:
+                noise = tag in _NOISE or doubt == 2
+            elif tag == "article":  # a later one may be a comment
+                noise = not whole and self.comments_at == len(self.open)
+            else:
+                noise = tag in _NOISE or tag == "header" or not whole and bool(attrs) and _marked(attrs)
+            if noise:
+                self.noise_at = len(self.open)
+            elif doubt and self.doubt_at < 0:
+                self.doubt_at, self.doubt = len(self.open), len(self.doubts) + 1
+                self.doubts[self.doubt] = tag in _LINE
         if tag in _REGION and self.article_at < 0 and self.noise_at < 0:
             self.made += 1
             self.regions.append((len(self.open), self.made))
@@ -250,9 +297,22 @@ def extract(html: str | None) -> str:
             chars[lines[i][4]] += lines[i][5]
             linked[lines[i][4]] += lines[i][6]
         own = [i for i in own if lines[i][4] in kept or 2 * linked[lines[i][4]] < chars[lines[i][4]]] or own
+        own = _sure(own, lines, reader.doubts, set(high)) or own
     return " ".join(lines[i][0] for i in own)
 
 
+def _sure(own: list[int], lines: list[tuple], doubts: dict[int, bool], high: set[int]) -> list[int]:
+    """The lines without those of doubtful parts that are not content."""
+    content, chars, linked = {d for d, line in doubts.items() if line}, Counter(), Counter()
+    for i in own:
+        d = lines[i][7]
+        chars[d] += lines[i][5]
+        linked[d] += lines[i][6]
+        if i in high:
+            content.add(d)
+    return [i for i in own if not lines[i][7] or lines[i][7] in content and 2 * linked[lines[i][7]] < chars[lines[i][7]]]
+
+
 def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of each page."""
 

@@ -56,3 +56,24 @@ def test_articles_in_forms_menus_and_sidebars():
     for tag in ("nav", "aside"):
         assert extract(f"<{tag}><a>x</a><article><p>kept</p></article>") == "kept"
         assert extract(f"<article><p>main</p></article><{tag}><article><p>teaser</p></article></{tag}>") == "main"
+
+
+def test_names_inside_an_article():
+    """Parts of an article whose names look like those of menus, adverts or comments."""
+    said = "The shares fell by three percent on the day, as readers of the market had expected for some weeks. "
+    for part in (f'<section id="discussion"><h2>Discussion</h2><p>{LONG}</p></section>', f'<section class="related-work"><h2>Related work</h2><p>{LONG}</p><p>Short.</p></section>'):
+        assert LONG.strip() in extract(f"<article><h1>T</h1><p>{LONG}</p>{part}<p>End.</p></article>")
+        assert extract(f"<article><h1>T</h1><p>{LONG}</p>{part}<p>End.</p></article>").startswith(f"T {LONG}") and extract(f"<article><h1>T</h1><p>{LONG}</p>{part}<p>End.</p></article>").endswith("End.")
+    assert extract(f'<article><h1>T</h1><p>{LONG}</p><p class="market-share">{said}</p><p class="market-share">Fell.</p></article>') == f"T {LONG}{said}Fell."
+    assert extract(f'<article><div class="article-header"><h1>Title</h1></div><p>{LONG}</p></article>') == f"Title {LONG}".strip()
+    # and those that are what they are called
+    links = "".join(f"<a href=/{k}>Tell {k}</a> " for k in range(5))
+    for noise in (f'<div class="share">{links}</div>', f'<div class="post-share">{links}</div>', '<div class="post-widget">Rate it</div>', f'<div class="comments"><p>{LONG}</p></div>', f'<ol class="comments-list"><li>{LONG}</li></ol>', '<div class="ad-slot"><p>Buy now, only today, and get one more of it for nothing at all.</p></div>'):
+        assert extract(f"<article><h1>T</h1><p>{LONG}</p>{noise}<p>End.</p></article>") == f"T {LONG}End.", noise
+
+
+def test_articles_that_are_comments():
+    for around in ("<main><h1>T</h1><p>{}</p>{}</main>", "<main><article><h1>T</h1><p>{}</p></article>{}</main>", "<article><h1>T</h1><p>{}</p>{}</article>", "<article><h1>T</h1><p>{}</p></article>{}"):
+        page = around.format(LONG, f'<article class="comment"><p>Nice. {LONG}</p></article>' * 3)
+        assert extract(page) == f"T {LONG}".strip(), around
+    assert extract(f'<main><article class="no-comments post"><p>{LONG}</p></article><article class="post"><p>More. {LONG}</p></article></main>') == f"{LONG}More. {LONG}".strip()
