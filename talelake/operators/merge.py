@@ -15,8 +15,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from talelake.functions.schemas import SYNCED, default, schema
+from talelake.functions.schemas import SYNCED, default, empty, schema
 from talelake.operators import changes
+from talelake.plans.lineage import stored
 from talelake.sources import snapshots
 
 #: Foreign keys: table → (column, parent table), null values excepted.
@@ -115,11 +116,12 @@ def conflict_rows(steps: DataFrame, now: str) -> DataFrame:
 
 @dataclass
 class Merge:
-    """Result of a merge: tables, the steps of each, and the conflicts."""
+    """Result of a merge: tables, the steps of each, the conflicts, and the time of the merge."""
 
     tables: dict[str, DataFrame]
     steps: dict[str, DataFrame]
     conflicts: DataFrame | None
+    now: str = ""
 
     def counts(self) -> DataFrame:
         """table, applied, conflicts: an action for all tables at once."""
@@ -131,11 +133,11 @@ class Merge:
         out = {}
         if "chapters" in self.steps:
             pairs = self.steps["chapters"].where("outcome in ('insert', 'update')")
-            out["chapter_revisions"] = changes.revisions(pairs, "")
+            out["chapter_revisions"] = changes.revisions(pairs, self.now)
             if "books" in self.tables and "stories" in self.tables:
-                out["change_log"] = changes.chapter_log(pairs, self.tables["books"], self.tables["stories"])
+                out["change_log"] = changes.chapter_log(pairs, self.tables["books"], self.tables["stories"], now=self.now)
         if "entities" in self.steps:
-            log = changes.entity_log(self.steps["entities"].where("outcome in ('insert', 'update')"))
+            log = changes.entity_log(self.steps["entities"].where("outcome in ('insert', 'update')"), now=self.now)
             out["change_log"] = out["change_log"].unionByName(log) if "change_log" in out else log
         return out
 
@@ -152,31 +154,39 @@ def orphans(tables: dict[str, DataFrame]) -> DataFrame | None:
     return found
 
 
-def merge_snapshot(local: dict[str, DataFrame], remote: dict[str, DataFrame], now: str, check: bool = True) -> Merge:
+def merge_snapshot(local: dict[str, DataFrame], remote: dict[str, DataFrame], now: str, check: bool = True, write: bool = False) -> Merge:
     """Merges the synced tables of a snapshot; others in it are ignored.
 
     With ``check``, a merged row without its parent fails the whole merge before
-    anything is written.
+    anything is written. With ``write``, each table's steps are worked out once and
+    written, for tables, conflicts, history and the check to be read from them.
     """
     tables, steps, conflicts = dict(local), {}, None
     for table in SYNCED:
         if table in local and table in remote:
-            tables[table], steps[table] = merge_table(local[table], remote[table], table, now)
+            steps[table] = merge_steps(local[table], remote[table], table, now)
+            steps[table] = stored(steps[table]) if write else steps[table]
+            tables[table] = steps[table].where("last").select("n.*")
             if table == "chapters":
                 conflicts = conflict_rows(steps[table], now)
     if check and (lost := orphans(tables)) is not None and (row := lost.first()) is not None:
         raise ValueError(f"{row['table']} {row['id']}: {row['column']} has no row")
-    return Merge(tables, steps, conflicts)
+    return Merge(tables, steps, conflicts, now)
 
 
 def merge_into(spark: SparkSession, folder: str, remote: dict[str, DataFrame], version: str, now: str) -> Merge:
-    """Merges a snapshot into a folder of versions: all tables are written as a new version, which then becomes the current one.
+    """Merges a snapshot into a folder of versions: tables, conflicts and history become one new version, the current one, or none of them does.
 
-    A failure before the last step leaves the current version as it is.
+    A failure before the last step leaves the current version as it is, and so does a
+    merge that another writer's commit overtook: it raises ``CommitConflict`` and is
+    begun anew, on what that one left. What conflicts and history get is in the
+    version's folder; ``snapshots.read_history`` reads it with that of all versions before.
     """
-    result = merge_snapshot(snapshots.read_tables(spark, snapshots.current_version(spark, folder)), remote, now)
-    snapshots.write_version({t: result.tables[t] for t in SYNCED}, folder, version)
-    snapshots.publish(spark, folder, version, now)
+    base = snapshots.last_sequence(spark, folder)
+    result = merge_snapshot(snapshots.read_tables(spark, snapshots.current_version(spark, folder)), remote, now, write=True)
+    added = {t: empty(spark, t) for t in snapshots.HISTORY} | result.history() | ({"sync_conflicts": result.conflicts} if result.conflicts is not None else {})
+    snapshots.write_version({t: result.tables[t] for t in SYNCED} | {t: added[t].select(*schema(t).names) for t in snapshots.HISTORY}, folder, version)
+    snapshots.publish(spark, folder, version, now, after=base)
     return result
 
 

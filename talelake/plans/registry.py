@@ -443,7 +443,8 @@ o2 AS (SELECT l.id, CASE WHEN t.id IS NULL THEN 'local' WHEN l.updated_at = t.up
   FROM s1 l LEFT JOIN (SELECT * FROM two WHERE step = 2) t ON l.id = t.id),
 s2 AS (SELECT id, outcome = 'update' AS x, CASE WHEN x THEN title ELSE lt END AS title, CASE WHEN x THEN content ELSE lc END AS content, CASE WHEN x THEN coalesce(status, ls) ELSE ls END AS status,
     CASE WHEN x THEN word_count ELSE lw END AS word_count, CASE WHEN x THEN updated_at ELSE lu END AS updated_at FROM o2),
-both_steps AS (SELECT * FROM o1 UNION ALL SELECT * FROM o2)"""
+both_steps AS (SELECT *, 2 * CAST(id AS BIGINT) AS pos FROM o1 UNION ALL SELECT *, 2 * CAST(id AS BIGINT) + 1 FROM o2)"""
+_LOG_ID = f"md5(concat_ws('|', 'chapter', id, CAST(pos AS VARCHAR), '{NOW}')) AS id, '{NOW}' AS created_at"
 
 
 @query(_STEPS + " SELECT id, title, content, status, 'CANON' AS canon_status, CAST(word_count AS INTEGER) AS word_count, updated_at FROM s2", "local_chapters", "remote_chapters")
@@ -466,21 +467,19 @@ def q13_stepwise_counts(spark, sf_dir):
 
 @query(
     _STEPS + """, u AS (SELECT lr.id, s.universe_id FROM (SELECT id, book_id FROM local_chapters UNION SELECT id, book_id FROM remote_chapters) lr JOIN books b ON b.id = lr.book_id JOIN stories s ON s.id = b.story_id)
-    SELECT id AS entity_id, outcome AS action, CASE WHEN outcome = 'insert' THEN '' WHEN lt <> title THEN 'title' WHEN coalesce(status, ls) <> ls THEN 'status' ELSE 'content' END AS field,
+    SELECT """ + _LOG_ID + """, 'chapter' AS entity_type, id AS entity_id, CASE WHEN outcome = 'insert' THEN 'create' ELSE outcome END AS action, CASE WHEN outcome = 'insert' THEN '' WHEN lt <> title THEN 'title' WHEN coalesce(status, ls) <> ls THEN 'status' ELSE 'content' END AS field,
     CASE WHEN outcome = 'insert' THEN '' WHEN lt <> title THEN lt WHEN coalesce(status, ls) <> ls THEN ls ELSE CAST(lw AS VARCHAR) END AS old_value,
     CASE WHEN outcome = 'insert' OR lt <> title THEN title WHEN coalesce(status, ls) <> ls THEN status ELSE CAST(word_count AS VARCHAR) END AS new_value, universe_id
     FROM both_steps JOIN u USING (id) WHERE outcome IN ('insert', 'update')""",
     "local_chapters", "remote_chapters", "books", "stories",
 )
 def q13_merge_history(spark, sf_dir):
-    log = _stepwise(spark, sf_dir).history()["change_log"]
-    action = F.when(F.col("action") == "create", "insert").otherwise(F.col("action"))
-    return log.select("entity_id", action.alias("action"), "field", "old_value", "new_value", "universe_id")
+    return _stepwise(spark, sf_dir).history()["change_log"]
 
 
-@query(_STEPS + " SELECT id AS chapter_id, lt AS title, lc AS content, lw AS word_count FROM both_steps WHERE outcome = 'update' AND (lt <> title OR lc <> content)", "local_chapters", "remote_chapters")
+@query(_STEPS + f" SELECT {_LOG_ID.replace('chapter', 'revision')}, id AS chapter_id, lt AS title, lc AS content, lw AS word_count FROM both_steps WHERE outcome = 'update' AND (lt <> title OR lc <> content)", "local_chapters", "remote_chapters")
 def q13_merge_revisions(spark, sf_dir):
-    return _stepwise(spark, sf_dir).history()["chapter_revisions"].select("chapter_id", "title", "content", F.col("word_count").cast("long").alias("word_count"))
+    return _stepwise(spark, sf_dir).history()["chapter_revisions"].withColumn("word_count", F.col("word_count").cast("long"))
 
 
 @query(

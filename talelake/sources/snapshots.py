@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import json
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,37 +47,112 @@ def import_table(snapshot: DataFrame, name: str, columns: list[str] | None = Non
     return raw.select(*values, *more).where("id is not null").select(*typed, *(c for c in ("_keys", "_pos") if steps and (c == "_keys" or "pos" in snapshot.columns)))
 
 
+#: Tables that a version only adds to.
+HISTORY = ("change_log", "chapter_revisions", "sync_conflicts")
+#: How tables without a universe of their own get to it: table → (its column, table, that table's column), up to one that has it.
+_OWNERS = {
+    "books": ("story_id", "stories"),
+    "chapters": ("book_id", "books"),
+    "entity_attributes": ("entity_id", "entities"),
+    "mentions": ("chapter_id", "chapters"),
+}
+#: The partition column of those tables; it is no column of theirs.
+_UNIVERSE = "_universe"
+
+
 def read_tables(spark: SparkSession, folder: str, names: list[str] | None = None) -> dict[str, DataFrame]:
-    """Tables of a folder of Parquet files, with all of their columns. A filter by universe reads only its folders."""
+    """Tables of a folder of Parquet files, with all of their columns. A filter by universe_id reads only its folders."""
     return {n: with_defaults(spark.read.schema(schema(n)).parquet(f"{folder}/{n}.parquet"), n) for n in names or SYNCED}
 
 
+def read_universe(spark: SparkSession, folder: str, universe_id: str, names: list[str] | None = None) -> dict[str, DataFrame]:
+    """The tables' rows of one universe, of a version that ``write_version`` wrote: only the files of that universe are read."""
+    found = {}
+    for n in names or SYNCED:
+        kind = schema(n) if "universe_id" in schema(n).names else T.StructType([*schema(n), T.StructField(_UNIVERSE, T.StringType())])
+        rows = spark.read.schema(kind).parquet(f"{folder}/{n}.parquet")
+        found[n] = with_defaults(rows.where(F.col("universe_id" if "universe_id" in schema(n).names else _UNIVERSE) == universe_id).drop(_UNIVERSE), n)
+    return found
+
+
+def _owned(tables: dict[str, DataFrame], name: str) -> DataFrame:
+    """The table with the universe that each row belongs to, null if its parents are missing."""
+    if name == "universes":
+        return tables[name].withColumn(_UNIVERSE, F.col("id"))
+    column, parent = _OWNERS[name]
+    up = tables[parent].select(F.col("id").alias("_up"), F.col("universe_id").alias(_UNIVERSE)) if parent not in _OWNERS else _owned(tables, parent).select(F.col("id").alias("_up"), _UNIVERSE)
+    return tables[name].join(up, F.col(column) == F.col("_up"), "left").drop("_up")
+
+
 def write_version(tables: dict[str, DataFrame], folder: str, version: str) -> str:
-    """Writes all tables into a new folder, by universe where a table has that column; nobody reads it before ``publish``."""
+    """Writes all tables into a new folder, each by universe; nobody reads it before ``publish``.
+
+    Tables without a universe of their own are written by that of their owners, if
+    these are among the tables.
+    """
     path = f"{folder}/{version}"
     for name, df in tables.items():
-        writer = df.write.mode("errorifexists")
-        (writer.partitionBy("universe_id") if "universe_id" in df.columns else writer).parquet(f"{path}/{name}.parquet")
+        by = "universe_id" if "universe_id" in df.columns else None
+        parents, up = set(), name
+        while up in _OWNERS:
+            up = _OWNERS[up][1]
+            parents.add(up)
+        if by is None and (name == "universes" or name in _OWNERS and parents <= set(tables)):
+            df, by = _owned(tables, name), _UNIVERSE
+        # few files for each universe, large ones split
+        writer = (df.hint("rebalance", F.col(by)) if by else df).write.mode("errorifexists")
+        (writer.partitionBy(by) if by else writer).parquet(f"{path}/{name}.parquet")
     return path
 
 
+class CommitConflict(RuntimeError):
+    """Another writer has committed in the meantime."""
+
+
 _COMMITS = "sequence long, version string, committed_at string"
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path for it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def _commits(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(_COMMITS).json(f"{folder}/commits")
 
 
-def publish(spark: SparkSession, folder: str, version: str, now: str) -> None:
-    """Makes a written version the current one: one row, which the write protocol shows whole or not at all.
+def last_sequence(spark: SparkSession, folder: str) -> int:
+    """The number of the last commit, 0 before the first. One that was cut off while it was written has a number, too."""
+    system, path = _files(spark, f"{folder}/commits")
+    if not system.exists(path):
+        return 0
+    names = (s.getPath().getName() for s in system.listStatus(path))
+    return max((int(n.removesuffix(".json")) for n in names if n.removesuffix(".json").isdigit()), default=0)
+
 
-    Writers take turns; of two at once the later row counts.
+def publish(spark: SparkSession, folder: str, version: str, now: str, after: int | None = None) -> int:
+    """Makes a written version the current one, and returns the commit's number.
+
+    after: the commit that the version is based on, the last one if not given. A commit
+    is a file of its own with the next number, which the file system creates only if it
+    is not there: of two writers that began at the same commit, one fails.
     """
+    number = (last_sequence(spark, folder) if after is None else after) + 1
+    system, path = _files(spark, f"{folder}/commits/{number:020d}.json")
+    if system.exists(path) or last_sequence(spark, folder) >= number:
+        raise CommitConflict(f"commit {number} of {folder} is there already")
+    try:
+        out = system.create(path, False)
+    except Py4JJavaError as error:
+        if "AlreadyExists" in str(error.java_exception):
+            raise CommitConflict(f"commit {number} of {folder} is there already") from error
+        raise
     try:
-        last = _commits(spark, folder).agg(F.coalesce(F.max("sequence"), F.lit(0))).first()[0]
-    except AnalysisException:  # the first version of this folder
-        last = 0
-    spark.createDataFrame([(last + 1, version, now)], _COMMITS).write.mode("append").json(f"{folder}/commits")
+        out.write(bytearray((json.dumps({"sequence": number, "version": version, "committed_at": now}) + "\n").encode()))
+    finally:
+        out.close()
+    return number
 
 
 def current_version(spark: SparkSession, folder: str) -> str:
@@ -84,5 +161,12 @@ def current_version(spark: SparkSession, folder: str) -> str:
     return f"{folder}/{last}"
 
 
+def read_history(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """What the committed versions have added to a history table; what a failed merge wrote is not among it."""
+    versions = [r.version for r in _commits(spark, folder).orderBy("sequence").collect()]  # one row for each version
+    paths = [p for p in (f"{folder}/{v}/{name}.parquet" for v in versions) if (f := _files(spark, p))[0].exists(f[1])]
+    return spark.read.schema(schema(name)).parquet(*paths) if paths else spark.createDataFrame([], schema(name))
+
+
 def row_counts(snapshot: DataFrame) -> DataFrame:
     return snapshot.groupBy("name").agg(F.count(F.lit(1)).alias("n"))

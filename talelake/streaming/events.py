@@ -146,7 +146,7 @@ def capture(folder: str, books: DataFrame, stories: DataFrame, now: str) -> Call
         saved = batch.withColumn("_k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("updated_at")))).where("_k = 1").select(*old.columns)
         known = old.join(saved.select("id"), "id", "left_semi").select(*old.columns)
         pairs = cut(changes.row_pairs(known, saved))
-        changes.chapter_log(pairs, books, stories).write.mode("overwrite").parquet(f"{folder}/change_log/batch={number}")
+        changes.chapter_log(pairs, books, stories, now=now).write.mode("overwrite").parquet(f"{folder}/change_log/batch={number}")
         changes.revisions(pairs, now).write.mode("overwrite").parquet(f"{folder}/chapter_revisions/batch={number}")
         left = old.join(saved.select("id"), "id", "left_anti").select(*old.columns)
         left.unionByName(saved).write.mode("overwrite").parquet(f"{folder}/chapters/{number + 1}")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talelake.functions import text
-from talelake.functions.schemas import SYNCED, empty, with_defaults
+from talelake.functions.schemas import SYNCED, empty, schema, with_defaults
 from talelake.operators import graph, hierarchy, merge, reads, share
 from talelake.plans.positions import numbered
 from talelake.sources import snapshots
@@ -89,6 +89,13 @@ def test_versions_and_history(spark, tmp_path, capsys):
     with pytest.raises(ValueError, match="book_id"):
         merge.merge_into(spark, folder, {"chapters": made(spark, "chapters", {"id": "z", "book_id": "none", "updated_at": "2"})}, "v3", "9")
     assert snapshots.current_version(spark, folder).endswith("/v2")
+    # conflicts and history are in the version; what the failed merge would have added is not
+    assert sorted((r.entity_id, r.action, r.created_at) for r in snapshots.read_history(spark, folder, "change_log").collect()) == [("c", "update", "9"), ("d", "create", "9")]
+    clash = {"chapters": made(spark, "chapters", {"id": "c", "book_id": "b", "title": "t", "content": "z", "updated_at": "2"})}
+    merge.merge_into(spark, folder, clash, "v4", "10")
+    assert [(r.aggregate_id, r.local_value, r.remote_value) for r in snapshots.read_history(spark, folder, "sync_conflicts").collect()] == [("c", "y", "z")]
+    assert {r.content for r in snapshots.read_history(spark, folder, "chapter_revisions").collect()} == {"x"}
+    assert snapshots.last_sequence(spark, folder) == 3
     a, b = {"universes": first["universes"]}, {"universes": made(spark, "universes", {"id": "x"}, {"id": "y"})}
     assert merge.exchange_counts(a, *merge.exchange(a, b, "9")).first()[:] == (3, 1, 0)
 
@@ -115,3 +122,48 @@ def test_bundle_too_large(spark):
 
 def test_whole_texts_are_read():
     assert text.sanitise("<p>" + "x" * 2_100_000 + "</p>") == "<p>" + "x" * 2_100_000 + "</p>"
+
+
+def test_of_two_writers_one_fails(spark, tmp_path):
+    folder = str(tmp_path / "two")
+    tables = {t: empty(spark, t) for t in SYNCED}
+    tables["universes"] = made(spark, "universes", {"id": "u", "name": "old", "updated_at": "1"})
+    snapshots.write_version(tables, folder, "v1")
+    snapshots.publish(spark, folder, "v1", "1")
+    base = snapshots.last_sequence(spark, folder)
+    one = {"universes": made(spark, "universes", {"id": "u", "name": "one", "updated_at": "2"})}
+    merge.merge_into(spark, folder, one, "v2", "2")
+    # a writer that began at the same commit and ends later
+    snapshots.write_version(tables, folder, "v3")
+    with pytest.raises(snapshots.CommitConflict):
+        snapshots.publish(spark, folder, "v3", "3", after=base)
+    assert snapshots.current_version(spark, folder).endswith("/v2") and snapshots.read_tables(spark, f"{folder}/v2")["universes"].first().name == "one"
+    # a commit that was cut off counts for nothing and stands in nobody's way
+    (tmp_path / "two" / "commits" / f"{3:020d}.json").write_text("")
+    assert snapshots.current_version(spark, folder).endswith("/v2")
+    assert snapshots.publish(spark, folder, "v3", "4") == 4 and snapshots.current_version(spark, folder).endswith("/v3")
+
+
+def test_every_table_is_read_by_universe(spark, tmp_path):
+    import re
+
+    tables = {t: empty(spark, t) for t in SYNCED}
+    pairs = [("u", "1"), ("w", "2")]
+    tables["universes"] = made(spark, "universes", *({"id": u} for u, _ in pairs))
+    tables["stories"] = made(spark, "stories", *({"id": f"s{k}", "universe_id": u} for u, k in pairs))
+    tables["books"] = made(spark, "books", *({"id": f"b{k}", "story_id": f"s{k}"} for _, k in pairs), {"id": "lost", "story_id": "none"})
+    tables["chapters"] = made(spark, "chapters", *({"id": f"c{k}", "book_id": f"b{k}"} for _, k in pairs))
+    tables["entities"] = made(spark, "entities", *({"id": f"e{k}", "universe_id": u} for u, k in pairs))
+    tables["entity_attributes"] = made(spark, "entity_attributes", *({"id": f"a{k}", "entity_id": f"e{k}"} for _, k in pairs))
+    tables["mentions"] = made(spark, "mentions", *({"id": f"m{k}", "chapter_id": f"c{k}", "entity_id": f"e{k}"} for _, k in pairs))
+    for t in ("entity_templates", "relations", "timeline_events", "planning_items", "attachments"):
+        tables[t] = made(spark, t, *({"id": f"x{k}", "universe_id": u} for u, k in pairs))
+    path = snapshots.write_version(tables, str(tmp_path), "v1")
+    own = snapshots.read_universe(spark, path, "u")
+    assert set(own) == set(SYNCED)
+    for name, df in own.items():
+        assert df.columns == schema(name).names
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"PartitionFilters: \[[^\]]*univ", plan), (name, plan)
+    assert {n: [r.id for r in own[n].collect()] for n in ("universes", "books", "chapters", "entity_attributes", "mentions")} == {"universes": ["u"], "books": ["b1"], "chapters": ["c1"], "entity_attributes": ["a1"], "mentions": ["m1"]}
+    assert sorted(r.id for r in snapshots.read_tables(spark, path)["books"].collect()) == ["b1", "b2", "lost"]
