@@ -24,19 +24,46 @@ def _grams(text: Column | str, n: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?=([^a-z0-9]{{{n}}}))"), F.lit(1))
 
 
-def _rarest_grams(words: DataFrame, signs: DataFrame) -> DataFrame:
-    """Names without a word, each with the one of its stretches of three characters (two, if it has no more) that the fewest texts have.
+def sign_parts(signs: DataFrame) -> DataFrame:
+    """entity_id, name and each stretch of three characters (two, if it has no more) of names without a word."""
+    return signs.withColumn("key", F.explode(F.array_distinct(F.when(F.length("name") > 2, _grams("name", 3)).otherwise(F.array("name")))))
+
+
+def rarest(parts: DataFrame, held: DataFrame) -> DataFrame:
+    """Each name with the one of its stretches that the fewest texts have. held: key, count.
 
     A name with a stretch that no text has is left out: it stands nowhere.
     """
-    parts = signs.withColumn("key", F.explode(F.array_distinct(F.when(F.length("name") > 2, _grams("name", 3)).otherwise(F.array("name")))))
-    wanted = parts.select("key").distinct()
-    held = words.select(F.explode(F.array_distinct(F.concat(_grams("text", 3), _grams("text", 2)))).alias("key")).join(wanted, "key", "left_semi").groupBy("key").count()
     counted = parts.join(held, "key", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     best = counted.groupBy("entity_id", "name").agg(F.min_by("key", F.struct("count", "key")).alias("key"), F.min("count").alias("count"))
     return best.where("count > 0").select("entity_id", "name", "key", F.lit(False).alias("whole"))
 
 
+def _rarest_grams(words: DataFrame, signs: DataFrame) -> DataFrame:
+    """Names without a word, by the stretch that the fewest of the texts have."""
+    parts = sign_parts(signs)
+    held = words.select(F.explode_outer(F.array_distinct(F.concat(_grams("text", 3), _grams("text", 2)))).alias("key")).join(parts.select("key").distinct(), "key", "left_semi").groupBy("key").count()
+    return rarest(parts, held)
+
+
+def name_keys(names: DataFrame) -> DataFrame:
+    """entity_id, name (normalised), key ('' for a name without a word) and whether having the key is enough (``whole``)."""
+    known = names.select("entity_id", normalise("name").alias("name")).where(F.length("name") >= 2)
+    pair, word = F.regexp_extract("name", _PAIR, 1), F.regexp_extract("name", "[a-z0-9]+", 0)
+    signed = F.rlike("name", F.lit(_KINDS[1][0])) | F.rlike("name", F.lit(_KINDS[2][0]))
+    return known.select("entity_id", "name", F.when(signed, F.col("name")).when(pair != "", pair).otherwise(word).alias("key")).withColumn("whole", F.col("name") == F.col("key"))
+
+
+def text_keys(text: str = "text") -> Column:
+    """All keys of a normalised text, of every kind."""
+    return F.array_distinct(F.concat(F.split(text, "[^a-z0-9]+"), *(F.regexp_extract_all(text, F.lit(keys), F.lit(1)) for _, keys in _KINDS), _grams(text, 3), _grams(text, 2)))
+
+
+def stands(text: str = "text", name: str = "name") -> Column:
+    """Whether a normalised name stands in a normalised text; a plain search comes first, and patterns are compiled only for names that are there."""
+    return F.contains(text, F.col(name)) & mentions(F.col(text), F.col(name))
+
+
 def candidates(texts: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
     """Normalised texts (text_id, text, keys), names by key (entity_id, name, key, whole), and whether these are few enough to be broadcast.
 
@@ -45,10 +72,7 @@ def candidates(texts: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame
     only word, or, without any, a stretch of three characters that few texts have. A
     text that holds the name has the key. ``whole``: having the key is enough.
     """
-    known = names.select("entity_id", normalise("name").alias("name")).where(F.length("name") >= 2)
-    pair, word = F.regexp_extract("name", _PAIR, 1), F.regexp_extract("name", "[a-z0-9]+", 0)
-    signed = F.rlike("name", F.lit(_KINDS[1][0])) | F.rlike("name", F.lit(_KINDS[2][0]))
-    known = cut(known.select("entity_id", "name", F.when(signed, F.col("name")).when(pair != "", pair).otherwise(word).alias("key")).withColumn("whole", F.col("name") == F.col("key")))
+    known = cut(name_keys(names))
     size = F.coalesce(F.sum(F.octet_length("name")), F.lit(0))
     kinds = [F.count_if(F.rlike("key", F.lit("[a-z0-9][^a-z0-9]+[a-z0-9]+$"))), *(F.count_if(F.rlike("key", F.lit(kind))) for kind, _ in _KINDS[1:])]
     n, size, signs, *wanted = known.agg(F.count(F.lit(1)), size, F.count_if(F.col("key") == ""), *kinds).first()
@@ -74,8 +98,7 @@ def find_mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
     one, keys are joined first, and texts with what they may hold after that.
     """
     words, known, few = candidates(texts, names)
-    # a plain search first: patterns are compiled only for names that are there
-    holds = F.contains("text", F.col("name")) & mentions(F.col("text"), F.col("name"))
+    holds = stands()
     # outer: Spark would otherwise make the keys twice, first to see whether there are any
     if few:
         keyed = words.select("text_id", "text", F.explode_outer("keys").alias("key"))

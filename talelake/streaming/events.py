@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from talelake.operators import changes, mentions
+from talelake.operators.mention_index import MentionIndex
 from talelake.plans.lineage import cut
 
 #: Requests of a client in an hour that pass, and the hour in milliseconds.
@@ -154,6 +155,83 @@ def capture(folder: str, books: DataFrame, stories: DataFrame, now: str) -> Call
     return apply
 
 
+_CHAPTER = "book_id string, title string, content string, status string, word_count int"
+
+
+class ChapterState(StatefulProcessor):
+    """The last state of each chapter: every save gives a pair of what was there and what is there now."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.chapter = handle.getValueState("chapter", f"saves long, {_CHAPTER}")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        for row in initialState[_names(_CHAPTER)].itertuples(index=False):
+            self.chapter.update((0, *_plain(row)))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        saves = pd.concat(list(rows)).sort_values("updated_at", kind="stable")
+        held = self.chapter.get() if self.chapter.exists() else None
+        out = []
+        for row in saves[_names(_CHAPTER)].itertuples(index=False):
+            new = (0 if held is None else held[0] + 1, *_plain(row))
+            out.append((key[0], new[0], held is None, *(held[1:] if held is not None else (None,) * (len(new) - 1)), *new[1:]))
+            held = new
+        if held is not None:
+            self.chapter.update(tuple(held))
+        yield pd.DataFrame(out, columns=_names(_PAIRS)).astype({"o_word_count": "Int32", "n_word_count": "Int32"})
+
+    def close(self) -> None:
+        """Nothing is held outside the state."""
+
+
+def _names(ddl: str) -> list[str]:
+    return [c.split()[0] for c in ddl.split(", ")]
+
+
+def _plain(row) -> tuple:
+    return tuple(None if pd.isna(v) else int(v) if k == 4 else v for k, v in enumerate(row))
+
+
+_PAIRS = ", ".join(["id string, pos long, created boolean", *(f"{side}_{c}" for side in "on" for c in _CHAPTER.split(", "))])
+
+
+def chapter_pairs(saves: DataFrame, before: DataFrame) -> DataFrame:
+    """id, pos, o and n of each save of a stream, in the order of ``updated_at``; o is null for a new chapter.
+
+    saves, before (the chapters when the stream began): id, book_id, title, content,
+    status, word_count, updated_at. A chapter's last state is kept, so a batch costs what
+    it saves, however many chapters there are, and one that runs again gives the same
+    pairs. pos counts a chapter's saves. The session needs a state store that keeps
+    several states, such as RocksDB.
+    """
+    pairs = saves.groupBy("id").transformWithStateInPandas(
+        ChapterState(), outputStructType=_PAIRS, outputMode="append", timeMode="None", initialState=before.select("id", *_names(_CHAPTER)).groupBy("id")
+    )
+    old, new = (F.struct(*(F.col(f"{side}_{c}").alias(c) for c in _names(_CHAPTER))) for side in "on")
+    return pairs.select("id", "pos", F.when(~F.col("created"), old).alias("o"), new.alias("n"))
+
+
+def write_changes(folder: str, books: DataFrame, stories: DataFrame, now: str) -> Callable[[DataFrame, int], None]:
+    """A batch function for ``chapter_pairs``: the batch's logs and revisions, in folders of the batch's own."""
+
+    def apply(pairs: DataFrame, number: int) -> None:
+        pairs = cut(pairs)
+        changes.chapter_log(pairs, books, stories, now=now).write.mode("overwrite").parquet(f"{folder}/change_log/batch={number}")
+        changes.revisions(pairs, now).write.mode("overwrite").parquet(f"{folder}/chapter_revisions/batch={number}")
+
+    return apply
+
+
+def save_to_index(index: MentionIndex) -> Callable[[DataFrame, int], None]:
+    """A batch function for saved chapters (id, content, updated_at): the index's parts of these chapters are written anew."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        newest = batch.groupBy("id").agg(F.max_by("content", "updated_at").alias("content"))
+        index.save(newest)
+
+    return apply
+
+
 def sync_saves(folder: str, entities: DataFrame, now: str) -> Callable[[DataFrame, int], None]:
     """A batch function for saved chapters (id, content): only their mentions are read anew; ``folder`` gets a new mention table for each batch."""
 

@@ -95,3 +95,80 @@ def test_capture_and_mentions_of_a_stream(spark, tmp_path):
     assert sorted(r.content for r in spark.read.parquet(f"{folder}/chapter_revisions").collect()) == ["<p>Ana</p>", "<p>Bia</p>"]
     assert {r.id: r.word_count for r in spark.read.parquet(f"{folder}/chapters/2").collect()} == {"c": 4, "d": 1}
     assert {(r.chapter_id, r.entity_id) for r in spark.read.parquet(f"{folder}/mentions/2").collect()} == {("c", "a"), ("c", "b"), ("d", "a")}
+
+
+CHAPTERS = "id string, book_id string, title string, content string, status string, word_count int, updated_at string"
+
+
+def test_changes_by_state(spark, tmp_path):
+    """Three batches; each reads what it saves alone, and what comes out is what a pass over all saves in order gives."""
+    books, stories = spark.createDataFrame([("b", "s")], "id string, story_id string"), spark.createDataFrame([("s", "u")], "id string, universe_id string")
+    before = spark.createDataFrame([("c", "b", "t", "x", "A", 1, "1"), ("d", "b", "t", "y", "A", 1, "1")], CHAPTERS)
+    batches = [
+        [("c", "b", "t2", "x", "A", 1, "2"), ("c", "b", "t2", "x2", "B", 2, "3")],
+        [("e", "b", "new", "", "A", 0, "4"), ("c", "b", "t2", "x3", "B", 3, "5")],
+        [("c", "b", "t2", "x2", "B", 2, "6"), ("c", "b", "t2", "x3", "B", 3, "7"), ("e", "none", "new", "z", "A", 1, "8")],
+    ]
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for rows in batches:  # a run each, on the state that the one before left
+            spark.createDataFrame(rows, CHAPTERS).coalesce(1).write.mode("append").parquet(source)
+            pairs = events.chapter_pairs(spark.readStream.schema(CHAPTERS).parquet(source), before)
+            events.apply_changes(pairs, events.write_changes(folder, books, stories, "9"), str(tmp_path / "ck")).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    state = {r.id: r for r in before.collect()}
+    logs, revisions = [], []
+    for row in (r for rows in batches for r in rows):
+        new, was = dict(zip(before.columns, row, strict=True)), state.get(row[0])
+        if was is None:
+            logs.append((row[0], "create", "", "", new["title"]))
+        else:
+            field = "title" if was["title"] != new["title"] else "status" if was["status"] != new["status"] else "content"
+            column = "word_count" if field == "content" else field
+            if new["book_id"] == "b":
+                logs.append((row[0], "update", field, str(was[column]), str(new[column])))
+            if was["title"] != new["title"] or was["content"] != new["content"]:
+                revisions.append((row[0], was["title"], was["content"], was["word_count"]))
+        state[row[0]] = new
+    got = spark.read.parquet(f"{folder}/change_log").collect()
+    assert sorted((r.entity_id, r.action, r.field, r.old_value, r.new_value) for r in got) == sorted(logs)
+    assert sorted((r.chapter_id, r.title, r.content, r.word_count) for r in spark.read.parquet(f"{folder}/chapter_revisions").collect()) == sorted(revisions)
+    assert len({r.id for r in got}) == len(got) and {r.created_at for r in got} == {"9"} and {r.batch for r in got} == {0, 1, 2}
+
+
+def test_mention_index_is_kept_up_to_date(spark, tmp_path):
+    from talelake.operators import mentions
+    from talelake.operators.mention_index import MentionIndex
+
+    chapters = {f"c{k}": f"<p>Ana foi a {w}.</p><p>b2 - {w}, Bia</p>" for k, w in enumerate(["Rio", "Иван", "日本語", "lá, Bia", "Rio b2"] * 4)}
+    names = {"1": "Ana", "2": "Rio", "3": "Bia"}
+    frame = lambda d, ddl: spark.createDataFrame(list(d.items()), ddl)
+    texts, entities = "id string, content string", "id string, name string"
+    index = MentionIndex(spark, str(tmp_path / "index"), buckets=5, key_buckets=7)
+    index.build(frame(chapters, texts), frame(names, entities))
+
+    def same():
+        got = [tuple(r) for r in index.read().collect()]
+        assert len(got) == len(set(got))
+        assert set(got) == {tuple(r) for r in mentions.mention_index(frame(chapters, texts), frame(names, entities)).collect()}
+
+    same()
+    saved = {"c1": "<p>nada</p>", "c2": "<p>Bia b2</p>", "new": "<p>Ana Иван Rio.</p>", "c4": ""}
+    chapters |= saved
+    for _ in range(2):  # a batch may run twice
+        index.save(frame(saved, texts))
+        same()
+    more = {"4": "Иван", "5": "foi a Rio", "6": "日本", "7": "Rio.", "8": "nowhere", "9": "b2 - lá"}
+    names |= more
+    plan = index.new_mentions(frame(more, entities))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [key_bucket" in plan
+    index.add(frame(more, entities))
+    same()
+    chapters |= {"c7": "<p>Иван foi a Rio.</p>"}
+    source = str(tmp_path / "in")
+    spark.createDataFrame([("c7", "<p>old Ana</p>", "1"), ("c7", chapters["c7"], "2")], "id string, content string, updated_at string").write.parquet(source)
+    events.apply_changes(spark.readStream.schema("id string, content string, updated_at string").parquet(source), events.save_to_index(index), str(tmp_path / "ck")).awaitTermination()
+    same()
