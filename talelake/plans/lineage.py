@@ -33,9 +33,38 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """df, computed once and written as a compressed table in that folder, so that later reads take only their columns.
 
-    It stays until the session's checkpoint folder is removed.
+    It stays until the session's checkpoint folder is removed; ``Scratch`` has tables that go before.
     """
+    return _written(df)[0]
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
     _folder(df)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+class Scratch:
+    """Tables like those of ``stored`` that are removed at the end of a with block.
+
+    Inside it, what is made of them must be written in turn: nothing that outlives the
+    block may be read from them, not even when a lost executor's part is made again.
+    """
+
+    def __init__(self) -> None:
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        self.tables.append(_written(df))
+        return self.tables[-1][0]
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for df, path in self.tables:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        self.tables.clear()
