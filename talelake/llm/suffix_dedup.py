@@ -45,7 +45,7 @@ from __future__ import annotations
 
 import hashlib
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +54,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talelake.llm import textblocks as tb
-from talelake.llm.common import stored, table
+from talelake.llm.common import Scratch, stored, table
 
 #: Bytes of a repeated string, of an anchor's gram, and of a piece that is hashed at once.
 LENGTH, GRAM, PIECE = 400, 64, 1 << 17
@@ -462,7 +462,7 @@ def _partly_repeated(parts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "gram long, c1 long, c2 long, left long, right long")
 
 
-def _crowds(parts: DataFrame) -> list[DataFrame]:
+def _crowds(parts: DataFrame, stored: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
     """What ``_partly_repeated`` finds, for contexts of crowded grams that were split once.
 
     Each round counts equal contexts, which are repeated as they are, sorts what has
@@ -487,27 +487,30 @@ def _crowds(parts: DataFrame) -> list[DataFrame]:
 def repeated_spans(rows: DataFrame, small: DataFrame) -> DataFrame:
     """k1, k2, spans (array of struct<a, b>, may overlap) of the rows (k1, k2, text) that have any. small: the rows, ``packed``."""
     context, doc = ["c1", "c2"], ["k1", "k2"]
-    # written, so that a gram with very many anchors is split by the join
-    again = stored(_gram_counts(rows).groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram"))
-    every = stored(_anchor_rows(rows).join(again, "gram", "left_semi"))
-    counted = every.groupBy(*context).agg(F.count(F.lit(1)).alias("n"), F.first("gram").alias("gram"), F.min(F.struct(*doc, "at")).alias("one"))
-    kinds = counted.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    classes = stored(counted.join(kinds, "gram", "left").select("gram", *context, "n", "kinds", "one.*").where("n > 1 or kinds > 1"))
-    several = classes.where("kinds > 1")
-    what = F.when(F.col("n") == 1, 1).otherwise(0) + F.when(F.col("kinds") > CROWD, 2).otherwise(0)
-    fields = F.struct("gram", *context, "at", what.cast("byte").alias("what"))
-    wanted = several.groupBy(*doc).agg(F.collect_list(fields).alias("w")).select(*doc, *(F.col(f"w.{c}") for c in _WANTED))
-    held = stored(small.join(wanted, doc).dropDuplicates(doc).select("z", *_WANTED))
-    partly = _partly_repeated(_contexts(held, False))
-    for more in _crowds(_contexts(held, True)):
-        partly = partly.unionByName(more)
-    partly = stored(partly.drop("gram"))
-    place, left, right = F.floor(F.col("at") / _PLACE), F.floor(F.col("at") % _PLACE / _SIDE), F.col("at") % _PLACE % _SIDE
-    single = several.where("n = 1").select(*context, *doc, place.alias("place")).join(partly, context)
-    single = single.select(*doc, (F.col("place") - F.col("left")).alias("a"), (F.col("place") + F.col("right")).alias("b"))
-    whole = every.join(classes.where("n > 1").select(*context), context, "left_semi").where(left + right >= LENGTH)
-    spans = whole.select(*doc, (place - left).alias("a"), (place + right).alias("b")).unionByName(single)
-    return spans.groupBy(*doc).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    with Scratch() as until_spans:
+        with Scratch() as until_anchors:
+            # written, so that a gram with very many anchors is split by the join
+            again = until_anchors.stored(_gram_counts(rows).groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram"))
+            every = until_spans.stored(_anchor_rows(rows).join(again, "gram", "left_semi"))
+        counted = every.groupBy(*context).agg(F.count(F.lit(1)).alias("n"), F.first("gram").alias("gram"), F.min(F.struct(*doc, "at")).alias("one"))
+        kinds = counted.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+        classes = until_spans.stored(counted.join(kinds, "gram", "left").select("gram", *context, "n", "kinds", "one.*").where("n > 1 or kinds > 1"))
+        several = classes.where("kinds > 1")
+        what = F.when(F.col("n") == 1, 1).otherwise(0) + F.when(F.col("kinds") > CROWD, 2).otherwise(0)
+        fields = F.struct("gram", *context, "at", what.cast("byte").alias("what"))
+        wanted = several.groupBy(*doc).agg(F.collect_list(fields).alias("w")).select(*doc, *(F.col(f"w.{c}") for c in _WANTED))
+        with Scratch() as until_partly:
+            held = until_partly.stored(small.join(wanted, doc).dropDuplicates(doc).select("z", *_WANTED))
+            partly = _partly_repeated(_contexts(held, False))
+            for more in _crowds(_contexts(held, True), until_partly.stored):
+                partly = partly.unionByName(more)
+            partly = until_spans.stored(partly.drop("gram"))
+        place, left, right = F.floor(F.col("at") / _PLACE), F.floor(F.col("at") % _PLACE / _SIDE), F.col("at") % _PLACE % _SIDE
+        single = several.where("n = 1").select(*context, *doc, place.alias("place")).join(partly, context)
+        single = single.select(*doc, (F.col("place") - F.col("left")).alias("a"), (F.col("place") + F.col("right")).alias("b"))
+        whole = every.join(classes.where("n > 1").select(*context), context, "left_semi").where(left + right >= LENGTH)
+        spans = whole.select(*doc, (place - left).alias("a"), (place + right).alias("b")).unionByName(single)
+        return stored(spans.groupBy(*doc).agg(F.collect_list(F.struct("a", "b")).alias("spans")))
 
 
 def packed(rows: DataFrame) -> DataFrame:
