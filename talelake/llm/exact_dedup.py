@@ -2,16 +2,20 @@
 
 The index is a table bucketed and sorted by digest. A batch of documents is
 reduced to one row for each digest, anti-joined with the index by sort-merge,
-and what is new is appended. Only DataFrame functions are used.
+and what is new is appended. Only DataFrame functions are used. Documents of one
+table are taken in by two batches, the smaller ids first: the second one meets the
+first in the index, as any later batch will.
 
 Texts are equal when they are identical after every run of
 ``[\\x20\\x09-\\x0D]`` became one space; a null text counts as empty. Rows that
-share both doc_id and text stay or go together. Extra columns are ignored; an
-empty batch adds nothing and returns no rows.
+share both doc_id and text stay or go together; null ids come last. Very long texts
+are hashed whole. Extra columns are ignored; an empty batch adds nothing and returns
+no rows.
 """
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +43,9 @@ class DigestIndex:
 
     def __init__(self, spark: SparkSession, name: str, buckets: int | None = None):
         """name: a table in the warehouse. buckets: as many as shuffle partitions, if not given."""
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.sparkContext.master.startswith("local") and warehouse.removeprefix("file:").rstrip("/") == f"{os.getcwd()}/spark-warehouse":
+            raise ValueError("set spark.sql.warehouse.dir to a folder that all executors share")
         self.spark, self.name = spark, name
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -65,20 +72,22 @@ class DigestIndex:
             .saveAsTable(self.name)
         )
 
-    def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", in_order: bool = False) -> DataFrame:
         """Dedups a batch against itself and the index, and adds what is new.
 
         Returns one row per document: id_col, keep_id, group_size (equal texts
         in this batch), kept, text_sha256. keep_id of a text that an earlier
         batch brought is that batch's, and kept is false for all its rows.
+        in_order: the batch is taken in as two, the smaller half of its ids first.
         """
         seen = cut(docs.select(F.col(id_col).alias("doc"), digest(F.col(text_col)).alias("digest")))
-        batch = cut(seen.groupBy("digest").agg(F.min("doc").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
         total = seen.count()
-        self.append(batch)
-        groups = cut(
-            batch.drop("keep_id").join(self.read().select("digest", "keep_id").hint("merge"), "digest")
-        )
+        middle = seen.agg(F.percentile_approx("doc", 0.5, 1000)).first()[0] if in_order else None
+        low = F.coalesce(F.col("doc") <= F.lit(middle), F.lit(False))  # a null id comes last
+        for part in [seen] if middle is None else [seen.where(low), seen.where(~low)]:
+            self.append(cut(part.groupBy("digest").agg(F.min("doc").alias("keep_id"))))
+        sizes = seen.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
+        groups = cut(sizes.join(self.read().select("digest", "keep_id").hint("merge"), "digest"))
         # few digests can have a 1024th of all rows each: those are broadcast, the rest is joined by digest
         is_heavy = F.col("group_size") * HEAVY_PARTS >= total
         heavy = F.broadcast(groups.where(is_heavy))
@@ -96,7 +105,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact dedup of documents through an index made for this run."""
     index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
     try:
-        return cut(index.ingest(table(spark, sf_dir, "documents")))
+        return cut(index.ingest(table(spark, sf_dir, "documents"), in_order=True))
     finally:
         index.drop()
 
@@ -112,10 +121,10 @@ FROM d
 """
 
 
-def drop_copies(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_copies(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", in_order: bool = False) -> DataFrame:
     """The rows of docs, all columns, whose texts neither the index nor a smaller id of docs has. They join the index."""
     # by id and text: ids may be null or repeated with other texts
-    gone = cut(index.ingest(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_digest")).distinct())
+    gone = cut(index.ingest(docs, id_col, text_col, in_order).where("not kept").select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_digest")).distinct())
     return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]) & (digest(docs[text_col]) == gone["_digest"]), "left_anti")
 
 
@@ -123,6 +132,6 @@ def drop_copies_once(docs: DataFrame) -> DataFrame:
     """``drop_copies`` of documents among themselves, with an index of their own."""
     index = DigestIndex(docs.sparkSession, f"digest_index_{uuid.uuid4().hex}")
     try:
-        return drop_copies(docs, index)
+        return drop_copies(docs, index, in_order=True)
     finally:
         index.drop()

@@ -40,3 +40,32 @@ def test_null_and_repeated_ids_lose_copies_only(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = sorted(map(str, map(tuple, drop_copies_once(docs).collect())))
     assert found == sorted(map(str, [(1, "x"), (None, "unique"), (7, "other"), (7, "other"), (9, "")]))
+
+
+def test_the_second_half_meets_the_first_in_the_index(spark, monkeypatch):
+    """Taken in as two batches, the smaller ids first, a table has the same rows, and the anti-join is planned once."""
+    plans = []
+    append = DigestIndex.append
+
+    def watched(self, groups):
+        plans.append(self.exists())
+        append(self, groups)
+
+    monkeypatch.setattr(DigestIndex, "append", watched)
+    rows = [(d, f"t{d % 7}") for d in range(60)] + [(None, "t3"), (None, "only null"), (61, None), (62, ""), (5, "t5")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = DigestIndex(spark, "t_in_order")
+    index.drop()
+    found = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in index.ingest(docs, in_order=True).collect()), key=repr)
+    want = []
+    for doc, text in rows:
+        group = [d for d, t in rows if digest(t) == digest(text)]
+        keep = min((d for d in group if d is not None), default=None)
+        want.append((doc, keep, len(group), doc == keep, digest(text)))
+    assert found == sorted(want, key=repr) and plans == [False, True]
+    assert index.read().groupBy("digest").count().where("count > 1").count() == 0
+    again = index.read().select("digest").join(index.read().select("digest").hint("merge"), "digest", "left_anti")
+    assert "SortMergeJoin" in again._jdf.queryExecution().executedPlan().toString()
+    index.drop()
+    assert index.ingest(docs.limit(0), in_order=True).count() == 0
+    index.drop()
