@@ -40,8 +40,8 @@ from talelake.llm.common import cut, table
 
 #: Classes, those of rare words among them, the width of their vectors, noise words of a minibatch, and its tokens.
 CLASSES, RARE, WIDTH, NOISE, BATCH = 1024, 384, 32, 32, 4096
-#: Documents that warm the parameters up, and passes over them.
-WARM_DOCS, WARM_PASSES = 1000, 3
+#: Documents that warm the parameters up, their tokens at most, and passes over them.
+WARM_DOCS, WARM_TOKENS, WARM_PASSES = 1000, 2_000_000, 3
 #: A word's count is broadcast if it has at least this part of all tokens.
 HEAD = 1 << 20
 #: The end's class; rare words have classes 1 to RARE, frequent words those after.
@@ -190,8 +190,17 @@ def train_model(train: DataFrame, keys: np.ndarray, ids: np.ndarray, unigram: np
             yield pa.RecordBatch.from_arrays([pa.array([classes_of(keys, ids, batch.column(0))], pa.list_(pa.int64()))], ["ids"])
 
     model = LogBilinear.fresh(unigram)
-    chosen = train.select("id").orderBy(F.xxhash64("id"), "id").limit(WARM_DOCS)
-    warm = [np.array(r.ids) for r in train.join(F.broadcast(chosen), "id", "left_semi").select("text").mapInArrow(encode, "ids array<long>").toLocalIterator()]
+    # rows with the smallest hashes, of equal ones one: an id may be that of any number of rows
+    rows = train.select("text", F.xxhash64("id", "text").alias("rk"))
+    last = rows.select("rk").distinct().orderBy("rk").limit(WARM_DOCS).agg(F.max("rk")).first()[0]
+    few = rows.where(F.col("rk") <= F.lit(last)).groupBy("rk").agg(F.first("text").alias("text")).orderBy("rk").select("text")
+    warm: list[np.ndarray] = []
+    left = WARM_TOKENS
+    for row in few.mapInArrow(encode, "ids array<long>").toLocalIterator():
+        warm.append(np.array(row.ids)[:left])
+        left -= len(warm[-1])
+        if not left:
+            break
     squares = None
     for k_pass in range(WARM_PASSES if warm else 0):
         squares = model.fit(np.concatenate(warm), unigram, k_pass, squares=squares)

@@ -73,3 +73,17 @@ def test_empty_tables(spark):
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 10 == 0)
     only = lm_score.score_documents(spark.createDataFrame([(held, "a b"), (None, "c")], "doc_id long, text string")).collect()
     assert sorted((r.n_tokens, r.n_known, r.train_tokens, r.held_out) for r in only) == [(2, 0, 0, True), (3, 0, 0, True)]
+
+
+def test_the_warm_sample_is_bounded(spark, monkeypatch):
+    """Any number of rows under one id: the sample takes rows, not ids, and no more tokens than it may."""
+    seen = []
+    fit = lm_score.LogBilinear.fit
+    monkeypatch.setattr(lm_score.LogBilinear, "fit", lambda self, classes, *a, **k: seen.append(len(classes)) or fit(self, classes, *a, **k))
+    docs = spark.createDataFrame([(1, f"a b c {k % 400}") for k in range(3000)] + [(k, "x y z") for k in range(20)], "doc_id long, text string")
+    monkeypatch.setattr(lm_score, "WARM_DOCS", 100)
+    assert lm_score.score_documents(docs).count() == 3020
+    assert seen and max(seen) <= 100 * 5  # four words and an end each
+    seen.clear()
+    monkeypatch.setattr(lm_score, "WARM_TOKENS", 77)
+    assert lm_score.score_documents(docs).count() == 3020 and max(seen) == 77
