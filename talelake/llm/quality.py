@@ -8,7 +8,7 @@ are calibrated on labelled documents that were kept out, and the calibrated log
 odds of both views are added, less the prior's, to score every document.
 
 The first classifiers are fitted on at most LABELLED labelled documents, those with
-the smallest hashes of doc_id, whose features, not their texts, go to the driver. A
+the smallest hashes of doc_id, one row of each, whose features, not their texts, go to the driver. A
 round of co-training is one pass over all other documents: each task labels those
 that a view is sure of and adds up what a Newton step of the other view needs (a
 gradient and a curvature for each label), so that sums of a fixed size, added up in
@@ -272,7 +272,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rounds
         return None
     few = docs.sparkSession.createDataFrame(picked.select(["id"]))
     # arrays are copied: what comes from Arrow is read-only
-    table_ = _features(rows.join(F.broadcast(few), "id", "left_semi")).toArrow()
+    # one row for each id, the one with the smallest features: an id may be that of any number of rows
+    features = _features(rows.join(F.broadcast(few), "id", "left_semi")).groupBy("id").agg(F.min(F.struct("x", "y")).alias("v"))
+    table_ = features.select("id", "v.*").toArrow()
     label_of = dict(zip(picked["id"].to_pylist(), picked["label"].to_pylist(), strict=True))
     order = np.argsort(table_["id"].to_numpy(), kind="stable")
     found = [np.stack([v.values.to_numpy() for v in table_[c]])[order] for c in ("x", "y")] if len(table_) else []

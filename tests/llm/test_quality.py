@@ -84,3 +84,15 @@ def test_labels_of_the_documents(spark):
         lost[rounds] = sum(q == 1 and not kept[d] for d, q in held.items())
         print(rounds, right[rounds], len(held), lost[rounds], model.text.slope, model.meta.slope)
     assert right[quality.ROUNDS] >= max(0.99 * len(held), right[0] - 3) and lost[quality.ROUNDS] <= 0.002 * len(held)
+
+
+def test_one_row_of_each_labelled_id(spark, monkeypatch):
+    """However many rows share an id, one of them is fitted on."""
+    seen = []
+    co_train = quality.co_train
+    monkeypatch.setattr(quality, "co_train", lambda x, *a, **k: seen.append(len(x)) or co_train(x, *a, **k))
+    rows = [(k % 10, f"text number {k} " * 5, "en", "web", 20) for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(10)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    assert seen == [10] and quality.score_documents(docs, model).count() == 500
