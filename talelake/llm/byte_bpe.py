@@ -9,7 +9,8 @@ in the task that reads it, and a hot source or a group of copies costs no more
 than its bytes.
 
 A null or empty text has no tokens. Very long texts are cut into words like all
-others; a very long word is one linked list of tokens.
+others; a very long word is one linked list of tokens. Repeated rows give repeated
+results, an empty table gives no rows, and other columns are ignored.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ of its vectors is linked with, and a spanning forest of the links.
 Equal vectors are one row from the start, with a count. Vectors that are null,
 empty, zero or hold null or non-finite components link with nothing, nor do
 vectors of different lengths. Rows that share vec_id are separate rows. Labels
-and other columns are ignored. Every block holds about BLOCK vectors; which one a
+and other columns are ignored; an empty table gives no rows. Every block holds about BLOCK vectors; which one a
 vector is in depends on its hash, so that no group of near copies fills a block.
 """
 

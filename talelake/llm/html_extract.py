@@ -20,7 +20,8 @@ if the page has no other text, and among reader comments never.
 
 A page is worked on alone, in the task that reads it, and whole. Null or empty
 html gives an empty text; unclosed and misplaced tags are closed by their
-surroundings; repeated rows give repeated results; other columns are ignored.
+surroundings; repeated rows give repeated results; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
