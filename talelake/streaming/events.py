@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -13,7 +12,9 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from talelake.operators import changes, mentions
 from talelake.operators.mention_index import MentionIndex
+from talelake.plans.jumps import in_windows, window_starts
 from talelake.plans.lineage import cut
+from talelake.plans.positions import numbered
 
 #: Requests of a client in an hour that pass, and the hour in milliseconds.
 ALLOWED, HOUR = 20, 3_600_000
@@ -43,29 +44,18 @@ def limited(times: list[int], started: int | None, count: int) -> tuple[list[boo
 def rate_limited(requests: DataFrame, client: str, time: str, id_col: str) -> DataFrame:
     """id_col, client, t (milliseconds) and allowed of each request; requests of one time go by id.
 
-    A client's windows follow from each other, but a request after an hour of silence
-    always starts one, so its requests fall apart into stretches without such a gap.
-    Stretches are dealt and sorted, and a task reads them in order with one window in
-    hand: nothing is gathered. A null client is a client of its own.
+    The windows come from jumps between times (``plans/jumps.py``), a request's place in
+    its window from ranges and counts, so a client, or a window, that holds most requests
+    is spread over many tasks. A null client is a client of its own; a request without a
+    time passes and counts in no window.
     """
     rows = requests.select(F.col(id_col).cast("long").alias("id"), F.col(client).cast("string").alias("client"), F.unix_millis(F.col(time).cast("timestamp")).alias("t"))
-    by = Window.partitionBy("client").orderBy("t", "id")
-    starts = F.coalesce((F.col("t") - F.lag("t").over(by) >= HOUR).cast("long"), F.lit(1))
-    rows = rows.withColumn("starts", starts).withColumn("stretch", F.sum("starts").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    dealt = rows.select("id", "client", "t", "stretch").repartition("client", "stretch").sortWithinPartitions("client", "stretch", "t", "id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, started, count = None, None, 0
-        for batch in batches:
-            allowed: list[bool] = []
-            for own, stretch, t in zip(*(batch.column(k).to_pylist() for k in (1, 3, 2)), strict=True):
-                if (own, stretch) != held:
-                    held, started, count = (own, stretch), None, 0
-                passed, started, count = limited([t], started, count)
-                allowed += passed
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(allowed, pa.bool_())], ["id", "client", "t", "allowed"])
-
-    return dealt.mapInArrow(run, "id long, client string, t long, allowed boolean").withColumnRenamed("id", id_col)
+    # a key that is never null
+    timed = rows.where("t IS NOT NULL").withColumn("key", F.coalesce(F.concat(F.lit("="), "client"), F.lit("")))
+    placed = in_windows(timed, window_starts(timed, HOUR), HOUR)
+    placed = numbered(placed.withColumn("window", F.struct("key", "start")), "window", [F.col("t"), F.col("id")])
+    found = placed.select("id", "client", "t", (F.col("place") <= ALLOWED).alias("allowed"))
+    return found.unionByName(rows.where("t IS NULL").withColumn("allowed", F.lit(True))).withColumnRenamed("id", id_col)
 
 
 def rate_limited_stream(requests: DataFrame, client: str, time: str, id_col: str, late: str = "10 minutes") -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -24,6 +26,35 @@ def test_batch_and_stream_agree(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.table("limited").collect()) == batch
 
 
+def test_a_client_that_holds_most_requests(spark):
+    """Chains of windows over many hours, with and without gaps, against the plain rule for each client."""
+    dice = random.Random(5)
+    hours = events.HOUR
+    clients = {
+        "hot": [EPOCH + dice.randrange(60 * hours) for _ in range(4000)],
+        "even": [EPOCH + k * hours // 2 for k in range(80)],
+        "edges": [k * hours + d for k in range(0, 60, 3) for d in (-1, 0, 1, hours - 1, hours)],
+        "burst": [EPOCH] * 30 + [EPOCH + hours] * 30,
+        None: [5 * hours + dice.randrange(4 * hours) for _ in range(200)],
+    }
+    data = [(c, t) for c, times in clients.items() for t in times]
+    data = [(k, *row) for k, row in enumerate(data)] + [(len(data), "hot", None), (len(data) + 1, None, None)]
+    frame = spark.createDataFrame(data, "n long, client string, t long").select("n", "client", F.timestamp_millis("t").alias("at"))
+    want = {(n, None, True) for n, _, t in data if t is None}
+    for c in clients:
+        own = sorted((t, n) for n, of, t in data if of == c and t is not None)
+        want |= {(n, t, ok) for (t, n), ok in zip(own, events.limited([t for t, _ in own], None, 0)[0])}
+    assert {(r.n, r.t, r.allowed) for r in events.rate_limited(frame, "client", "at", "n").collect()} == want
+    assert events.rate_limited(frame.limit(0), "client", "at", "n").count() == 0
+
+
+def test_windows_are_not_laid_out_by_client(spark):
+    """No window over a client alone: every one has the cell or the range beside it."""
+    frame = spark.createDataFrame([(1, "a", 5)], "n long, client string, t long").select("n", "client", F.timestamp_millis("t").alias("at"))
+    found = events.rate_limited(frame, "client", "at", "n")
+    assert "windowspecdefinition(client" not in found._jdf.queryExecution().toString()
+
+
 def test_debounce(spark):
     frame = spark.createDataFrame([("c", 0, "a"), ("c", 500, "b"), ("c", 1300, "c"), ("d", 0, "x")], "id string, t long, v string").select("id", F.timestamp_millis("t").alias("at"), "v")
     assert sorted((r.id, r.v, r.n) for r in events.debounced(frame, "id", "at", "v").collect()) == [("c", "b", 2), ("c", "c", 1), ("d", "x", 1)]
