@@ -6,9 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talelake.functions.schemas import FALLBACK_SHAPE, shapes
+from talelake.plans.lineage import bucketed, cut
+from talelake.plans.positions import numbered
 
 #: From this depth on the whole graph is shown.
 NO_LIMIT = 100
+#: Edges of a node in one bucket.
+HUB = 65_536
+#: Rows of a sheet's page.
+PAGE = 200
 
 
 def relation_cards(relations: DataFrame, entities: DataFrame) -> DataFrame:
@@ -87,20 +93,38 @@ def induced(relations: DataFrame, visible: DataFrame) -> DataFrame:
     return relations.join(ids, relations["source_id"] == ids["id"], "left_semi").join(ids, relations["target_id"] == ids["id"], "left_semi")
 
 
+def adjacency(relations: DataFrame, hub: int = HUB) -> tuple[DataFrame, DataFrame]:
+    """Each node's neighbours (a, part, b), bucketed by (a, part), and the hubs (a, parts).
+
+    Written once for any number of walks. A node of more than ``hub`` edges is a hub,
+    whose neighbours are dealt to parts of about that size, so that no bucket holds it whole.
+    """
+    pairs = relations.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).where("a <> b")
+    pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    hubs = cut(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / hub).cast("int").alias("parts")).where("parts > 1"))
+    part = F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), F.lit(0))
+    return bucketed(pairs.distinct().join(hubs, "a", "left").select("a", part.alias("part"), "b"), ["a", "part"]), hubs
+
+
+def neighbours(ids: DataFrame, edges: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Distinct ids next to the given ones, by an ``adjacency``: only the given ids are shuffled, to the buckets of the edges."""
+    asked = ids.select(F.col("id").alias("a")).join(hubs, "a", "left")
+    asked = asked.select("a", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    return asked.join(edges, ["a", "part"]).select(F.col("b").alias("id")).distinct()
+
+
 def reached(relations: DataFrame, focal: DataFrame, depth: int) -> DataFrame:
     """id, depth of the nodes at most ``depth`` steps from the focal ids; directions do not matter.
 
-    One join of the frontier with the edges for each level. Levels are written to
-    the checkpoint folder, so the plan stays short and the work ends when a level is empty.
+    Each level joins the frontier with the bucketed edges, which are shuffled once
+    whatever the depth. Levels are written to the checkpoint folder, so the plan
+    stays short and the work ends when a level is empty.
     """
-    from talelake.plans.lineage import cut
-
-    pairs = relations.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).where("a <> b")
-    pairs = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    edges, hubs = adjacency(relations)
     seen = cut(focal.select("id").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for level in range(1, depth + 1):
-        step = frontier.join(pairs, frontier["id"] == pairs["a"]).select(F.col("b").alias("id")).distinct()
+        step = neighbours(frontier, edges, hubs)
         frontier = cut(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(level)))
         if not frontier.limit(1).count():
             break
@@ -125,12 +149,53 @@ def types_by_name(entities: DataFrame) -> DataFrame:
     return entities.select("type").distinct().orderBy(F.collate("type", "pt"))
 
 
-def entity_sheet(entities: DataFrame, attributes: DataFrame, relations: DataFrame, mentions: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Entities with their attributes, incident relations and mentioning chapters as arrays, in order."""
-    attrs = attributes.groupBy(F.col("entity_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("sort_order", "key", "value"))).alias("attributes"))
-    around = incident_edges(relations, entities).groupBy(F.col("entity_id").alias("id"))
-    around = around.agg(F.array_sort(F.collect_list(F.struct("side", F.col("id").alias("relation_id"), "label", "other_id", "other_name", "other_type"))).alias("relations"))
+def attribute_items(attributes: DataFrame) -> DataFrame:
+    """Attributes as rows of their entities' sheets."""
+    return attributes.select(F.col("entity_id").alias("id"), "sort_order", "key", "value")
+
+
+def relation_items(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """Incident relations as rows of their entities' sheets."""
+    return incident_edges(relations, entities).select(F.col("entity_id").alias("id"), "side", F.col("id").alias("relation_id"), "label", "other_id", "other_name", "other_type")
+
+
+def mention_items(mentions: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Mentioning chapters as rows of their entities' sheets."""
     chapters = catalogue.select(F.col("id").alias("chapter_id"), "title", "story_order", "book_order", "sort_order")
-    told = mentions.join(chapters, "chapter_id").groupBy(F.col("entity_id").alias("id"))
-    told = told.agg(F.array_sort(F.collect_list(F.struct("story_order", "book_order", "sort_order", "chapter_id", "title"))).alias("mentions"))
-    return entities.join(attrs, "id", "left").join(around, "id", "left").join(told, "id", "left")
+    return mentions.join(chapters, "chapter_id").select(F.col("entity_id").alias("id"), "story_order", "book_order", "sort_order", "chapter_id", "title")
+
+
+def sheet_pages(items: DataFrame, size: int = PAGE) -> DataFrame:
+    """id, page (from 0) and items: the rows of each id's sheet, ordered by their columns from left to right.
+
+    A page has ``size`` rows, the last one what is left, so no row grows with the data,
+    and an entity that is mentioned everywhere is numbered by ranges, not in one task.
+    Equal rows stay; an id without rows has no page.
+    """
+    columns = [c for c in items.columns if c != "id"]
+    placed = numbered(items, "id", [F.col(c) for c in columns])
+    pages = placed.groupBy("id", F.floor((F.col("place") - 1) / size).alias("page"))
+    listed = pages.agg(F.array_sort(F.collect_list(F.struct("place", *columns))).alias("items"))
+    return listed.withColumn("items", F.transform("items", lambda i: F.struct(*(i[c].alias(c) for c in columns))))
+
+
+def sheet_heads(entities: DataFrame, **sections: DataFrame) -> DataFrame:
+    """Entities with n_<section> of each section's rows: what a sheet shows before a page is asked for."""
+    heads = entities
+    for name, items in sections.items():
+        heads = heads.join(items.groupBy("id").agg(F.count(F.lit(1)).alias(f"n_{name}")), "id", "left")
+    return heads.fillna(0, [f"n_{name}" for name in sections])
+
+
+def entity_sheet(entities: DataFrame, attributes: DataFrame, relations: DataFrame, mentions: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Entities with their attributes, incident relations and mentioning chapters as arrays, in order: whole sheets, for a few entities.
+
+    A row holds all that its entity has; ``sheet_heads`` and ``sheet_pages`` read sheets of any length.
+    """
+
+    def listed(items: DataFrame, name: str) -> DataFrame:
+        return items.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(*(c for c in items.columns if c != "id")))).alias(name))
+
+    sheets = entities.join(listed(attribute_items(attributes), "attributes"), "id", "left")
+    sheets = sheets.join(listed(relation_items(relations, entities), "relations"), "id", "left")
+    return sheets.join(listed(mention_items(mentions, catalogue), "mentions"), "id", "left")

@@ -91,10 +91,31 @@ _MENTIONS = ", m AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS chapter_id,
 def q03_entity_sheet(spark, sf_dir):
     entities, relations, catalogue, told = _sheet_inputs(spark, sf_dir)
     attributes = entities.select(F.col("id").alias("entity_id"), F.explode(F.array(F.struct(F.lit(0).alias("sort_order"), F.lit("brand").alias("key"), F.col("description").alias("value")), F.struct(F.lit(1).alias("sort_order"), F.lit("kind").alias("key"), F.col("type").alias("value")))).alias("a"))
-    sheet = graph.entity_sheet(entities, attributes.select("entity_id", "a.*"), relations, told, catalogue)
-    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    joined = F.array_join(F.transform("attributes", lambda a: a["value"]), "/")
-    return sheet.select("id", "name", F.greatest(size("relations"), F.lit(0)).alias("n_relations"), F.greatest(size("mentions"), F.lit(0)).alias("n_mentions"), joined.alias("attributes"))
+    items = graph.attribute_items(attributes.select("entity_id", "a.*"))
+    first = graph.sheet_pages(items).where("page = 0").select("id", F.array_join(F.transform("items", lambda i: i["value"]), "/").alias("attributes"))
+    heads = graph.sheet_heads(entities, relations=graph.relation_items(relations, entities), mentions=graph.mention_items(told, catalogue))
+    return heads.join(first, "id", "left").select("id", "name", "n_relations", "n_mentions", "attributes")
+
+
+@query(
+    _MENTIONS + """, i AS (SELECT 'relations' AS section, x.id AS id, concat(x.side, '|', x.rid, '|', x.label, '|', o.name) AS t, row_number() OVER (PARTITION BY x.id ORDER BY x.side, x.rid) AS k
+      FROM (SELECT id AS rid, label, source_id AS id, target_id AS other, 'source' AS side FROM relations UNION ALL SELECT id, label, target_id, source_id, 'target' FROM relations) x JOIN entities o ON o.id = x.other
+      UNION ALL SELECT 'mentions', m.entity_id, c.title, row_number() OVER (PARTITION BY m.entity_id ORDER BY s.sort_order, b.sort_order, c.sort_order, c.id)
+      FROM m JOIN chapters c ON c.id = m.chapter_id JOIN books b ON b.id = c.book_id JOIN stories s ON s.id = b.story_id)
+    SELECT section, id, (k - 1) // 20 AS page, count(*) AS n, md5(string_agg(t, ',' ORDER BY k)) AS contents FROM i GROUP BY ALL""",
+    "entities", "relations", "chapters", "books", "stories",
+)
+def q03_sheet_pages(spark, sf_dir):
+    entities, relations, catalogue, told = _sheet_inputs(spark, sf_dir)
+    lines = {
+        "relations": (graph.relation_items(relations, entities), lambda r: F.concat_ws("|", r["side"], r["relation_id"], r["label"], r["other_name"])),
+        "mentions": (graph.mention_items(told, catalogue), lambda m: m["title"]),
+    }
+    found = None
+    for section, (items, line) in lines.items():
+        pages = graph.sheet_pages(items, 20).select(F.lit(section).alias("section"), "id", "page", F.size("items").cast("long").alias("n"), F.md5(F.array_join(F.transform("items", line), ",")).alias("contents"))
+        found = pages if found is None else found.unionByName(pages)
+    return found
 
 
 @query(

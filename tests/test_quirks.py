@@ -206,3 +206,40 @@ def test_search(spark):
     assert [r.id for r in search.recent(made(spark, "entities", {"id": "a", "updated_at": "1"}, {"id": "b", "updated_at": "2"}), 1).collect()] == ["b"]
     assert {r.id for r in search.toggled(e.where("id < '3'"), e.where("id > '1'")).collect()} == {"1", "3"}
     assert [r.id for r in search.global_search(sources, " ea ").collect()] == ["2"] and search.global_search(sources, "e").count() == 0
+
+
+def test_walks_read_edges_by_bucket(spark):
+    """A hub falls into parts, and a level shuffles the frontier alone."""
+    ids = [str(k) for k in range(40)]
+    star = made(spark, "relations", *({"id": f"r{k}", "source_id": "hub" if k % 2 else i, "target_id": i if k % 2 else "hub"} for k, i in enumerate(ids)), {"id": "x", "source_id": "5", "target_id": "far"}, {"id": "y", "source_id": "5", "target_id": "far"})
+    edges, hubs = graph.adjacency(star, hub=10)
+    assert [tuple(r) for r in hubs.collect()] == [("hub", 4)]
+    assert edges.where("a = 'hub'").select("part").distinct().count() > 1 and edges.count() == 2 * len(ids) + 2
+    focal = spark.createDataFrame([("hub",), ("far",)], "id string")
+    assert {r.id for r in graph.neighbours(focal, edges, hubs).collect()} == set(ids)
+    assert {(r.id, r.depth) for r in graph.reached(star, focal.where("id = 'far'"), 3).collect()} == {("far", 0), ("5", 1), ("hub", 2), *((i, 3) for i in ids if i != "5")}
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = graph.neighbours(focal, edges, hubs)._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    scan = next(k for k, line in enumerate(plan) if "FileScan" in line and "Bucketed: true" in line)
+    join = max(k for k, line in enumerate(plan[:scan]) if "SortMergeJoin [a" in line and "part" in line)
+    # what stands between the join and the scan with no deeper branch than the scan's own
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    chain, below = [], depth(plan[scan])
+    for line in reversed(plan[join + 1 : scan]):
+        if depth(line) < below:
+            chain.append(line)
+            below = depth(line)
+    assert not any("Exchange" in line for line in chain), plan
+
+
+def test_sheets_by_page(spark):
+    items = spark.createDataFrame([("a", k, f"v{k % 3}") for k in range(7)] + [("b", 1, "x"), ("b", 1, "x"), ("c", None, None)], "id string, k int, v string")
+    pages = {(r.id, r.page): [tuple(i) for i in r["items"]] for r in graph.sheet_pages(items, 3).collect()}
+    assert pages == {("a", p): [(k, f"v{k % 3}") for k in range(3 * p, min(3 * p + 3, 7))] for p in range(3)} | {("b", 0): [(1, "x")] * 2, ("c", 0): [(None, None)]}
+    assert graph.sheet_pages(items.limit(0)).count() == 0
+    e = made(spark, "entities", {"id": "a"}, {"id": "z"})
+    assert {(r.id, r.n_told) for r in graph.sheet_heads(e, told=items).collect()} == {("a", 7), ("z", 0)}
