@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talelake.functions.schemas import FALLBACK_SHAPE, shapes
-from talelake.plans.lineage import bucketed, cut
+from talelake.plans.lineage import bucketed, cut, stored
 from talelake.plans.positions import numbered
 
 #: From this depth on the whole graph is shown.
@@ -101,9 +101,10 @@ def adjacency(relations: DataFrame, hub: int = HUB) -> tuple[DataFrame, DataFram
     """
     pairs = relations.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).where("a <> b")
     pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    hubs = cut(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / hub).cast("int").alias("parts")).where("parts > 1"))
+    # written as a table, so that its size is known and decides on how it is joined
+    hubs = stored(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / hub).cast("int").alias("parts")).where("parts > 1"))
     part = F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), F.lit(0))
-    return bucketed(pairs.distinct().join(hubs, "a", "left").select("a", part.alias("part"), "b"), ["a", "part"]), hubs
+    return bucketed(pairs.join(hubs, "a", "left").select("a", part.alias("part"), "b"), ["a", "part"], distinct=True), hubs
 
 
 def neighbours(ids: DataFrame, edges: DataFrame, hubs: DataFrame) -> DataFrame:

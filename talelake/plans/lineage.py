@@ -70,17 +70,17 @@ class Scratch:
         self.tables.clear()
 
 
-def bucketed(df: DataFrame, keys: list[str]) -> DataFrame:
+def bucketed(df: DataFrame, keys: list[str], distinct: bool = False) -> DataFrame:
     """df, computed once and written to the session's checkpoint folder in ``spark.sql.shuffle.partitions`` buckets of the keys.
 
-    Joins and groupings by just these keys read it without a shuffle.
+    Joins and groupings by just these keys read it without a shuffle. distinct: equal rows once, which takes no shuffle more.
     """
     _folder(df)
     spark = df.sparkSession
     n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"bucketed_{uuid.uuid4().hex}"
     path = f"{spark.sparkContext.getCheckpointDir()}/{name}"
-    # dealt like the buckets, so that each is one file
-    df.repartition(n, *keys).write.option("path", path).option("compression", "zstd").bucketBy(n, *keys).sortBy(*keys).saveAsTable(name)
+    dealt = df.repartition(n, *keys)  # like the buckets, so that each is one file
+    (dealt.distinct() if distinct else dealt).write.option("path", path).option("compression", "zstd").bucketBy(n, *keys).sortBy(*keys).saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the name alone: the files are outside the warehouse and stay
     return table

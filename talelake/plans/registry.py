@@ -999,3 +999,152 @@ def k13_insert_absent(spark, sf_dir):
     odd = F.col("entity_id").cast("long") % 2 == 1
     asked = told.withColumn("entity_id", F.when(odd, F.concat("entity_id", F.lit("x"))).otherwise(F.col("entity_id"))).withColumn("created_at", F.lit("new"))
     return dml.insert_absent(told, asked.unionByName(asked), ["chapter_id", "entity_id"]).select("chapter_id", "entity_id", "created_at")
+
+
+@query(
+    """ SELECT u.id, (SELECT count(*) FROM entities e WHERE e.universe_id = u.id AND e.type = t.kind) AS n, t.kind FROM universes u,
+    (SELECT unnest(['PROMO', 'LARGE', 'Personagem']) AS kind) t""",
+    "universes", "entities",
+)
+def a07_counts_of_types(spark, sf_dir):
+    found = hierarchy.universe_statistics(*_views(spark, sf_dir, "universes", "stories", "books", "chapters", "entities"))
+    kinds = ["PROMO", "LARGE", "Personagem"]
+    asked = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), hierarchy.count_of_type(F.col("entity_counts"), k).alias("n")) for k in kinds))).alias("a")
+    return found.select("id", asked).select("id", "a.n", "a.kind")
+
+
+_ACCENTED = "CASE type WHEN 'PROMO' THEN 'Órgão' WHEN 'SMALL' THEN 'lugar' WHEN 'LARGE' THEN 'Ânimo' WHEN 'ECONOMY' THEN 'época' ELSE type END"
+
+
+@query(f" SELECT type, row_number() OVER (ORDER BY lower(strip_accents(type))) AS place FROM (SELECT DISTINCT {_ACCENTED} AS type FROM entities)", "entities")
+def o04_types_in_order(spark, sf_dir):
+    (entities,) = _views(spark, sf_dir, "entities")
+    found = graph.types_by_name(entities.withColumn("type", F.expr(_ACCENTED))).withColumn("n", F.monotonically_increasing_id())
+    return found.select("type", F.row_number().over(Window.orderBy("n")).cast("long").alias("place"))  # a few types
+
+
+@query(" SELECT id, title, updated_at FROM chapters ORDER BY updated_at DESC, id LIMIT 8", "chapters")
+def o05_recent_chapters(spark, sf_dir):
+    (chapters,) = _views(spark, sf_dir, "chapters")
+    return search.recent(chapters).select("id", "title", "updated_at")
+
+
+@query(
+    """, s AS (SELECT id FROM entities WHERE canon_status = 'CANON'), c AS (SELECT id FROM entities WHERE type IN ('PROMO', 'LARGE'))
+    (SELECT id FROM s EXCEPT SELECT id FROM c) UNION ALL (SELECT id FROM c EXCEPT SELECT id FROM s)""",
+    "entities",
+)
+def o12_toggled_selection(spark, sf_dir):
+    (entities,) = _views(spark, sf_dir, "entities")
+    return search.toggled(entities.where("canon_status = 'CANON'"), entities.where("type IN ('PROMO', 'LARGE')"))
+
+
+@query(
+    """SELECT event_id, CASE event_id % 5 WHEN 2 THEN concat('dia ', event_id) WHEN 3 THEN 'Sem data' WHEN 4 THEN 'Sem data' ELSE
+    concat(strftime(ts, '%d'), ' de ', ['jan.', 'fev.', 'mar.', 'abr.', 'mai.', 'jun.', 'jul.', 'ago.', 'set.', 'out.', 'nov.', 'dez.'][month(ts)], ' de ', strftime(ts, '%Y')) END AS shown FROM events"""
+)
+def n10_date_texts(spark, sf_dir):
+    kinds = [F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.date_format("ts", "yyyy-MM-dd"), F.concat(F.lit("dia "), F.col("event_id").cast("string")), F.lit(""), F.lit(None).cast("string")]
+    given = F.element_at(F.array(*kinds), (F.col("event_id") % 5 + 1).cast("int"))
+    return _table(spark, sf_dir, "events").select("event_id", text.date_text(given).alias("shown"))
+
+
+_IMAGES = "CASE CAST(id AS BIGINT) % 6 WHEN 1 THEN replace(image, 'png', 'jpg') WHEN 2 THEN replace(image, 'png', 'svg+xml') WHEN 3 THEN concat(image, ' ') WHEN 4 THEN replace(image, 'AA', 'A-') WHEN 5 THEN concat('x', image) ELSE image END"
+
+
+@query(f" SELECT id, image <> '' AND CAST(id AS BIGINT) % 6 < 2 AS shown, {_IMAGES} AS image FROM entities", "entities")
+def n24_image_urls(spark, sf_dir):
+    (entities,) = _views(spark, sf_dir, "entities")
+    given = entities.select("id", F.expr(_IMAGES).alias("image"))
+    return given.select("id", text.is_image_url(F.col("image")).alias("shown"), "image")
+
+
+@query(
+    """SELECT event_id, lower(hex(encode(props))) AS bytes, value, CASE WHEN event_id % 3 > 0 THEN event_type END AS kind, event_id % 3 = 0 AS null_kept
+    FROM events"""
+)
+def s05_typed_rows(spark, sf_dir):
+    """Whole numbers, fractions, text, nulls and bytes through a snapshot's JSON and back."""
+    rows = _table(spark, sf_dir, "events").select("event_id", F.encode("props", "UTF-8").alias("bytes"), "value", F.when(F.col("event_id") % 3 > 0, F.col("event_type")).alias("kind"))
+    of = lambda c: F.get_json_object("row", f"$.{c}")
+    kept = F.array_contains(F.json_object_keys("row"), "kind") & of("kind").isNull()
+    return snapshots.export_rows(rows, "events").select(of("event_id").cast("long").alias("event_id"), of("bytes").alias("bytes"), of("value").cast("double").alias("value"), of("kind").alias("kind"), kept.alias("null_kept"))
+
+
+_TABLE_NAMES = ["universes", "stories", "books", "chapters", "entities", "relations", "mentions", "timeline_events", "planning_items"]
+
+
+@query(
+    "".join(f"{' UNION ALL' if k else ''} SELECT '{n}' AS name, count(*) AS n FROM {n}" for k, n in enumerate(_TABLE_NAMES))
+    + " UNION ALL SELECT 'entity_attributes', 2 * count(*) FROM entities UNION ALL SELECT 'entity_templates', count(DISTINCT (universe_id, type)) FROM entities UNION ALL SELECT 'attachments', count(*) FROM entities WHERE image <> ''",
+    *_TABLE_NAMES,
+)
+def s04_snapshot_of_all_tables(spark, sf_dir):
+    """All twelve tables; one that is not synced is left out."""
+    tables = dict(zip(_TABLE_NAMES, _views(spark, sf_dir, *_TABLE_NAMES), strict=True))
+    entities = tables["entities"]
+    attribute = F.explode(F.array(*(F.struct(F.lit(k).alias("sort_order"), F.lit(c).alias("key"), F.col(c).alias("value")) for k, c in enumerate(("description", "canon_status"))))).alias("a")
+    tables["entity_attributes"] = entities.select(F.col("id").alias("entity_id"), attribute).select(F.concat_ws("-", "entity_id", "a.key").alias("id"), "entity_id", "a.*")
+    tables["entity_templates"] = entities.select("universe_id", F.col("type").alias("entity_type")).distinct().withColumn("id", F.concat_ws("-", "universe_id", "entity_type"))
+    tables["attachments"] = entities.where("image <> ''").select("id", "universe_id", F.lit("entity").alias("owner_type"), F.col("id").alias("owner_id"), F.col("image").alias("data_url"))
+    tables["settings"] = entities.select("id")
+    return snapshots.row_counts(snapshots.export_snapshot(tables))
+
+
+@query(
+    """, l AS (SELECT id, label, importance, created_at FROM relations WHERE label <> 'F' OR importance <> 'alta'), r AS (SELECT id, concat('novo ', label) AS label, created_at FROM relations WHERE importance <> 'normal')
+    SELECT coalesce(l.id, r.id) AS id, coalesce(r.label, l.label) AS label, coalesce(l.importance, 'normal') AS importance, coalesce(r.created_at, l.created_at) AS created_at FROM l FULL JOIN r ON l.id = r.id""",
+    "relations",
+)
+def m05_merge_without_times(spark, sf_dir):
+    """Relations have no time of change, so a snapshot's always win, for the keys that they have; its rows without id and unknown tables are left out."""
+    (relations,) = _views(spark, sf_dir, "relations")
+    given = relations.where("importance <> 'normal'").select("id", "universe_id", "source_id", "target_id", "type", F.concat(F.lit("novo "), "label").alias("label"), "created_at")
+    sent = snapshots.export_snapshot({"relations": given}).unionByName(snapshots.export_rows(given.drop("id"), "relations")).unionByName(snapshots.export_rows(given, "settings"))
+    local = with_defaults(relations.where("label <> 'F' OR importance <> 'alta'"), "relations", NOW)
+    remote = {"relations": snapshots.import_table(sent, "relations", given.columns), "settings": given}
+    return merge.merge_snapshot({"relations": local}, remote, NOW, check=False).tables["relations"].select("id", "label", "importance", "created_at")
+
+
+_ENVELOPE = """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 2 ELSE 1 END AS version, CASE WHEN o_orderkey % 11 = 0 THEN 'A128GCM' ELSE 'A256GCM' END AS algorithm,
+CASE o_orderkey % 13 WHEN 0 THEN 'abcdefghijklmno' WHEN 1 THEN 'abcdefghijklmn+/' WHEN 2 THEN NULL ELSE 'abcdefghijklm-_9' END AS iv,
+CASE o_orderkey % 17 WHEN 0 THEN repeat('A', 23) WHEN 1 THEN repeat('A', 24) WHEN 2 THEN concat(repeat('A', 30), '=') ELSE concat(repeat('b', 40), CAST(o_custkey AS {str})) END AS ciphertext,
+CAST(CASE o_orderkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 7 WHEN 2 THEN 30 WHEN 3 THEN 7 ELSE 8 END AS INTEGER) AS days FROM {orders}"""
+
+
+@query(
+    f"""WITH e AS ({_ENVELOPE.format(str='VARCHAR', orders='orders')}) SELECT id, coalesce(version = 1 AND algorithm = 'A256GCM' AND iv = 'abcdefghijklm-_9' AND length(ciphertext) >= 24 AND NOT contains(ciphertext, '=') AND days <> 8, false) AS valid FROM e"""
+)
+def f11_envelope_fields(spark, sf_dir):
+    rows = spark.sql(_ENVELOPE.replace("{str}", "STRING"), orders=_table(spark, sf_dir, "orders"))
+    envelope = F.struct("version", "algorithm", "iv", "ciphertext")
+    return rows.select("id", share.valid_envelope(envelope, F.col("days")).alias("valid"))
+
+
+@query(
+    f"""WITH e AS ({_ENVELOPE.format(str='VARCHAR', orders='orders')}), v AS (SELECT * FROM e WHERE version = 1 AND algorithm = 'A256GCM' AND iv = 'abcdefghijklm-_9' AND length(ciphertext) >= 24 AND NOT contains(ciphertext, '=') AND days <> 8)
+    SELECT days, count(*) AS n, count(*) AS ids, count(*) AS tokens, count(*) AS formed, count(*) AS hashed, strftime(TIMESTAMP '2024-01-12 00:00:00' + to_days(days), '%Y-%m-%d') AS ends FROM v GROUP BY days"""
+)
+def k14_new_shares(spark, sf_dir):
+    """Ids and tokens are random, so what must hold of all of them is counted."""
+    rows = spark.sql(_ENVELOPE.replace("{str}", "STRING"), orders=_table(spark, sf_dir, "orders"))
+    made = share.new_shares(rows.select(F.struct("version", "algorithm", "iv", "ciphertext").alias("envelope"), "days"), F.lit("2024-01-12 00:00:00").cast("timestamp_ntz"))
+    made = made.withColumn("days", F.datediff("expires_at", "created_at"))
+    formed = F.col("id").rlike("^[A-Za-z0-9_-]{16}$") & F.col("revoke_token").rlike("^[A-Za-z0-9_-]{32}$")
+    return made.groupBy("days").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.count_distinct("revoke_token").alias("tokens"), F.count_if(formed).alias("formed"),
+        F.count_if(F.col("revoke_hash") == F.sha2("revoke_token", 256)).alias("hashed"), F.date_format(F.max("expires_at"), "yyyy-MM-dd").alias("ends"),
+    )
+
+
+@query("SELECT doc_id, coalesce(octet_length(encode(text)), 0) <= 2000 AS allowed FROM documents WHERE text IS NOT NULL")
+def t05_body_limits(spark, sf_dir):
+    documents = _table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return documents.select("doc_id", events.body_allowed(F.col("text"), 2000).alias("allowed"))
+
+
+@query(" SELECT id, story_id, name FROM books UNION ALL SELECT concat('new-', id), id, concat('Livro de ', name) FROM stories", "books", "stories")
+def k01_inserts(spark, sf_dir):
+    books, stories = _views(spark, sf_dir, "books", "stories")
+    rows = with_defaults(stories.select(F.concat(F.lit("new-"), "id").alias("id"), F.col("id").alias("story_id"), F.concat(F.lit("Livro de "), "name").alias("name")), "books", NOW)
+    return dml.insert(with_defaults(books, "books", NOW), rows).select("id", "story_id", "name")
