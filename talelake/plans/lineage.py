@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _folder(df: DataFrame) -> None:
@@ -20,6 +20,12 @@ def _folder(df: DataFrame) -> None:
         sc.setCheckpointDir(shared)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in that folder that nothing has."""
+    _folder(spark.range(0))
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and written to the session's ``spark.checkpoint.dir``.
 
@@ -39,8 +45,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def _written(df: DataFrame) -> tuple[DataFrame, str]:
-    _folder(df)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, "table")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talelake.functions import text
-from talelake.functions.schemas import DEFAULT_ATTRIBUTES, with_defaults
+from talelake.functions.schemas import DEFAULT_ATTRIBUTES, SYNCED, empty, with_defaults
 from talelake.operators import boards, changes, dml, graph, hierarchy, mentions, merge, reads, search, share
+from talelake.operators.mention_index import MentionIndex
+from talelake.plans.lineage import new_path
 from talelake.plans.positions import numbered
-from talelake.sources import snapshots
+from talelake.sources import shares, snapshots
 from talelake.sources.views import view, with_views
 from talelake.streaming import events
 
@@ -1148,3 +1150,52 @@ def k01_inserts(spark, sf_dir):
     books, stories = _views(spark, sf_dir, "books", "stories")
     rows = with_defaults(stories.select(F.concat(F.lit("new-"), "id").alias("id"), F.col("id").alias("story_id"), F.concat(F.lit("Livro de "), "name").alias("name")), "books", NOW)
     return dml.insert(with_defaults(books, "books", NOW), rows).select("id", "story_id", "name")
+
+
+@query(
+    f"WITH {_NAMES}, {_LINES}, t AS (SELECT text_id, trim(lower(strip_accents(array_to_string(ps, ' ')))) AS t FROM lines), {_FOUND} SELECT CAST(text_id AS VARCHAR) AS chapter_id, entity_id FROM found"
+)
+def t06_index_after_saves(spark, sf_dir):
+    """An index of older texts and half of the names, then the saved texts and the other names: what a full rebuild finds."""
+    chapters = _pages(spark, sf_dir).select(F.col("text_id").alias("id"), F.col("html").alias("content"))
+    names = _names(spark, sf_dir).select(F.col("entity_id").alias("id"), "name")
+    saved, early = F.pmod(F.xxhash64("id"), F.lit(3)) == 0, F.pmod(F.xxhash64("id", F.lit("name")), F.lit(2)) == 0
+    index = MentionIndex(spark, new_path(spark, "index"), buckets=8, key_buckets=8)
+    index.build(chapters.withColumn("content", F.when(saved, F.concat(F.lit("<p>before"), F.reverse("content"), F.lit("</p>"))).otherwise(F.col("content"))), names.where(early))
+    index.save(chapters.where(saved))
+    index.add(names.where(~early))
+    return index.read()
+
+
+@query(
+    f""", o AS ({_OUTCOME}) SELECT 'chapter' AS kind, id, CASE WHEN outcome IN ('insert', 'update') THEN rt ELSE lt END AS a, CASE WHEN outcome IN ('insert', 'update') THEN rc ELSE lc END AS b FROM o
+    UNION ALL SELECT 'conflict', id, lc, rc FROM o WHERE outcome = 'conflict' UNION ALL SELECT 'revision', id, lt, lc FROM o WHERE outcome = 'update' AND (lt <> rt OR lc <> rc)""",
+    "local_chapters", "remote_chapters",
+)
+def k16_committed_merge(spark, sf_dir):
+    """A merge into a folder of versions: tables, conflicts and revisions as the commit shows them."""
+    names = ["universes", "stories", "books"]
+    local, remote, *parents = _views(spark, sf_dir, "local_chapters", "remote_chapters", *names)
+    tables = {name: empty(spark, name) for name in SYNCED} | {name: with_defaults(df, name, NOW) for name, df in zip(["chapters", *names], [local, *parents], strict=True)}
+    folder = new_path(spark, "workspace")
+    snapshots.write_version(tables, folder, "v1")
+    snapshots.publish(spark, folder, "v1", NOW)
+    merge.merge_into(spark, folder, {"chapters": remote}, "v2", NOW)
+    chapters = snapshots.read_tables(spark, snapshots.current_version(spark, folder), ["chapters"])["chapters"]
+    row = lambda kind, *columns: [F.lit(kind).alias("kind"), *(F.col(c).alias(n) for c, n in zip(columns, ("id", "a", "b"), strict=True))]
+    found = chapters.select(*row("chapter", "id", "title", "content"))
+    found = found.unionByName(snapshots.read_history(spark, folder, "sync_conflicts").select(*row("conflict", "aggregate_id", "local_value", "remote_value")))
+    return found.unionByName(snapshots.read_history(spark, folder, "chapter_revisions").select(*row("revision", "chapter_id", "title", "content")))
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS id FROM events WHERE ts + CASE event_id % 3 WHEN 0 THEN INTERVAL 1 DAY WHEN 1 THEN INTERVAL 7 DAY ELSE INTERVAL 30 DAY END > TIMESTAMP '2024-01-20 06:00:00'")
+def s08_live_shares(spark, sf_dir):
+    """Shares in a store by expiry day, after the days that are over have gone."""
+    rows, path = _table(spark, sf_dir, "events"), new_path(spark, "shares")
+    days = F.element_at(F.array(*map(F.lit, share.DAYS)), (F.col("event_id") % 3 + 1).cast("int"))
+    now, at = F.lit("2024-01-20 06:00:00").cast("timestamp"), F.col("ts").cast("timestamp")
+    envelope = F.struct(F.lit(1).alias("version"), F.lit("A256GCM").alias("algorithm"), F.lit("abcdefghijklmnop").alias("iv"), F.col("props").alias("ciphertext"))
+    token = F.concat(F.lit("t"), F.col("event_id").cast("string"))
+    shares.store(rows.select(F.col("event_id").cast("string").alias("id"), token.alias("revoke_token"), F.sha2(token, 256).alias("revoke_hash"), at.alias("created_at"), share.expires_at(at, days).alias("expires_at"), envelope.alias("envelope")), path)
+    shares.drop_expired_days(spark, path, now)
+    return shares.read_live(spark, path, now).select("id")
