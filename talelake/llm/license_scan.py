@@ -140,7 +140,9 @@ def find_blocks(docs: DataFrame, templates: list[Template], least: float = LEAST
     blocks = F.when(F.col("template").isNull(), F.array(F.lit(0))).when(k > 0, F.array(k, k - 1)).otherwise(F.array(k))
     cut = found.withColumn("k", F.explode_outer(blocks)).withColumn("start", F.col("k") * step)
     cut = cut.where(F.col("template").isNull() | ((F.col("start") >= F.col("low")) & (F.col("start") < F.col("low") + PART)))
-    cut = cut.withColumn("block", F.when(F.col("template").isNotNull(), F.slice("words", F.col("start") - F.col("low") + 1, 2 * step)))
+    # bounded, as Spark may evaluate this before the filter, and fails at place 0
+    first = F.greatest(F.col("start") - F.col("low") + 1, F.lit(1))
+    cut = cut.withColumn("block", F.when(F.col("template").isNotNull(), F.slice("words", first, F.greatest(2 * step, F.lit(0)))))
     known = F.array_intersect(F.lit(order), block)  # the block's words that matter, in the global order
     n = F.size("tokens")
     left = F.least(n - F.col("place"), F.size(known) - F.array_position(known, F.col("word")).cast("int") + 1)

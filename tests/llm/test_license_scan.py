@@ -72,3 +72,11 @@ def test_no_python(spark):
     plan = ls.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_blocks_that_begin_one_word_before_a_part(spark):
+    """A word that opens a part, in a block that the part before has: slice was asked for place 0."""
+    texts = ["word " * k + "general public license cc by all rights reserved" for k in range(ls.PART - 8, ls.PART + 3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    found = sorted(tuple(x) for x in ls.scan(docs).collect())
+    assert found == [(k, *brute(t, [*ls.PHRASES, *ls.NOTICES], ls.LEAST)) for k, t in enumerate(texts)]
