@@ -75,8 +75,17 @@ def mentions(norm_text: Column, norm_name: Column) -> Column:
 
 def is_dialogue(norm_paragraph: Column, norm_name: Column) -> Column:
     """A leading dash, a quotation mark anywhere, a verb of speech, or a leading "name:"."""
-    signs = norm_paragraph.rlike(_DIALOGUE)
-    return signs | norm_paragraph.startswith(F.concat(norm_name, F.lit(":")))
+    return has_dialogue_signs(norm_paragraph) | is_called(norm_paragraph, norm_name)
+
+
+def has_dialogue_signs(norm_paragraph: Column) -> Column:
+    """Dialogue, whatever the name."""
+    return norm_paragraph.rlike(_DIALOGUE)
+
+
+def is_called(norm_paragraph: Column, norm_name: Column) -> Column:
+    """A leading "name:"."""
+    return norm_paragraph.startswith(F.concat(norm_name, F.lit(":")))
 
 
 def first_url(text: Column) -> Column:

@@ -75,3 +75,22 @@ def test_search_has_no_python(spark):
     hits = search.global_search([source], "avila")
     assert [r.id for r in hits.collect()] == ["1"]
     assert "Python" not in hits._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("few", [1 << 17, 0])
+def test_insights_carry_places_not_paragraphs(spark, monkeypatch, few):
+    """No exchange has both entities and paragraphs: each pair once took its whole paragraph along."""
+    monkeypatch.setattr(mentions, "NAMES", few)
+    html = "<p>Ana: oi</p><p>ana e Bia</p><p>— Bia</p><p>\u201cAna\u201d</p><p>Bia disse</p><p>- ana, bia</p><p>bia gritou</p>"
+    content = spark.createDataFrame([(1, html), (2, "<p>Bia</p>"), (3, None)], "text_id long, html string")
+    characters = spark.createDataFrame([("a", "Ana"), ("b", "Bia"), ("c", "Caio")], "entity_id string, name string")
+    told = spark.createDataFrame([("a", "9", 1, 0, 0), ("a", "8", 0, 5, 0), ("c", "7", 0, 0, 0)], "entity_id string, chapter_id string, story_order int, book_order int, sort_order int")
+    found = mentions.insights(content, characters, told)
+    assert sorted(tuple(r) for r in found.collect()) == [
+        (1, "a", ["Ana: oi", "\u201cAna\u201d", "- ana, bia"], "8"), (1, "b", ["— Bia", "Bia disse", "- ana, bia"], None), (2, "b", [], None),
+    ]
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    for moved in re.findall(r"\) (?:Exchange|BroadcastExchange)\nInput \[\d+\]: \[(.*)\]", plan):
+        assert not ("paragraph" in moved and "entity_id" in moved), moved
+    one = mentions.text_insights(content.where("text_id = 1"), characters, told)
+    assert sorted((r.entity_id, r.mentioned, len(r.snippets), r.first_chapter) for r in one.collect()) == [("a", True, 3, "8"), ("b", True, 3, None), ("c", False, 0, "7")]
