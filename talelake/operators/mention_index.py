@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from talelake.functions.text import html_paragraphs, normalise
 from talelake.operators import mentions
-from talelake.plans.lineage import cut
+from talelake.plans.lineage import Scratch, cut
 
 
 class MentionIndex:
-    """Texts, names, mentions and a table of keys (key, text_id) in a folder.
+    """Texts, names, mentions and a table of keys (text_id, its keys of a bucket) in a folder.
 
     Texts, mentions and keys are laid out by the text's bucket, keys by their own, too
     (buckets: a fixed hash of the id or key). ``save`` reads and writes the buckets of the
@@ -39,7 +39,7 @@ class MentionIndex:
             blank = blank.join(F.broadcast(self.spark.range(self.key_buckets).select(F.col("id").cast("int").alias("key_bucket"))))
         parts = ["key_bucket", "bucket"] if by_key else ["bucket"]
         rows = rows.unionByName(blank, allowMissingColumns=True).repartition(*parts)
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(f"{self.folder}/{name}")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*parts).parquet(f"{self.folder}/{name}")
 
     def build(self, chapters: DataFrame, entities: DataFrame) -> None:
         """A new index. chapters: id, content; entities: id, name."""
@@ -54,20 +54,30 @@ class MentionIndex:
     def _store(self, chapters: DataFrame, touched: list[int], old: bool) -> None:
         # the file sink spells ids in its own type: all are text
         own = chapters.select(F.col("id").cast("string").alias("text_id"), F.array_join(html_paragraphs("content"), " ").alias("text"), self._bucket("id"))
-        texts = cut(own.withColumn("text", normalise("text")))
-        found = mentions.find_mentions(texts, self._read("names")).select("text_id", "entity_id", F.col("text_id").alias("_id"))
-        found = found.join(texts.select("text_id", "bucket").distinct(), "text_id").select("text_id", "entity_id", "bucket")
-        keys = texts.select("text_id", "bucket", F.explode_outer(mentions.text_keys()).alias("key")).where("key <> ''").withColumn("key_bucket", self._key_bucket())
-        for name, rows in (("texts", texts), ("keys", keys), ("mentions", found)):
-            if old:
+        with Scratch() as on_the_way:
+            texts = on_the_way.stored(own.withColumn("text", normalise("text")))
+            found = mentions.find_mentions(texts, self._read("names"), on_the_way.stored).select("text_id", "entity_id", F.col("text_id").alias("_id"))
+            found = found.join(texts.select("text_id", "bucket").distinct(), "text_id").select("text_id", "entity_id", "bucket")
+            keys = self._keys(texts)
+            for name, rows in (("texts", texts), ("keys", keys), ("mentions", found)):
+                if not old:
+                    self._put(name, rows, touched, by_key=name == "keys")
+                    continue
                 left = self._read(name).where(F.col("bucket").isin(touched) & F.col("text_id").isNotNull()).join(texts.select("text_id"), "text_id", "left_anti")
-                rows = cut(left.select(*rows.columns).unionByName(rows))  # written before what it is read from is replaced
-            self._put(name, rows, touched, by_key=name == "keys")
+                with Scratch() as before:  # written before what it is read from is replaced, and gone when it is
+                    self._put(name, before.stored(left.select(*rows.columns).unionByName(rows)), touched, by_key=name == "keys")
+
+    def _keys(self, texts: DataFrame) -> DataFrame:
+        """text_id, bucket, key_bucket, keys: a text's keys of each bucket in one row, so that ids do not travel with every key."""
+        dealt = F.transform(mentions.text_keys(), lambda k: F.struct(F.pmod(F.xxhash64(k), F.lit(self.key_buckets)).cast("int").alias("b"), k.alias("k")))
+        own = lambda n: F.transform(F.filter("dealt", lambda x: (x["b"] == n) & (x["k"] != "")), lambda x: x["k"])
+        rows = F.array(*(F.struct(F.lit(n).alias("key_bucket"), own(n).alias("keys")) for n in range(self.key_buckets)))
+        return texts.select("text_id", "bucket", dealt.alias("dealt")).select("text_id", "bucket", F.explode_outer(rows).alias("row")).select("text_id", "bucket", "row.*").where(F.size("keys") > 0)
 
     def _held(self, keys: DataFrame) -> DataFrame:
         """The rows of the key table that may have these keys: only their buckets are read."""
         wanted = [r.key_bucket for r in keys.select(self._key_bucket()).distinct().collect()]  # as many rows as there are buckets
-        return self._read("keys").where(F.col("key_bucket").isin(wanted) & F.col("key").isNotNull())
+        return self._read("keys").where(F.col("key_bucket").isin(wanted)).select("text_id", "bucket", F.explode("keys").alias("key"))
 
     def new_mentions(self, entities: DataFrame) -> DataFrame:
         """text_id, entity_id, bucket: the mentions of names (id, name) in all texts, by the index."""
