@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import unicodedata
 from html.parser import HTMLParser
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,8 @@ _ALLOWED = frozenset("p br blockquote h1 h2 h3 h4 ul ol li strong b em i u s hr"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # fixed values: bytes of an image, files of one upload
 IMAGE_BYTES, UPLOAD_FILES = 8 * 1024 * 1024, 12
+#: Texts of a batch that are parsed at once.
+SLICE = 64
 # fixed values: patterns that decide what counts as what
 _DIALOGUE = r'^[—–\-]|[“”"]|\b(disse|perguntou|respondeu|sussurrou|gritou|falou)\b'
 _BLOCK_TAGS = r"(?i)<(?:p|h[1-6]|ul|ol|li|blockquote|img|hr|div|br)\b"
@@ -245,10 +248,20 @@ def paragraphs(html: str | None) -> list[str]:
     return [x for x in (line.strip(_STRIP) for line in _text(tree.root).strip(_STRIP).split("\n")) if x]
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def html_paragraphs(html: pd.Series) -> pd.Series:
-    """``paragraphs`` of a column; there is no HTML parser among the built-in functions."""
-    return html.map(paragraphs)
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def html_paragraphs(html: pa.Array) -> pa.Array:
+    """``paragraphs`` of a column; there is no HTML parser among the built-in functions.
+
+    A batch is parsed in slices, so that Python has few texts at a time beside Arrow's.
+    """
+    kind, texts, sizes = pa.list_(pa.string()), [], []
+    for start in range(0, len(html), SLICE):
+        found = [paragraphs(x) for x in html.slice(start, SLICE).to_pylist()]
+        texts.append(pa.array([p for ps in found for p in ps], pa.string()))
+        sizes += map(len, found)
+    places = pa.array(accumulate(sizes, initial=0), pa.int32())
+    whole = pa.concat_arrays(texts) if texts else pa.array([], pa.string())
+    return pa.ListArray.from_arrays(places, whole, kind)
 
 
 def sanitise(html: str | None) -> str:
@@ -279,6 +292,6 @@ def sanitise(html: str | None) -> str:
     return "".join(out)
 
 
-@F.pandas_udf(T.StringType())
-def sanitise_html(html: pd.Series) -> pd.Series:
-    return html.map(sanitise)
+@F.arrow_udf(T.StringType())
+def sanitise_html(html: pa.Array) -> pa.Array:
+    return pa.concat_arrays([pa.array(map(sanitise, html.slice(k, SLICE).to_pylist()), pa.string()) for k in range(0, max(1, len(html)), SLICE)])
