@@ -44,9 +44,13 @@ def bundles(universes: DataFrame, catalogue: DataFrame, entities: DataFrame, att
 
 
 def shown_attributes(attributes: DataFrame, n: int = 40) -> DataFrame:
-    """The first attributes of each entity, as a reader of a share sees them."""
+    """The first attributes of each entity, as a reader of a share sees them.
+
+    Dealt by entity before they are sorted: Spark would otherwise sort each input task's
+    rows first, and of a small file that is all of them in one task.
+    """
     by = Window.partitionBy("entity_id").orderBy("sort_order", "key")
-    return attributes.withColumn("_k", F.row_number().over(by)).where(F.col("_k") <= n).drop("_k")
+    return attributes.repartition("entity_id").withColumn("_k", F.row_number().over(by)).where(F.col("_k") <= n).drop("_k")
 
 
 def expiry_days(days: Column) -> Column:
