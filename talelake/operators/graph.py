@@ -99,8 +99,10 @@ def adjacency(relations: DataFrame, hub: int = HUB) -> tuple[DataFrame, DataFram
     Written once for any number of walks. A node of more than ``hub`` edges is a hub,
     whose neighbours are dealt to parts of about that size, so that no bucket holds it whole.
     """
-    pairs = relations.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).where("a <> b")
-    pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    # written, as all that follows reads them twice and what they come from may be costly
+    ends = stored(relations.where("source_id <> target_id").select("source_id", "target_id"))
+    both = F.array(F.struct(F.col("source_id").alias("a"), F.col("target_id").alias("b")), F.struct(F.col("target_id").alias("a"), F.col("source_id").alias("b")))
+    pairs = ends.select(F.inline(both))
     # written as a table, so that its size is known and decides on how it is joined
     hubs = stored(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / hub).cast("int").alias("parts")).where("parts > 1"))
     part = F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), F.lit(0))

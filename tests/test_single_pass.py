@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from talelake.operators import share
+from talelake.operators import graph, share
 
 
 def test_attributes_are_dealt_before_they_are_sorted(spark):
@@ -11,3 +11,18 @@ def test_attributes_are_dealt_before_they_are_sorted(spark):
     assert {tuple(r) for r in shown.groupBy("entity_id").agg(F.count("key"), F.max("key")).collect()} == {(f"e{i}", 40, "k39") for i in range(30)}
     plan = shown._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Sort" not in plan[plan.index("Exchange") :]
+
+
+def test_a_walk_reads_the_relations_once(spark):
+    """Both directions and the hubs once were read from the relations each by themselves, four times in all."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(x):
+        seen.add(1)
+        return x
+
+    relations = spark.createDataFrame([(str(k), str(k + 1)) for k in range(50)], "source_id string, target_id string")
+    relations = relations.select(read.asNondeterministic()("source_id").alias("source_id"), "target_id")
+    found = graph.reached(relations, spark.createDataFrame([("0",)], "id string"), 2)
+    assert {(r.id, r.depth) for r in found.collect()} == {("0", 0), ("1", 1), ("2", 2)} and seen.value == 50
