@@ -13,8 +13,8 @@ from talelake.plans.positions import numbered
 NO_LIMIT = 100
 #: Edges of a node in one bucket.
 HUB = 65_536
-#: Rows of a sheet's page.
-PAGE = 200
+#: Rows of a sheet's page, and of a sheet that is gathered whole, at most.
+PAGE, CROWD = 200, 4_096
 
 
 def relation_cards(relations: DataFrame, entities: DataFrame) -> DataFrame:
@@ -42,9 +42,9 @@ def relations_of(relations: DataFrame, entities: DataFrame) -> DataFrame:
 def incident_edges(relations: DataFrame, entities: DataFrame) -> DataFrame:
     """entity_id, side, other_id, other_name, other_type and the relation, one row for each end: a self-loop has two."""
     named = entities.select(F.col("id").alias("other_id"), F.col("name").alias("other_name"), F.col("type").alias("other_type"))
-    out = relations.withColumnsRenamed({"source_id": "entity_id", "target_id": "other_id"}).withColumn("side", F.lit("source"))
-    into = relations.withColumnsRenamed({"target_id": "entity_id", "source_id": "other_id"}).withColumn("side", F.lit("target"))
-    return out.unionByName(into).join(named, "other_id")
+    sides = [F.struct(F.col(f"{a}_id").alias("entity_id"), F.col(f"{b}_id").alias("other_id"), F.lit(a).alias("side")) for a, b in (("source", "target"), ("target", "source"))]
+    # both ends in one pass over what the relations come from
+    return relations.select(*(c for c in relations.columns if c not in ("source_id", "target_id")), F.inline(F.array(*sides))).join(named, "other_id")
 
 
 def nodes(entities: DataFrame) -> DataFrame:
@@ -168,18 +168,32 @@ def mention_items(mentions: DataFrame, catalogue: DataFrame) -> DataFrame:
     return mentions.join(chapters, "chapter_id").select(F.col("entity_id").alias("id"), "story_order", "book_order", "sort_order", "chapter_id", "title")
 
 
-def sheet_pages(items: DataFrame, size: int = PAGE) -> DataFrame:
+def sheet_pages(items: DataFrame, size: int = PAGE, large: int = CROWD) -> DataFrame:
     """id, page (from 0) and items: the rows of each id's sheet, ordered by their columns from left to right.
 
-    A page has ``size`` rows, the last one what is left, so no row grows with the data,
-    and an entity that is mentioned everywhere is numbered by ranges, not in one task.
-    Equal rows stay; an id without rows has no page.
+    A page has ``size`` rows, the last one what is left, so no row grows with the data.
+    An entity that is mentioned everywhere, in more than ``large`` rows, is numbered by
+    ranges, not in one task; the sheets of others are gathered and cut into pages. Equal
+    rows stay; an id without rows has no page.
     """
     columns = [c for c in items.columns if c != "id"]
-    placed = numbered(items, "id", [F.col(c) for c in columns])
-    pages = placed.groupBy("id", F.floor((F.col("place") - 1) / size).alias("page"))
-    listed = pages.agg(F.array_sort(F.collect_list(F.struct("place", *columns))).alias("items"))
-    return listed.withColumn("items", F.transform("items", lambda i: F.struct(*(i[c].alias(c) for c in columns))))
+    rows = stored(items)
+    # written as a table, so that its size is known and decides on how it is joined
+    crowded = stored(rows.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > large).select(F.col("id").alias("_id")))
+    is_crowded = rows["id"].eqNullSafe(crowded["_id"])
+
+    def sheets(rows: DataFrame) -> DataFrame:
+        whole = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("_all"))
+        numbers = F.sequence(F.lit(0), F.floor((F.size("_all") - 1) / size).cast("int"))
+        cuts = F.transform(numbers, lambda p: F.slice("_all", p * size + 1, size))
+        return whole.select("id", F.posexplode(cuts).alias("page", "items")).select("id", F.col("page").cast("long").alias("page"), "items")
+
+    if not crowded.limit(1).count():
+        return sheets(rows)
+    placed = numbered(rows.join(crowded, is_crowded, "left_semi"), "id", [F.col(c) for c in columns])
+    pages = placed.groupBy("id", F.floor((F.col("place") - 1) / size).alias("page")).agg(F.sort_array(F.collect_list(F.struct("place", *columns))).alias("items"))
+    spread = pages.withColumn("items", F.transform("items", lambda i: F.struct(*(i[c].alias(c) for c in columns))))
+    return sheets(rows.join(crowded, is_crowded, "left_anti")).unionByName(spread)
 
 
 def sheet_heads(entities: DataFrame, **sections: DataFrame) -> DataFrame:

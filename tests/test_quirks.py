@@ -243,3 +243,17 @@ def test_sheets_by_page(spark):
     assert graph.sheet_pages(items.limit(0)).count() == 0
     e = made(spark, "entities", {"id": "a"}, {"id": "z"})
     assert {(r.id, r.n_told) for r in graph.sheet_heads(e, told=items).collect()} == {("a", 7), ("z", 0)}
+
+
+def test_crowded_sheets_and_others(spark):
+    """Only sheets of more than ``large`` rows are numbered by ranges: once all rows took that way, with three shuffles."""
+    items = spark.createDataFrame([(i, k % 50, f"v{k % 7}") for i, n in (("a", 90), ("b", 40), ("c", 1), (None, 60), ("d", 41)) for k in range(n)], "id string, k int, v string")
+    want = {}
+    for i in ("a", "b", "c", None, "d"):
+        own = sorted((r.k, r.v) for r in items.collect() if r.id == i)
+        want |= {(i, p // 8): own[p : p + 8] for p in range(0, len(own), 8)}
+    for large in (40, 1000, 0):
+        pages = graph.sheet_pages(items, 8, large)
+        assert dict(pages.dtypes)["page"] == "bigint"
+        assert {(r.id, r.page): [tuple(i) for i in r["items"]] for r in pages.collect()} == want
+    assert graph.sheet_pages(items, 8)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
