@@ -111,3 +111,14 @@ def test_names_with_a_space_in_another_script(spark, monkeypatch, few):
     two_words = spark.createDataFrame([(1, "мама мыла"), (2, "ó мыла")], "entity_id long, name string")
     plan = mentions.find_mentions(spark.createDataFrame(texts, "text_id long, text string"), two_words)._jdf.queryExecution().toString()
     assert "{3}" not in plan
+
+
+def test_a_short_sign_name_does_not_have_texts_written(spark):
+    """A name of two signs has one stretch, so there is no rarest to be found: texts once were written and read twice for it."""
+    texts = spark.createDataFrame([(1, "Ana foi ß. já"), (2, "ana ß"), (3, "xß.")], "text_id long, text string")
+    names = spark.createDataFrame([("a", "Ana"), ("b", "ß.")], "entity_id string, name string")
+
+    def keep(df):
+        raise AssertionError("texts are written")
+
+    assert {tuple(r) for r in mentions.find_mentions(texts, names, keep).collect()} == {(1, "a"), (1, "b"), (2, "a")}
