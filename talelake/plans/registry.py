@@ -171,8 +171,14 @@ def _page(text, lang, source):
     return F.concat(F.lit("<article id=a><h2>"), F.coalesce(lang, F.lit("")), F.lit("</h2>"), lines, F.lit("<ul><li>"), F.coalesce(source, F.lit("")), F.lit("</li></ul></article>"))
 
 
+def _dealt(spark, sf_dir, name, key):
+    """A table of texts, dealt to all tasks: its file may be one row group, and a single task would do all the work on the texts, too."""
+    # a number of partitions, or Spark would join them to about as many as there are cores, and some of those would get two
+    return _table(spark, sf_dir, name).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _pages(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), _page(F.col("text"), F.col("lang"), F.col("source")).alias("html"))
+    return _dealt(spark, sf_dir, "documents", "doc_id").select(F.col("doc_id").alias("text_id"), _page(F.col("text"), F.col("lang"), F.col("source")).alias("html"))
 
 
 _BLANK = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
@@ -189,7 +195,7 @@ _LINES = rf"""lines AS (SELECT doc_id AS text_id, list_filter(list_transform([co
 
 @query(f"WITH {_NAMES}, t AS (SELECT doc_id AS text_id, trim(lower(strip_accents(text))) AS t FROM documents), {_FOUND} SELECT text_id, entity_id FROM found")
 def q05_mention_index(spark, sf_dir):
-    return mentions.find_mentions(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text"), _names(spark, sf_dir))
+    return mentions.find_mentions(_dealt(spark, sf_dir, "documents", "doc_id").select(F.col("doc_id").alias("text_id"), "text"), _names(spark, sf_dir))
 
 
 #: Letters of another script, to which a-z and A-Z are turned.
@@ -202,7 +208,7 @@ _OTHER_NAMES = f"""n AS (SELECT name, trim(lower(strip_accents(name))) AS k FROM
 SELECT DISTINCT text_id, name AS entity_id FROM t JOIN n ON contains(t.t, n.k) AND regexp_matches(t.t, concat('(?:^|[^a-z0-9])', regexp_escape(n.k), '(?:$|[^a-z0-9])'))""")
 def q05_other_scripts(spark, sf_dir):
     """Names of two words, and texts, in Cyrillic letters."""
-    texts = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), F.translate("text", _LETTERS, _OTHER).alias("text"))
+    texts = _dealt(spark, sf_dir, "documents", "doc_id").select(F.col("doc_id").alias("text_id"), F.translate("text", _LETTERS, _OTHER).alias("text"))
     words = _table(spark, sf_dir, "benchmark").select(F.split("text", " ").alias("ws"))
     pairs = words.select(F.explode(F.arrays_zip(F.slice("ws", F.lit(1), F.size("ws") - 1).alias("a"), F.slice("ws", F.lit(2), F.size("ws") - 1).alias("b"))).alias("p"))
     names = pairs.select(F.translate(F.concat_ws(" ", "p.a", "p.b"), _LETTERS, _OTHER).alias("name")).distinct()
@@ -211,7 +217,7 @@ def q05_other_scripts(spark, sf_dir):
 
 @query()
 def q05_html_mention_index(spark, sf_dir):
-    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("content"))
+    pages = _dealt(spark, sf_dir, "pages", "page_id").select(F.col("page_id").alias("id"), F.col("html").alias("content"))
     return mentions.mention_index(pages, _names(spark, sf_dir).select(F.col("entity_id").alias("id"), "name"))
 
 
@@ -785,7 +791,7 @@ def n03_paragraphs(spark, sf_dir):
 
 @query()
 def n03_page_paragraphs(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", F.posexplode(text.html_paragraphs("html")).alias("pos", "paragraph"))
+    return _dealt(spark, sf_dir, "pages", "page_id").select("page_id", F.posexplode(text.html_paragraphs("html")).alias("pos", "paragraph"))
 
 
 _ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
@@ -803,7 +809,7 @@ def n23_sanitised_texts(spark, sf_dir):
 
 @query()
 def n23_sanitised_pages(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", text.sanitise_html("html").alias("html"))
+    return _dealt(spark, sf_dir, "pages", "page_id").select("page_id", text.sanitise_html("html").alias("html"))
 
 
 @query(r"SELECT doc_id, nullif(regexp_extract(text, '(?i)https?://[^\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+', 0), '') AS url FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -page_id, html FROM pages)")
