@@ -56,10 +56,13 @@ from pyspark.sql import functions as F
 from talelake.llm import textblocks as tb
 from talelake.llm.common import Scratch, stored, table
 
-#: Bytes of a repeated string, of an anchor's gram, and of a piece that is hashed at once.
-LENGTH, GRAM, PIECE = 400, 64, 1 << 17
+#: Bytes of a repeated string, of an anchor's gram, and of a piece that is hashed at once, small enough for a processor's caches.
+LENGTH, GRAM, PIECE = 400, 64, 1 << 15
 #: Bytes of contexts that are sorted together; the contexts of one gram always are.
-SORTED = 1 << 20
+SORTED = 1 << 21
+
+#: Bytes whose prefix hashes are worked out at once.
+STEP = 1 << 14
 
 #: Different contexts of one key that are sorted in one task, and parts that a larger crowd is split into.
 CROWD, SPLIT = 256, 5
@@ -117,13 +120,17 @@ class Polynomial:
     def prefix(self, data: np.ndarray, local: np.ndarray) -> np.ndarray:
         """Prefix sums of the bytes (and one) times the powers of their places ``local``, one more than there are bytes.
 
-        Both halves of the powers are added up without a reduction, which 2**23 bytes allow.
+        Worked out a STEP at a time, which stays in the processor's caches. Both halves of
+        the powers are added up without a reduction, which up to 2**23 bytes allow.
         """
-        value = data.astype(np.uint64) + np.uint64(1)
-        high = _reduce(np.cumsum(value * (self.powers >> np.uint64(31))[local]))
-        low = np.cumsum(value * (self.powers & _LOW31)[local])
-        sums = _reduce((high >> np.uint64(30)) + ((high & _LOW30) << np.uint64(31)) + low)
-        return np.concatenate((np.zeros(1, np.uint64), sums))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        for k in range(0, len(data), STEP):
+            value, power = data[k : k + STEP].astype(np.uint64) + np.uint64(1), self.powers[local[k : k + STEP]]
+            high = _reduce(np.cumsum(value * (power >> np.uint64(31))))
+            low = np.cumsum(value * (power & _LOW31))
+            part = _reduce((high >> np.uint64(30)) + ((high & _LOW30) << np.uint64(31)) + low)
+            sums[k + 1 : k + 1 + len(part)] = _reduce(part + sums[k])
+        return sums
 
 
 _SUFFIXES = Polynomial()
@@ -214,7 +221,8 @@ class Suffixes:
     def __init__(self, contexts: list[bytes], left: np.ndarray, gram: np.ndarray):
         lengths = np.array([len(c) for c in contexts], np.int64)
         self.start = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
-        self.data = np.frombuffer(b"".join(contexts), np.uint8)
+        self.raw = b"".join(contexts)
+        self.data = np.frombuffer(self.raw, np.uint8)
         # powers count from a place as far from every anchor, so that stretches at equal distances are compared without
         # a product, and their table stays as short as a context
         shift = int(left.max(initial=0)) - left.astype(np.int64)
@@ -281,9 +289,11 @@ class Suffixes:
             order, width = merged, width * 2
         return order
 
-    def _equal(self, i: int, j: int, left: int, right: int) -> bool:
-        a, b = self.place[i], self.place[j]
-        return np.array_equal(self.data[a - left : a + right], self.data[b - left : b + right])
+    def _equal(self, i: np.ndarray, j: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether pairs of contexts hold the same bytes around their anchors."""
+        p, q, raw = self.place[i], self.place[j], self.raw
+        stretches = zip((p - left).tolist(), (p + right).tolist(), (q - left).tolist(), (q + right).tolist(), strict=True)
+        return np.array([raw[a:b] == raw[c:d] for a, b, c, d in stretches], bool)
 
     def extents(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Longest left and right extension of each context among those that add up to ``length``; zeros if none do."""
@@ -316,7 +326,7 @@ class Suffixes:
                     j = order[k]
                     other = self.common(i, j, not back)
                     fits = np.flatnonzero(reach + other >= length)
-                    sure = np.array([self._equal(i[f], j[f], *((reach[f], other[f]) if back else (other[f], reach[f]))) for f in fits], bool)
+                    sure = self._equal(i[fits], j[fits], *((reach[fits], other[fits]) if back else (other[fits], reach[fits])))
                     found[i[fits[sure]]] = reach[fits[sure]]
                     rest = np.ones(len(i), bool)
                     rest[fits[sure]] = False

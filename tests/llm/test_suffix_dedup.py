@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -139,3 +140,20 @@ def test_sort_and_extents():
         pairs = [(shared(contexts[i][: left[i]][::-1], contexts[j][: left[j]][::-1]), shared(contexts[i][left[i] :], contexts[j][left[j] :])) for j in range(300) if j != i and j % 3 == i % 3]
         pairs = [p for p in pairs if sum(p) >= 25]
         assert (a[i], b[i]) == (max((p[0] for p in pairs), default=0), max((p[1] for p in pairs), default=0))
+
+
+def test_prefix_hashes_are_worked_out_in_steps():
+    """Several arrays of eight times the bytes each once stood side by side; now there is the result and a step."""
+    p = sd.Polynomial()
+    p.grow(900)
+    data, local = np.random.default_rng(5).integers(0, 256, 1 << 20).astype(np.uint8), np.arange(1 << 20) % 900
+    tracemalloc.start()
+    sums = p.prefix(data, local)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * len(data)
+    prime, total, whole = (1 << 61) - 1, 0, [0]
+    for x, k in zip(data[: 3 * sd.STEP].tolist(), local.tolist(), strict=False):
+        total = (total + (x + 1) * int(p.powers[k])) % prime
+        whole.append(total)
+    assert sums[: len(whole)].tolist() == whole
