@@ -472,6 +472,16 @@ def _partly_repeated(parts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "gram long, c1 long, c2 long, left long, right long")
 
 
+def _with_kinds(each: DataFrame, key: str, stored: Callable[[DataFrame], DataFrame], how: str = "inner") -> DataFrame:
+    """Rows with ``kinds``, the number of rows of their key, where it is above 1.
+
+    The counts are written: a join splits a key of very many rows only if no side of it
+    is still to be aggregated.
+    """
+    kinds = stored(each.groupBy(key).agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
+    return each.join(kinds, key, how)
+
+
 def _crowds(parts: DataFrame, stored: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
     """What ``_partly_repeated`` finds, for contexts of crowded grams that were split once.
 
@@ -487,8 +497,7 @@ def _crowds(parts: DataFrame, stored: Callable[[DataFrame], DataFrame]) -> list[
         each = stored(parts.groupBy(*key).agg(F.sum("weight").alias("n"), F.min("c1").alias("c1"), *firsts))
         again = each.where(f"n > 1 and left + right >= {LENGTH}").select(*key)
         found.append(parts.where("c1 is not null").join(again, key).select("gram", "c1", "c2", F.col("left").cast("long"), F.col("right").cast("long")))
-        kinds = each.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"))
-        counted = stored(each.join(kinds.where("kinds > 1"), "key").withColumn("c1", F.when(F.col("n") == 1, F.col("c1"))).withColumn("weight", F.least("n", F.lit(2))))
+        counted = stored(_with_kinds(each, "key", stored).withColumn("c1", F.when(F.col("n") == 1, F.col("c1"))).withColumn("weight", F.least("n", F.lit(2))))
         found.append(_partly_repeated(counted.where(f"kinds <= {CROWD}")))
         parts = stored(_split(counted.where(f"kinds > {CROWD}")))
     return found
@@ -503,8 +512,7 @@ def repeated_spans(rows: DataFrame, small: DataFrame) -> DataFrame:
             again = until_anchors.stored(_gram_counts(rows).groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram"))
             every = until_spans.stored(_anchor_rows(rows).join(again, "gram", "left_semi"))
         counted = every.groupBy(*context).agg(F.count(F.lit(1)).alias("n"), F.first("gram").alias("gram"), F.min(F.struct(*doc, "at")).alias("one"))
-        kinds = counted.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-        classes = until_spans.stored(counted.join(kinds, "gram", "left").select("gram", *context, "n", "kinds", "one.*").where("n > 1 or kinds > 1"))
+        classes = until_spans.stored(_with_kinds(counted, "gram", until_spans.stored, "left").select("gram", *context, "n", "kinds", "one.*").where("n > 1 or kinds > 1"))
         several = classes.where("kinds > 1")
         what = F.when(F.col("n") == 1, 1).otherwise(0) + F.when(F.col("kinds") > CROWD, 2).otherwise(0)
         fields = F.struct("gram", *context, "at", what.cast("byte").alias("what"))

@@ -157,3 +157,23 @@ def test_prefix_hashes_are_worked_out_in_steps():
         total = (total + (x + 1) * int(p.powers[k])) % prime
         whole.append(total)
     assert sums[: len(whole)].tolist() == whole
+
+
+def test_a_gram_of_very_many_contexts_is_split_by_the_join(spark):
+    """Kinds were counted inside the join, which left all contexts of a frequent line to one task."""
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    small |= {f"spark.sql.adaptive.{k}": "16k" for k in ("advisoryPartitionSizeInBytes", "skewJoin.skewedPartitionThresholdInBytes")}
+    before = {k: spark.conf.get(k, None) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        # 40,000 contexts of one gram, two of each of 500 grams, one of each of 500
+        each = sd.stored(spark.range(41500).selectExpr("CASE WHEN id < 40000 THEN -1 WHEN id < 41000 THEN id div 2 ELSE id END gram", "uuid() c1"))
+        for how, rows in (("inner", 41000), ("left", 41500)):
+            found = sd._with_kinds(each, "gram", sd.stored, how)
+            kinds = [r.kinds for r in found.collect()]
+            assert len(kinds) == rows and kinds.count(40000) == 40000 and kinds.count(2) == 1000
+            assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
