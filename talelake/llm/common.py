@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talelake.plans.lineage import Scratch, cut, stored
+from talelake.plans.lineage import Scratch, cut, new_path, remove, stored
 
-__all__ = ["Scratch", "components", "cut", "stored", "table"]
+__all__ = ["Scratch", "components", "cut", "new_path", "remove", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -17,11 +17,13 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talelake.llm.common import cut, table
+from talelake.llm.common import cut, new_path, remove, table
 
 #: A digest is heavy if it has at least this part of the rows; so there are at most so many.
 HEAVY_PARTS = 1024
@@ -41,12 +43,12 @@ def digest(text: Column) -> Column:
 class DigestIndex:
     """All texts seen so far: columns digest, keep_id (the first batch's smallest id)."""
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int | None = None):
-        """name: a table in the warehouse. buckets: as many as shuffle partitions, if not given."""
+    def __init__(self, spark: SparkSession, name: str, buckets: int | None = None, path: str | None = None):
+        """name: a table. buckets: as many as shuffle partitions, if not given. path: a folder of its own that all executors share, else the warehouse has it."""
         warehouse = spark.conf.get("spark.sql.warehouse.dir")
-        if not spark.sparkContext.master.startswith("local") and warehouse.removeprefix("file:").rstrip("/") == f"{os.getcwd()}/spark-warehouse":
+        if path is None and not spark.sparkContext.master.startswith("local") and warehouse.removeprefix("file:").rstrip("/") == f"{os.getcwd()}/spark-warehouse":
             raise ValueError("set spark.sql.warehouse.dir to a folder that all executors share")
-        self.spark, self.name = spark, name
+        self.spark, self.name, self.path = spark, name, path
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def exists(self) -> bool:
@@ -57,6 +59,8 @@ class DigestIndex:
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        if self.path is not None:  # Spark leaves files outside the warehouse
+            remove(self.spark, self.path)
 
     def append(self, groups: DataFrame) -> None:
         """Adds digest, keep_id rows whose digests the index lacks."""
@@ -65,7 +69,8 @@ class DigestIndex:
             new = new.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
         (
             new.repartition(self.buckets, "digest")
-            .write.mode("append")
+            .write.options(**{"path": self.path} if self.path is not None else {})
+            .mode("append")
             .bucketBy(self.buckets, "digest")
             .sortBy("digest")
             .format("parquet")
@@ -101,15 +106,22 @@ class DigestIndex:
         )
 
 
-def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact dedup of documents through an index made for this run."""
-    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
+@contextmanager
+def own_index(spark: SparkSession) -> Iterator[DigestIndex]:
+    """An index for one run, in the session's checkpoint folder: the warehouse need not be shared for it."""
+    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", path=new_path(spark, "digests"))
     try:
-        return cut(index.ingest(table(spark, sf_dir, "documents"), in_order=True))
+        yield index
     finally:
         index.drop()
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact dedup of documents through an index made for this run."""
+    with own_index(spark) as index:
+        return cut(index.ingest(table(spark, sf_dir, "documents"), in_order=True))
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
@@ -130,8 +142,5 @@ def drop_copies(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
 
 def drop_copies_once(docs: DataFrame) -> DataFrame:
     """``drop_copies`` of documents among themselves, with an index of their own."""
-    index = DigestIndex(docs.sparkSession, f"digest_index_{uuid.uuid4().hex}")
-    try:
+    with own_index(docs.sparkSession) as index:
         return drop_copies(docs, index, in_order=True)
-    finally:
-        index.drop()

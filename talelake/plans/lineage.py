@@ -26,6 +26,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes what is at a path that ``new_path`` gave, if anything."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and written to the session's ``spark.checkpoint.dir``.
 
@@ -69,9 +75,7 @@ class Scratch:
 
     def __exit__(self, *_: object) -> None:
         for df, path in self.tables:
-            spark = df.sparkSession
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            remove(df.sparkSession, path)
         self.tables.clear()
 
 

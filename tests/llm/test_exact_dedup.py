@@ -1,6 +1,9 @@
 import hashlib
 import re
 
+import pytest
+
+from talelake.llm import exact_dedup
 from talelake.llm.exact_dedup import DigestIndex, drop_copies_once
 
 
@@ -69,3 +72,28 @@ def test_the_second_half_meets_the_first_in_the_index(spark, monkeypatch):
     index.drop()
     assert index.ingest(docs.limit(0), in_order=True).count() == 0
     index.drop()
+
+
+def test_an_index_for_one_run_needs_no_shared_warehouse(spark, monkeypatch, tmp_path):
+    """On a cluster whose warehouse is Spark's default, a folder of the driver, op5 and the pipeline's stage run; the index is in the checkpoint folder and goes."""
+    home = tmp_path / "driver"
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.setattr(exact_dedup.os, "getcwd", lambda: str(home))
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *a, get=type(spark.conf).get: f"file:{home}/spark-warehouse" if key == "spark.sql.warehouse.dir" else get(self, key, *a))
+    with pytest.raises(ValueError, match="warehouse"):
+        DigestIndex(spark, "t_kept")
+    files = []
+    append = DigestIndex.append
+
+    def watched(self, groups):
+        append(self, groups)
+        files.append((self.path, self.read().inputFiles()))
+
+    monkeypatch.setattr(DigestIndex, "append", watched)
+    spark.createDataFrame([(1, "a  b"), (2, "a b"), (3, "c")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = exact_dedup.op5_exact_dedup(spark, str(tmp_path))
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in found.collect()} == {(1, 1, 2), (2, 1, 2), (3, 3, 1)}
+    assert {r.doc_id for r in drop_copies_once(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()} == {1, 3}
+    shared, hadoop = spark.sparkContext.getCheckpointDir(), spark._jvm.org.apache.hadoop.fs
+    assert len(files) == 4 and all(path.startswith(shared) and names and all(path.rsplit("/", 1)[1] in n for n in names) for path, names in files)
+    assert not any(hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop.Path(path)) for path, _ in files)
