@@ -42,6 +42,8 @@ from talelake.llm.common import stored, table
 
 #: Documents and terms with repeats of a shard; terms of the items of a block.
 SHARD, SHARD_TERMS, BLOCK_TERMS = 4096, 1 << 20, 1 << 16
+#: Compressed bytes at which a row group of shards ends: a shard has some megabytes, and tasks hold whole row groups.
+GROUP_BYTES = 1 << 22
 #: Documents that an item gets.
 FIRST = 10
 #: Different terms of items, and their bytes, up to which they are broadcast; more are joined by term.
@@ -115,7 +117,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_pylist([shard.shard()], schema)
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    return stored(texts.mapInArrow(run, _SHARD_SCHEMA))
+    return stored(texts.mapInArrow(run, _SHARD_SCHEMA), GROUP_BYTES)
 
 
 class Shard:
@@ -205,7 +207,7 @@ def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col
     blocks = max(1, -(-weighed.count() // BLOCK_TERMS))
     parts = weighed.groupBy("item_id", "item").agg(F.collect_list(F.struct("term", "weight")).alias("weights"))
     block = F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int")
-    listed = stored(parts.groupBy(block.alias("block")).agg(F.collect_list(F.struct("item_id", "item", "weights")).alias("items")))
+    listed = stored(parts.groupBy(block.alias("block")).agg(F.collect_list(F.struct("item_id", "item", "weights")).alias("items")), GROUP_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -42,17 +42,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, group_bytes: int | None = None) -> DataFrame:
     """df, computed once and written as a compressed table in that folder, so that later reads take only their columns.
 
     It stays until the session's checkpoint folder is removed; ``Scratch`` has tables that go before.
+    group_bytes: for tables of large rows, the compressed bytes at which a row group ends. Writers
+    and readers hold a whole row group, which else has 100 rows at least, however large they are.
     """
-    return _written(df)[0]
+    return _written(df, group_bytes)[0]
 
 
-def _written(df: DataFrame) -> tuple[DataFrame, str]:
+def _written(df: DataFrame, group_bytes: int | None = None) -> tuple[DataFrame, str]:
     path = new_path(df.sparkSession, "table")
-    df.write.option("compression", "zstd").parquet(path)
+    sizes = {} if group_bytes is None else {"parquet.block.size": group_bytes, "parquet.page.size.row.check.min": 1}
+    df.write.option("compression", "zstd").options(**sizes).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

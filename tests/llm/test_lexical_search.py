@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from talelake.llm import lexical_search as lx
@@ -69,3 +70,12 @@ def test_non_essential_lists_are_only_probed():
 def test_terms():
     every = "".join(chr(c) for c in range(0x250)) + " 日 x"
     assert [t.decode() for t in lx.terms_of(every.encode())] == terms(every)
+
+
+def test_row_groups_of_the_index_are_bounded_by_bytes(spark, monkeypatch):
+    """Tasks hold whole row groups: a hundred shards in one would be hundreds of megabytes."""
+    monkeypatch.setattr(lx, "GROUP_BYTES", 1 << 13, raising=False)
+    docs = spark.range(5 * lx.SHARD, numPartitions=1).selectExpr("id AS doc_id", "concat_ws(' ', md5(concat(id, '')), md5(concat(id, 'x'))) AS text")
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in lx.build_index(docs).inputFiles()]
+    groups = [f.row_group(k) for f in files for k in range(f.num_row_groups)]
+    assert [g.num_rows for g in groups] == [1] * 5
