@@ -13,6 +13,8 @@ from talelake.plans.lineage import Scratch, cut
 class MentionIndex:
     """Texts, names, mentions and a table of keys (text_id, its keys of a bucket) in a folder.
 
+    Keys are single words, and stretches of signs for names without a word: a longer name
+    goes by the one of its words that the fewest texts have, and is searched in these.
     Texts, mentions and keys are laid out by the text's bucket, keys by their own, too
     (buckets: a fixed hash of the id or key). ``save`` reads and writes the buckets of the
     texts that it gets, by dynamic partition overwrite; ``add`` reads the buckets of the
@@ -24,7 +26,7 @@ class MentionIndex:
         self.spark, self.folder, self.buckets, self.key_buckets = spark, folder, buckets, key_buckets
 
     def _bucket(self, column: str) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int").alias("bucket")
+        return F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(self.buckets)).cast("int").alias("bucket")
 
     def _key_bucket(self) -> Column:
         return F.pmod(F.xxhash64("key"), F.lit(self.key_buckets)).cast("int").alias("key_bucket")
@@ -32,14 +34,13 @@ class MentionIndex:
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
-    def _put(self, name: str, rows: DataFrame, touched: list[int], by_key: bool = False) -> None:
+    def _write(self, name: str, rows: DataFrame, *parts: str) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*parts).parquet(f"{self.folder}/{name}")
+
+    def _put(self, name: str, rows: DataFrame, touched: list[int]) -> None:
         """Replaces the touched buckets by rows. A row of nulls in each makes sure that one that is left empty is replaced, too."""
         blank = self.spark.createDataFrame([(b,) for b in touched], "bucket int")
-        if by_key:
-            blank = blank.join(F.broadcast(self.spark.range(self.key_buckets).select(F.col("id").cast("int").alias("key_bucket"))))
-        parts = ["key_bucket", "bucket"] if by_key else ["bucket"]
-        rows = rows.unionByName(blank, allowMissingColumns=True).repartition(*parts)
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*parts).parquet(f"{self.folder}/{name}")
+        self._write(name, rows.unionByName(blank, allowMissingColumns=True).repartition("bucket"), "bucket")
 
     def build(self, chapters: DataFrame, entities: DataFrame) -> None:
         """A new index. chapters: id, content; entities: id, name."""
@@ -56,23 +57,21 @@ class MentionIndex:
         own = chapters.select(F.col("id").cast("string").alias("text_id"), F.array_join(html_paragraphs("content"), " ").alias("text"), self._bucket("id"))
         with Scratch() as on_the_way:
             texts = on_the_way.stored(own.withColumn("text", normalise("text")))
-            found = mentions.find_mentions(texts, self._read("names"), on_the_way.stored).select("text_id", "entity_id", F.col("text_id").alias("_id"))
-            found = found.join(texts.select("text_id", "bucket").distinct(), "text_id").select("text_id", "entity_id", "bucket")
-            keys = self._keys(texts)
-            for name, rows in (("texts", texts), ("keys", keys), ("mentions", found)):
-                if not old:
-                    self._put(name, rows, touched, by_key=name == "keys")
-                    continue
-                left = self._read(name).where(F.col("bucket").isin(touched) & F.col("text_id").isNotNull()).join(texts.select("text_id"), "text_id", "left_anti")
-                with Scratch() as before:  # written before what it is read from is replaced, and gone when it is
-                    self._put(name, before.stored(left.select(*rows.columns).unionByName(rows)), touched, by_key=name == "keys")
+            found = mentions.find_mentions(texts, self._read("names"), on_the_way.stored).select("text_id", "entity_id", self._bucket("text_id"))
+            for name, rows in (("texts", texts), ("mentions", found)):
+                if old:  # a dynamic overwrite puts the old buckets' files away when all new ones are written
+                    left = self._read(name).where(F.col("bucket").isin(touched) & F.col("text_id").isNotNull()).join(texts.select("text_id"), "text_id", "left_anti")
+                    rows = left.select(*rows.columns).unionByName(rows)
+                self._put(name, rows, touched)
+        # from the texts as they lie, bucket by bucket, so that keys, which are larger, are not shuffled
+        self._write("keys", self._keys(self._read("texts").where(F.col("bucket").isin(touched))), "key_bucket", "bucket")
 
     def _keys(self, texts: DataFrame) -> DataFrame:
-        """text_id, bucket, key_bucket, keys: a text's keys of each bucket in one row, so that ids do not travel with every key."""
-        dealt = F.transform(mentions.text_keys(), lambda k: F.struct(F.pmod(F.xxhash64(k), F.lit(self.key_buckets)).cast("int").alias("b"), k.alias("k")))
+        """text_id, bucket, key_bucket, keys: a text's keys of each bucket in one row, so that ids do not travel with every key; a row of nulls stays one in each bucket."""
+        dealt = F.transform(mentions.word_keys(), lambda k: F.struct(F.pmod(F.xxhash64(k), F.lit(self.key_buckets)).cast("int").alias("b"), k.alias("k")))
         own = lambda n: F.transform(F.filter("dealt", lambda x: (x["b"] == n) & (x["k"] != "")), lambda x: x["k"])
         rows = F.array(*(F.struct(F.lit(n).alias("key_bucket"), own(n).alias("keys")) for n in range(self.key_buckets)))
-        return texts.select("text_id", "bucket", dealt.alias("dealt")).select("text_id", "bucket", F.explode_outer(rows).alias("row")).select("text_id", "bucket", "row.*").where(F.size("keys") > 0)
+        return texts.select("text_id", "bucket", dealt.alias("dealt")).select("text_id", "bucket", F.explode_outer(rows).alias("row")).select("text_id", "bucket", "row.*").where((F.size("keys") > 0) | F.col("text_id").isNull())
 
     def _held(self, keys: DataFrame) -> DataFrame:
         """The rows of the key table that may have these keys: only their buckets are read."""
@@ -81,14 +80,12 @@ class MentionIndex:
 
     def new_mentions(self, entities: DataFrame) -> DataFrame:
         """text_id, entity_id, bucket: the mentions of names (id, name) in all texts, by the index."""
-        known = cut(mentions.name_keys(entities.select(F.col("id").alias("entity_id"), "name")))
-        signs = known.where("key = ''").select("entity_id", "name")
-        named = known.where("key <> ''")
-        if signs.limit(1).count():
-            parts = cut(mentions.sign_parts(signs))
-            counts = self._held(parts).join(parts.select("key").distinct(), "key").groupBy("key").count()
+        named, parts = (cut(x) for x in mentions.name_parts(entities.select(F.col("id").alias("entity_id"), "name")))
+        if parts.limit(1).count():
+            wanted = parts.select("key").distinct()
+            counts = self._held(parts).join(F.broadcast(wanted) if mentions.is_few(parts) else wanted, "key").groupBy("key").count()
             named = cut(named.unionByName(mentions.rarest(parts, counts)))
-        found = self._held(named).join(named, "key").select("text_id", "bucket", "entity_id", "name", "whole")
+        found = self._held(named).join(F.broadcast(named) if mentions.is_few(named) else named, "key").select("text_id", "bucket", "entity_id", "name", "whole")
         texts = self._read("texts").where(F.col("text_id").isNotNull()).select("text_id", "bucket", "text")
         searched = found.where("not whole").join(texts, ["text_id", "bucket"]).where(mentions.stands())
         columns = ["text_id", "entity_id", "bucket"]
